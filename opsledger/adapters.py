@@ -365,3 +365,73 @@ class Ledger:
             F.col("o_totalprice").cast("decimal(18,5)").alias("actual_value"),
             F.when(F.col("o_orderpriority") == "1-URGENT", "critical").otherwise("warning").alias("severity"),
             F.when(F.col("o_orderstatus") == "F", "resolved").otherwise("open").alias("status"))
+
+
+class StagedLedger(Ledger):
+    """Adds the sheet-shaped inputs (positional text cells) some operators read."""
+
+    @cached_property
+    def work_order_rows(self) -> DataFrame:
+        """Transport work-order sheet: one staged row per order, cells as formatted text.
+
+        Quantity text is 'q1 + q2 + ...' over the order's lines; pending orders ('P') carry an
+        unparseable quantity and rate, as hand-kept sheets do."""
+        li = self.t.lineitem
+        o = self.t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice")
+        per = (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+               .groupBy("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice")
+               .agg(F.array_join(F.array_sort(F.collect_list(F.col("l_quantity").cast("string"))), " + ").alias("q"),
+                    F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("LOT-"), F.col("l_partkey").cast("string")))),
+                                 ", ").alias("lots"),
+                    F.min("l_suppkey").alias("mine"), F.count(F.lit(1)).alias("n")))
+        pending = F.col("o_orderstatus") == "P"
+        cells = F.array(
+            F.concat(F.lit("WO-"), F.col("o_orderkey").cast("string")), F.lit(""),
+            F.col("o_orderdate").cast("date").cast("string"), F.lit(""), F.lit(""),
+            F.col("o_orderpriority"), F.lit(""), F.concat(F.lit("MINE-"), F.col("mine").cast("string")),
+            F.when(pending, F.concat(F.col("q"), F.lit(" + pending"))).otherwise(F.col("q")),
+            F.col("lots"), F.lit(""),
+            F.when(pending, F.lit("TBD")).otherwise(dec("o_totalprice").cast("string")),
+            F.lit(""), F.lit(""), F.lit(""), (F.col("n") * 10).cast("string"))
+        return per.select(F.lit("transport_work_orders").alias("file_name"), F.lit("INWARD FINAL").alias("sheet_name"),
+                          (F.col("o_orderkey") + 3).cast("int").alias("row_number"), cells.alias("cells"),
+                          F.col("o_orderkey").alias("source_row_id"))
+
+    @cached_property
+    def lot_aliases(self) -> DataFrame:
+        """Every lot is known by its house number and its description."""
+        lots = self.lots
+        return (lots.select("lot_id", F.col("house_lot_number").alias("alias"), "source_row_id")
+                .unionByName(lots.select("lot_id", F.col("description").alias("alias"), "source_row_id")))
+
+    @cached_property
+    def planning_rows(self) -> DataFrame:
+        """Opening-stock planning sheet: lots referenced by house number (large sizes) or description."""
+        p = self.t.part
+        return p.select(
+            F.when(F.col("p_size") > 25, F.concat(F.lit("LOT-"), F.col("p_partkey").cast("string")))
+            .otherwise(F.col("p_name")).alias("lot_text"),
+            (F.col("p_size") * 10).cast(DEC3).alias("planned_quantity_mt"),
+            F.col("p_partkey").alias("source_row_id"))
+
+    @cached_property
+    def sample_measures(self) -> DataFrame:
+        """Raw measures per sample (before range checks) keyed by stage:source_row."""
+        s = self.sample_lines
+        ind = s.where(F.col("l_linestatus") == "O").select(
+            "source_row_id", F.concat(F.lit("indicative:"), F.col("source_row_id").cast("string")).alias("sample_key"),
+            F.col("indicative_fe_raw").alias("fe_raw"), F.lit(None).cast(PCT).alias("sio2_raw"),
+            F.lit(None).cast(PCT).alias("al2o3_raw"))
+        stage = F.when(F.col("l_linestatus") == "O", "inward:").otherwise("dispatch:")
+        other = s.select("source_row_id", F.concat(stage, F.col("source_row_id").cast("string")).alias("sample_key"),
+                         "fe_raw", "sio2_raw", "al2o3_raw")
+        return ind.unionByName(other)
+
+    @cached_property
+    def inward_samples(self) -> DataFrame:
+        """Inward quality rows with the DMG-declared quantity (quantity x (1 + discount))."""
+        li = self.t.lineitem
+        return li.where(F.col("l_linestatus") == "O").select(
+            source_row_id().alias("source_row_id"),
+            F.col("l_quantity").cast(DEC3).alias("represented_quantity_mt"),
+            (dec("l_quantity", 3) * (1 + dec("l_discount"))).cast(DEC3).alias("declared_quantity_mt"))

@@ -165,6 +165,46 @@ RELATIONS: dict[str, str] = {
                CASE WHEN o_orderpriority = '1-URGENT' THEN 'critical' ELSE 'warning' END AS severity,
                CASE WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'open' END AS status
         FROM orders""",
+    "work_order_rows_r": """
+        SELECT 'transport_work_orders' AS file_name, 'INWARD FINAL' AS sheet_name,
+               CAST(o_orderkey + 3 AS INTEGER) AS row_number,
+               [ 'WO-' || CAST(o_orderkey AS VARCHAR), '', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '', '',
+                 o_orderpriority, '', 'MINE-' || CAST(mine AS VARCHAR),
+                 CASE WHEN o_orderstatus = 'P' THEN q || ' + pending' ELSE q END,
+                 lots, '',
+                 CASE WHEN o_orderstatus = 'P' THEN 'TBD' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END,
+                 '', '', '', CAST(n * 10 AS VARCHAR) ] AS cells,
+               o_orderkey AS source_row_id
+        FROM (SELECT o_orderkey, o_orderdate, o_orderpriority, o_orderstatus, o_totalprice,
+                     string_agg(CAST(l_quantity AS VARCHAR), ' + ' ORDER BY CAST(l_quantity AS VARCHAR)) AS q,
+                     string_agg(DISTINCT 'LOT-' || CAST(l_partkey AS VARCHAR), ', '
+                                ORDER BY 'LOT-' || CAST(l_partkey AS VARCHAR)) AS lots,
+                     min(l_suppkey) AS mine, count(*) AS n
+              FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+              GROUP BY o_orderkey, o_orderdate, o_orderpriority, o_orderstatus, o_totalprice) w""",
+    "lot_aliases_r": """
+        SELECT lot_id, house_lot_number AS alias, source_row_id FROM lots_r
+        UNION ALL
+        SELECT lot_id, description, source_row_id FROM lots_r""",
+    "planning_rows_r": """
+        SELECT CASE WHEN p_size > 25 THEN 'LOT-' || CAST(p_partkey AS VARCHAR) ELSE p_name END AS lot_text,
+               CAST(p_size * 10 AS DECIMAL(18,3)) AS planned_quantity_mt, p_partkey AS source_row_id
+        FROM part""",
+    "sample_measures_r": """
+        SELECT source_row_id, 'indicative:' || CAST(source_row_id AS VARCHAR) AS sample_key,
+               indicative_fe_raw AS fe_raw, CAST(NULL AS DECIMAL(8,4)) AS sio2_raw,
+               CAST(NULL AS DECIMAL(8,4)) AS al2o3_raw
+        FROM sample_lines_r WHERE l_linestatus = 'O'
+        UNION ALL
+        SELECT source_row_id,
+               CASE WHEN l_linestatus = 'O' THEN 'inward:' ELSE 'dispatch:' END || CAST(source_row_id AS VARCHAR),
+               fe_raw, sio2_raw, al2o3_raw
+        FROM sample_lines_r""",
+    "inward_samples_r": f"""
+        SELECT {SRC} AS source_row_id, CAST(l_quantity AS DECIMAL(18,3)) AS represented_quantity_mt,
+               CAST(CAST(l_quantity AS DECIMAL(18,3)) * (1 + CAST(l_discount AS DECIMAL(18,2))) AS DECIMAL(18,3))
+                   AS declared_quantity_mt
+        FROM lineitem WHERE l_linestatus = 'O'""",
 }
 
 _NAME = re.compile(r"\b([a-z_0-9]+_r)\b")
