@@ -196,7 +196,7 @@ class Ledger:
         return li.join(p, li.l_partkey == p.p_partkey, "inner").select(
             source_row_id().alias("source_row_id"),
             F.col("l_partkey").alias("lot_id"),
-            F.col("l_linestatus"), F.col("l_returnflag"), F.col("l_orderkey"),
+            F.col("l_linestatus"), F.col("l_returnflag"), F.col("l_orderkey"), F.col("l_suppkey").alias("supplier_id"),
             F.col("l_shipdate").cast("date").alias("sample_on"),
             F.col("l_quantity").cast(DEC3).alias("represented_quantity_mt"),
             _grade(unit_price() * k("0.05")).alias("fe_raw"),

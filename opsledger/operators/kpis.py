@@ -30,3 +30,209 @@ def highest_daily_dispatch_per_customer(daily: DataFrame) -> DataFrame:
                      ["business_date", "customer", "dispatched_quantity_mt", "dispatch_count", "rows_missing_lot"])
     return _dispatch_status(best.select("business_date", "customer_id", "customer", "dispatched_quantity_mt",
                                         "dispatch_count", "rows_missing_lot"))
+
+
+DEC3 = "decimal(18,3)"
+
+
+def _r(c, places: int):
+    """Half-away-from-zero rounding of a decimal column."""
+    return F.round(c, places)
+
+
+def stock_position(v3: DataFrame) -> DataFrame:
+    """Per category position plus covered stock value (cost-covered quantity x weighted cost)."""
+    value = _r(F.col("cost_covered_quantity_mt") * F.coalesce(F.col("weighted_landed_cost_inr_per_mt"), F.lit(0)), 2)
+    return v3.select("category", "total_quantity_mt", "quality_covered_quantity_mt", "weighted_fe_pct",
+                     "cost_covered_quantity_mt", "weighted_landed_cost_inr_per_mt",
+                     value.cast("decimal(20,2)").alias("stock_value"), "status")
+
+
+def stock_position_with_all(c1: DataFrame) -> DataFrame:
+    """An 'all' row re-weighted from the (rounded) category rows, unioned with them.
+
+    verified only if every category is, incomplete if any is, else flagged."""
+    from .common import ratio
+    qq = F.coalesce(F.col("quality_covered_quantity_mt"), F.lit(0))
+    cq = F.coalesce(F.col("cost_covered_quantity_mt"), F.lit(0))
+    tot = c1.agg(
+        F.sum("total_quantity_mt").alias("t"), F.sum(qq).alias("qq"), F.sum(cq).alias("cq"),
+        F.sum(qq * F.coalesce(F.col("weighted_fe_pct"), F.lit(0))).alias("fe_num"),
+        F.sum(cq * F.coalesce(F.col("weighted_landed_cost_inr_per_mt"), F.lit(0))).alias("cost_num"),
+        F.bool_and(F.col("status") == "verified").alias("all_ok"),
+        F.bool_or(F.col("status") == "incomplete").alias("any_incomplete"))
+    all_row = tot.select(
+        F.lit("all").alias("category"), F.col("t").cast(DEC3).alias("total_quantity_mt"),
+        F.col("qq").cast(DEC3).alias("quality_covered_quantity_mt"),
+        ratio(F.col("fe_num"), F.col("qq"), "decimal(12,5)").alias("weighted_fe_pct"),
+        F.col("cq").cast(DEC3).alias("cost_covered_quantity_mt"),
+        ratio(F.col("cost_num"), F.col("cq"), "decimal(18,4)").alias("weighted_landed_cost_inr_per_mt"),
+        _r(F.col("cost_num"), 2).cast("decimal(20,2)").alias("stock_value"),
+        F.when(F.col("all_ok"), "verified").when(F.col("any_incomplete"), "incomplete").otherwise("flagged")
+        .alias("status"))
+    return all_row.unionByName(c1)
+
+
+def top_deviations(v6: DataFrame, k: int = 30) -> DataFrame:
+    """Largest absolute grade deviations (ties broken on every remaining column)."""
+    return v6.orderBy(F.abs("deviation_fe_points").desc(), "comparison", "actual_source_row_id",
+                      "expected_source_row_id", "house_lot_number", "expected_fe_pct", "actual_fe_pct").limit(k)
+
+
+def dispatch_quality_coverage(dispatches: DataFrame, samples: DataFrame) -> DataFrame:
+    """Dispatch rows and rows with a dispatch grade (one row)."""
+    ds = samples.where(F.col("sample_stage") == "dispatch").select("dispatch_id", "fe_pct")
+    j = dispatches.select("dispatch_id").join(ds, "dispatch_id", "left")
+    return j.agg(F.count(F.lit(1)).alias("dispatch_rows"), F.count("fe_pct").alias("rows_with_fe"))
+
+
+def top_rules(issues: DataFrame, k: int = 12) -> DataFrame:
+    """The most frequent rule codes among open issues."""
+    return issues.groupBy("rule_code").agg(F.count(F.lit(1)).alias("issue_count")) \
+        .orderBy(F.col("issue_count").desc(), "rule_code").limit(k)
+
+
+def lead_time_by_customer(dispatches: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Average days from PO to dispatch per customer, excluding dispatches dated before the PO."""
+    j = dispatches.join(orders.select("sales_order_line_id", "po_date"), "sales_order_line_id", "inner") \
+        .where(F.col("dispatch_on") >= F.col("po_date"))
+    per = j.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("dispatch_count"),
+        F.sum(F.datediff("dispatch_on", "po_date")).alias("_days"))
+    names = customers.select("customer_id", F.col("legal_name").alias("customer"))
+    return per.join(names, "customer_id").select(
+        "customer_id", "customer", "dispatch_count",
+        _r(F.col("_days").cast("decimal(38,0)") / F.col("dispatch_count"), 1).cast("decimal(12,1)")
+        .alias("avg_days_order_to_dispatch"))
+
+
+def top_buyer_in_period(dispatches: DataFrame, customers: DataFrame, start: str, end: str) -> DataFrame:
+    """The buyer with the highest dispatched quantity between two dates (inclusive)."""
+    per = dispatches.where(F.col("dispatch_on").between(F.lit(start).cast("date"), F.lit(end).cast("date"))) \
+        .groupBy("customer_id").agg(F.sum("quantity_mt").cast(DEC3).alias("dispatched_quantity_mt"),
+                                    F.count(F.lit(1)).alias("dispatch_count"))
+    names = customers.select("customer_id", F.col("legal_name").alias("customer"))
+    return per.join(names, "customer_id").orderBy(F.col("dispatched_quantity_mt").desc(), "customer_id").limit(1)
+
+
+def transporter_ranking(work_orders: DataFrame) -> DataFrame:
+    """C25 (+ C11): per transporter assigned quantity, work orders and mean rate of rated orders."""
+    from ..functions import clean
+    rate = clean.number("rate_text")
+    return work_orders.groupBy("transporter").agg(
+        F.sum("awarded_quantity_mt").cast(DEC3).alias("assigned_quantity_mt"),
+        F.count(F.lit(1)).alias("work_orders"),
+        F.count(rate).alias("rated_orders"),
+        F.round(F.avg(rate), 2).alias("average_rate"))
+
+
+def customer_activity_totals(v5: DataFrame) -> DataFrame:
+    """Per customer the totals of each metric as columns, plus the month range."""
+    piv = v5.groupBy("customer_id", "customer").pivot("metric", ["ordered", "dispatched", "external_allocated"]) \
+        .agg(F.sum("quantity_mt").cast(DEC3))
+    rng = v5.groupBy("customer_id").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"))
+    return piv.join(rng, "customer_id")
+
+
+def monthly_ordered_vs_dispatched(v5: DataFrame, fy_start_year: int) -> DataFrame:
+    """Month-wise ordered vs dispatched for the financial year starting April `fy_start_year`."""
+    from ..functions import clean
+    m = v5.where(clean.financial_year("month") == fy_start_year)
+    return m.groupBy("month").pivot("metric", ["ordered", "dispatched"]).agg(F.sum("quantity_mt").cast(DEC3))
+
+
+def overview(positions: DataFrame, purchases: DataFrame, orders: DataFrame, v7: DataFrame, customers: DataFrame,
+             auctions: DataFrame) -> DataFrame:
+    """One row of overview KPIs."""
+    stock = positions.agg(F.sum("available_quantity_mt").cast(DEC3).alias("current_stock"),
+                          F.count(F.lit(1)).alias("stock_lots"),
+                          F.round(F.sum(F.col("available_quantity_mt")
+                                        * F.coalesce(F.col("landed_cost_inr_per_mt"), F.lit(0))), 2)
+                          .cast("decimal(24,2)").alias("stock_value"))
+    pend_in = purchases.where(F.col("reported_balance_to_lift_mt") > 0.1).agg(
+        F.sum("reported_balance_to_lift_mt").cast(DEC3).alias("pending_inward"),
+        F.count(F.lit(1)).alias("pending_purchase_lots"))
+    bal = F.col("ordered_quantity_mt") - F.coalesce(F.col("reported_dispatched_quantity_mt"), F.lit(0))
+    pend_out = orders.where(bal > 0.1).agg(F.sum(bal).cast(DEC3).alias("pending_dispatch"),
+                                          F.count(F.lit(1)).alias("pending_orders"))
+    prod = v7.agg(F.sum("feed_quantity_mt").cast(DEC3).alias("total_feed"),
+                  F.sum("recovered_quantity_mt").alias("_rec"))
+    prod = prod.select("total_feed", F.when(F.col("total_feed") > 0, F.round(
+        (F.col("_rec") * 100).cast("double") / F.col("total_feed").cast("double"), 1)).otherwise(0.0).alias("recovery_pct"))
+    buyers = customers.agg(F.count(F.lit(1)).alias("buyer_count"))
+    auc = auctions.agg(F.count(F.lit(1)).alias("auction_lots"))
+    return stock.crossJoin(pend_in).crossJoin(pend_out).crossJoin(prod).crossJoin(buyers).crossJoin(auc)
+
+
+def supplier_quality(sample_lines: DataFrame) -> DataFrame:
+    """Per supplier records, mean received-minus-indicative grade, share below indicative."""
+    d = (F.col("fe_raw") - F.col("indicative_fe_raw"))
+    rows = sample_lines.where((F.col("l_linestatus") == "O") & F.col("fe_raw").between(0, 100)
+                              & F.col("indicative_fe_raw").between(0, 100))
+    return rows.groupBy("supplier_id").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.round(F.avg(d), 2).cast("decimal(12,2)").alias("average_difference"),
+        F.round(F.avg(F.when(d < 0, 1).otherwise(0)) * 100, 1).cast("decimal(6,1)").alias("below_share"),
+        F.count_if(d < -1).alias("severe_variance"))
+
+
+def auction_summary(auctions: DataFrame, min_grade, k: int = 12) -> DataFrame:
+    """C17: opportunity screen: valid (price and grade non-zero), unsold, grade >= min, cheapest k."""
+    valid = auctions.where((F.col("current_price") != 0) & (F.col("fe_pct") != 0))
+    return (valid.where(~F.col("sold") & (F.col("fe_pct") >= min_grade))
+            .orderBy("current_price", "auction_lot_id", "lot_id", "offered_quantity_mt").limit(k)
+            .select("auction_lot_id", "lot_id", "mine", "fe_pct", "offered_quantity_mt", "current_price",
+                    (F.col("current_price") - F.col("opening_price")).alias("premium")))
+
+
+def mean_price_by_mine(auctions: DataFrame, k: int = 7) -> DataFrame:
+    """C17: mean current price by mine, top k."""
+    valid = auctions.where((F.col("current_price") != 0) & (F.col("fe_pct") != 0))
+    return (valid.groupBy("mine").agg(F.count(F.lit(1)).alias("lots"),
+                                      F.round(F.avg("current_price"), 2).cast("decimal(18,2)").alias("mean_price"),
+                                      F.round(F.avg(F.col("current_price") - F.col("opening_price")), 2)
+                                      .cast("decimal(18,2)").alias("mean_premium"))
+            .orderBy(F.col("mean_price").desc(), "mine").limit(k))
+
+
+def customer_ranking(orders: DataFrame, dispatches: DataFrame, customers: DataFrame, k: int = 12) -> DataFrame:
+    """C20: customers by ordered quantity, with completion % and realised value (dispatched x rate)."""
+    d = dispatches.groupBy("sales_order_line_id").agg(F.sum("quantity_mt").alias("_d"))
+    o = orders.join(d, "sales_order_line_id", "left").withColumn("_d", F.coalesce(F.col("_d"), F.lit(0)))
+    per = o.groupBy("customer_id").agg(
+        F.sum("ordered_quantity_mt").cast(DEC3).alias("ordered_mt"),
+        F.sum("_d").cast(DEC3).alias("dispatched_mt"),
+        F.round(F.sum(F.col("_d") * F.col("selling_rate_inr_per_mt")), 2).cast("decimal(24,2)").alias("realised_value"))
+    names = customers.select("customer_id", F.col("legal_name").alias("customer"))
+    from .common import ratio
+    return (per.join(names, "customer_id")
+            .withColumn("completion_pct", ratio(F.col("dispatched_mt") * 100, F.col("ordered_mt"), "decimal(12,1)"))
+            .orderBy(F.col("ordered_mt").desc(), "customer_id").limit(k))
+
+
+def buyers_by_type(customers: DataFrame, k: int = 8) -> DataFrame:
+    """C20: buyer counts by type, top k."""
+    return customers.groupBy("buyer_type").agg(F.count(F.lit(1)).alias("buyers")) \
+        .orderBy(F.col("buyers").desc(), "buyer_type").limit(k)
+
+
+def asp_levies(purchases: DataFrame, auctions: DataFrame) -> DataFrame:
+    """Royalty 15 % of the last average sale price (ASP) declared before the purchase date,
+    DMF 30 % and NMET 3 % of the royalty.
+
+    The ASP series is monthly (one row per month, bounded by the calendar, so it is broadcast);
+    each month is valid until the next declared month, which turns the as-of lookup into a
+    broadcast range join with exactly one match per purchase."""
+    from pyspark.sql import Window
+    asp = auctions.groupBy(F.trunc("closes_on", "MM").alias("asp_month")).agg(
+        F.round(F.avg("current_price"), 4).cast("decimal(18,4)").alias("asp"))
+    w = Window.orderBy("asp_month")
+    asp = asp.withColumn("valid_to", F.lead("asp_month").over(w))
+    cond = ((F.col("purchase_date") > F.col("asp_month"))
+            & (F.col("valid_to").isNull() | (F.col("purchase_date") <= F.col("valid_to"))))
+    j = purchases.join(F.broadcast(asp), cond, "left")
+    royalty = (F.col("asp") * F.lit(__import__("decimal").Decimal("0.15"))).cast("decimal(18,4)")
+    return j.select("supplier_id", "lot_id", "purchase_date", "asp_month", "asp",
+                    royalty.alias("royalty"),
+                    (royalty * F.lit(__import__("decimal").Decimal("0.30"))).cast("decimal(18,4)").alias("dmf"),
+                    (royalty * F.lit(__import__("decimal").Decimal("0.03"))).cast("decimal(18,4)").alias("nmet"))

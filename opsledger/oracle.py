@@ -78,6 +78,7 @@ RELATIONS: dict[str, str] = {
         FROM stock_snapshots_r""",
     "sample_lines_r": f"""
         SELECT {SRC} AS source_row_id, l_partkey AS lot_id, l_linestatus, l_returnflag, l_orderkey,
+               l_suppkey AS supplier_id,
                CAST(l_shipdate AS DATE) AS sample_on, CAST(l_quantity AS DECIMAL(18,3)) AS represented_quantity_mt,
                CAST({UNIT} * 0.05 AS DECIMAL(8,4)) AS fe_raw,
                CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 0.05 AS DECIMAL(8,4)) AS indicative_fe_raw,
