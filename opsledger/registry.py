@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .oracle import with_relations
 
-MODULES = ["marts_q", "rules_q", "kpis_q"]
+MODULES = ["marts_q", "rules_q", "kpis_q", "plans_q"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
