@@ -50,12 +50,10 @@ FROM (SELECT s.series, m.n, m.mx, m.my, m.last_x,
 
 def series_points(spark, sf_dir):
     L = StagedLedger(spark, sf_dir)
-    cut = marts.latest_snapshot(L.stock_snapshots).agg(F.max("snapshot_on").alias("s")).select(
-        forecast.cutoff_month(F.col("s")).alias("cutoff"))
-    cutoff = F.col("cutoff")
+    cutoff = L.stock_snapshots.agg(forecast.cutoff_month(F.max("snapshot_on")).alias("cutoff")).scalar()
 
     def one(df, name, date_col, value_col, mode):
-        return forecast.monthly_series(df.crossJoin(F.broadcast(cut)), name, date_col, value_col, mode, cutoff)
+        return forecast.monthly_series(df, name, date_col, value_col, mode, cutoff)
 
     v7 = marts.production_recovery(L.production_runs, L.production_inputs, L.production_outputs)
     return (one(v7, "production_feed", "run_date", "feed_quantity_mt", "sum")

@@ -407,8 +407,8 @@ def planning_stock_mismatch(planning: DataFrame, latest_stock: DataFrame) -> Dat
 
 def empty_source_notice(df: DataFrame, code: str, entity: str, message: str, run: DataFrame) -> DataFrame:
     """One notice per run when a source table is empty."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    fired = run.crossJoin(F.broadcast(n)).where(F.col("n") == 0)
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    fired = run.where(n == 0)
     return issue(fired, code, entity, F.lit(None), F.lit(None), F.lit(message))
 
 

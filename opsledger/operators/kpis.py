@@ -161,7 +161,11 @@ def overview(positions: DataFrame, purchases: DataFrame, orders: DataFrame, v7:
         (F.col("_rec") * 100).cast("double") / F.col("total_feed").cast("double"), 1)).otherwise(0.0).alias("recovery_pct"))
     buyers = customers.agg(F.count(F.lit(1)).alias("buyer_count"))
     auc = auctions.agg(F.count(F.lit(1)).alias("auction_lots"))
-    return stock.crossJoin(pend_in).crossJoin(pend_out).crossJoin(prod).crossJoin(buyers).crossJoin(auc)
+    # One-row aggregates combined as scalar subqueries (no join of any kind).
+    cols = [F.col(c) for c in stock.columns]
+    for one in (pend_in, pend_out, prod, buyers, auc):
+        cols += [one.select(c).scalar().alias(c) for c in one.columns]
+    return stock.select(*cols)
 
 
 def supplier_quality(sample_lines: DataFrame) -> DataFrame:
