@@ -239,3 +239,85 @@ FROM purchase_lots_r p LEFT JOIN asp_r a
 def c26(spark, sf_dir):
     x = L(spark, sf_dir)
     return kpis.asp_levies(x.purchase_lots, x.auction_lots)
+
+
+AS_OF = "2002-01-01"
+
+
+@register("c12_quality_kpis", """
+SELECT count(*) AS records,
+       CAST(round(avg(CASE WHEN fe_raw BETWEEN 0 AND 100 THEN fe_raw END), 2) AS DECIMAL(12,2)) AS average_fe,
+       count(*) FILTER (WHERE (CASE WHEN fe_raw BETWEEN 0 AND 100 THEN fe_raw END)
+                              - (CASE WHEN indicative_fe_raw BETWEEN 0 AND 100 THEN indicative_fe_raw END) < 0)
+           AS below_indicative,
+       count(*) FILTER (WHERE (CASE WHEN fe_raw BETWEEN 0 AND 100 THEN fe_raw END)
+                              - (CASE WHEN indicative_fe_raw BETWEEN 0 AND 100 THEN indicative_fe_raw END) < -1)
+           AS severe_variance
+FROM sample_lines_r WHERE l_linestatus = 'O'""", extra=EX)
+def c12(spark, sf_dir):
+    return kpis.quality_kpis(L(spark, sf_dir).sample_lines)
+
+
+@register("c13_stock_by_product", """
+SELECT category AS product, CAST(sum(available_quantity_mt) AS DECIMAL(18,3)) AS quantity_mt, count(*) AS lots
+FROM positions_r GROUP BY category ORDER BY quantity_mt DESC, product LIMIT 5""", extra=EX)
+def c13(spark, sf_dir):
+    return kpis.stock_by_product(positions(L(spark, sf_dir)), 5)
+
+
+@register("c13_stock_by_status", """
+SELECT quality_status, cost_status, CAST(sum(available_quantity_mt) AS DECIMAL(18,3)) AS quantity_mt, count(*) AS lots
+FROM positions_r GROUP BY 1, 2""", extra=EX)
+def c13s(spark, sf_dir):
+    return kpis.stock_by_status(positions(L(spark, sf_dir)))
+
+
+@register("c14_open_commitments", """
+SELECT sales_order_line_id, customer_id, po_date, balance_mt,
+       CAST(round(balance_mt * selling_rate_inr_per_mt, 2) AS DECIMAL(24,2)) AS revenue_waiting
+FROM (SELECT *, CAST(ordered_quantity_mt - COALESCE(reported_dispatched_quantity_mt, 0) AS DECIMAL(18,3)) AS balance_mt
+      FROM sales_orders_r) WHERE balance_mt > 0.1
+ORDER BY balance_mt DESC, sales_order_line_id LIMIT 10""", extra=EX)
+def c14(spark, sf_dir):
+    x = L(spark, sf_dir)
+    return kpis.open_commitments(x.sales_orders, x.dispatches, x.permits, 10)
+
+
+@register("c15_inward_exposure", f"""
+SELECT p.supplier_id, CAST(sum(reported_balance_to_lift_mt) AS DECIMAL(18,3)) AS pending_mt, count(*) AS pending_lots,
+       count(*) FILTER (WHERE DATE '{AS_OF}' - purchase_date > 90) AS aged_over_90_days, s.legal_name AS supplier
+FROM purchase_lots_r p JOIN suppliers_r s ON s.supplier_id = p.supplier_id
+WHERE reported_balance_to_lift_mt > 0.1 GROUP BY p.supplier_id, s.legal_name
+ORDER BY pending_mt DESC, p.supplier_id LIMIT 10""", extra=EX)
+def c15(spark, sf_dir):
+    x = L(spark, sf_dir)
+    return kpis.inward_exposure(x.purchase_lots, x.suppliers, AS_OF, 10)
+
+
+@register("c18_quality_concerns", """
+SELECT * FROM v6_r WHERE comparison = 'inbound_vs_indicative' AND deviation_fe_points < -1
+ORDER BY deviation_fe_points, actual_source_row_id, expected_source_row_id, house_lot_number LIMIT 30""", extra=EX)
+def c18(spark, sf_dir):
+    x = L(spark, sf_dir)
+    return kpis.quality_concerns(marts.quality_deviation(x.quality_samples, x.sales_orders, x.lots), 30)
+
+
+@register("c19_production_summary", """
+SELECT r.source_material_name, count(*) AS runs, CAST(sum(v.feed_quantity_mt) AS DECIMAL(18,3)) AS feed_mt,
+       CAST(sum(v.recovered_quantity_mt) AS DECIMAL(18,3)) AS recovered_mt,
+       CAST(sum(v.tailings_quantity_mt) AS DECIMAL(18,3)) AS tailings_mt,
+       CAST(CAST(CAST(sum(v.recovered_quantity_mt) AS DECIMAL(18,3)) * 100 AS DOUBLE)
+            / NULLIF(CAST(CAST(sum(v.feed_quantity_mt) AS DECIMAL(18,3)) AS DOUBLE), 0) AS DECIMAL(12,1)) AS recovery_pct
+FROM v7_r v JOIN production_runs_r r ON r.production_run_id = v.production_run_id
+GROUP BY r.source_material_name""", extra=EX)
+def c19(spark, sf_dir):
+    x = L(spark, sf_dir)
+    v7 = marts.production_recovery(x.production_runs, x.production_inputs, x.production_outputs)
+    return kpis.production_summary(v7, x.production_runs)
+
+
+@register("c19_latest_runs", """
+SELECT * FROM v7_r ORDER BY run_date DESC, production_run_id DESC LIMIT 20""", extra=EX)
+def c19l(spark, sf_dir):
+    x = L(spark, sf_dir)
+    return kpis.latest_runs(marts.production_recovery(x.production_runs, x.production_inputs, x.production_outputs), 20)

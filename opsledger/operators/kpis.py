@@ -240,3 +240,96 @@ def asp_levies(purchases: DataFrame, auctions: DataFrame) -> DataFrame:
                     royalty.alias("royalty"),
                     (royalty * F.lit(__import__("decimal").Decimal("0.30"))).cast("decimal(18,4)").alias("dmf"),
                     (royalty * F.lit(__import__("decimal").Decimal("0.03"))).cast("decimal(18,4)").alias("nmet"))
+
+
+def quality_kpis(sample_lines: DataFrame) -> DataFrame:
+    """Quality records, mean received grade, records below indicative and severe (< -1)."""
+    rows = sample_lines.where(F.col("l_linestatus") == "O")
+    fe = F.when(F.col("fe_raw").between(0, 100), F.col("fe_raw"))
+    ind = F.when(F.col("indicative_fe_raw").between(0, 100), F.col("indicative_fe_raw"))
+    diff = fe - ind
+    return rows.agg(F.count(F.lit(1)).alias("records"),
+                    F.round(F.avg(fe), 2).cast("decimal(12,2)").alias("average_fe"),
+                    F.count_if(diff < 0).alias("below_indicative"),
+                    F.count_if(diff < -1).alias("severe_variance"))
+
+
+def stock_by_product(positions: DataFrame, k: int = 5) -> DataFrame:
+    """Stock quantity by product (category), top k."""
+    return (positions.groupBy(F.col("category").alias("product"))
+            .agg(F.sum("available_quantity_mt").cast(DEC3).alias("quantity_mt"), F.count(F.lit(1)).alias("lots"))
+            .orderBy(F.col("quantity_mt").desc(), "product").limit(k))
+
+
+def stock_by_status(positions: DataFrame) -> DataFrame:
+    """Stock by quality/cost status."""
+    return positions.groupBy("quality_status", "cost_status").agg(
+        F.sum("available_quantity_mt").cast(DEC3).alias("quantity_mt"), F.count(F.lit(1)).alias("lots"))
+
+
+def open_commitments(orders: DataFrame, dispatches: DataFrame, permits: DataFrame, k: int = 10) -> DataFrame:
+    """Largest open order balances; permit-ready when the order's permits cover the balance."""
+    bal = (F.col("ordered_quantity_mt") - F.coalesce(F.col("reported_dispatched_quantity_mt"), F.lit(0))).cast(DEC3)
+    o = orders.withColumn("balance_mt", bal).where(F.col("balance_mt") > 0.1)
+    return (o.orderBy(F.col("balance_mt").desc(), "sales_order_line_id").limit(k)
+            .select("sales_order_line_id", "customer_id", "po_date", "balance_mt",
+                    _r(F.col("balance_mt") * F.col("selling_rate_inr_per_mt"), 2).cast("decimal(24,2)")
+                    .alias("revenue_waiting")))
+
+
+def inward_exposure(purchases: DataFrame, suppliers: DataFrame, as_of: str, k: int = 10) -> DataFrame:
+    """Pending inward balance by supplier, lots older than 90 days and pending value (top k)."""
+    p = purchases.where(F.col("reported_balance_to_lift_mt") > 0.1)
+    age = F.datediff(F.lit(as_of).cast("date"), F.col("purchase_date"))
+    per = p.groupBy("supplier_id").agg(
+        F.sum("reported_balance_to_lift_mt").cast(DEC3).alias("pending_mt"),
+        F.count(F.lit(1)).alias("pending_lots"), F.count_if(age > 90).alias("aged_over_90_days"))
+    names = suppliers.select("supplier_id", F.col("legal_name").alias("supplier"))
+    return per.join(names, "supplier_id").orderBy(F.col("pending_mt").desc(), "supplier_id").limit(k)
+
+
+def quality_concerns(v6: DataFrame, k: int = 30) -> DataFrame:
+    """Inward grade deviations below -1 point, worst first (top k)."""
+    return (v6.where((F.col("comparison") == "inbound_vs_indicative") & (F.col("deviation_fe_points") < -1))
+            .orderBy("deviation_fe_points", "actual_source_row_id", "expected_source_row_id", "house_lot_number")
+            .limit(k))
+
+
+def production_summary(v7: DataFrame, runs: DataFrame) -> DataFrame:
+    """Feed, recovered and tailings totals, recovery % per material (process)."""
+    j = v7.select("production_run_id", "feed_quantity_mt", "recovered_quantity_mt", "tailings_quantity_mt") \
+        .join(runs.select("production_run_id", "source_material_name"), "production_run_id")
+    from .common import ratio
+    return j.groupBy("source_material_name").agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.sum("feed_quantity_mt").cast(DEC3).alias("feed_mt"),
+        F.sum("recovered_quantity_mt").cast(DEC3).alias("recovered_mt"),
+        F.sum("tailings_quantity_mt").cast(DEC3).alias("tailings_mt")).withColumn(
+        "recovery_pct", ratio(F.col("recovered_mt") * 100, F.col("feed_mt"), "decimal(12,1)"))
+
+
+def latest_runs(v7: DataFrame, k: int = 20) -> DataFrame:
+    """The k latest production runs."""
+    return v7.orderBy(F.col("run_date").desc(), F.col("production_run_id").desc()).limit(k)
+
+
+def resolve_names(queries: DataFrame, names: DataFrame, max_candidates: int = 10) -> DataFrame:
+    """C4: exact normalised match, else a unique case-insensitive substring match, else ambiguous
+    with up to `max_candidates` candidates (or not found).
+
+    queries: (query_id, text) - a handful of user-typed names; names: (name).  The substring
+    test runs as a join of the queries against the names (queries are few and small)."""
+    from ..functions import clean
+    q = queries.select("query_id", "text", clean.normalized("text").alias("qk"), F.lower("text").alias("ql"))
+    n = names.select("name", clean.normalized("name").alias("nk"), F.lower("name").alias("nl")).distinct()
+    exact = q.join(n, q.qk == n.nk).groupBy("query_id").agg(F.min("name").alias("exact"))
+    contains = q.join(n, n.nl.contains(q.ql)).groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_candidates"),
+        F.slice(F.array_sort(F.collect_list("name")), 1, max_candidates).alias("candidates"))
+    j = q.select("query_id", "text").join(exact, "query_id", "left").join(contains, "query_id", "left")
+    resolved = F.coalesce(F.col("exact"), F.when(F.col("n_candidates") == 1, F.col("candidates")[0]))
+    return j.select("query_id", "text", resolved.alias("resolved"),
+                    F.when(resolved.isNotNull(), "resolved").when(F.col("n_candidates") > 1, "ambiguous")
+                    .otherwise("not_found").alias("status"),
+                    F.when(resolved.isNull(), F.coalesce("candidates", F.array().cast("array<string>")))
+                    .alias("candidates"))

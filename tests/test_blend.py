@@ -63,3 +63,14 @@ def test_purchase_infeasible(spark):
                                      "landed_cost double, target_fe double")
     r = blend.assess_purchase(stock, purchase).collect()[0]
     assert r["feasible"] is False and r["blended_cost"] is None
+
+
+def test_resolve_names(spark):
+    from opsledger.operators.kpis import resolve_names
+    names = spark.createDataFrame([("Acme Ores Pvt Ltd",), ("Acme Metals",), ("Blue Hill Mining",)], "name string")
+    q = spark.createDataFrame([(1, "acme ores pvt ltd"), (2, "acme"), (3, "blue"), (4, "zzz")], "query_id int, text string")
+    r = {x["query_id"]: x for x in resolve_names(q, names).collect()}
+    assert r[1]["status"] == "resolved" and r[1]["resolved"] == "Acme Ores Pvt Ltd"
+    assert r[2]["status"] == "ambiguous" and r[2]["candidates"] == ["Acme Metals", "Acme Ores Pvt Ltd"]
+    assert r[3]["resolved"] == "Blue Hill Mining"
+    assert r[4]["status"] == "not_found"
