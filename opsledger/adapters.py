@@ -435,3 +435,20 @@ class StagedLedger(Ledger):
             source_row_id().alias("source_row_id"),
             F.col("l_quantity").cast(DEC3).alias("represented_quantity_mt"),
             (dec("l_quantity", 3) * (1 + dec("l_discount"))).cast(DEC3).alias("declared_quantity_mt"))
+
+    @cached_property
+    def inward_rows(self) -> DataFrame:
+        """'Daily Inward Details' sheet: one staged row per line, cells formatted as hand-kept text
+        (d-MMM-yyyy dates, thousands separators); lots are written 'LOT-n', except returned-flag 'A'
+        lines which carry an unknown 'L-n' spelling."""
+        li = self.t.lineitem
+        lot_text = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("L-"), F.col("l_partkey").cast("string"))) \
+            .otherwise(F.concat(F.lit("LOT-"), F.col("l_partkey").cast("string")))
+        cells = F.array(F.date_format("l_shipdate", "d-MMM-yyyy"), F.lit(""),
+                        F.concat(F.lit("SUP-"), F.col("l_suppkey").cast("string")), lot_text,
+                        F.format_number("l_quantity", 2), F.col("l_linenumber").cast("string"),
+                        F.concat(F.lit("P-"), F.col("l_suppkey").cast("string")),
+                        F.format_number("l_extendedprice", 2))
+        return li.select(F.lit("inward_report").alias("file_name"), F.lit("Daily Inward Details").alias("sheet_name"),
+                         (source_row_id() + 1).cast("int").alias("row_number"), cells.alias("cells"),
+                         source_row_id().alias("source_row_id"))
