@@ -79,3 +79,30 @@ def r01(spark, sf_dir):
     files = stage.file_hashes(spark, f"{sf_dir.rstrip('/')}/*.parquet").select("file_name")
     contract = spark.createDataFrame([(f"{t}.parquet",) for t in TABLES + ["payments", "auction_bids"]], "file_name string")
     return checks.missing_source_files(contract, files)
+
+
+def _stage_documents(df):
+    return stage.stage_rows(df, "documents.parquet", F.col("source"), F.col("doc_id") + 1,
+                            ["text", "lang", "source", "n_chars"])
+
+
+@register("x1_incremental_staging", """
+SELECT 'documents.parquet' AS file_name, source AS sheet_name, CAST(doc_id + 1 AS INTEGER) AS row_number,
+       [text, lang, source, CAST(n_chars AS VARCHAR)] AS cells,
+       sha256(to_json([text, lang, source, CAST(n_chars AS VARCHAR)])) AS row_hash
+FROM documents""")
+def x1(spark, sf_dir):
+    return streams.incremental_staging(spark, Tables(spark, sf_dir).path("documents"), _stage_documents,
+                                       ["file_name", "sheet_name", "row_number"])
+
+
+@register("s6_source_provenance")
+def s6(spark, sf_dir):
+    """S2 + S4 + S5 + S6: landed files with content hash (identical files de-duplicated) and contract
+    cadence, joined to the staged document rows (no SQL oracle: it lists the directory)."""
+    files = stage.dedupe_files(stage.file_hashes(spark, f"{sf_dir.rstrip('/')}/documents*.parquet"))
+    files = files.join(stage.source_contract(files), "file_name")
+    staged = _stage_documents(Tables(spark, sf_dir).documents)
+    return staged.join(files.select("file_name", "file_hash", "cadence", "maximum_age_hours"), "file_name").select(
+        F.concat_ws(":", "file_name", "sheet_name", F.col("row_number").cast("string")).alias("source_key"),
+        "file_name", "sheet_name", "row_number", "file_hash", "row_hash", "cadence", "maximum_age_hours")

@@ -105,3 +105,28 @@ def trailing_counts(events: DataFrame, seconds: int = 600) -> DataFrame:
     w = Window.partitionBy("user_id", "bucket").orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     both = home.unionByName(ctx).withColumn("trailing_count", F.count(F.lit(1)).over(w))
     return both.where("home").select("event_id", "user_id", "ts", "trailing_count")
+
+
+def incremental_staging(spark: SparkSession, path: str, stage_fn, keys: list[str]) -> DataFrame:
+    """New files are staged as they land and upserted by (file, sheet, row).
+
+    `stage_fn(batch_df) -> staged rows`.  Each micro-batch is de-duplicated on the key
+    inside the batch (bounded state: nothing is kept between batches except the table) and
+    written to its epoch folder; the served table keeps the latest epoch's row per key."""
+    schema = spark.read.parquet(path).schema
+    pattern = path[:-len(".parquet")] + "*.parquet" if path.endswith(".parquet") else path
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(pattern)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/opsledger-streams/staging-{uuid.uuid4().hex}"
+    out = f"{base}/table"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        staged = stage_fn(batch)
+        latest = dedupe_latest(staged, keys, ["row_hash"])
+        latest.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    q = (src.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    written = spark.read.parquet(out)
+    cols = [c for c in written.columns if c != "epoch"]
+    return dedupe_latest(written.select(*cols, F.col("epoch").alias("_e")), keys, ["_e"]).drop("_e")
