@@ -33,3 +33,23 @@ def scalar_max(df: DataFrame, col: str, alias: str) -> DataFrame:
 def signed_quantity(direction: str = "direction", quantity: str = "quantity_mt") -> Column:
     """A3: 'in' adds, anything else subtracts."""
     return F.when(F.col(direction) == "in", F.col(quantity)).otherwise(-F.col(quantity))
+
+
+def prefix_sum_before(df: DataFrame, group_cols: list[str], order_cols: list, value: str, out: str,
+                      partitions: int | None = None) -> DataFrame:
+    """Running sum of `value` over the rows before each row (exclusive) per group, in `order_cols` order.
+
+    A window partitioned by the group alone would sort a hot group in one task.  Instead the
+    rows are range-partitioned on (group, order) - contiguous slices of each group's order go
+    to consecutive partitions - and the sum is the within-slice running sum plus the totals of
+    the group's earlier slices (a table of at most one row per slice and group)."""
+    from pyspark.sql import Window
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *group_cols, *order_cols).withColumn("_pid", F.spark_partition_id())
+    totals = ordered.groupBy("_pid", *group_cols).agg(F.sum(value).alias("_t"))
+    w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0))).drop("_t")
+    w_loc = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = ordered.withColumn("_loc", F.coalesce(F.sum(value).over(w_loc), F.lit(0)))
+    return local.join(offsets, ["_pid", *group_cols]).withColumn(out, F.col("_off") + F.col("_loc")) \
+        .drop("_pid", "_off", "_loc")

@@ -153,7 +153,9 @@ def assess_purchase(stock: DataFrame, purchases: DataFrame) -> DataFrame:
     For a lot i (sorted by grade desc, lot) the grade-tonnes it can add are q_i (fe_i - t);
     with P_i the sum over the lots before i, the lot supplies take_i =
     min(q_i, max(0, R - P_i) / (fe_i - t)) where R = Q (t - g).  The prefix sums are per
-    (product, target); the purchase join keeps only lots with P_i < R (the lots actually used).
+    (product, target) and are computed with a range-partitioned prefix sum, so a product with
+    most of the lots is split over many tasks; the purchase join keeps only lots with P_i < R
+    (the lots actually used).
 
     stock:     (product, lot, quantity, fe, landed_cost)
     purchases: (purchase_id, product, grade, quantity, landed_cost, target_fe)
@@ -161,9 +163,9 @@ def assess_purchase(stock: DataFrame, purchases: DataFrame) -> DataFrame:
     targets = purchases.select("product", "target_fe").distinct()
     s = stock.where(F.col("quantity") > 0).join(targets, "product").where(F.col("fe") > F.col("target_fe"))
     lift = (F.col("quantity").cast("double") * (F.col("fe") - F.col("target_fe")).cast("double"))
-    w = Window.partitionBy("product", "target_fe").orderBy(F.col("fe").desc(), "lot") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("lift", lift).withColumn("before", F.coalesce(F.sum("lift").over(w), F.lit(0)))
+    from ..operators.common import prefix_sum_before
+    s = prefix_sum_before(s.withColumn("lift", lift), ["product", "target_fe"], [F.col("fe").desc(), "lot"],
+                          "lift", "before")
     totals = s.groupBy("product", "target_fe").agg(F.sum("lift").alias("available_lift"))
     p = purchases.withColumn("required", F.col("quantity").cast("double")
                              * (F.col("target_fe") - F.col("grade")).cast("double"))

@@ -51,3 +51,15 @@ def test_rule_versions(spark):
     assert active["A"]["version"] == 2 and "B" not in active and active["GAP_PAY"]["kind"] == "gap"
     blocks = {r["kind"]: r["block"] for r in governance.rules_block(governance.active_rules(rules)).collect()}
     assert blocks["rule"] == "A: a2" and blocks["gap"] == "GAP_PAY: no ledger"
+
+
+def test_prefix_sum_splits_hot_group(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from opsledger.operators.common import prefix_sum_before
+    rows = [("hot", i, float(i % 7)) for i in range(3000)] + [(f"g{i % 5}", i, 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, o int, v double")
+    got = {(r["g"], r["o"]): r["before"] for r in prefix_sum_before(df, ["g"], ["o"], "v", "before", 16).collect()}
+    w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    want = {(r["g"], r["o"]): r["b"] for r in df.withColumn("b", F.coalesce(F.sum("v").over(w), F.lit(0.0))).collect()}
+    assert got == want
