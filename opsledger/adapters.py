@@ -452,3 +452,20 @@ class StagedLedger(Ledger):
         return li.select(F.lit("inward_report").alias("file_name"), F.lit("Daily Inward Details").alias("sheet_name"),
                          (source_row_id() + 1).cast("int").alias("row_number"), cells.alias("cells"),
                          source_row_id().alias("source_row_id"))
+
+    @cached_property
+    def day_book_rows(self) -> DataFrame:
+        """'DAILY BOOKS' sheet: one row per line with signed inward / outward columns by line status;
+        the event text comes from the return flag (R = shortage/loss, A = production feed, N = inward)."""
+        li = self.t.lineitem
+        q = F.format_number("l_quantity", 3)
+        event = (F.when(F.col("l_returnflag") == "R", F.lit("Shortage / loss"))
+                 .when(F.col("l_returnflag") == "A", F.lit("Feed to plant")).otherwise(F.lit("Inward receipt")))
+        cells = F.array(F.date_format("l_shipdate", "M/d/yyyy"), F.concat(F.lit("LOT-"), F.col("l_partkey").cast("string")),
+                        F.lit(""), F.lit(""), event,
+                        F.when(F.col("l_linestatus") == "O", q).otherwise(F.lit("-")),
+                        F.when(F.col("l_linestatus") == "F", q).otherwise(F.lit("")),
+                        *[F.lit("")] * 18, F.concat(F.lit("REF-"), F.col("l_orderkey").cast("string")))
+        return li.select(F.lit("stock_report").alias("file_name"), F.lit("DAILY BOOKS").alias("sheet_name"),
+                         (source_row_id() + 1).cast("int").alias("row_number"), cells.alias("cells"),
+                         source_row_id().alias("source_row_id"))

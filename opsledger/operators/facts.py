@@ -40,3 +40,34 @@ def build_receipts(rows: DataFrame, aliases: DataFrame, header_rows: int = 1) ->
     return facts.select("business_key", "receipt_on", "supplier", "lot_id", "lot_text",
                         F.col("quantity").cast("decimal(18,3)").alias("quantity_mt"), "trip_count",
                         "permit_number", "source_row_id"), issues
+
+
+def build_materials(lots_text: DataFrame) -> DataFrame:
+    """M2: one material per material_code from (ore type, sub type, size) text (F11), with its label."""
+    parts = clean.material_parts("ore_type", "sub_type", "size")
+    m = lots_text.select(*[v.alias(k) for k, v in parts.items()])
+    return m.dropDuplicates(["material_code"]).select(
+        "material_code", "mineral", "category", "size_spec", clean.category_label("category").alias("category_label"))
+
+
+def build_movements(rows: DataFrame, aliases: DataFrame, header_rows: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Inventory movements from a day-book sheet: signed in/out columns unpivoted (P5, zeros and
+    blanks dropped, absolute quantity), event classified (F10), lot resolved (J9).
+
+    cells: 0 date, 1 lot, 4 event text, 5 inward, 6 outward, 25 reference."""
+    c = F.col("cells")
+    typed = rows.where(F.col("row_number") > header_rows).select(
+        "source_row_id", clean.date(F.get(c, 0)).alias("occurred_on"), clean.text(F.get(c, 1)).alias("lot_text"),
+        clean.movement_event(F.get(c, 4)).alias("event_type"),
+        clean.number(F.get(c, 5)).alias("inward"), clean.number(F.get(c, 6)).alias("outward"),
+        F.nullif(clean.text(F.get(c, 25)), F.lit("")).alias("reference_key"))
+    typed = typed.where(F.col("occurred_on").isNotNull() & (F.col("lot_text") != "")
+                        & (F.col("inward").isNotNull() | F.col("outward").isNotNull()))
+    resolved = resolve_alias(typed, "lot_text", aliases)
+    issues = checks.unmapped(resolved, "inventory_movement", "lot_text", "DAILY BOOKS")
+    long = resolved.where(F.col("lot_id").isNotNull()).select(
+        "source_row_id", "occurred_on", "lot_id", "lot_text", "event_type", "reference_key",
+        F.expr("stack(2, 'in', inward, 'out', outward) AS (direction, q)"))
+    long = long.where(F.col("q").isNotNull() & (F.col("q") != 0))
+    return long.select("source_row_id", "occurred_on", "lot_id", "event_type", "direction",
+                       F.abs(F.col("q")).cast("decimal(18,3)").alias("quantity_mt"), "reference_key"), issues

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .oracle import with_relations
 
-MODULES = ["marts_q", "rules_q", "kpis_q", "plans_q", "search_q", "streaming_q", "blend_q", "evidence_q", "facts_q", "more_q"]
+MODULES = ["marts_q", "rules_q", "kpis_q", "plans_q", "search_q", "streaming_q", "blend_q", "evidence_q", "facts_q", "more_q", "builders_q"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
