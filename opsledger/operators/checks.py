@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from .common import scalar_max, signed_quantity
+from .common import exact_median, scalar_max, signed_quantity
 
 # --- fixed values: rule severities (codes not listed default to warning) -------------
 SEVERITIES = {
@@ -331,10 +331,13 @@ def recovery_outlier(runs: DataFrame) -> DataFrame:
 
 def magnitude_jumps(df: DataFrame, keys: list[str], value: str, code: str, entity: str, id_col: str,
                     what: str) -> DataFrame:
-    """N >= 3 per group, median > 0, value >= 10x or <= 1/10 of the exact median."""
+    """N >= 3 per group, median > 0, value >= 10x or <= 1/10 of the exact median.
+
+    The median is computed from value counts and a range-partitioned cumulative count
+    (`exact_median`), so a lot or component holding a third of the rows is not sorted or
+    buffered in one task."""
     v = F.col(value)
-    stats = df.where(v.isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("records"), F.percentile(v, 0.5).alias("median"))
+    stats = exact_median(df, keys, value)
     j = df.join(stats.where((F.col("records") >= 3) & (F.col("median") > 0)), keys, "inner")
     vd = v.cast("double")
     bad = j.where((vd >= F.col("median") * 10) | (vd <= F.col("median") / 10))

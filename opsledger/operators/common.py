@@ -53,3 +53,26 @@ def prefix_sum_before(df: DataFrame, group_cols: list[str], order_cols: list, va
     local = ordered.withColumn("_loc", F.coalesce(F.sum(value).over(w_loc), F.lit(0)))
     return local.join(offsets, ["_pid", *group_cols]).withColumn(out, F.col("_off") + F.col("_loc")) \
         .drop("_pid", "_off", "_loc")
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact median (percentile_cont 0.5) and row count per group, without holding a group in one task.
+
+    1. count rows per (group, value) - a partial aggregate, so a hot group is combined map-side;
+    2. cumulative counts per group in value order with `prefix_sum_before` (range-partitioned);
+    3. the middle positions lo = (n-1) div 2 and hi = n div 2 fall in one value row each;
+       the median is the mean of those two values.
+    Output: (keys..., records, median) with median as double."""
+    v = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    n = v.groupBy(*keys).agg(F.sum("_c").alias("records"))
+    cum = prefix_sum_before(v, keys, ["_v"], "_c", "_before").join(n, keys)
+    lo = F.floor((F.col("records") - 1) / 2)
+    hi = F.floor(F.col("records") / 2)
+
+    def covers(pos):
+        return (F.col("_before") <= pos) & (pos < F.col("_before") + F.col("_c"))
+
+    picked = cum.where(covers(lo) | covers(hi)).select(
+        *keys, "records", F.when(covers(lo), F.col("_v").cast("double")).alias("_lo"),
+        F.when(covers(hi), F.col("_v").cast("double")).alias("_hi"))
+    return picked.groupBy(*keys, "records").agg(((F.max("_lo") + F.max("_hi")) / 2).alias("median"))

@@ -63,3 +63,17 @@ def test_prefix_sum_splits_hot_group(spark):
     w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     want = {(r["g"], r["o"]): r["b"] for r in df.withColumn("b", F.coalesce(F.sum("v").over(w), F.lit(0.0))).collect()}
     assert got == want
+
+
+def test_exact_median_matches_percentile(spark):
+    import random
+    from pyspark.sql import functions as F
+    from opsledger.operators.common import exact_median
+    rnd = random.Random(3)
+    rows = [("hot", float(rnd.randint(1, 40))) for _ in range(2001)] + \
+           [(f"g{i}", float(rnd.randint(1, 9))) for i in range(30) for _ in range(rnd.randint(1, 6))] + [("nulls", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["records"], r["median"]) for r in exact_median(df, ["g"], "v").collect()}
+    want = {r["g"]: (r["n"], r["m"]) for r in df.where("v is not null").groupBy("g").agg(
+        F.count("v").alias("n"), F.percentile("v", 0.5).alias("m")).collect()}
+    assert got == want
