@@ -218,10 +218,10 @@ def dispatch_before_po_date(order_totals: DataFrame) -> DataFrame:
 
 def snapshot_reconciliation(snapshots: DataFrame, movements: DataFrame) -> DataFrame:
     """Per lot of the latest snapshot: recorded vs signed movements up to the snapshot date."""
-    latest = scalar_max(snapshots, "snapshot_on", "_latest")
-    moved = (movements.join(F.broadcast(latest), F.col("occurred_on") <= F.col("_latest"))
+    latest = scalar_max(snapshots, "snapshot_on", "_latest").scalar()
+    moved = (movements.where(F.col("occurred_on") <= latest)
              .groupBy("lot_id").agg(F.sum(signed_quantity()).alias("_calc")))
-    ss = snapshots.join(F.broadcast(latest), F.col("snapshot_on") == F.col("_latest"))
+    ss = snapshots.where(F.col("snapshot_on") == latest)
     return ss.join(moved, "lot_id", "left").select(
         "lot_id", "source_row_id", "recorded_quantity_mt",
         F.coalesce(F.col("_calc"), F.lit(0)).cast("decimal(18,3)").alias("calculated_quantity_mt"))

@@ -2,8 +2,8 @@
 
 Each mart is a function of canonical DataFrames.  Aggregations run before joins
 (pre-aggregate, then join the small result), "latest row" selections use
-`max_by` aggregates instead of sorts, and scalar subqueries are one-row
-DataFrames joined by broadcast (their size is exactly one row).
+`max_by` aggregates with partial aggregation, and "latest snapshot" is a
+scalar-subquery filter (no join).
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ def lot_availability(inventory: DataFrame, allocations: DataFrame) -> DataFrame:
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
-    """Rows of the latest snapshot date (scalar max joined back by broadcast)."""
-    latest = scalar_max(snapshots, "snapshot_on", "_latest")
-    return snapshots.join(F.broadcast(latest), F.col("snapshot_on") == F.col("_latest")).drop("_latest")
+    """Rows of the latest snapshot date (a scalar subquery filter)."""
+    latest = scalar_max(snapshots, "snapshot_on", "_latest").scalar()
+    return snapshots.where(F.col("snapshot_on") == latest)
 
 
 def latest_quality(samples: DataFrame) -> DataFrame:
