@@ -48,69 +48,83 @@ def question_keys(questions: DataFrame) -> DataFrame:
 
 
 def _scanner(keys: list[str]):
-    """Per-partition scan: emit each dictionary key found in area, text or 'area text'."""
+    """Per-partition scan: emit each dictionary key found in area, text or 'area text'.
+
+    Token keys are [a-z0-9]+, so a token occurs in a text exactly when it occurs inside one
+    of the text's maximal [a-z0-9]+ runs; the token automaton therefore scans each distinct
+    word of a document once.  Phrase keys (whole questions) are scanned over 'area text'."""
+    import re
+    word_re = re.compile(r"[a-z0-9]+")
+    tokens = [k for k in keys if word_re.fullmatch(k)]
+    phrases = [k for k in keys if not word_re.fullmatch(k)]
+
     def scan(batches):
         import pandas as pd
         try:
             import ahocorasick
         except ImportError:  # pragma: no cover - plain fallback
             ahocorasick = None
-        if ahocorasick is not None:
-            auto = ahocorasick.Automaton()
-            for k in keys:
-                auto.add_word(k, k)
-            auto.make_automaton()
-
-            def occurrences(s):
-                for end, k in auto.iter(s):
-                    yield end - len(k) + 1, end, k
-        else:
-            def occurrences(s):
-                for k in keys:
-                    i = s.find(k)
-                    while i >= 0:
-                        yield i, i + len(k) - 1, k
-                        i = s.find(k, i + 1)
+
+        def matcher(words):
+            if not words:
+                return lambda s: set()
+            if ahocorasick is not None:
+                auto = ahocorasick.Automaton()
+                for k in words:
+                    auto.add_word(k, k)
+                auto.make_automaton()
+                return lambda s: {v for _, v in auto.iter(s)} if s else set()
+            return lambda s: {k for k in words if k in s}
+
+        find_tokens, find_phrases = matcher(tokens), matcher(phrases)
         for pdf in batches:
             out = {"doc_id": [], "key": [], "in_area": [], "in_text": [], "in_haystack": []}
             for doc_id, area, text in zip(pdf["doc_id"], pdf["area"], pdf["text"]):
                 area = (area or "").lower()
-                hay = area + " " + (text or "").lower()   # one scan of "area text"
-                la = len(area)
-                a, t, h = set(), set(), set()
-                for start, end, k in occurrences(hay):
-                    h.add(k)
-                    if end < la:
-                        a.add(k)
-                    elif start > la:
-                        t.add(k)
-                for k in h:
+                text = (text or "").lower()
+                a = find_tokens("\x00".join(set(word_re.findall(area))))
+                t = find_tokens("\x00".join(set(word_re.findall(text))))
+                h = find_phrases(area + " " + text)
+                for k in a | t:
                     out["doc_id"].append(int(doc_id))
                     out["key"].append(k)
                     out["in_area"].append(k in a)
                     out["in_text"].append(k in t)
                     out["in_haystack"].append(True)
-            yield pd.DataFrame(out)
+                for k in h:
+                    out["doc_id"].append(int(doc_id))
+                    out["key"].append(k)
+                    out["in_area"].append(False)
+                    out["in_text"].append(False)
+                    out["in_haystack"].append(True)
+            yield pd.DataFrame(out, columns=list(out))
     return scan
 
 
+MAX_KEYS = 2_000_000
+
+
 def key_matches(documents: DataFrame, keys: DataFrame, max_dictionary_bytes: int = 64 << 20,
                 chunk_keys: int = 200_000) -> DataFrame:
     """(doc_id, key, in_area, in_text, in_haystack) for every dictionary key occurring in a document.
 
-    The dictionary (distinct keys) is collected to build the automaton only after its size has
-    been checked; a dictionary over the bound is scanned in chunks of `chunk_keys` keys."""
+    The distinct keys are fetched with a bounded `limit` (at most MAX_KEYS + 1 rows) and the
+    automaton is shipped only when the dictionary is under `max_dictionary_bytes`; a larger one
+    is scanned in chunks of `chunk_keys` keys (more passes over the documents, same result)."""
     dictionary = keys.select("key").distinct()
-    stats = dictionary.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("key")).alias("chars")).first()
-    n, chars = int(stats["n"] or 0), int(stats["chars"] or 0)
     docs = documents.select("doc_id", "area", "text")
-    if n == 0:
+    # A few large files can arrive as fewer splits than there are cores; spread them once
+    # (on a cluster with many input splits this is a no-op).
+    parallelism = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < parallelism:
+        docs = docs.repartition(parallelism)
+    head = [r["key"] for r in dictionary.limit(MAX_KEYS + 1).collect()]
+    if not head:
         return docs.sparkSession.createDataFrame([], MATCH_SCHEMA)
-    if chars * 4 <= max_dictionary_bytes:
-        words = [r["key"] for r in dictionary.collect()]
-        return docs.mapInPandas(_scanner(words), MATCH_SCHEMA)
-    # Over the bound: number the keys and scan one chunk at a time.
-    numbered = dictionary.withColumn("chunk", (F.xxhash64("key") % max(1, (n + chunk_keys - 1) // chunk_keys)))
+    if len(head) <= MAX_KEYS and sum(len(k) for k in head) * 4 <= max_dictionary_bytes:
+        return docs.mapInPandas(_scanner(head), MATCH_SCHEMA)
+    n = dictionary.count()
+    numbered = dictionary.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(max(1, (n + chunk_keys - 1) // chunk_keys))))
     out = None
     for c in [r["chunk"] for r in numbered.select("chunk").distinct().collect()]:
         words = [r["key"] for r in numbered.where(F.col("chunk") == c).select("key").collect()]
@@ -122,11 +136,12 @@ def key_matches(documents: DataFrame, keys: DataFrame, max_dictionary_bytes: int
 def retrieve(questions: DataFrame, documents: DataFrame, k: int = 14) -> DataFrame:
     """Top-k documents per question (item_id, rank, doc_id, area, score)."""
     qk = question_keys(questions)
-    m = key_matches(documents, qk)
+    m = key_matches(documents, qk).select(
+        "doc_id", "key",
+        (F.when(F.col("in_area"), 3).otherwise(0) + F.when(F.col("in_text"), 1).otherwise(0)).alias("token_pts"),
+        F.when(F.col("in_haystack"), 5).otherwise(0).alias("phrase_pts"))
     j = qk.join(m, "key", "inner")
-    pts = (F.when(F.col("kind") == "token",
-                  F.when(F.col("in_area"), 3).otherwise(0) + F.when(F.col("in_text"), 1).otherwise(0))
-           .otherwise(F.when(F.col("in_haystack"), 5).otherwise(0)))
+    pts = F.when(F.col("kind") == "token", F.col("token_pts")).otherwise(F.col("phrase_pts"))
     scored = j.groupBy("item_id", "doc_id").agg(F.sum(pts).alias("score")).where(F.col("score") > 0)
     w = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
