@@ -469,3 +469,19 @@ class StagedLedger(Ledger):
         return li.select(F.lit("stock_report").alias("file_name"), F.lit("DAILY BOOKS").alias("sheet_name"),
                          (source_row_id() + 1).cast("int").alias("row_number"), cells.alias("cells"),
                          source_row_id().alias("source_row_id"))
+
+    @cached_property
+    def outward_rows(self) -> DataFrame:
+        """'Daily Outward Detail' sheet: one staged row per line with the customer's name, the PO
+        number, quantity, vehicles, permit number and the measured grade (formatted text)."""
+        li = self.t.lineitem
+        o = self.t.orders.select("o_orderkey", "o_custkey")
+        c = self.t.customer.select("c_custkey", "c_name")
+        j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
+        cells = F.array(F.date_format("l_shipdate", "d-MMM-yyyy"), F.col("c_name"), F.col("l_orderkey").cast("string"),
+                        F.format_number("l_quantity", 3), F.col("l_linenumber").cast("string"),
+                        F.concat(F.lit("P-"), F.col("l_suppkey").cast("string")), *[F.lit("")] * 4,
+                        F.concat(F.format_number(unit_price() * k("0.05"), 6), F.lit("%")))
+        return j.select(F.lit("outward_report").alias("file_name"), F.lit("Daily Outward Detail").alias("sheet_name"),
+                        (source_row_id() + 1).cast("int").alias("row_number"), cells.alias("cells"),
+                        source_row_id().alias("source_row_id"))

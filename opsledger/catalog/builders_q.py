@@ -73,3 +73,36 @@ FROM lineitem"""
 def m13(spark, sf_dir):
     L = StagedLedger(spark, sf_dir)
     return facts.build_movements(L.day_book_rows, L.lot_aliases)[0]
+
+
+UNIT = ("CAST(CAST((CAST(round(l_extendedprice * 100) AS BIGINT) * 200 + CAST(l_quantity AS BIGINT))"
+        " // (2 * CAST(l_quantity AS BIGINT)) AS DECIMAL(18,0)) * 0.0001 AS DECIMAL(18,4))")
+EX["outward_typed_r"] = f"""
+SELECT l_orderkey * 100 + l_linenumber AS source_row_id, CAST(l_shipdate AS DATE) AS dispatch_on,
+       o_custkey AS customer_id, l_orderkey AS sales_order_line_id,
+       CASE WHEN s_acctbal > 0 THEN l_suppkey END AS permit_id, 'P-' || CAST(l_suppkey AS VARCHAR) AS permit_number,
+       CAST(l_quantity AS DECIMAL(18,3)) AS quantity_mt, CAST(l_linenumber AS BIGINT) AS vehicle_count,
+       CAST({UNIT} * 0.05 AS DECIMAL(12,6)) AS fe_pct
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey"""
+
+
+@register("m10_build_dispatches", """
+SELECT source_row_id, dispatch_on, customer_id, sales_order_line_id, permit_id, quantity_mt, vehicle_count, fe_pct
+FROM outward_typed_r""", extra=EX)
+def m10(spark, sf_dir):
+    L = StagedLedger(spark, sf_dir)
+    return facts.build_dispatches(L.outward_rows, L.customers, L.sales_orders, L.permits)[0]
+
+
+@register("m10_dispatch_issues", """
+SELECT 'MISSING_DISPATCH_PERMIT' AS rule_code, 'critical' AS severity, 'dispatch' AS entity_name,
+       CAST(source_row_id AS VARCHAR) AS entity_key, source_row_id,
+       'Dispatch permit ' || permit_number || ' does not resolve to an outward permit.' AS message
+FROM outward_typed_r WHERE permit_id IS NULL
+UNION ALL
+SELECT 'MISSING_DISPATCH_LOT', 'critical', 'dispatch', CAST(source_row_id AS VARCHAR), source_row_id,
+       'The dispatch sheet carries no lot.'
+FROM outward_typed_r""", extra=EX)
+def m10i(spark, sf_dir):
+    L = StagedLedger(spark, sf_dir)
+    return facts.build_dispatches(L.outward_rows, L.customers, L.sales_orders, L.permits)[1]

@@ -71,3 +71,43 @@ def build_movements(rows: DataFrame, aliases: DataFrame, header_rows: int = 1) -
     long = long.where(F.col("q").isNotNull() & (F.col("q") != 0))
     return long.select("source_row_id", "occurred_on", "lot_id", "event_type", "direction",
                        F.abs(F.col("q")).cast("decimal(18,3)").alias("quantity_mt"), "reference_key"), issues
+
+
+def build_dispatches(rows: DataFrame, customers: DataFrame, orders: DataFrame, permits: DataFrame,
+                     header_rows: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Dispatches from a 'Daily Outward Detail' sheet.
+
+    cells: 0 date, 1 customer, 2 PO, 3 quantity, 4 vehicles, 5 permit, 10 Fe.
+    The customer resolves by its normalised organisation name (F3); the order line by the
+    last-written line for (customer, PO) (J10); the permit by number among outward permits.
+    A dispatch's lot is unknown in this sheet.  Returns (dispatches, issues R5 + R6 + R7)."""
+    c = F.col("cells")
+    typed = rows.where(F.col("row_number") > header_rows).select(
+        "source_row_id", clean.date(F.get(c, 0)).alias("dispatch_on"), clean.text(F.get(c, 1)).alias("customer"),
+        clean.text(F.get(c, 2)).alias("po_number"), clean.number(F.get(c, 3)).alias("quantity"),
+        clean.integer(F.get(c, 4)).alias("vehicle_count"), clean.text(F.get(c, 5)).alias("permit_number"),
+        clean.number(F.get(c, 10)).alias("fe_pct"))
+    typed = typed.where(F.col("dispatch_on").isNotNull() & (F.col("customer") != "") & F.col("quantity").isNotNull())
+    cust = customers.select(F.col("customer_id"), clean.normalized_organization("legal_name").alias("_ck"))
+    typed = typed.withColumn("_ck", clean.normalized_organization("customer")).join(cust, "_ck", "left").drop("_ck")
+    from .resolve import last_lookup
+    o = orders.select(F.col("customer_id").alias("o_customer"), F.col("po_number").alias("o_po"),
+                      "sales_order_line_id", F.col("source_row_id").alias("o_src"))
+    typed = last_lookup(typed, ["customer_id", "po_number"], o, ["o_customer", "o_po"], ["o_src", "sales_order_line_id"],
+                        "sales_order_line_id", "sales_order_line_id")
+    p = permits.where(F.col("direction") == "outward").select(F.col("permit_number").alias("_pn"),
+                                                               F.col("permit_id"))
+    typed = typed.join(p, typed.permit_number == p._pn, "left").drop("_pn")
+    issues = (checks.issue(typed.where(F.col("sales_order_line_id").isNull()), "MISSING_SALES_ORDER", "dispatch",
+                           F.col("po_number"), F.col("source_row_id"),
+                           checks.msg("Dispatch for PO ", F.col("po_number"), " has no sales order line."))
+              .unionByName(checks.issue(typed.where(F.col("permit_id").isNull()), "MISSING_DISPATCH_PERMIT", "dispatch",
+                                        F.col("source_row_id"), F.col("source_row_id"),
+                                        checks.msg("Dispatch permit ", F.col("permit_number"),
+                                                   " does not resolve to an outward permit.")))
+              .unionByName(checks.issue(typed, "MISSING_DISPATCH_LOT", "dispatch", F.col("source_row_id"),
+                                        F.col("source_row_id"), F.lit("The dispatch sheet carries no lot."))))
+    facts = typed.select("source_row_id", "dispatch_on", "customer_id", "sales_order_line_id", "permit_id",
+                         F.col("quantity").cast("decimal(18,3)").alias("quantity_mt"), "vehicle_count",
+                         F.col("fe_pct").cast("decimal(12,6)").alias("fe_pct"))
+    return facts, issues
