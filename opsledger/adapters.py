@@ -485,3 +485,29 @@ class StagedLedger(Ledger):
         return j.select(F.lit("outward_report").alias("file_name"), F.lit("Daily Outward Detail").alias("sheet_name"),
                         (source_row_id() + 1).cast("int").alias("row_number"), cells.alias("cells"),
                         source_row_id().alias("source_row_id"))
+
+    @cached_property
+    def production_rows(self) -> DataFrame:
+        """'PRODUCTION AND RECOVERY' sheet: one staged row per run (order) with formatted totals of
+        its lines; pending runs ('P') leave the recovered column (40) blank so readers fall back to
+        the product column (32)."""
+        li = self.t.lineitem
+        o = self.t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
+        rec_line = (dec("l_extendedprice") * (1 - dec("l_discount"))).cast(DEC3)
+        tail_line = (dec("l_extendedprice") * dec("l_tax")).cast(DEC3)
+        per = li.groupBy("l_orderkey").agg(
+            F.sum(F.col("l_extendedprice").cast(DEC3)).alias("feed"), F.sum(rec_line).alias("rec"),
+            F.sum(F.when(tail_line > 0, tail_line)).alias("tail"))
+        j = per.join(o, per.l_orderkey == o.o_orderkey)
+        blank = [F.lit("")]
+        cells = F.array(
+            F.date_format("o_orderdate", "d-MMM-yyyy"), F.col("o_orderstatus"), F.col("o_orderpriority"), *blank,
+            F.col("o_orderpriority"), F.format_number("feed", 3), *blank * 23,
+            F.coalesce(F.format_number("tail", 3), F.lit("-")), *blank * 2,
+            F.format_number("rec", 3), *blank * 7,
+            F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.format_number("rec", 3)),
+            F.format_number((dec("o_totalprice") * k("0.00025")).cast(PCT), 4))
+        return j.select(F.lit("production_report").alias("file_name"),
+                        F.lit("PRODUCTION AND RECOVERY").alias("sheet_name"),
+                        (F.col("o_orderkey") + 5).cast("int").alias("row_number"), cells.alias("cells"),
+                        F.col("o_orderkey").alias("source_row_id"))

@@ -106,3 +106,16 @@ FROM outward_typed_r""", extra=EX)
 def m10i(spark, sf_dir):
     L = StagedLedger(spark, sf_dir)
     return facts.build_dispatches(L.outward_rows, L.customers, L.sales_orders, L.permits)[1]
+
+
+from .marts_q import V7_SQL  # noqa: E402
+
+EX["v7_r"] = V7_SQL
+
+
+@register("m16_production_from_sheet", """
+SELECT * FROM v7_r WHERE production_run_id IN (SELECT l_orderkey FROM lineitem)""", extra=EX)
+def m16(spark, sf_dir):
+    from ..operators import marts
+    runs, inputs, outputs = facts.build_production(StagedLedger(spark, sf_dir).production_rows)
+    return marts.production_recovery(runs.drop("source_material_name"), inputs, outputs)

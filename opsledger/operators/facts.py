@@ -111,3 +111,32 @@ def build_dispatches(rows: DataFrame, customers: DataFrame, orders: DataFrame, p
                          F.col("quantity").cast("decimal(18,3)").alias("quantity_mt"), "vehicle_count",
                          F.col("fe_pct").cast("decimal(12,6)").alias("fe_pct"))
     return facts, issues
+
+
+def build_production(rows: DataFrame, header_rows: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Production runs, inputs and outputs from the production sheet.
+
+    cells: 0 date, 1 shift, 2 type, 4 material, 5 feed, 29 tailings, 32 product, 40 recovered,
+    41 recovery %.  Recovered falls back from column 40 to column 32; tailings are an output only
+    when > 0.  Rows whose date does not parse (headers) are dropped.
+    Returns (runs, inputs, outputs) shaped like the canonical production relations."""
+    c = F.col("cells")
+    t = rows.where(F.col("row_number") > header_rows).select(
+        "source_row_id", clean.date(F.get(c, 0)).alias("run_date"), clean.text(F.get(c, 1)).alias("shift"),
+        clean.text(F.get(c, 2)).alias("process"), clean.text(F.get(c, 4)).alias("source_material_name"),
+        clean.number(F.get(c, 5)).alias("feed"), clean.number(F.get(c, 29)).alias("tailings"),
+        F.coalesce(clean.number(F.get(c, 40)), clean.number(F.get(c, 32))).alias("recovered"),
+        clean.number(F.get(c, 41)).alias("recovery_pct")).where(F.col("run_date").isNotNull())
+    runs = t.select(F.col("source_row_id").alias("production_run_id"), "run_date", "shift", "process",
+                    "source_material_name", F.col("recovery_pct").cast("decimal(8,4)").alias("reported_recovery_pct"),
+                    "source_row_id")
+    inputs = t.where(F.col("feed").isNotNull()).select(
+        F.col("source_row_id").alias("production_run_id"), F.lit(None).cast("bigint").alias("lot_id"),
+        F.col("feed").cast("decimal(18,3)").alias("quantity_mt"), "source_row_id")
+    rec = t.where(F.col("recovered").isNotNull()).select(
+        F.col("source_row_id").alias("production_run_id"), F.lit("recovered_total").alias("output_type"),
+        F.col("recovered").cast("decimal(18,3)").alias("quantity_mt"), "source_row_id")
+    tail = t.where(F.col("tailings") > 0).select(
+        F.col("source_row_id").alias("production_run_id"), F.lit("tailings").alias("output_type"),
+        F.col("tailings").cast("decimal(18,3)").alias("quantity_mt"), "source_row_id")
+    return runs, inputs, rec.unionByName(tail)
