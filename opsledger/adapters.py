@@ -394,7 +394,7 @@ class StagedLedger(Ledger):
             F.when(pending, F.lit("TBD")).otherwise(dec("o_totalprice").cast("string")),
             F.lit(""), F.lit(""), F.lit(""), (F.col("n") * 10).cast("string"))
         return per.select(F.lit("transport_work_orders").alias("file_name"), F.lit("INWARD FINAL").alias("sheet_name"),
-                          (F.col("o_orderkey") + 3).cast("int").alias("row_number"), cells.alias("cells"),
+                          (F.col("o_orderkey") + 3).cast("bigint").alias("row_number"), cells.alias("cells"),
                           F.col("o_orderkey").alias("source_row_id"))
 
     @cached_property
@@ -450,7 +450,7 @@ class StagedLedger(Ledger):
                         F.concat(F.lit("P-"), F.col("l_suppkey").cast("string")),
                         F.format_number("l_extendedprice", 2))
         return li.select(F.lit("inward_report").alias("file_name"), F.lit("Daily Inward Details").alias("sheet_name"),
-                         (source_row_id() + 1).cast("int").alias("row_number"), cells.alias("cells"),
+                         (source_row_id() + 1).cast("bigint").alias("row_number"), cells.alias("cells"),
                          source_row_id().alias("source_row_id"))
 
     @cached_property
@@ -467,7 +467,7 @@ class StagedLedger(Ledger):
                         F.when(F.col("l_linestatus") == "F", q).otherwise(F.lit("")),
                         *[F.lit("")] * 18, F.concat(F.lit("REF-"), F.col("l_orderkey").cast("string")))
         return li.select(F.lit("stock_report").alias("file_name"), F.lit("DAILY BOOKS").alias("sheet_name"),
-                         (source_row_id() + 1).cast("int").alias("row_number"), cells.alias("cells"),
+                         (source_row_id() + 1).cast("bigint").alias("row_number"), cells.alias("cells"),
                          source_row_id().alias("source_row_id"))
 
     @cached_property
@@ -483,7 +483,7 @@ class StagedLedger(Ledger):
                         F.concat(F.lit("P-"), F.col("l_suppkey").cast("string")), *[F.lit("")] * 4,
                         F.concat(F.format_number(unit_price() * k("0.05"), 6), F.lit("%")))
         return j.select(F.lit("outward_report").alias("file_name"), F.lit("Daily Outward Detail").alias("sheet_name"),
-                        (source_row_id() + 1).cast("int").alias("row_number"), cells.alias("cells"),
+                        (source_row_id() + 1).cast("bigint").alias("row_number"), cells.alias("cells"),
                         source_row_id().alias("source_row_id"))
 
     @cached_property
@@ -509,5 +509,5 @@ class StagedLedger(Ledger):
             F.format_number((dec("o_totalprice") * k("0.00025")).cast(PCT), 4))
         return j.select(F.lit("production_report").alias("file_name"),
                         F.lit("PRODUCTION AND RECOVERY").alias("sheet_name"),
-                        (F.col("o_orderkey") + 5).cast("int").alias("row_number"), cells.alias("cells"),
+                        (F.col("o_orderkey") + 5).cast("bigint").alias("row_number"), cells.alias("cells"),
                         F.col("o_orderkey").alias("source_row_id"))

@@ -160,3 +160,22 @@ def f18(spark, sf_dir):
     c = Tables(spark, sf_dir).conversations
     t = clean.markdown_to_text("text")
     return c.select("conv_id", "turn", F.sha2(t, 256).alias("text_hash"), F.length(t).cast("bigint").alias("text_length"))
+
+
+@register("u2_evidence_sources", """
+SELECT file_name, sheet_name, row_number, file_name || '|' || sheet_name || '|' || CAST(row_number AS VARCHAR) AS source_key
+FROM (SELECT DISTINCT file_name, sheet_name, row_number FROM (
+        SELECT p.file_name, p.sheet_name, p.row_number FROM provenance_r p
+        WHERE p.source_row_id IN (SELECT actual_source_row_id FROM v6_r)
+        UNION ALL
+        SELECT p.file_name, p.sheet_name, p.row_number FROM provenance_r p
+        WHERE p.source_row_id IN (SELECT expected_source_row_id FROM v6_r WHERE comparison = 'inbound_vs_indicative')))
+ORDER BY file_name, sheet_name, row_number LIMIT 10""", extra=EX)
+def u2(spark, sf_dir):
+    L = StagedLedger(spark, sf_dir)
+    v6 = marts.quality_deviation(L.quality_samples, L.sales_orders, L.lots)
+    prov = provenance(L)
+    a = prov.join(v6.select(F.col("actual_source_row_id").alias("source_row_id")), "source_row_id", "left_semi")
+    b = prov.join(v6.where(F.col("comparison") == "inbound_vs_indicative")
+                  .select(F.col("expected_source_row_id").alias("source_row_id")), "source_row_id", "left_semi")
+    return evidence.union_sources(a, b, k=10)

@@ -321,3 +321,31 @@ SELECT * FROM v7_r ORDER BY run_date DESC, production_run_id DESC LIMIT 20""", e
 def c19l(spark, sf_dir):
     x = L(spark, sf_dir)
     return kpis.latest_runs(marts.production_recovery(x.production_runs, x.production_inputs, x.production_outputs), 20)
+
+
+@register("c26_closing_stock_rollforward", """
+SELECT lot_id, business_date,
+       CAST(COALESCE(sum(net_mt) OVER (PARTITION BY lot_id ORDER BY business_date
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DECIMAL(18,3)) AS opening_mt,
+       inward_mt, outward_mt,
+       CAST(sum(net_mt) OVER (PARTITION BY lot_id ORDER BY business_date
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,3)) AS closing_mt
+FROM (SELECT lot_id, occurred_on AS business_date,
+             CAST(sum(CASE WHEN direction = 'in' THEN quantity_mt ELSE 0 END) AS DECIMAL(18,3)) AS inward_mt,
+             CAST(sum(CASE WHEN direction <> 'in' THEN quantity_mt ELSE 0 END) AS DECIMAL(18,3)) AS outward_mt,
+             CAST(sum(CASE WHEN direction = 'in' THEN quantity_mt ELSE 0 END)
+                  - sum(CASE WHEN direction <> 'in' THEN quantity_mt ELSE 0 END) AS DECIMAL(18,3)) AS net_mt
+      FROM movements_r GROUP BY lot_id, occurred_on)""", extra=EX)
+def c26r(spark, sf_dir):
+    return kpis.closing_stock_rollforward(L(spark, sf_dir).movements)
+
+
+@register("c26_old_stock", f"""
+SELECT p.lot_id, p.category, p.available_quantity_mt, m.last_inward_on,
+       CAST(DATE '{AS_OF}' - m.last_inward_on AS INTEGER) AS age_days
+FROM positions_r p LEFT JOIN (SELECT lot_id, max(occurred_on) AS last_inward_on FROM movements_r
+                              WHERE direction = 'in' GROUP BY lot_id) m ON m.lot_id = p.lot_id
+WHERE m.last_inward_on IS NULL OR DATE '{AS_OF}' - m.last_inward_on > 30""", extra=EX)
+def c26o(spark, sf_dir):
+    x = L(spark, sf_dir)
+    return kpis.old_stock(positions(x), x.movements, AS_OF, 30)

@@ -435,9 +435,9 @@ def v11(spark, sf_dir):
 @register("v9_answer_readiness", """
 SELECT CASE WHEN count(*) FILTER (WHERE severity = 'critical') > 0 THEN 'incomplete'
             WHEN count(*) FILTER (WHERE severity = 'warning') > 0 THEN 'flagged' ELSE 'verified' END AS status,
-       CAST(count(*) FILTER (WHERE severity = 'critical') AS INTEGER) AS critical_issues,
-       CAST(count(*) FILTER (WHERE severity = 'warning') AS INTEGER) AS warnings,
-       CAST(count(*) FILTER (WHERE severity = 'info') AS INTEGER) AS informational_issues
+       CAST(count(*) FILTER (WHERE severity = 'critical') AS BIGINT) AS critical_issues,
+       CAST(count(*) FILTER (WHERE severity = 'warning') AS BIGINT) AS warnings,
+       CAST(count(*) FILTER (WHERE severity = 'info') AS BIGINT) AS informational_issues
 FROM issues_r""", extra=EXTRA)
 def v9(spark, sf_dir):
     return marts.answer_readiness(all_issues(spark, sf_dir).withColumn("resolved_at", F.lit(None)))

@@ -48,7 +48,7 @@ def w6(spark, sf_dir):
 
 
 @register("s1_stage_documents", """
-SELECT 'documents.parquet' AS file_name, source AS sheet_name, CAST(doc_id + 1 AS INTEGER) AS row_number,
+SELECT 'documents.parquet' AS file_name, source AS sheet_name, CAST(doc_id + 1 AS BIGINT) AS row_number,
        [text, lang, source, CAST(n_chars AS VARCHAR)] AS cells,
        sha256(to_json([text, lang, source, CAST(n_chars AS VARCHAR)])) AS row_hash
 FROM documents""")
@@ -87,7 +87,7 @@ def _stage_documents(df):
 
 
 @register("x1_incremental_staging", """
-SELECT 'documents.parquet' AS file_name, source AS sheet_name, CAST(doc_id + 1 AS INTEGER) AS row_number,
+SELECT 'documents.parquet' AS file_name, source AS sheet_name, CAST(doc_id + 1 AS BIGINT) AS row_number,
        [text, lang, source, CAST(n_chars AS VARCHAR)] AS cells,
        sha256(to_json([text, lang, source, CAST(n_chars AS VARCHAR)])) AS row_hash
 FROM documents""")

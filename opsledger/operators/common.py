@@ -42,10 +42,19 @@ def prefix_sum_before(df: DataFrame, group_cols: list[str], order_cols: list, va
     A window partitioned by the group alone would sort a hot group in one task.  Instead the
     rows are range-partitioned on (group, order) - contiguous slices of each group's order go
     to consecutive partitions - and the sum is the within-slice running sum plus the totals of
-    the group's earlier slices (a table of at most one row per slice and group)."""
+    the group's earlier slices (a table of at most one row per slice and group).  The slices
+    are checkpointed once (see below)."""
     from pyspark.sql import Window
+
+    from ..session import checkpoint_dir
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *group_cols, *order_cols).withColumn("_pid", F.spark_partition_id())
+    # The slice id comes from the partition a row lands in.  Two separately planned range
+    # exchanges may sample different bounds, so the slices are assigned once and the lineage is
+    # cut with a reliable checkpoint in the session's checkpoint folder; both branches below
+    # read the same slices (and a lost executor re-reads them instead of re-sampling).
+    checkpoint_dir(df.sparkSession)
+    ordered = (df.repartitionByRange(n, *group_cols, *order_cols).withColumn("_pid", F.spark_partition_id())
+               .checkpoint(eager=True))
     totals = ordered.groupBy("_pid", *group_cols).agg(F.sum(value).alias("_t"))
     w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0))).drop("_t")

@@ -143,3 +143,13 @@ def answer_log(log: DataFrame, conv: str = "conv_id", turn: str = "turn", status
     """E5 / L3: per conversation the status of the last step and the number of steps."""
     return log.groupBy(conv).agg(F.max_by(status, turn).alias("last_status"), F.count(F.lit(1)).alias("steps"),
                                  F.count_distinct(status).alias("distinct_statuses"))
+
+
+def union_sources(*sources: DataFrame, k: int = 10) -> DataFrame:
+    """Keyed union of source lists (file, sheet, row): duplicates removed by key, first k by key."""
+    out = sources[0].select("file_name", "sheet_name", "row_number")
+    for s in sources[1:]:
+        out = out.unionByName(s.select("file_name", "sheet_name", "row_number"))
+    return (out.dropDuplicates(["file_name", "sheet_name", "row_number"])
+            .orderBy("file_name", "sheet_name", "row_number").limit(k)
+            .withColumn("source_key", F.concat_ws("|", "file_name", "sheet_name", F.col("row_number").cast("string"))))

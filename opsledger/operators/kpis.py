@@ -333,3 +333,28 @@ def resolve_names(queries: DataFrame, names: DataFrame, max_candidates: int = 10
                     .otherwise("not_found").alias("status"),
                     F.when(resolved.isNull(), F.coalesce("candidates", F.array().cast("array<string>")))
                     .alias("candidates"))
+
+
+def closing_stock_rollforward(movements: DataFrame) -> DataFrame:
+    """Daily closing stock per lot = previous closing + inward - outward (running sum over days).
+
+    Daily net movements are aggregated first; the running sum is a range-partitioned prefix sum,
+    so a lot with most of the history is spread over many tasks."""
+    from .common import prefix_sum_before
+    daily = movements.groupBy("lot_id", F.col("occurred_on").alias("business_date")).agg(
+        F.sum(F.when(F.col("direction") == "in", F.col("quantity_mt")).otherwise(0)).cast(DEC3).alias("inward_mt"),
+        F.sum(F.when(F.col("direction") != "in", F.col("quantity_mt")).otherwise(0)).cast(DEC3).alias("outward_mt"))
+    daily = daily.withColumn("net_mt", (F.col("inward_mt") - F.col("outward_mt")).cast(DEC3))
+    rolled = prefix_sum_before(daily, ["lot_id"], ["business_date"], "net_mt", "opening_mt")
+    return rolled.select("lot_id", "business_date", F.col("opening_mt").cast(DEC3).alias("opening_mt"),
+                         "inward_mt", "outward_mt", (F.col("opening_mt") + F.col("net_mt")).cast(DEC3).alias("closing_mt"))
+
+
+def old_stock(positions: DataFrame, movements: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """Lots in the latest snapshot whose last inward movement is more than `days` days before `as_of`."""
+    last_in = movements.where(F.col("direction") == "in").groupBy("lot_id").agg(
+        F.max("occurred_on").alias("last_inward_on"))
+    j = positions.select("lot_id", "category", "available_quantity_mt").join(last_in, "lot_id", "left")
+    age = F.datediff(F.lit(as_of).cast("date"), F.col("last_inward_on"))
+    return j.where(F.col("last_inward_on").isNull() | (age > days)).select(
+        "lot_id", "category", "available_quantity_mt", "last_inward_on", age.alias("age_days"))

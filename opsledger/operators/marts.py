@@ -26,7 +26,7 @@ def current_lot_inventory(lots: DataFrame, movements: DataFrame) -> DataFrame:
     return lots.join(per_lot, "lot_id", "left").select(
         "lot_id", "house_lot_number", "material_code", "category", "size_spec",
         F.coalesce(F.col("_q"), F.lit(0)).cast(DEC3).alias("physical_quantity_mt"),
-        F.coalesce(F.col("_n"), F.lit(0)).cast("int").alias("movement_count"),
+        F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("movement_count"),
         "last_movement_on", "latest_source_row_id")
 
 
@@ -115,8 +115,8 @@ def daily_customer_dispatch(dispatches: DataFrame, customers: DataFrame) -> Data
     """V4: per business date x customer: quantity, rows, rows missing lot."""
     per_day = dispatches.groupBy(F.col("dispatch_on").alias("business_date"), "customer_id").agg(
         F.sum("quantity_mt").cast(DEC3).alias("dispatched_quantity_mt"),
-        F.count(F.lit(1)).cast("int").alias("dispatch_count"),
-        F.count_if(F.col("lot_id").isNull()).cast("int").alias("rows_missing_lot"))
+        F.count(F.lit(1)).cast("bigint").alias("dispatch_count"),
+        F.count_if(F.col("lot_id").isNull()).cast("bigint").alias("rows_missing_lot"))
     names = customers.select("customer_id", F.col("legal_name").alias("customer"))
     return per_day.join(names, "customer_id", "inner").select(
         "business_date", "customer_id", "customer", "dispatched_quantity_mt", "dispatch_count", "rows_missing_lot")
@@ -211,8 +211,8 @@ def answer_readiness(issues: DataFrame) -> DataFrame:
     warn = F.count_if(sev == "warning")
     return issues.where(F.col("resolved_at").isNull()).agg(
         F.when(crit > 0, "incomplete").when(warn > 0, "flagged").otherwise("verified").alias("status"),
-        crit.cast("int").alias("critical_issues"), warn.cast("int").alias("warnings"),
-        F.count_if(sev == "info").cast("int").alias("informational_issues"))
+        crit.cast("bigint").alias("critical_issues"), warn.cast("bigint").alias("warnings"),
+        F.count_if(sev == "info").cast("bigint").alias("informational_issues"))
 
 
 def transporter_work_orders(raw_rows: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ RELATIONS: dict[str, str] = {
         FROM orders""",
     "work_order_rows_r": """
         SELECT 'transport_work_orders' AS file_name, 'INWARD FINAL' AS sheet_name,
-               CAST(o_orderkey + 3 AS INTEGER) AS row_number,
+               CAST(o_orderkey + 3 AS BIGINT) AS row_number,
                [ 'WO-' || CAST(o_orderkey AS VARCHAR), '', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '', '',
                  o_orderpriority, '', 'MINE-' || CAST(mine AS VARCHAR),
                  CASE WHEN o_orderstatus = 'P' THEN q || ' + pending' ELSE q END,

@@ -27,8 +27,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (`spark.checkpoint.dir`).
 
     Only when the session names none (local tests) is a private scratch folder set."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if conf:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(str(conf))
         return str(conf)
     path = tempfile.mkdtemp(prefix="opsledger-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)

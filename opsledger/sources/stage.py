@@ -1,6 +1,6 @@
 """Staging S1-S8: rows with provenance, hashes, contracts, import-run ledger.
 
-A staged row is (file_name, sheet_name, row_number, cells ARRAY<STRING>, row_hash).  Any
+A staged row is (file_name, sheet_name, row_number BIGINT, cells ARRAY<STRING>, row_hash).  Any
 table can be staged: its columns, formatted as text, become the positional cells.
 """
 
@@ -16,7 +16,7 @@ def stage_rows(df: DataFrame, file_name: str, sheet: Column, row_number: Column,
     """S1 + S2: positional text cells with a 1-based row number and the row's SHA-256."""
     arr = F.array(*[F.col(c).cast("string") for c in cells])
     return df.select(F.lit(file_name).alias("file_name"), sheet.alias("sheet_name"),
-                     row_number.cast("int").alias("row_number"), arr.alias("cells")) \
+                     row_number.cast("bigint").alias("row_number"), arr.alias("cells")) \
         .withColumn("row_hash", F.sha2(F.to_json("cells"), 256))
 
 
