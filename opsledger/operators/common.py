@@ -36,10 +36,11 @@ def signed_quantity(direction: str = "direction", quantity: str = "quantity_mt")
 
 
 def prefix_sum_before(df: DataFrame, group_cols: list[str], order_cols: list, value: str, out: str,
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, max_group_rows: int = 1_000_000) -> DataFrame:
     """Running sum of `value` over the rows before each row (exclusive) per group, in `order_cols` order.
 
-    A window partitioned by the group alone would sort a hot group in one task.  Instead the
+    When the largest group has at most `max_group_rows` rows, a window per group is used.
+    Otherwise a window partitioned by the group alone would sort a hot group in one task, so the
     rows are range-partitioned on (group, order) - contiguous slices of each group's order go
     to consecutive partitions - and the sum is the within-slice running sum plus the totals of
     the group's earlier slices (a table of at most one row per slice and group).  The slices
@@ -47,6 +48,11 @@ def prefix_sum_before(df: DataFrame, group_cols: list[str], order_cols: list, va
     from pyspark.sql import Window
 
     from ..session import checkpoint_dir
+    # Groups that fit a task (checked with one aggregate) use a plain window per group.
+    largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+    if largest <= max_group_rows:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The slice id comes from the partition a row lands in.  Two separately planned range
     # exchanges may sample different bounds, so the slices are assigned once and the lineage is
@@ -64,17 +70,28 @@ def prefix_sum_before(df: DataFrame, group_cols: list[str], order_cols: list, va
         .drop("_pid", "_off", "_loc")
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, max_distinct: int = 100_000) -> DataFrame:
     """Exact median (percentile_cont 0.5) and row count per group, without holding a group in one task.
 
-    1. count rows per (group, value) - a partial aggregate, so a hot group is combined map-side;
-    2. cumulative counts per group in value order with `prefix_sum_before` (range-partitioned);
-    3. the middle positions lo = (n-1) div 2 and hi = n div 2 fall in one value row each;
-       the median is the mean of those two values.
+    Rows are first counted per (group, value) - a partial aggregate, so a hot group is combined
+    map-side.  Groups with at most `max_distinct` distinct values then take `percentile` with
+    frequency weights over that count table (its buffer is bounded by `max_distinct`).  Groups with
+    more distinct values take the slice path: cumulative counts in value order with
+    `prefix_sum_before` (range-partitioned), and the two middle positions lo = (n-1) div 2 and
+    hi = n div 2 are looked up.  The slice path is skipped when no group needs it.
     Output: (keys..., records, median) with median as double."""
     v = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    n = v.groupBy(*keys).agg(F.sum("_c").alias("records"))
-    cum = prefix_sum_before(v, keys, ["_v"], "_c", "_before").join(n, keys)
+    stats = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.sum("_c").alias("records"))
+    small_keys = stats.where(F.col("_d") <= max_distinct).select(*keys)
+    small = (v.join(small_keys, keys, "left_semi").groupBy(*keys)
+             .agg(F.sum("_c").alias("records"),
+                  F.percentile(F.col("_v").cast("double"), F.lit(0.5), F.col("_c")).alias("median")))
+    big_keys = stats.where(F.col("_d") > max_distinct).select(*keys)
+    if big_keys.limit(1).count() == 0:
+        return small
+    vb = v.join(big_keys, keys, "left_semi")
+    n = vb.groupBy(*keys).agg(F.sum("_c").alias("records"))
+    cum = prefix_sum_before(vb, keys, ["_v"], "_c", "_before").join(n, keys)
     lo = F.floor((F.col("records") - 1) / 2)
     hi = F.floor(F.col("records") / 2)
 
@@ -84,4 +101,5 @@ def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     picked = cum.where(covers(lo) | covers(hi)).select(
         *keys, "records", F.when(covers(lo), F.col("_v").cast("double")).alias("_lo"),
         F.when(covers(hi), F.col("_v").cast("double")).alias("_hi"))
-    return picked.groupBy(*keys, "records").agg(((F.max("_lo") + F.max("_hi")) / 2).alias("median"))
+    big = picked.groupBy(*keys, "records").agg(((F.max("_lo") + F.max("_hi")) / 2).alias("median"))
+    return small.unionByName(big)

@@ -59,10 +59,13 @@ def test_prefix_sum_splits_hot_group(spark):
     from opsledger.operators.common import prefix_sum_before
     rows = [("hot", i, float(i % 7)) for i in range(3000)] + [(f"g{i % 5}", i, 1.0) for i in range(200)]
     df = spark.createDataFrame(rows, "g string, o int, v double")
-    got = {(r["g"], r["o"]): r["before"] for r in prefix_sum_before(df, ["g"], ["o"], "v", "before", 16).collect()}
+    got = {(r["g"], r["o"]): r["before"]
+           for r in prefix_sum_before(df, ["g"], ["o"], "v", "before", 16, max_group_rows=100).collect()}
+    small = {(r["g"], r["o"]): r["before"] for r in prefix_sum_before(df, ["g"], ["o"], "v", "before").collect()}
     w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     want = {(r["g"], r["o"]): r["b"] for r in df.withColumn("b", F.coalesce(F.sum("v").over(w), F.lit(0.0))).collect()}
-    assert got == want
+    assert got == want      # slice path (the hot group has 3000 rows > 100)
+    assert small == want    # window path
 
 
 def test_exact_median_matches_percentile(spark):
@@ -74,6 +77,8 @@ def test_exact_median_matches_percentile(spark):
            [(f"g{i}", float(rnd.randint(1, 9))) for i in range(30) for _ in range(rnd.randint(1, 6))] + [("nulls", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r["g"]: (r["records"], r["median"]) for r in exact_median(df, ["g"], "v").collect()}
+    sliced = {r["g"]: (r["records"], r["median"]) for r in exact_median(df, ["g"], "v", max_distinct=5).collect()}
     want = {r["g"]: (r["n"], r["m"]) for r in df.where("v is not null").groupBy("g").agg(
         F.count("v").alias("n"), F.percentile("v", 0.5).alias("m")).collect()}
     assert got == want
+    assert sliced == want    # the hot group (40 distinct values) takes the slice path here
