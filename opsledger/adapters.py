@@ -511,3 +511,30 @@ class StagedLedger(Ledger):
                         F.lit("PRODUCTION AND RECOVERY").alias("sheet_name"),
                         (F.col("o_orderkey") + 5).cast("bigint").alias("row_number"), cells.alias("cells"),
                         F.col("o_orderkey").alias("source_row_id"))
+
+    @cached_property
+    def purchase_rows(self) -> DataFrame:
+        """'Purchased Details' sheet: one staged row per (supplier, lot) purchase with formatted
+        quantities, a lifecycle status text and a payment text."""
+        p = self.purchase_lots
+        lots = self.lots.select("lot_id", "category", "lot_landed_cost")
+        j = p.join(lots, "lot_id")
+        status = (F.when(F.col("reported_lifted_quantity_mt") == 0, F.lit("Un-lifted"))
+                  .when(F.col("reported_balance_to_lift_mt") <= 0, F.lit("Finished"))
+                  .otherwise(F.lit("In progress")))
+        payment = (F.when(F.col("reported_payment_balance_mt") < 0, F.lit("Payment pending"))
+                   .when(F.col("reported_payment_balance_mt") == 0, F.lit("Paid"))
+                   .otherwise(F.lit("Partially paid")))
+        blank = [F.lit("")]
+        cells = F.array(
+            F.date_format("purchase_date", "d-MMM-yyyy"), F.col("category"), *blank,
+            F.concat(F.lit("SUP-"), F.col("supplier_id").cast("string")),
+            F.concat(F.lit("LOT-"), F.col("lot_id").cast("string")),
+            F.format_number("purchased_quantity_mt", 3),
+            F.concat(F.lit("₹"), F.format_number("lot_landed_cost", 4)), *blank * 2,
+            F.format_number("reported_lifted_quantity_mt", 3), F.format_number("reported_balance_to_lift_mt", 3),
+            *blank * 3, F.format_number("reported_payment_balance_mt", 3), F.lit("-"), *blank * 3,
+            status, payment)
+        return j.select(F.lit("inward_report").alias("file_name"), F.lit("Purchased Details").alias("sheet_name"),
+                        (F.col("source_row_id") + 2).cast("bigint").alias("row_number"), cells.alias("cells"),
+                        "source_row_id")

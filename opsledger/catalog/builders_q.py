@@ -119,3 +119,20 @@ def m16(spark, sf_dir):
     from ..operators import marts
     runs, inputs, outputs = facts.build_production(StagedLedger(spark, sf_dir).production_rows)
     return marts.production_recovery(runs.drop("source_material_name"), inputs, outputs)
+
+
+@register("m6_build_purchases", f"""
+SELECT 'sup' || CAST(p.supplier_id AS VARCHAR) || '|lot' || CAST(p.lot_id AS VARCHAR) AS business_key,
+       'SUP-' || CAST(p.supplier_id AS VARCHAR) AS supplier, p.lot_id, p.purchase_date,
+       p.purchased_quantity_mt, l.lot_landed_cost AS purchase_rate_inr_per_mt, p.reported_lifted_quantity_mt,
+       p.reported_balance_to_lift_mt, p.reported_payment_balance_mt,
+       CAST(NULL AS DECIMAL(18,3)) AS reported_permit_balance_mt,
+       CASE WHEN p.reported_lifted_quantity_mt = 0 THEN 'unlifted' WHEN p.reported_balance_to_lift_mt <= 0 THEN 'finished'
+            ELSE 'unknown' END AS lifecycle_status,
+       CASE WHEN p.reported_payment_balance_mt < 0 THEN 'unpaid' WHEN p.reported_payment_balance_mt = 0 THEN 'paid'
+            ELSE 'partly_paid' END AS payment_status,
+       p.source_row_id
+FROM purchase_lots_r p JOIN lots_r l ON l.lot_id = p.lot_id""", extra=EX)
+def m6(spark, sf_dir):
+    L = StagedLedger(spark, sf_dir)
+    return facts.build_purchases(L.purchase_rows, L.lot_aliases)[0]

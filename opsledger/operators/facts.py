@@ -140,3 +140,34 @@ def build_production(rows: DataFrame, header_rows: int = 4) -> tuple[DataFrame,
         F.col("source_row_id").alias("production_run_id"), F.lit("tailings").alias("output_type"),
         F.col("tailings").cast("decimal(18,3)").alias("quantity_mt"), "source_row_id")
     return runs, inputs, rec.unionByName(tail)
+
+
+def build_purchases(rows: DataFrame, aliases: DataFrame, header_rows: int = 2) -> tuple[DataFrame, DataFrame]:
+    """M6: purchase lots from the 'Purchased Details' sheet, keyed by (supplier, lot) (last write wins).
+
+    cells: 0 date, 3 supplier, 4 lot, 5 quantity, 6 rate, 9 lifted, 10 balance to lift,
+    14 payment balance, 15 permit balance, 19 status (F8), 20 payment text (F9)."""
+    c = F.col("cells")
+    t = rows.where(F.col("row_number") > header_rows).select(
+        "source_row_id", clean.date(F.get(c, 0)).alias("purchase_date"), clean.text(F.get(c, 3)).alias("supplier"),
+        clean.text(F.get(c, 4)).alias("lot_text"), clean.number(F.get(c, 5)).alias("quantity"),
+        clean.number(F.get(c, 6)).alias("rate"), clean.number(F.get(c, 9)).alias("lifted"),
+        clean.number(F.get(c, 10)).alias("balance_to_lift"), clean.number(F.get(c, 14)).alias("payment_balance"),
+        clean.number(F.get(c, 15)).alias("permit_balance"),
+        clean.lifecycle_status(F.get(c, 19)).alias("lifecycle_status"),
+        clean.payment_status(F.get(c, 20)).alias("payment_status"))
+    t = t.where(F.col("purchase_date").isNotNull() & (F.col("lot_text") != "") & F.col("quantity").isNotNull())
+    resolved = resolve_alias(t, "lot_text", aliases)
+    issues = checks.unmapped(resolved, "purchase_lot", "lot_text", "Purchase")
+    keyed = resolved.where(F.col("lot_id").isNotNull()).withColumn(
+        "business_key", clean.business_key(F.col("supplier"), F.col("lot_text")))
+    latest = dedupe_latest(keyed, ["business_key"], ["source_row_id"])
+    return latest.select(
+        "business_key", "supplier", "lot_id", "purchase_date",
+        F.col("quantity").cast("decimal(18,3)").alias("purchased_quantity_mt"),
+        F.col("rate").cast("decimal(18,4)").alias("purchase_rate_inr_per_mt"),
+        F.col("lifted").cast("decimal(18,3)").alias("reported_lifted_quantity_mt"),
+        F.col("balance_to_lift").cast("decimal(18,3)").alias("reported_balance_to_lift_mt"),
+        F.col("payment_balance").cast("decimal(18,3)").alias("reported_payment_balance_mt"),
+        F.col("permit_balance").cast("decimal(18,3)").alias("reported_permit_balance_mt"),
+        "lifecycle_status", "payment_status", "source_row_id"), issues
