@@ -538,3 +538,23 @@ class StagedLedger(Ledger):
         return j.select(F.lit("inward_report").alias("file_name"), F.lit("Purchased Details").alias("sheet_name"),
                         (F.col("source_row_id") + 2).cast("bigint").alias("row_number"), cells.alias("cells"),
                         "source_row_id")
+
+    @cached_property
+    def stock_rows(self) -> DataFrame:
+        """'IRON ORE' stock sheet of the latest snapshot: the date in row 1 cell 2, data from row 5."""
+        from .operators.marts import latest_snapshot
+        s = latest_snapshot(self.stock_snapshots).join(self.lots.select("lot_id", "category"), "lot_id")
+        blank = [F.lit("")]
+        data = s.select(
+            F.array(F.col("category"), F.concat(F.lit("LOT-"), F.col("lot_id").cast("string")),
+                    F.format_number("recorded_quantity_mt", 3), *blank * 2,
+                    F.format_number("reported_fe_pct", 4), *blank * 3,
+                    F.concat(F.lit("₹"), F.format_number("reported_landed_cost_inr_per_mt", 4)),
+                    F.lit("OK")).alias("cells"),
+            (F.col("lot_id") + 5).cast("bigint").alias("row_number"), F.col("source_row_id"))
+        header = self.stock_snapshots.agg(F.max("snapshot_on").alias("d")).select(
+            F.array(F.lit("HO STOCK"), F.lit("as on"), F.date_format("d", "d-MMM-yyyy")).alias("cells"),
+            F.lit(1).cast("bigint").alias("row_number"), F.lit(None).cast("bigint").alias("source_row_id"))
+        return header.unionByName(data).select(
+            F.lit("stock_report").alias("file_name"), F.lit("IRON ORE").alias("sheet_name"),
+            "row_number", "cells", "source_row_id")

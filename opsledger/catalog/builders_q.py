@@ -136,3 +136,25 @@ FROM purchase_lots_r p JOIN lots_r l ON l.lot_id = p.lot_id""", extra=EX)
 def m6(spark, sf_dir):
     L = StagedLedger(spark, sf_dir)
     return facts.build_purchases(L.purchase_rows, L.lot_aliases)[0]
+
+
+EX["latest_snap_r"] = """SELECT * FROM stock_snapshots_r WHERE snapshot_on = (SELECT max(snapshot_on) FROM stock_snapshots_r)"""
+
+
+@register("m12_build_stock_snapshot", """
+SELECT snapshot_on, lot_id, recorded_quantity_mt, reported_fe_pct, reported_landed_cost_inr_per_mt,
+       'OK' AS reported_status, source_row_id
+FROM latest_snap_r""", extra=EX)
+def m12(spark, sf_dir):
+    L = StagedLedger(spark, sf_dir)
+    return facts.build_stock_snapshot(L.stock_rows, L.lot_aliases)[0]
+
+
+@register("m12_reported_cost_components", f"""
+SELECT 'snapshotcost|' || CAST(lot_id AS VARCHAR) || '|' || {norm_sql('CAST(snapshot_on AS VARCHAR)')} AS business_key,
+       lot_id, 'REPORTED_LANDED_COST' AS component_code, reported_landed_cost_inr_per_mt AS rate_inr_per_mt,
+       snapshot_on AS effective_on, false AS included_in_landed_cost, 'reported' AS approval_status, source_row_id
+FROM latest_snap_r WHERE reported_landed_cost_inr_per_mt IS NOT NULL""", extra=EX)
+def m12c(spark, sf_dir):
+    L = StagedLedger(spark, sf_dir)
+    return facts.build_stock_snapshot(L.stock_rows, L.lot_aliases)[1]

@@ -171,3 +171,38 @@ def build_purchases(rows: DataFrame, aliases: DataFrame, header_rows: int = 2) -
         F.col("payment_balance").cast("decimal(18,3)").alias("reported_payment_balance_mt"),
         F.col("permit_balance").cast("decimal(18,3)").alias("reported_permit_balance_mt"),
         "lifecycle_status", "payment_status", "source_row_id"), issues
+
+
+def build_stock_snapshot(rows: DataFrame, aliases: DataFrame, first_row: int = 5
+                         ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stock snapshot rows and their REPORTED_LANDED_COST components from the stock sheet.
+
+    The snapshot date is row 1 cell 2 (one value for the sheet, applied as a scalar subquery);
+    when it does not parse the sheet yields no rows and a MISSING_REQUIRED_FIELD issue.
+    cells: 0 group, 1 lot, 2 quantity, 3 size, 5 Fe, 9 landed cost, 10 status.
+    Returns (snapshots, cost components, issues)."""
+    c = F.col("cells")
+    snap_date = rows.where(F.col("row_number") == 1).agg(F.max(clean.date(F.get(c, 2))).alias("d")).scalar()
+    t = rows.where(F.col("row_number") >= first_row).select(
+        "source_row_id", clean.text(F.get(c, 1)).alias("lot_text"), clean.number(F.get(c, 2)).alias("quantity"),
+        clean.number(F.get(c, 5)).alias("fe"), clean.number(F.get(c, 9)).alias("cost"),
+        F.nullif(clean.text(F.get(c, 10)), F.lit("")).alias("reported_status"))
+    t = t.where((F.col("lot_text") != "") & F.col("quantity").isNotNull()).withColumn("snapshot_on", snap_date) \
+        .where(F.col("snapshot_on").isNotNull())
+    resolved = resolve_alias(t, "lot_text", aliases)
+    snaps = resolved.where(F.col("lot_id").isNotNull()).select(
+        "snapshot_on", "lot_id", F.col("quantity").cast("decimal(18,3)").alias("recorded_quantity_mt"),
+        F.col("fe").cast("decimal(8,4)").alias("reported_fe_pct"),
+        F.col("cost").cast("decimal(18,4)").alias("reported_landed_cost_inr_per_mt"), "reported_status",
+        "source_row_id")
+    comps = snaps.where(F.col("reported_landed_cost_inr_per_mt").isNotNull()).select(
+        clean.business_key(F.lit("snapshot-cost"), F.col("lot_id").cast("string"),
+                           F.col("snapshot_on").cast("string")).alias("business_key"),
+        "lot_id", F.lit("REPORTED_LANDED_COST").alias("component_code"),
+        F.col("reported_landed_cost_inr_per_mt").alias("rate_inr_per_mt"), F.col("snapshot_on").alias("effective_on"),
+        F.lit(False).alias("included_in_landed_cost"), F.lit("reported").alias("approval_status"), "source_row_id")
+    missing = rows.where(F.col("row_number") == 1).agg(F.count(F.lit(1)).alias("n")).where(snap_date.isNull())
+    issues = checks.issue(missing, "MISSING_REQUIRED_FIELD", "stock_snapshot", F.lit("snapshot-date"), F.lit(None),
+                          F.lit("IRON ORE snapshot date is missing."))
+    issues = issues.unionByName(checks.unmapped(resolved, "stock_snapshot", "lot_text", "Stock snapshot"))
+    return snaps, comps, issues
