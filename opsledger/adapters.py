@@ -558,3 +558,20 @@ class StagedLedger(Ledger):
         return header.unionByName(data).select(
             F.lit("stock_report").alias("file_name"), F.lit("IRON ORE").alias("sheet_name"),
             "row_number", "cells", "source_row_id")
+
+    @cached_property
+    def order_rows(self) -> DataFrame:
+        """'Outward Details' sheet: one staged row per order line with the customer's name."""
+        o = self.sales_orders
+        c = self.t.customer.select(F.col("c_custkey").alias("customer_id"), "c_name")
+        j = o.join(c, "customer_id")
+        blank = [F.lit("")]
+        cells = F.array(
+            F.col("c_name"), *blank * 2, F.col("po_number"), F.date_format("po_date", "d-MMM-yyyy"),
+            F.format_number("target_fe_pct", 4), *blank * 2, F.concat(F.lit("₹"), F.format_number("selling_rate_inr_per_mt", 4)),
+            F.format_number("ordered_quantity_mt", 3),
+            F.coalesce(F.format_number("reported_dispatched_quantity_mt", 3), F.lit("-")), *blank * 7,
+            F.col("order_status"))
+        return j.select(F.lit("outward_report").alias("file_name"), F.lit("Outward Details").alias("sheet_name"),
+                        (F.col("source_row_id") + 3).cast("bigint").alias("row_number"), cells.alias("cells"),
+                        "source_row_id")

@@ -158,3 +158,27 @@ FROM latest_snap_r WHERE reported_landed_cost_inr_per_mt IS NOT NULL""", extra=E
 def m12c(spark, sf_dir):
     L = StagedLedger(spark, sf_dir)
     return facts.build_stock_snapshot(L.stock_rows, L.lot_aliases)[1]
+
+
+@register("m9_build_sales_orders", """
+SELECT customer_id, po_number, po_date, ordered_quantity_mt, reported_dispatched_quantity_mt, target_fe_pct,
+       selling_rate_inr_per_mt, order_status, source_row_id
+FROM sales_orders_r""", extra=EX)
+def m9(spark, sf_dir):
+    L = StagedLedger(spark, sf_dir)
+    return facts.build_sales_orders(L.order_rows, L.customers)
+
+
+EX["m17_src_r"] = f"""
+SELECT p.lot_id, p.purchase_date, l.lot_landed_cost AS rate, p.source_row_id,
+       'purchasecost|' || CAST(p.lot_id AS VARCHAR) || '|' || {norm_sql('CAST(p.purchase_date AS VARCHAR)')} AS business_key
+FROM purchase_lots_r p JOIN lots_r l ON l.lot_id = p.lot_id"""
+
+
+@register("m17_purchase_cost_components", """
+SELECT business_key, lot_id, 'PURCHASE_PRICE' AS component_code, rate AS rate_inr_per_mt, purchase_date AS effective_on,
+       true AS included_in_landed_cost, 'reported' AS approval_status, source_row_id
+FROM m17_src_r""", extra=EX)
+def m17(spark, sf_dir):
+    L = StagedLedger(spark, sf_dir)
+    return facts.purchase_cost_components(facts.build_purchases(L.purchase_rows, L.lot_aliases)[0])

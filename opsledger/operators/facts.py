@@ -206,3 +206,36 @@ def build_stock_snapshot(rows: DataFrame, aliases: DataFrame, first_row: int = 5
                           F.lit("IRON ORE snapshot date is missing."))
     issues = issues.unionByName(checks.unmapped(resolved, "stock_snapshot", "lot_text", "Stock snapshot"))
     return snaps, comps, issues
+
+
+def build_sales_orders(rows: DataFrame, customers: DataFrame, header_rows: int = 2) -> DataFrame:
+    """M9: sales order lines from the 'Outward Details' sheet; one line per (customer, PO),
+    the last written row wins.
+
+    cells: 0 customer, 3 PO, 4 PO date, 5 target Fe, 8 rate, 9 ordered, 10 dispatched, 18 status."""
+    c = F.col("cells")
+    t = rows.where(F.col("row_number") > header_rows).select(
+        "source_row_id", clean.text(F.get(c, 0)).alias("customer"), clean.text(F.get(c, 3)).alias("po_number"),
+        clean.date(F.get(c, 4)).alias("po_date"), clean.number(F.get(c, 5)).alias("target_fe"),
+        clean.number(F.get(c, 8)).alias("rate"), clean.number(F.get(c, 9)).alias("ordered"),
+        clean.number(F.get(c, 10)).alias("dispatched"), clean.text(F.get(c, 18)).alias("order_status"))
+    t = t.where((F.col("customer") != "") & (F.col("po_number") != "") & F.col("ordered").isNotNull())
+    cust = customers.select("customer_id", clean.normalized_organization("legal_name").alias("_ck"))
+    t = t.withColumn("_ck", clean.normalized_organization("customer")).join(cust, "_ck", "inner").drop("_ck")
+    latest = dedupe_latest(t, ["customer_id", "po_number"], ["source_row_id"])
+    return latest.select(
+        "customer_id", "po_number", "po_date",
+        F.col("ordered").cast("decimal(18,3)").alias("ordered_quantity_mt"),
+        F.col("dispatched").cast("decimal(18,3)").alias("reported_dispatched_quantity_mt"),
+        F.col("target_fe").cast("decimal(8,4)").alias("target_fe_pct"),
+        F.col("rate").cast("decimal(18,4)").alias("selling_rate_inr_per_mt"), "order_status", "source_row_id")
+
+
+def purchase_cost_components(purchases: DataFrame) -> DataFrame:
+    """One PURCHASE_PRICE cost component per purchase (key: purchase-cost | lot | date)."""
+    return purchases.where(F.col("purchase_rate_inr_per_mt").isNotNull()).select(
+        clean.business_key(F.lit("purchase-cost"), F.col("lot_id").cast("string"),
+                           F.col("purchase_date").cast("string")).alias("business_key"),
+        "lot_id", F.lit("PURCHASE_PRICE").alias("component_code"),
+        F.col("purchase_rate_inr_per_mt").alias("rate_inr_per_mt"), F.col("purchase_date").alias("effective_on"),
+        F.lit(True).alias("included_in_landed_cost"), F.lit("reported").alias("approval_status"), "source_row_id")
