@@ -575,3 +575,41 @@ class StagedLedger(Ledger):
         return j.select(F.lit("outward_report").alias("file_name"), F.lit("Outward Details").alias("sheet_name"),
                         (F.col("source_row_id") + 3).cast("bigint").alias("row_number"), cells.alias("cells"),
                         "source_row_id")
+
+    @cached_property
+    def permit_rows(self) -> DataFrame:
+        """'Permit Detail's (outward)' sheet: one row per supplier account with its permit text."""
+        s = self.t.supplier
+        blank = [F.lit("")]
+        cells = F.array(F.col("s_name"), *blank * 2, F.concat(F.lit("P-"), F.col("s_suppkey").cast("string")),
+                        *blank, F.format_number(dec("s_acctbal") * 2, 3), *blank, F.lit("Active"))
+        return s.select(F.lit("outward_report").alias("file_name"), F.lit("Permit Details").alias("sheet_name"),
+                        (F.col("s_suppkey") + 2).cast("bigint").alias("row_number"), cells.alias("cells"),
+                        F.col("s_suppkey").alias("source_row_id"))
+
+    @cached_property
+    def auction_rows(self) -> DataFrame:
+        """'Consolidated Data' auction sheet: one row per offered lot."""
+        a = self.auction_lots
+        blank = [F.lit("")]
+        cells = F.array(F.date_format("closes_on", "d-MMM-yyyy"), F.lit("E-AUCTION"),
+                        F.concat(F.lit("LOT-"), F.col("lot_id").cast("string")), *blank * 2,
+                        F.format_number("fe_pct", 4), *blank, F.format_number("offered_quantity_mt", 3), *blank,
+                        F.when(F.col("sold"), F.lit("Sold")).otherwise(F.lit("Unsold")), *blank,
+                        F.format_number("opening_price", 4), F.format_number("current_price", 4), *blank * 6,
+                        F.col("mine"))
+        return a.select(F.lit("auction").alias("file_name"), F.lit("Consolidated Data").alias("sheet_name"),
+                        (F.col("auction_lot_id") + 1).cast("bigint").alias("row_number"), cells.alias("cells"),
+                        F.col("source_row_id"))
+
+    @cached_property
+    def buyer_rows(self) -> DataFrame:
+        """'Buyer Type' sheet: buyer, type and destination (the buyer's nation) per customer."""
+        c = self.t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+        n = self.t.nation.select("n_nationkey", "n_name")
+        j = c.join(n, c.c_nationkey == n.n_nationkey, "left")
+        blank = [F.lit("")]
+        cells = F.array(F.col("c_name"), F.col("c_mktsegment"), *blank * 5, F.coalesce(F.col("n_name"), F.lit("")))
+        return j.select(F.lit("buyers").alias("file_name"), F.lit("Buyer Type").alias("sheet_name"),
+                        (F.col("c_custkey") + 2).cast("bigint").alias("row_number"), cells.alias("cells"),
+                        F.col("c_custkey").alias("source_row_id"))

@@ -9,7 +9,7 @@ from ..adapters import StagedLedger
 from ..operators import facts, resolve
 from ..registry import register
 from ..sources.tables import Tables
-from .rules_q import EXTRA as RULE_EXTRA, norm_sql, text_sql
+from .rules_q import EXTRA as RULE_EXTRA, norm_sql, number_sql, text_sql
 
 EX = dict(RULE_EXTRA)
 
@@ -182,3 +182,55 @@ FROM m17_src_r""", extra=EX)
 def m17(spark, sf_dir):
     L = StagedLedger(spark, sf_dir)
     return facts.purchase_cost_components(facts.build_purchases(L.purchase_rows, L.lot_aliases)[0])
+
+
+@register("m7_build_permits", """
+SELECT 'P-' || CAST(s_suppkey AS VARCHAR) AS permit_number, 'outward' AS direction,
+       CAST(CAST(s_acctbal AS DECIMAL(18,2)) * 2 AS DECIMAL(18,3)) AS permitted_quantity_mt, 'Active' AS status,
+       s_suppkey AS source_row_id
+FROM supplier""")
+def m7(spark, sf_dir):
+    return facts.build_permits(StagedLedger(spark, sf_dir).permit_rows)
+
+
+@register("m14_build_auction_lots", """
+SELECT source_row_id, closes_on, lot_id, mine, fe_pct, offered_quantity_mt, sold, opening_price, current_price
+FROM auction_lots_r""", extra=EX)
+def m14(spark, sf_dir):
+    L = StagedLedger(spark, sf_dir)
+    return facts.build_auction_lots(L.auction_rows, L.lot_aliases)
+
+
+@register("m15_transport_cost_components", f"""
+SELECT 'transport|' || {norm_sql('work_order_number')} || '|' || {norm_sql('source_lot_text')} AS business_key,
+       CAST(substr(source_lot_text, 5) AS BIGINT) AS lot_id, 'INWARD_TRANSPORT' AS component_code,
+       CAST({number_sql('rate_text')} AS DECIMAL(18,4)) AS rate_inr_per_mt,
+       CAST(work_order_date_text AS DATE) AS effective_on, true AS included_in_landed_cost,
+       'reported' AS approval_status, source_row_id
+FROM work_orders_r
+WHERE NOT regexp_matches(source_lot_text, '[+,&]') AND {number_sql('rate_text')} IS NOT NULL""", extra=EX)
+def m15(spark, sf_dir):
+    L = StagedLedger(spark, sf_dir)
+    return facts.build_transport(L.work_order_rows, L.lot_aliases)[2]
+
+
+@register("m15_transporters", f"""
+SELECT min(source_row_id) AS organization_id, arg_min({text_sql('transporter')}, source_row_id) AS legal_name,
+       {norm_sql('transporter')} AS normalized_name, ['transporter'] AS roles, min(source_row_id) AS source_row_id
+FROM work_orders_r GROUP BY {norm_sql('transporter')}""", extra=EX)
+def m15o(spark, sf_dir):
+    L = StagedLedger(spark, sf_dir)
+    return facts.build_transport(L.work_order_rows, L.lot_aliases)[0]
+
+
+_ORG_KEY = ("COALESCE(NULLIF(" + norm_sql("regexp_replace(regexp_replace(" + text_sql("c_name")
+            + ", '\\\\([^)]*[0-9][^)]*\\\\)\\\\s*$', ''), '(?i)\\\\b(private limited|pvt\\\\.? ltd\\\\.?|limited|ltd\\\\.?|llp)"
+            "\\\\s*$', '')") + ", ''), " + norm_sql("c_name") + ")")
+
+
+@register("m4_build_sites", f"""
+SELECT {_ORG_KEY} AS organization_key, {norm_sql('n_name')} AS site_key, n_name AS name, 'customer' AS site_type,
+       c_custkey AS source_row_id
+FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def m4(spark, sf_dir):
+    return facts.build_sites(StagedLedger(spark, sf_dir).buyer_rows)

@@ -239,3 +239,73 @@ def purchase_cost_components(purchases: DataFrame) -> DataFrame:
         "lot_id", F.lit("PURCHASE_PRICE").alias("component_code"),
         F.col("purchase_rate_inr_per_mt").alias("rate_inr_per_mt"), F.col("purchase_date").alias("effective_on"),
         F.lit(True).alias("included_in_landed_cost"), F.lit("reported").alias("approval_status"), "source_row_id")
+
+
+def build_permits(rows: DataFrame, direction: str = "outward", header_rows: int = 1) -> DataFrame:
+    """M7: permits keyed by (number, direction), last write wins.
+
+    cells: 0 party, 3 permit number, 5 quantity, 7 status."""
+    c = F.col("cells")
+    t = rows.where(F.col("row_number") > header_rows).select(
+        "source_row_id", clean.text(F.get(c, 3)).alias("permit_number"), clean.number(F.get(c, 5)).alias("quantity"),
+        clean.text(F.get(c, 7)).alias("status")).where(F.col("permit_number") != "")
+    t = t.withColumn("direction", F.lit(direction))
+    latest = dedupe_latest(t, ["permit_number", "direction"], ["source_row_id"])
+    return latest.select("permit_number", "direction",
+                         F.col("quantity").cast("decimal(18,3)").alias("permitted_quantity_mt"), "status",
+                         "source_row_id")
+
+
+def build_auction_lots(rows: DataFrame, aliases: DataFrame, header_rows: int = 1) -> DataFrame:
+    """Auction lots (closing date, lot, grade, offered quantity, sold, opening and current price, mine)."""
+    c = F.col("cells")
+    t = rows.where(F.col("row_number") > header_rows).select(
+        "source_row_id", clean.date(F.get(c, 0)).alias("closes_on"), clean.text(F.get(c, 2)).alias("lot_text"),
+        clean.number(F.get(c, 5)).alias("fe"), clean.number(F.get(c, 7)).alias("offered"),
+        (clean.normalized(F.get(c, 9)) == "sold").alias("sold"), clean.number(F.get(c, 11)).alias("opening"),
+        clean.number(F.get(c, 12)).alias("current"), clean.text(F.get(c, 19)).alias("mine"))
+    t = resolve_alias(t.where(F.col("closes_on").isNotNull() & (F.col("lot_text") != "")), "lot_text", aliases)
+    return t.select("source_row_id", "closes_on", "lot_id", "mine", F.col("fe").cast("decimal(8,4)").alias("fe_pct"),
+                    F.col("offered").cast("decimal(18,3)").alias("offered_quantity_mt"), "sold",
+                    F.col("opening").cast("decimal(18,4)").alias("opening_price"),
+                    F.col("current").cast("decimal(18,4)").alias("current_price"))
+
+
+def build_transport(rows: DataFrame, aliases: DataFrame, header_rows: int = 2
+                    ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Transport work orders -> transporter organisations, mine sites and INWARD_TRANSPORT
+    cost components (single-lot orders with a numeric rate).
+
+    cells: 0 work order, 2 date, 5 transporter, 7 mine, 8 quantity text, 9 lot text, 11 rate."""
+    c = F.col("cells")
+    t = rows.where((F.col("row_number") > header_rows) & (clean.text(F.get(c, 5)) != "")).select(
+        "source_row_id", clean.text(F.get(c, 0)).alias("work_order"), clean.date(F.get(c, 2)).alias("order_on"),
+        clean.text(F.get(c, 5)).alias("transporter"), clean.text(F.get(c, 7)).alias("mine"),
+        clean.text(F.get(c, 9)).alias("lot_text"), clean.number(F.get(c, 11)).alias("rate"))
+    from .resolve import build_organizations
+    orgs = build_organizations(t.select(F.col("transporter").alias("name"), F.lit("transporter").alias("role"),
+                                        "source_row_id"), "name", "role", "source_row_id")
+    sites = (t.where(F.col("mine") != "")
+             .select(clean.normalized_organization("transporter").alias("organization_key"),
+                     clean.normalized("mine").alias("site_key"), F.col("mine").alias("name"), "source_row_id"))
+    sites = dedupe_latest(sites, ["organization_key", "site_key"], ["source_row_id"])
+    single = t.where(~F.col("lot_text").rlike("[+,&]") & F.col("rate").isNotNull())
+    comps = resolve_alias(single, "lot_text", aliases).where(F.col("lot_id").isNotNull()).select(
+        clean.business_key(F.lit("transport"), F.col("work_order"), F.col("lot_text")).alias("business_key"),
+        "lot_id", F.lit("INWARD_TRANSPORT").alias("component_code"),
+        F.col("rate").cast("decimal(18,4)").alias("rate_inr_per_mt"), F.col("order_on").alias("effective_on"),
+        F.lit(True).alias("included_in_landed_cost"), F.lit("reported").alias("approval_status"), "source_row_id")
+    return orgs, sites, comps
+
+
+def build_sites(rows: DataFrame, header_rows: int = 1) -> DataFrame:
+    """M4: customer destination sites keyed by (organisation, normalised site name), last write wins.
+
+    cells: 0 buyer, 1 type, 7 destination."""
+    c = F.col("cells")
+    t = rows.where(F.col("row_number") > header_rows).select(
+        "source_row_id", clean.normalized_organization(F.get(c, 0)).alias("organization_key"),
+        clean.text(F.get(c, 7)).alias("name")).where(F.col("name") != "")
+    t = t.withColumn("site_key", clean.normalized("name")).withColumn("site_type", F.lit("customer"))
+    latest = dedupe_latest(t, ["organization_key", "site_key"], ["source_row_id"])
+    return latest.select("organization_key", "site_key", "name", "site_type", "source_row_id")
