@@ -349,3 +349,11 @@ WHERE m.last_inward_on IS NULL OR DATE '{AS_OF}' - m.last_inward_on > 30""", ext
 def c26o(spark, sf_dir):
     x = L(spark, sf_dir)
     return kpis.old_stock(positions(x), x.movements, AS_OF, 30)
+
+
+@register("c11_transporter_summary", f"""
+SELECT transporter, count(*) AS work_orders, round(avg({number_sql('rate_text')}), 2) AS average_rate,
+       'incomplete: delivery dates are not present' AS status
+FROM work_orders_r GROUP BY transporter""", extra=EX)
+def c11(spark, sf_dir):
+    return kpis.transporter_summary(marts.transporter_work_orders(L(spark, sf_dir).work_order_rows))

@@ -358,3 +358,15 @@ def old_stock(positions: DataFrame, movements: DataFrame, as_of: str, days: int
     age = F.datediff(F.lit(as_of).cast("date"), F.col("last_inward_on"))
     return j.where(F.col("last_inward_on").isNull() | (age > days)).select(
         "lot_id", "category", "available_quantity_mt", "last_inward_on", age.alias("age_days"))
+
+
+def transporter_summary(work_orders: DataFrame) -> DataFrame:
+    """C11: per transporter the number of work orders and the mean rate of the rated ones.
+
+    Status is always incomplete: the work-order sheet carries no delivery dates."""
+    from ..functions import clean
+    rate = clean.number("rate_text")
+    return work_orders.groupBy("transporter").agg(
+        F.count(F.lit(1)).alias("work_orders"),
+        F.round(F.avg(rate), 2).alias("average_rate")).withColumn(
+        "status", F.lit("incomplete: delivery dates are not present"))
