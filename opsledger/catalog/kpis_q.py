@@ -357,3 +357,12 @@ SELECT transporter, count(*) AS work_orders, round(avg({number_sql('rate_text')}
 FROM work_orders_r GROUP BY transporter""", extra=EX)
 def c11(spark, sf_dir):
     return kpis.transporter_summary(marts.transporter_work_orders(L(spark, sf_dir).work_order_rows))
+
+
+@register("c16_sales_summary", """
+SELECT count(*) AS pending_orders, CAST(sum(balance_mt) AS DECIMAL(18,3)) AS pending_mt,
+       CAST(round(sum(balance_mt * selling_rate_inr_per_mt), 2) AS DECIMAL(24,2)) AS revenue_waiting
+FROM (SELECT *, CAST(ordered_quantity_mt - COALESCE(reported_dispatched_quantity_mt, 0) AS DECIMAL(18,3)) AS balance_mt
+      FROM sales_orders_r) WHERE balance_mt > 0.1""", extra=EX)
+def c16(spark, sf_dir):
+    return kpis.sales_summary(L(spark, sf_dir).sales_orders)

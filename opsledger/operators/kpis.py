@@ -370,3 +370,12 @@ def transporter_summary(work_orders: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("work_orders"),
         F.round(F.avg(rate), 2).alias("average_rate")).withColumn(
         "status", F.lit("incomplete: delivery dates are not present"))
+
+
+def sales_summary(orders: DataFrame) -> DataFrame:
+    """Pending orders (balance > 0.1), their balance and the revenue waiting (balance x rate)."""
+    bal = (F.col("ordered_quantity_mt") - F.coalesce(F.col("reported_dispatched_quantity_mt"), F.lit(0))).cast(DEC3)
+    p = orders.withColumn("balance_mt", bal).where(F.col("balance_mt") > 0.1)
+    return p.agg(F.count(F.lit(1)).alias("pending_orders"), F.sum("balance_mt").cast(DEC3).alias("pending_mt"),
+                 F.round(F.sum(F.col("balance_mt") * F.col("selling_rate_inr_per_mt")), 2).cast("decimal(24,2)")
+                 .alias("revenue_waiting"))
