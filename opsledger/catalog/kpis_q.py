@@ -366,3 +366,17 @@ FROM (SELECT *, CAST(ordered_quantity_mt - COALESCE(reported_dispatched_quantity
       FROM sales_orders_r) WHERE balance_mt > 0.1""", extra=EX)
 def c16(spark, sf_dir):
     return kpis.sales_summary(L(spark, sf_dir).sales_orders)
+
+
+@register("c27_inventory_page_rows", """
+SELECT p.lot_id, l.house_lot_number, p.category, p.available_quantity_mt, p.fe_pct, p.landed_cost_inr_per_mt,
+       p.quality_status, p.cost_status, 'lineitem.parquet' AS source_file, 'latest snapshot' AS source_sheet,
+       p.source_row_id
+FROM positions_r p JOIN lots_r l ON l.lot_id = p.lot_id""", extra=EX)
+def c27(spark, sf_dir):
+    """The inventory page's normalised rows, each with its source reference."""
+    x = L(spark, sf_dir)
+    return positions(x).join(x.lots.select("lot_id", "house_lot_number"), "lot_id").select(
+        "lot_id", "house_lot_number", "category", "available_quantity_mt", "fe_pct", "landed_cost_inr_per_mt",
+        "quality_status", "cost_status", F.lit("lineitem.parquet").alias("source_file"),
+        F.lit("latest snapshot").alias("source_sheet"), "source_row_id")

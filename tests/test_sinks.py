@@ -18,3 +18,13 @@ def test_publish_and_read_latest(spark):
     assert sinks.latest_completed_run(spark, root) == "0002"
     got = sorted(r["n"] for r in sinks.read_published(spark, root, "v4").collect())
     assert got == [10, 20]
+
+
+def test_staged_row_upsert_overwrites_by_position(spark):
+    from opsledger.sources import stage
+    old = stage.stage_rows(spark.createDataFrame([(1, "a"), (2, "b")], "r long, v string"), "f.xlsx",
+                           F.lit("S"), F.col("r"), ["v"])
+    new = stage.stage_rows(spark.createDataFrame([(2, "B"), (3, "c")], "r long, v string"), "f.xlsx",
+                           F.lit("S"), F.col("r"), ["v"])
+    got = {r["row_number"]: r["cells"][0] for r in stage.upsert_rows(old, new).collect()}
+    assert got == {1: "a", 2: "B", 3: "c"}
