@@ -613,3 +613,22 @@ class StagedLedger(Ledger):
         return j.select(F.lit("buyers").alias("file_name"), F.lit("Buyer Type").alias("sheet_name"),
                         (F.col("c_custkey") + 2).cast("bigint").alias("row_number"), cells.alias("cells"),
                         F.col("c_custkey").alias("source_row_id"))
+
+
+class MaterializedLedger(StagedLedger):
+    """A StagedLedger whose shared relations are written once (parquet, under the session's
+    checkpoint folder) and read back, so the ~30 rule branches of the issue table read tables
+    instead of re-deriving joins and aggregates from the raw scans.  For large runs."""
+
+    SHARED = ("dispatches", "movements", "stock_snapshots", "cost_components", "quality_samples",
+              "purchase_lots", "receipts", "sample_lines", "work_order_rows")
+
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str | None = None):
+        super().__init__(spark, sf_dir)
+        import uuid
+        from .session import checkpoint_dir
+        self.root = root or f"{checkpoint_dir(spark).rstrip('/')}/opsledger-facts/{uuid.uuid4().hex}"
+        for name in self.SHARED:
+            df = getattr(StagedLedger, name).func(self)
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+            self.__dict__[name] = spark.read.parquet(f"{self.root}/{name}")

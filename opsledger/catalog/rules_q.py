@@ -345,9 +345,13 @@ class _Lazy(dict):
         return [self[k] for k in self.builders]
 
 
-def rule_frames(spark, sf_dir) -> _Lazy:
-    """Every rule's issue DataFrame over the canonical relations of `sf_dir` (built on access)."""
-    L = StagedLedger(spark, sf_dir)
+def rule_frames(spark, sf_dir, materialize: bool = False) -> _Lazy:
+    """Every rule's issue DataFrame over the canonical relations of `sf_dir` (built on access).
+
+    With `materialize=True` the shared relations are written once and read back
+    (`MaterializedLedger`), which is how a 100 TB run should execute the issue table."""
+    from ..adapters import MaterializedLedger
+    L = MaterializedLedger(spark, sf_dir) if materialize else StagedLedger(spark, sf_dir)
     cache = {}
 
     def once(name, fn):
@@ -411,9 +415,9 @@ def rule_frames(spark, sf_dir) -> _Lazy:
     return _Lazy(builders)
 
 
-def all_issues(spark, sf_dir) -> DataFrame:
+def all_issues(spark, sf_dir, materialize: bool = False) -> DataFrame:
     """The run's issue table: every rule, unioned and de-duplicated on the open-issue key."""
-    return checks.union_issues(*rule_frames(spark, sf_dir).all())
+    return checks.union_issues(*rule_frames(spark, sf_dir, materialize).all())
 
 
 def _rule_query(key):
