@@ -380,3 +380,21 @@ def c27(spark, sf_dir):
         "lot_id", "house_lot_number", "category", "available_quantity_mt", "fe_pct", "landed_cost_inr_per_mt",
         "quality_status", "cost_status", F.lit("lineitem.parquet").alias("source_file"),
         F.lit("latest snapshot").alias("source_sheet"), "source_row_id")
+
+
+@register("c26_pending_payment", """
+SELECT p.supplier_id, p.lot_id, p.purchase_date,
+       CAST(l.lot_landed_cost + COALESCE(CAST(a.asp * 0.15 AS DECIMAL(18,4)), 0)
+            + COALESCE(CAST(CAST(a.asp * 0.15 AS DECIMAL(18,4)) * 0.30 AS DECIMAL(18,4)), 0)
+            + COALESCE(CAST(CAST(a.asp * 0.15 AS DECIMAL(18,4)) * 0.03 AS DECIMAL(18,4)), 0) + 50 AS DECIMAL(18,4))
+           AS payable_per_mt,
+       CAST(round(p.purchased_quantity_mt * (l.lot_landed_cost + COALESCE(CAST(a.asp * 0.15 AS DECIMAL(18,4)), 0)
+            + COALESCE(CAST(CAST(a.asp * 0.15 AS DECIMAL(18,4)) * 0.30 AS DECIMAL(18,4)), 0)
+            + COALESCE(CAST(CAST(a.asp * 0.15 AS DECIMAL(18,4)) * 0.03 AS DECIMAL(18,4)), 0) + 50), 2) AS DECIMAL(24,2))
+           AS pending_payment
+FROM purchase_lots_r p JOIN lots_r l ON l.lot_id = p.lot_id
+LEFT JOIN asp_r a ON p.purchase_date > a.asp_month AND (a.valid_to IS NULL OR p.purchase_date <= a.valid_to)""",
+          extra=EX)
+def c26p(spark, sf_dir):
+    x = L(spark, sf_dir)
+    return kpis.pending_payment(kpis.asp_levies(x.purchase_lots, x.auction_lots), x.purchase_lots, x.lots)

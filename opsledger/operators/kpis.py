@@ -379,3 +379,20 @@ def sales_summary(orders: DataFrame) -> DataFrame:
     return p.agg(F.count(F.lit(1)).alias("pending_orders"), F.sum("balance_mt").cast(DEC3).alias("pending_mt"),
                  F.round(F.sum(F.col("balance_mt") * F.col("selling_rate_inr_per_mt")), 2).cast("decimal(24,2)")
                  .alias("revenue_waiting"))
+
+
+# --- fixed value from the rule text: typical loading charge, Rs per MT ----------------------
+LOADING_CHARGE = "50"
+# ----------------------------------------------------------------------------------------------
+
+
+def pending_payment(levies: DataFrame, purchases: DataFrame, lots: DataFrame) -> DataFrame:
+    """Pending payment per purchase = quantity x (purchase price + royalty + DMF + NMET + loading)."""
+    from decimal import Decimal
+    rate = lots.select("lot_id", F.col("lot_landed_cost").alias("purchase_rate"))
+    j = (levies.join(purchases.select("supplier_id", "lot_id", "purchased_quantity_mt"), ["supplier_id", "lot_id"])
+         .join(rate, "lot_id"))
+    per_t = (F.col("purchase_rate") + F.coalesce("royalty", F.lit(0)) + F.coalesce("dmf", F.lit(0))
+             + F.coalesce("nmet", F.lit(0)) + F.lit(Decimal(LOADING_CHARGE)))
+    return j.select("supplier_id", "lot_id", "purchase_date", per_t.cast("decimal(18,4)").alias("payable_per_mt"),
+                    F.round(F.col("purchased_quantity_mt") * per_t, 2).cast("decimal(24,2)").alias("pending_payment"))
