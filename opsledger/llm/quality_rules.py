@@ -217,3 +217,13 @@ def quality_columns(df: DataFrame, key: list[str], text: str = "text", limits: L
     src = df.select(*(df[k].alias(f"__k{i}") for i, k in enumerate(key)), df[text].alias("__text"))
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
     return src.mapInArrow(run, f"{fields}, {SCHEMA}")
+
+
+def good_rows(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """The rows of `df`, with all their columns, whose text the rules keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, t in K.pieces(batches, text):
+            yield rows.filter(pa.array(measure(t, limits)["kept"]))
+
+    return df.mapInArrow(run, df.schema)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_mixture, quality_rules
+from . import (byte_bpe, chat_snapshots, chosen_path, decontaminate, language_mixture, line_dedup, quality_rules,
+               secret_forest, suffix_family, warc_index)
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +21,10 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.captures(table(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), ["doc_id"], VOCABULARY, pattern(), digests=True)
 
@@ -40,10 +45,28 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (third == 1).alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
+def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_family.removal(table(spark, sf_dir, "documents"))
+
+
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.collapse(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_byte_bpe": op2_byte_bpe,
-    "op3_decontamination": op3_decontamination,
-    "op4_quality_rules": op4_quality_rules,
-    "op5_language_mixture": op5_language_mixture,
-}
-ORACLE: dict[str, str] = {}
+    f.__name__: f for f in (op1_warc_index, op2_byte_bpe, op3_decontamination, op4_quality_rules, op5_language_mixture,
+                            op6_secret_forest, op7_line_dedup, op8_suffix_family, op9_chosen_path, op10_chat_snapshots)}
+
+ORACLE: dict[str, str] = {"op1_warc_index": warc_index.ORACLE, "op10_chat_snapshots": chat_snapshots.ORACLE}
