@@ -4,8 +4,9 @@ Documents are sets of word 5-shingles.  Documents with equal sets form a class,
 each class.  A tree starts with all of them; a node branches along a few minwise positions chosen by its own hash, and
 a document goes to the child named by its minimum there.  At similarity s a position keeps a pair together with
 probability s, and a node has on average 1/s branches per position, so a similar pair stays together somewhere while
-dissimilar ones part.  Nodes of at most `links.SMALL` documents are compared exhaustively, larger ones branch again;
-independent trees repeat this up to the target recall.  Every link is confirmed on the full sets.
+dissimilar ones part.  Small nodes are compared exhaustively (by all pairs, or by blocks of sketches); a larger one is
+compared with its first document and branches again unless that makes it one component.  Independent trees repeat this
+up to the target recall.  Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -19,17 +20,12 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import written
-from .links import SMALL, distinct_shingles, pairs_of_small, resolve
+from .links import POSITIONS, binary, distinct_shingles, group_pairs, likely, matrix, minima, resolve
 
 GRAM = 5
 PERCENT = 75
-POSITIONS = 64  # minwise values kept for each document
 TREES = 12  # a pair at the threshold is missed by all roots with probability about 0.25**16
-DEPTH = 7  # levels of branching; what is still large then is finished by links.resolve
 STEP = 3  # positions chosen together on a branch below the root
-SKETCH = 0.5  # pairs whose sketches agree on less than this share (4.6 deviations below 0.75) are not confirmed
-_A = (K.seeds(POSITIONS, 11) >> K.U(32)).astype(np.uint32) | np.uint32(1)
-_B = (K.seeds(POSITIONS, 12) >> K.U(32)).astype(np.uint32)
 
 
 def word_shingles(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -45,30 +41,6 @@ def word_shingles(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(own), np.concatenate(h)
 
 
-def minima(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owners that have shingles, and their POSITIONS minwise values (uint32)."""
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-    sig = np.empty((len(first), POSITIONS), np.uint32)
-    if len(first):
-        low = (h >> K.U(32)).astype(np.uint32)
-        for p in range(POSITIONS):
-            sig[:, p] = np.minimum.reduceat(low * _A[p] + _B[p], first)
-    return owner[first], sig
-
-
-def _binary(a: np.ndarray, n: int, at: np.ndarray) -> pa.Array:
-    """Rows of `a` as binary values at places `at` of n; the other places are empty."""
-    size = np.zeros(n, np.int64)
-    size[at] = a.shape[1] * a.itemsize
-    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(a))])
-
-
-def _matrix(col: pa.Array, dtype: type, width: int) -> np.ndarray:
-    t = K.Texts.of(col)
-    return np.ascontiguousarray(t.buf).view(dtype).reshape(-1, width)
-
-
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, sig, sketch): set size, 128-bit set fingerprint, minwise values and their low bytes."""
 
@@ -84,7 +56,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     s[k, at] = np.add.reduceat(K.mix(h ^ K.U(0x5851F42D4C957F2D * (k + 1) & 0xFFFFFFFFFFFFFFFF)), first)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("__id"), pa.array(n.astype(np.int64)), pa.array(K.signed(s[0])), pa.array(K.signed(s[1])),
-                 _binary(sig, t.n, at), _binary(sig.astype(np.uint8), t.n, at)],
+                 binary(sig, t.n, at), binary(sig.astype(np.uint8), t.n, at)],
                 names=["doc_id", "n_shingles", "s1", "s2", "sig", "sketch"])
 
     src = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
@@ -101,7 +73,7 @@ def roots(reps: DataFrame, trees: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = _matrix(batch.column("sig"), np.uint32, POSITIONS)
+            sig = matrix(batch.column("sig"), np.uint32, POSITIONS)
             every = np.arange(len(sig))
             if len(sig):
                 yield _emit(batch.column("id"), [K.mix(sig[:, p].astype(K.U) | K.U((t * POSITIONS + p + 1) << 32)) for t, p in plan],
@@ -116,7 +88,7 @@ def branches(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = _matrix(batch.column("sig"), np.uint32, POSITIONS)
+            sig = matrix(batch.column("sig"), np.uint32, POSITIONS)
             node = np.array(batch.column("key")).view(K.U)
             if not len(sig):
                 continue
@@ -136,40 +108,7 @@ def branches(members: DataFrame) -> DataFrame:
     return members.select("key", "id", "sig").mapInArrow(run, "key long, id long")
 
 
-def candidates(reps: DataFrame, trees: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct candidate pairs (a, b), and the members (key, id) of nodes that are still large after the last level."""
-    found = []
-    nodes = written(roots(reps, trees), "nodes")
-    for level in range(depth):
-        sizes = written(nodes.groupBy("key").agg(F.count("id").alias("n"), F.min("id").alias("least")).where("n > 1"), "sizes")
-        placed = written(nodes.join(sizes, "key"), "placed")
-        found.append(pairs_of_small(placed.where(F.col("n") <= SMALL), "key", "id"))
-        large = placed.where(F.col("n") > SMALL)
-        found.append(large.where("least <> id").select(F.col("least").alias("a"), F.col("id").alias("b")))
-        if level + 1 == depth or large.isEmpty():
-            break
-        nodes = written(branches(large.select("key", "id").join(reps.select("id", "sig"), "id")), "nodes")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return written(pairs.distinct(), "pairs"), large.select("key", "id")
-
-
-def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
-    """The pairs whose sketches agree on at least `share` of the positions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = _matrix(batch.column("x"), np.uint8, POSITIONS) == _matrix(batch.column("y"), np.uint8, POSITIONS)
-            keep = pa.array(np.flatnonzero(same.mean(1) >= share))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
-
-    of = lambda side, name: reps.select(F.col("id").alias(side), F.col("sketch").alias(name))
-    return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, trees: int = TREES,
-                    depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is the document's own id).
 
     Null and empty texts have the empty set and are linked with nothing; equal sets are linked; a row with a null id
@@ -180,12 +119,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = written(named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("copies")), "classes")
     reps = written(named.join(classes.select("s1", "s2", F.col("id").alias("doc_id")), ["doc_id", "s1", "s2"], "left_semi")
                    .dropDuplicates(["doc_id", "s1"]).select(F.col("doc_id").alias("id"), "sig", "sketch"), "reps")
-    pairs, large = candidates(reps, trees, depth)
-    pairs = written(likely(pairs, reps, SKETCH), "likely").where("a < b")
+    pairs, large = group_pairs(written(roots(reps, trees), "nodes"), "nodes")
+    pairs = written(likely(pairs.distinct(), reps), "likely")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select("id")).distinct()
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     texts = written(source.join(written(ids, "ids"), "id", "left_semi"), "texts")
-    linked = resolve(pairs, large, texts, word_shingles, percent, "links")
+    linked = resolve(pairs, large, lambda members: branches(members.join(reps.select("id", "sig"), "id")), texts, word_shingles, percent, "links")
     rooted = classes.join(linked, "id", "left").select("s1", "s2", "id", "copies", "root")
     alone = F.col("root").isNull()
     # a root is the smallest of its classes' ids, and a class id is the smallest of its documents'

@@ -1,7 +1,7 @@
 """Candidate pairs, exact Jaccard verification and components, shared by the similarity operators.
 
 Ids are longs.  A group (a bucket of bands, a node of a tree) of at most `SMALL` members gives all its pairs; a larger
-one gives the pairs with its smallest member, and what these leave open is compared in `resolve`.
+one gives the pairs with its smallest member, and what these leave open is settled in `resolve`.
 """
 
 from __future__ import annotations
@@ -17,6 +17,14 @@ from . import kernel as K
 from .common import connected_components, written
 
 SMALL = 16
+BLOCK, AGAINST = 1024, 256  # rows of a block of a group, and of those that they are compared with
+EXHAUSTIVE = 4096  # members up to which a group that is not one component is compared exhaustively, in blocks
+ROUNDS = 6  # splits of a larger one
+POSITIONS = 64  # minwise values of a set
+SKETCH = 0.5  # sets whose sketches agree on less than this share (4.6 deviations below 0.75) are not compared in full
+FINE, FINE_SKETCH = 256, 0.65  # the same for sets that are compared in blocks (3.7 deviations below 0.75)
+_A = (K.seeds(FINE, 11) >> K.U(32)).astype(np.uint32) | np.uint32(1)
+_B = (K.seeds(FINE, 12) >> K.U(32)).astype(np.uint32)
 Shingler = Callable[[K.Texts], tuple[np.ndarray, np.ndarray]]  # -> owner of each shingle (rising), fingerprint
 
 
@@ -29,6 +37,43 @@ def distinct_shingles(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.
     return owner[first], h[first]
 
 
+def minima(owner: np.ndarray, h: np.ndarray, positions: int = POSITIONS) -> tuple[np.ndarray, np.ndarray]:
+    """Owners that have shingles, and their minwise values (uint32)."""
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+    sig = np.empty((len(first), positions), np.uint32)
+    if len(first):
+        low = (h >> K.U(32)).astype(np.uint32)
+        for p in range(positions):
+            sig[:, p] = np.minimum.reduceat(low * _A[p] + _B[p], first)
+    return owner[first], sig
+
+
+def binary(a: np.ndarray, n: int, at: np.ndarray) -> pa.Array:
+    """Rows of `a` as binary values at places `at` of n; the other places are empty."""
+    size = np.zeros(n, np.int64)
+    size[at] = a.shape[1] * a.itemsize
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(a))])
+
+
+def matrix(col: pa.Array, dtype: type, width: int) -> np.ndarray:
+    t = K.Texts.of(col)
+    return np.ascontiguousarray(t.buf).view(dtype).reshape(-1, width)
+
+
+def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree on at least SKETCH of the positions (`sketches(id, sketch)`: low bytes of the minima)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = matrix(batch.column("x"), np.uint8, POSITIONS) == matrix(batch.column("y"), np.uint8, POSITIONS)
+            keep = pa.array(np.flatnonzero(same.mean(1) >= SKETCH))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+
+    of = lambda side, name: sketches.select(F.col("id").alias(side), F.col("sketch").alias(name))
+    return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def pairs_of_small(members: DataFrame, key: str, member: str) -> DataFrame:
     """All pairs a < b within each group; the caller keeps only groups of about SMALL members at most."""
     lists = members.groupBy(key).agg(F.sort_array(F.collect_set(member)).alias("m"))
@@ -60,33 +105,106 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Shingler, percent: in
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def resolve(pairs: DataFrame, groups: DataFrame | None, texts: DataFrame, shingles: Shingler, percent: int, tag: str) -> DataFrame:
-    """Components (id, root) of the links among candidate `pairs(a, b)` (a < b, written).
-
-    First each id is verified against its smallest partner; then only pairs that still lie in different components
-    are verified, and at last the pairs between different components inside the large `groups(key, id)`: links inside
-    a component need no further proof, so groups of near copies cost one comparison for each member."""
-    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(verified(written(star, tag), texts, shingles, percent), tag)
+def group_pairs(members: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of `members(key, id)` (all of a small group, those with the least id of a large one), and
+    the members of the large groups."""
+    sizes = written(members.groupBy("key").agg(F.count("id").alias("n"), F.min("id").alias("least")).where("n > 1"), tag)
+    placed = written(members.join(sizes, "key"), tag)
+    large = placed.where(F.col("n") > SMALL)
+    star = large.where("least <> id").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return pairs_of_small(placed.where(F.col("n") <= SMALL), "key", "id").union(star), large.select("key", "id")
+
+
+def compare_block(block: pa.Table, shingles: Shingler, percent: int) -> pa.Table:
+    """Links between the block's odd members and its others: for each odd one, one link to each other component.
+
+    Sketches rule out what is far from a link; the rest is compared on the full shingle sets."""
+    odd, ids, root = (block.column(c).to_numpy() for c in ("odd", "id", "root"))
+    owner, h = distinct_shingles(*shingles(K.Texts.of(block.column("text"))))
+    n = np.bincount(owner, minlength=len(ids))
+    first = np.cumsum(n) - n
+    code = np.unique(h, return_inverse=True)[1]
+    at, sig = minima(owner, h, FINE)
+    sketch = np.zeros((len(ids), FINE), np.uint8)
+    sketch[at] = sig
+    y = np.flatnonzero(~odd & (n > 0))
+    others, a, b = sketch[y], [], []
+    mark = np.zeros(int(code.max(initial=0)) + 1, bool)
+    for i in np.flatnonzero(odd & (n > 0)):
+        near = y[((others == sketch[i]).sum(1, dtype=np.int16) >= FINE_SKETCH * FINE) & (root[y] != root[i])]
+        if not len(near):
+            continue
+        mine = code[first[i]:first[i] + n[i]]
+        mark[mine] = True
+        size = n[near]
+        gone = np.cumsum(size) - size
+        both = np.add.reduceat(mark[code[np.arange(int(size.sum())) + np.repeat(first[near] - gone, size)]].astype(np.int64), gone)
+        mark[mine] = False
+        hit = near[100 * both >= percent * (n[i] + size - both)]
+        hit = hit[np.unique(root[hit], return_index=True)[1]]
+        a.append(np.minimum(ids[i], ids[hit]))
+        b.append(np.maximum(ids[i], ids[hit]))
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+
+def block_links(members: DataFrame, texts: DataFrame, shingles: Shingler, percent: int) -> DataFrame:
+    """Links (a, b) between components of `members(key, id, root, least, n, n_odd)`: the members outside a group's
+    first component against all its members, in blocks of about AGAINST by BLOCK rows."""
+    m = members.join(texts.select("id", "text"), "id")
+    slot = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    rows, cols = slot("n", BLOCK), slot("n_odd", AGAINST)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    shape = ["key", "i", "j", "odd", "id", "root", "text"]
+    others = m.withColumns({"i": place(rows), "odd": F.lit(False)}).withColumn("j", every(cols)).select(shape)
+    odd = m.where("root <> least").withColumns({"j": place(cols), "odd": F.lit(True)}).withColumn("i", every(rows)).select(shape)
+    return others.union(odd).groupBy("key", "i", "j").applyInArrow(lambda block: compare_block(block, shingles, percent), "a long, b long")
+
+
+def resolve(pairs: DataFrame, groups: DataFrame, split: Callable[[DataFrame], DataFrame], texts: DataFrame, shingles: Shingler,
+            percent: int, tag: str) -> DataFrame:
+    """Components (id, root) of the links among the candidate `pairs(a, b)` (a < b, written) and inside the large
+    `groups(key, id)`, whose pairs with their least member are among `pairs`.
+
+    Links inside a component need no further proof.  So each id is verified against its smallest partner first, and
+    later only pairs that still lie in different components.  A large group in one component is done.  Any other is
+    compared exhaustively if it has at most EXHAUSTIVE members (those outside its first component against all, in blocks),
+    else split into smaller groups (`split` gives the members' child groups) and looked at again; what is still larger
+    after ROUNDS splits is compared in blocks as well."""
+    proof = lambda rest: written(verified(written(rest, tag), texts, shingles, percent), tag)
+    links = proof(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     roots = connected_components(links, tag)
 
-    def apart(rest: DataFrame) -> DataFrame:
+    def joined(rest: DataFrame) -> None:
         of = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
         both = rest.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-    more = written(verified(written(apart(pairs), tag), texts, shingles, percent), tag)
-    if not more.isEmpty():
-        links = links.union(more)
-        roots = connected_components(links, tag)
-    if groups is not None:
-        rooted = written(groups.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), tag)
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-        odd = written(rooted.join(written(mixed.select("key", "least"), tag), "key").where("root <> least"), tag)
-        if not odd.isEmpty():  # members outside their group's first component, against all others of the group
-            left = odd.select("key", F.col("id").alias("x"), F.col("root").alias("rx"))
-            right = rooted.select("key", F.col("id").alias("y"), F.col("root").alias("ry"))
-            rest = (left.join(right, "key").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-            more = written(verified(written(rest, tag), texts, shingles, percent), tag)
-            roots = connected_components(links.union(more), tag)
+        found(proof(both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()))
+
+    def found(more: DataFrame) -> None:
+        nonlocal links, roots
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = connected_components(links, tag)
+
+    def mixed(members: DataFrame) -> DataFrame:
+        rooted = written(members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), tag)
+        several = written(rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("id").alias("n"))
+                          .where("least <> most").select("key", "least", "n"), tag)
+        return written(rooted.join(several, "key"), tag)
+
+    joined(pairs)
+    left = mixed(groups)
+    for turn in range(ROUNDS + 1):
+        if left.isEmpty():
+            break
+        now = left if turn == ROUNDS else left.where(F.col("n") <= EXHAUSTIVE)
+        odd = written(now.where("root <> least").groupBy("key").agg(F.count("id").alias("n_odd")), tag)
+        found(written(block_links(now.join(odd, "key"), texts, shingles, percent).distinct(), tag))
+        more = left.where(F.col("n") > EXHAUSTIVE).select("key", "id")
+        if turn == ROUNDS or more.isEmpty():
+            break
+        rest, large = group_pairs(written(split(more), tag), tag)
+        joined(rest)
+        left = mixed(large)
     return roots
