@@ -138,7 +138,7 @@ class Runs:
         self.first, self.last = start[at], start[np.append(at[1:], len(start)) - 1]
         self.anchor = anchor[at]
         self.doc = t.owner(self.first)
-        self.head = head[self.anchor]
+        self.head = K.mix(head[self.anchor] + K.U(1))  # anchors have small fingerprints; shards need even ones
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
