@@ -287,11 +287,10 @@ def c14(spark, sf_dir):
 SELECT p.supplier_id, CAST(sum(reported_balance_to_lift_mt) AS DECIMAL(18,3)) AS pending_mt, count(*) AS pending_lots,
        count(*) FILTER (WHERE DATE '{AS_OF}' - purchase_date > 90) AS aged_over_90_days, s.legal_name AS supplier
 FROM purchase_lots_r p JOIN suppliers_r s ON s.supplier_id = p.supplier_id
-WHERE reported_balance_to_lift_mt > 0.1 GROUP BY p.supplier_id, s.legal_name
-ORDER BY pending_mt DESC, p.supplier_id LIMIT 10""", extra=EX)
+WHERE reported_balance_to_lift_mt > 0.1 GROUP BY p.supplier_id, s.legal_name""", extra=EX)
 def c15(spark, sf_dir):
     x = L(spark, sf_dir)
-    return kpis.inward_exposure(x.purchase_lots, x.suppliers, AS_OF, 10)
+    return kpis.inward_exposure(x.purchase_lots, x.suppliers, AS_OF)
 
 
 @register("c18_quality_concerns", """

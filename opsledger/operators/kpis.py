@@ -277,15 +277,15 @@ def open_commitments(orders: DataFrame, dispatches: DataFrame, permits: DataFram
                     .alias("revenue_waiting")))
 
 
-def inward_exposure(purchases: DataFrame, suppliers: DataFrame, as_of: str, k: int = 10) -> DataFrame:
-    """Pending inward balance by supplier, lots older than 90 days and pending value (top k)."""
+def inward_exposure(purchases: DataFrame, suppliers: DataFrame, as_of: str) -> DataFrame:
+    """Pending inward balance and lots older than 90 days of every supplier."""
     p = purchases.where(F.col("reported_balance_to_lift_mt") > 0.1)
     age = F.datediff(F.lit(as_of).cast("date"), F.col("purchase_date"))
     per = p.groupBy("supplier_id").agg(
         F.sum("reported_balance_to_lift_mt").cast(DEC3).alias("pending_mt"),
         F.count(F.lit(1)).alias("pending_lots"), F.count_if(age > 90).alias("aged_over_90_days"))
     names = suppliers.select("supplier_id", F.col("legal_name").alias("supplier"))
-    return per.join(names, "supplier_id").orderBy(F.col("pending_mt").desc(), "supplier_id").limit(k)
+    return per.join(names, "supplier_id")
 
 
 def quality_concerns(v6: DataFrame, k: int = 30) -> DataFrame:

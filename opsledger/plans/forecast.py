@@ -24,9 +24,9 @@ def cutoff_month(snapshot: Column) -> Column:
 
 def monthly_series(df: DataFrame, series: str, date_col: str, value_col: str, mode: str,
                    cutoff: Column) -> DataFrame:
-    """Sum or mean by month; null values and dates skipped; months after the cutoff dropped; no gap filling."""
+    """Sum or mean by month; null, NaN and infinite values and null dates skipped; months after the cutoff dropped; no gap filling."""
     v = F.col(value_col).cast("double")
-    rows = df.where(F.col(date_col).isNotNull() & F.col(value_col).isNotNull() & ~F.isnan(v)) \
+    rows = df.where(F.col(date_col).isNotNull() & F.col(value_col).isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) \
         .select(F.trunc(F.col(date_col).cast("date"), "MM").alias("month"), v.alias("v"))
     rows = rows.where(F.col("month") <= cutoff)
     agg = F.avg("v") if mode == "average" else F.sum("v")

@@ -26,13 +26,15 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (`spark.checkpoint.dir`).
 
-    Only when the session names none (local tests) is a private scratch folder set."""
+    Only a local session that names none gets a private scratch folder; a cluster without one is an error."""
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if conf:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(str(conf))
         return str(conf)
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="opsledger-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

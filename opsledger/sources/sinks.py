@@ -24,13 +24,14 @@ def publish(tables: dict[str, tuple[DataFrame, list[str]]], root: str, run_id: s
 
 
 def latest_completed_run(spark: SparkSession, root: str) -> str | None:
-    """The newest run directory whose ledger row says 'completed'."""
+    """The newest run directory whose ledger row says 'completed'; numeric run ids compare as numbers."""
     try:
         ledgers = spark.read.parquet(f"{root.rstrip('/')}/run=*/_ledger")
     except Exception:  # noqa: BLE001 - nothing published yet
         return None
-    row = ledgers.where(F.col("status") == "completed").agg(F.max("run_id").alias("r")).first()
-    return row["r"] if row else None
+    row = ledgers.where(F.col("status") == "completed").agg(
+        F.max(F.struct(F.expr("try_cast(run_id AS DECIMAL(38, 0))").alias("n"), F.col("run_id").cast("string").alias("r"))).alias("m")).first()
+    return row["m"]["r"] if row and row["m"] else None
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame | None:

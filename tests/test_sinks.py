@@ -20,6 +20,15 @@ def test_publish_and_read_latest(spark):
     assert got == [10, 20]
 
 
+def test_latest_run_compares_numbers(spark):
+    root = tempfile.mkdtemp(prefix="opsledger-sink-")
+    df = spark.createDataFrame([(1,)], "n int")
+    ledger = spark.createDataFrame([("completed",)], "status string")
+    for run in ("9", "10"):
+        sinks.publish({"t": (df, [])}, root, run, ledger)
+    assert sinks.latest_completed_run(spark, root) == "10"
+
+
 def test_staged_row_upsert_overwrites_by_position(spark):
     from opsledger.sources import stage
     old = stage.stage_rows(spark.createDataFrame([(1, "a"), (2, "b")], "r long, v string"), "f.xlsx",
