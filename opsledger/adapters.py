@@ -531,7 +531,7 @@ class StagedLedger(Ledger):
             F.concat(F.lit("SUP-"), F.col("supplier_id").cast("string")),
             F.concat(F.lit("LOT-"), F.col("lot_id").cast("string")),
             F.format_number("purchased_quantity_mt", 3),
-            F.concat(F.lit("₹"), F.format_number("lot_landed_cost", 4)), *blank * 2,
+            F.concat(F.lit("₹"), F.format_number("lot_landed_cost", 4)), F.format_number("lot_landed_cost", 4), *blank,
             F.format_number("reported_lifted_quantity_mt", 3), F.format_number("reported_balance_to_lift_mt", 3),
             *blank * 3, F.format_number("reported_payment_balance_mt", 3), F.lit("-"), *blank * 3,
             status, payment)

@@ -122,9 +122,11 @@ def m16(spark, sf_dir):
 
 
 @register("m6_build_purchases", f"""
-SELECT 'sup' || CAST(p.supplier_id AS VARCHAR) || '|lot' || CAST(p.lot_id AS VARCHAR) AS business_key,
-       'SUP-' || CAST(p.supplier_id AS VARCHAR) AS supplier, p.lot_id, p.purchase_date,
-       p.purchased_quantity_mt, l.lot_landed_cost AS purchase_rate_inr_per_mt, p.reported_lifted_quantity_mt,
+SELECT 'purchaselot|sup' || CAST(p.supplier_id AS VARCHAR) || '|lot' || CAST(p.lot_id AS VARCHAR) || '|'
+         || {norm_sql('CAST(p.purchase_date AS VARCHAR)')} AS business_key,
+       'SUP-' || CAST(p.supplier_id AS VARCHAR) AS supplier, p.lot_id,
+       'LOT-' || CAST(p.lot_id AS VARCHAR) AS source_lot_number, p.purchase_date, p.purchased_quantity_mt,
+       l.lot_landed_cost AS purchase_rate_inr_per_mt, l.lot_landed_cost AS reported_landed_cost_inr_per_mt, p.reported_lifted_quantity_mt,
        p.reported_balance_to_lift_mt, p.reported_payment_balance_mt,
        CAST(NULL AS DECIMAL(18,3)) AS reported_permit_balance_mt,
        CASE WHEN p.reported_lifted_quantity_mt = 0 THEN 'unlifted' WHEN p.reported_balance_to_lift_mt <= 0 THEN 'finished'
@@ -160,10 +162,11 @@ def m12c(spark, sf_dir):
     return facts.build_stock_snapshot(L.stock_rows, L.lot_aliases)[1]
 
 
-@register("m9_build_sales_orders", """
-SELECT customer_id, po_number, po_date, ordered_quantity_mt, reported_dispatched_quantity_mt, target_fe_pct,
+@register("m9_build_sales_orders", f"""
+SELECT 'salesline|' || {norm_sql('c_name')} || '|' || {norm_sql('po_number')} || '|-|-' AS business_key, customer_id,
+       po_number, po_date, CAST(NULL AS VARCHAR) AS size_spec, ordered_quantity_mt, reported_dispatched_quantity_mt, target_fe_pct,
        selling_rate_inr_per_mt, order_status, source_row_id
-FROM sales_orders_r""", extra=EX)
+FROM sales_orders_r JOIN customer ON c_custkey = customer_id""", extra=EX)
 def m9(spark, sf_dir):
     L = StagedLedger(spark, sf_dir)
     return facts.build_sales_orders(L.order_rows, L.customers)
@@ -176,9 +179,10 @@ FROM purchase_lots_r p JOIN lots_r l ON l.lot_id = p.lot_id"""
 
 
 @register("m17_purchase_cost_components", """
-SELECT business_key, lot_id, 'PURCHASE_PRICE' AS component_code, rate AS rate_inr_per_mt, purchase_date AS effective_on,
-       true AS included_in_landed_cost, 'reported' AS approval_status, source_row_id
-FROM m17_src_r""", extra=EX)
+SELECT business_key, lot_id, 'REPORTED_LANDED_COST' AS component_code, arg_max(rate, source_row_id) AS rate_inr_per_mt,
+       purchase_date AS effective_on, false AS included_in_landed_cost, 'reported' AS approval_status,
+       max(source_row_id) AS source_row_id
+FROM m17_src_r GROUP BY business_key, lot_id, purchase_date""", extra=EX)
 def m17(spark, sf_dir):
     L = StagedLedger(spark, sf_dir)
     return facts.purchase_cost_components(facts.build_purchases(L.purchase_rows, L.lot_aliases)[0])
@@ -202,10 +206,10 @@ def m14(spark, sf_dir):
 
 
 @register("m15_transport_cost_components", f"""
-SELECT 'transport|' || {norm_sql('work_order_number')} || '|' || {norm_sql('source_lot_text')} AS business_key,
+SELECT 'transportworkorderunknown' || {norm_sql('work_order_number')} || '|' || {norm_sql('source_lot_text')} AS business_key,
        CAST(substr(source_lot_text, 5) AS BIGINT) AS lot_id, 'INWARD_TRANSPORT' AS component_code,
        CAST({number_sql('rate_text')} AS DECIMAL(18,4)) AS rate_inr_per_mt,
-       CAST(work_order_date_text AS DATE) AS effective_on, true AS included_in_landed_cost,
+       CAST(work_order_date_text AS DATE) AS effective_on, false AS included_in_landed_cost,
        'reported' AS approval_status, source_row_id
 FROM work_orders_r
 WHERE NOT regexp_matches(source_lot_text, '[+,&]') AND {number_sql('rate_text')} IS NOT NULL""", extra=EX)

@@ -118,12 +118,12 @@ def e1(spark, sf_dir):
 
 EX["env_ids_r"] = """SELECT DISTINCT CAST(actual_source_row_id AS BIGINT) AS source_row_id FROM (
   SELECT * FROM v6_r ORDER BY abs(deviation_fe_points) DESC, comparison, actual_source_row_id, expected_source_row_id,
-           house_lot_number, expected_fe_pct, actual_fe_pct LIMIT 30) ORDER BY 1 LIMIT 1000"""
+           house_lot_number, expected_fe_pct, actual_fe_pct LIMIT 30)"""
 EX["env_w_r"] = "SELECT * FROM issues_r WHERE source_row_id IN (SELECT source_row_id FROM env_ids_r)"
 
 
 @register("e4_provenance_envelope", """
-SELECT CASE WHEN (SELECT count(*) FROM env_ids_r) = 0 THEN 'incomplete'
+SELECT CASE WHEN (SELECT count(*) FROM provenance_r WHERE source_row_id IN (SELECT source_row_id FROM env_ids_r)) = 0 THEN 'incomplete'
             WHEN (SELECT count(*) FROM env_w_r) > 0 THEN 'flagged' ELSE 'verified' END AS status,
        CAST(30 AS BIGINT) AS row_count, (SELECT count(*) FROM env_ids_r) AS source_count,
        (SELECT count(DISTINCT (file_name, sheet_name)) FROM provenance_r
@@ -162,15 +162,17 @@ def f18(spark, sf_dir):
     return c.select("conv_id", "turn", F.sha2(t, 256).alias("text_hash"), F.length(t).cast("bigint").alias("text_length"))
 
 
-@register("u2_evidence_sources", """
+EX["u2_r"] = """
 SELECT file_name, sheet_name, row_number, file_name || '|' || sheet_name || '|' || CAST(row_number AS VARCHAR) AS source_key
 FROM (SELECT DISTINCT file_name, sheet_name, row_number FROM (
         SELECT p.file_name, p.sheet_name, p.row_number FROM provenance_r p
         WHERE p.source_row_id IN (SELECT actual_source_row_id FROM v6_r)
         UNION ALL
         SELECT p.file_name, p.sheet_name, p.row_number FROM provenance_r p
-        WHERE p.source_row_id IN (SELECT expected_source_row_id FROM v6_r WHERE comparison = 'inbound_vs_indicative')))
-ORDER BY file_name, sheet_name, row_number LIMIT 10""", extra=EX)
+        WHERE p.source_row_id IN (SELECT expected_source_row_id FROM v6_r WHERE comparison = 'inbound_vs_indicative')))"""
+
+
+@register("u2_evidence_sources", "SELECT * FROM u2_r", extra=EX)
 def u2(spark, sf_dir):
     L = StagedLedger(spark, sf_dir)
     v6 = marts.quality_deviation(L.quality_samples, L.sales_orders, L.lots)
@@ -178,4 +180,9 @@ def u2(spark, sf_dir):
     a = prov.join(v6.select(F.col("actual_source_row_id").alias("source_row_id")), "source_row_id", "left_semi")
     b = prov.join(v6.where(F.col("comparison") == "inbound_vs_indicative")
                   .select(F.col("expected_source_row_id").alias("source_row_id")), "source_row_id", "left_semi")
-    return evidence.union_sources(a, b, k=10)
+    return evidence.union_sources(a, b)
+
+
+@register("u2_top_sources", "SELECT * FROM u2_r ORDER BY file_name, sheet_name, row_number LIMIT 10", extra=EX)
+def u2_top(spark, sf_dir):
+    return evidence.top_sources(u2(spark, sf_dir))

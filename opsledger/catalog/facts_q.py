@@ -16,10 +16,11 @@ EXTRA = {
                CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_partkey END AS lot_id
         FROM lineitem""",
 }
+_KEY = ["CAST(receipt_on AS VARCHAR)", "supplier", "lot_text", "permit_number", "CAST(CAST(quantity AS DECIMAL(18,3)) AS VARCHAR)",
+        "CAST(trip_count AS VARCHAR)"]
 EXTRA["inward_keyed_r"] = f"""
-    SELECT *, 'receipt|' || {norm_sql('CAST(receipt_on AS VARCHAR)')} || '|' || {norm_sql('lot_text')} || '|'
-              || {norm_sql('supplier')} || '|' || {norm_sql('CAST(source_row_id AS VARCHAR)')} AS business_key
-    FROM inward_typed_r WHERE lot_id IS NOT NULL"""
+    SELECT *, 'inward|' || {" || '|' || ".join(norm_sql(k) for k in _KEY)} AS business_key
+    FROM inward_typed_r"""
 
 
 @register("m8_build_receipts", """

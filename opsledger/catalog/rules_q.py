@@ -427,7 +427,8 @@ def _rule_query(key):
     return q
 
 
-for _k in RULE_KEYS:
+# R29's notice is part of the issue table; alone it would read no given table, so it is no query of its own.
+for _k in (k for k in RULE_KEYS if k != "r29_missing_payment_ledger"):
     register(_k, SQL[_k], extra=EXTRA)(_rule_query(_k))
 
 

@@ -121,11 +121,11 @@ def row_ranges(df: DataFrame, keys: list[str], n: str) -> DataFrame:
 
 
 def provenance_envelope(result: DataFrame, id_col: str, provenance: DataFrame, issues: DataFrame,
-                        max_rows: int = 100, max_ids: int = 1000) -> DataFrame:
-    """Trust envelope of a result: rows, distinct source ids (first `max_ids`), provenance
-    groups and open issues on those rows; status verified / flagged / incomplete."""
+                        max_rows: int = 100) -> DataFrame:
+    """Trust envelope of a result: rows, all distinct source ids, provenance groups and open issues
+    on those rows; status verified / flagged / incomplete (no provenance, or more rows than a reader is shown)."""
     ids = result.select(F.col(id_col).cast("bigint").alias("source_row_id")).where(
-        F.col("source_row_id").isNotNull()).distinct().orderBy("source_row_id").limit(max_ids)
+        F.col("source_row_id").isNotNull()).distinct()
     n_rows = result.agg(F.count(F.lit(1))).scalar()
     n_ids = ids.agg(F.count(F.lit(1))).scalar()
     prov = provenance.join(ids, "source_row_id", "left_semi")
@@ -133,7 +133,7 @@ def provenance_envelope(result: DataFrame, id_col: str, provenance: DataFrame, i
     # the issue table is aggregated once; the other parts are cheap one-row scalars
     stats = issues.join(ids, "source_row_id", "left_semi").agg(
         F.count_distinct("rule_code").alias("warning_rules"), F.count(F.lit(1)).alias("warning_issues"))
-    status = (F.when((n_rows == 0) | (n_rows > max_rows) | (n_ids == 0), "incomplete")
+    status = (F.when((n_rows == 0) | (n_rows > max_rows) | (groups == 0), "incomplete")
               .when(F.col("warning_issues") > 0, "flagged").otherwise("verified"))
     return stats.select(status.alias("status"), n_rows.alias("row_count"), n_ids.alias("source_count"),
                         groups.alias("source_groups"), "warning_rules", "warning_issues")
@@ -145,11 +145,15 @@ def answer_log(log: DataFrame, conv: str = "conv_id", turn: str = "turn", status
                                  F.count_distinct(status).alias("distinct_statuses"))
 
 
-def union_sources(*sources: DataFrame, k: int = 10) -> DataFrame:
-    """Keyed union of source lists (file, sheet, row): duplicates removed by key, first k by key."""
+def union_sources(*sources: DataFrame) -> DataFrame:
+    """Keyed union of source lists (file, sheet, row): duplicates removed by key."""
     out = sources[0].select("file_name", "sheet_name", "row_number")
     for s in sources[1:]:
         out = out.unionByName(s.select("file_name", "sheet_name", "row_number"))
     return (out.dropDuplicates(["file_name", "sheet_name", "row_number"])
-            .orderBy("file_name", "sheet_name", "row_number").limit(k)
             .withColumn("source_key", F.concat_ws("|", "file_name", "sheet_name", F.col("row_number").cast("string"))))
+
+
+def top_sources(sources: DataFrame, k: int = 10) -> DataFrame:
+    """The first k keyed sources, as an answer lists them."""
+    return sources.orderBy("file_name", "sheet_name", "row_number").limit(k)

@@ -2,8 +2,8 @@
 
 The pattern of every builder: skip header rows (P2), require key cells (P1), parse text
 cells with the F-functions, resolve lot text through the alias table (J9), derive the
-business key (F7) and keep the last write per key (W2).  Rows that do not resolve become
-UNMAPPED_LOT issues instead of facts.
+business key (F7) and keep the last write per key (W2).  Receipts and purchases whose lot does
+not resolve stay, with a null lot, and raise an UNMAPPED_LOT issue.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from .resolve import dedupe_latest, resolve_alias
 def build_receipts(rows: DataFrame, aliases: DataFrame, header_rows: int = 1) -> tuple[DataFrame, DataFrame]:
     """M8: inward receipts from a 'Daily Inward Details' sheet.
 
-    cells: 0 date, 2 supplier, 3 lot, 4 quantity, 5 trips, 6 permit.
+    cells: 0 date, 2 supplier, 3 lot, 4 quantity, 5 trips, 6 permit.  Keyed by all of them, so a
+    second import of the same row changes nothing; a lot that does not resolve is null.
     Returns (receipts, unmapped-lot issues)."""
     c = F.col("cells")
     typed = rows.where(F.col("row_number") > header_rows).select(
@@ -29,13 +30,15 @@ def build_receipts(rows: DataFrame, aliases: DataFrame, header_rows: int = 1) ->
         clean.text(F.get(c, 3)).alias("lot_text"),
         clean.number(F.get(c, 4)).alias("quantity"),
         clean.integer(F.get(c, 5)).alias("trip_count"),
-        clean.text(F.get(c, 6)).alias("permit_number"))
-    typed = typed.where(F.col("receipt_on").isNotNull() & (F.col("lot_text") != "") & F.col("quantity").isNotNull())
+        clean.text(F.get(c, 6)).alias("permit_number"), clean.text(F.get(c, 5)).alias("_trips"))
+    typed = typed.where(F.col("receipt_on").isNotNull() & (F.col("supplier") != "") & (F.col("lot_text") != "")
+                        & F.col("quantity").isNotNull())
     resolved = resolve_alias(typed, "lot_text", aliases)
     issues = checks.unmapped(resolved, "inward_receipt", "lot_text", "Inward receipt")
-    facts = resolved.where(F.col("lot_id").isNotNull()).withColumn(
-        "business_key", clean.business_key(F.lit("receipt"), F.col("receipt_on").cast("string"), F.col("lot_text"),
-                                           F.col("supplier"), F.col("source_row_id").cast("string")))
+    facts = resolved.withColumn(
+        "business_key", clean.business_key(F.lit("inward"), F.col("receipt_on").cast("string"), F.col("supplier"),
+                                           F.col("lot_text"), F.col("permit_number"),
+                                           F.col("quantity").cast("decimal(18,3)").cast("string"), F.col("_trips")))
     facts = dedupe_latest(facts, ["business_key"], ["source_row_id"])
     return facts.select("business_key", "receipt_on", "supplier", "lot_id", "lot_text",
                         F.col("quantity").cast("decimal(18,3)").alias("quantity_mt"), "trip_count",
@@ -143,29 +146,33 @@ def build_production(rows: DataFrame, header_rows: int = 4) -> tuple[DataFrame,
 
 
 def build_purchases(rows: DataFrame, aliases: DataFrame, header_rows: int = 2) -> tuple[DataFrame, DataFrame]:
-    """M6: purchase lots from the 'Purchased Details' sheet, keyed by (supplier, lot) (last write wins).
+    """M6: purchase lots from the 'Purchased Details' sheet, keyed by (supplier, lot, date) (last write wins);
+    a lot that does not resolve is null.
 
-    cells: 0 date, 3 supplier, 4 lot, 5 quantity, 6 rate, 9 lifted, 10 balance to lift,
+    cells: 0 date, 3 supplier, 4 lot, 5 quantity, 6 rate, 7 landed cost, 9 lifted, 10 balance to lift,
     14 payment balance, 15 permit balance, 19 status (F8), 20 payment text (F9)."""
     c = F.col("cells")
     t = rows.where(F.col("row_number") > header_rows).select(
         "source_row_id", clean.date(F.get(c, 0)).alias("purchase_date"), clean.text(F.get(c, 3)).alias("supplier"),
         clean.text(F.get(c, 4)).alias("lot_text"), clean.number(F.get(c, 5)).alias("quantity"),
-        clean.number(F.get(c, 6)).alias("rate"), clean.number(F.get(c, 9)).alias("lifted"),
+        clean.number(F.get(c, 6)).alias("rate"), clean.number(F.get(c, 7)).alias("landed"),
+        clean.number(F.get(c, 9)).alias("lifted"),
         clean.number(F.get(c, 10)).alias("balance_to_lift"), clean.number(F.get(c, 14)).alias("payment_balance"),
         clean.number(F.get(c, 15)).alias("permit_balance"),
         clean.lifecycle_status(F.get(c, 19)).alias("lifecycle_status"),
         clean.payment_status(F.get(c, 20)).alias("payment_status"))
-    t = t.where(F.col("purchase_date").isNotNull() & (F.col("lot_text") != "") & F.col("quantity").isNotNull())
+    t = t.where(F.col("purchase_date").isNotNull() & (F.col("supplier") != "") & (F.col("lot_text") != "")
+                & F.col("quantity").isNotNull())
     resolved = resolve_alias(t, "lot_text", aliases)
     issues = checks.unmapped(resolved, "purchase_lot", "lot_text", "Purchase")
-    keyed = resolved.where(F.col("lot_id").isNotNull()).withColumn(
-        "business_key", clean.business_key(F.col("supplier"), F.col("lot_text")))
+    keyed = resolved.withColumn("business_key", clean.business_key(
+        F.lit("purchase-lot"), F.col("supplier"), F.col("lot_text"), F.col("purchase_date").cast("string")))
     latest = dedupe_latest(keyed, ["business_key"], ["source_row_id"])
     return latest.select(
-        "business_key", "supplier", "lot_id", "purchase_date",
+        "business_key", "supplier", "lot_id", F.col("lot_text").alias("source_lot_number"), "purchase_date",
         F.col("quantity").cast("decimal(18,3)").alias("purchased_quantity_mt"),
         F.col("rate").cast("decimal(18,4)").alias("purchase_rate_inr_per_mt"),
+        F.col("landed").cast("decimal(18,4)").alias("reported_landed_cost_inr_per_mt"),
         F.col("lifted").cast("decimal(18,3)").alias("reported_lifted_quantity_mt"),
         F.col("balance_to_lift").cast("decimal(18,3)").alias("reported_balance_to_lift_mt"),
         F.col("payment_balance").cast("decimal(18,3)").alias("reported_payment_balance_mt"),
@@ -209,22 +216,28 @@ def build_stock_snapshot(rows: DataFrame, aliases: DataFrame, first_row: int = 5
 
 
 def build_sales_orders(rows: DataFrame, customers: DataFrame, header_rows: int = 2) -> DataFrame:
-    """M9: sales order lines from the 'Outward Details' sheet; one line per (customer, PO),
-    the last written row wins.
+    """M9: sales order lines from the 'Outward Details' sheet; one line per (customer, PO, sub type, size),
+    the last written row wins.  A customer that is not among `customers` is null.
 
-    cells: 0 customer, 3 PO, 4 PO date, 5 target Fe, 8 rate, 9 ordered, 10 dispatched, 18 status."""
+    cells: 0 customer, 2 sub type, 3 PO, 4 PO date, 5 target Fe, 8 rate, 9 ordered, 10 dispatched, 13 size,
+    18 status."""
     c = F.col("cells")
     t = rows.where(F.col("row_number") > header_rows).select(
         "source_row_id", clean.text(F.get(c, 0)).alias("customer"), clean.text(F.get(c, 3)).alias("po_number"),
+        clean.text(F.get(c, 2)).alias("sub_type"), clean.text(F.get(c, 13)).alias("size"),
         clean.date(F.get(c, 4)).alias("po_date"), clean.number(F.get(c, 5)).alias("target_fe"),
         clean.number(F.get(c, 8)).alias("rate"), clean.number(F.get(c, 9)).alias("ordered"),
         clean.number(F.get(c, 10)).alias("dispatched"), clean.text(F.get(c, 18)).alias("order_status"))
-    t = t.where((F.col("customer") != "") & (F.col("po_number") != "") & F.col("ordered").isNotNull())
-    cust = customers.select("customer_id", clean.normalized_organization("legal_name").alias("_ck"))
-    t = t.withColumn("_ck", clean.normalized_organization("customer")).join(cust, "_ck", "inner").drop("_ck")
-    latest = dedupe_latest(t, ["customer_id", "po_number"], ["source_row_id"])
+    t = t.where((F.col("customer") != "") & (F.col("po_number") != "") & F.col("po_date").isNotNull()
+                & F.col("ordered").isNotNull())
+    t = t.withColumn("business_key", clean.business_key(F.lit("sales-line"), F.col("customer"), F.col("po_number"),
+                                                        F.col("sub_type"), F.col("size")))
+    cust = (customers.groupBy(clean.normalized_organization("legal_name").alias("_ck"))
+            .agg(F.min("customer_id").alias("customer_id")))
+    latest = dedupe_latest(t, ["business_key"], ["source_row_id"])
+    latest = latest.withColumn("_ck", clean.normalized_organization("customer")).join(cust, "_ck", "left")
     return latest.select(
-        "customer_id", "po_number", "po_date",
+        "business_key", "customer_id", "po_number", "po_date", F.nullif("size", F.lit("")).alias("size_spec"),
         F.col("ordered").cast("decimal(18,3)").alias("ordered_quantity_mt"),
         F.col("dispatched").cast("decimal(18,3)").alias("reported_dispatched_quantity_mt"),
         F.col("target_fe").cast("decimal(8,4)").alias("target_fe_pct"),
@@ -232,13 +245,15 @@ def build_sales_orders(rows: DataFrame, customers: DataFrame, header_rows: int =
 
 
 def purchase_cost_components(purchases: DataFrame) -> DataFrame:
-    """One PURCHASE_PRICE cost component per purchase (key: purchase-cost | lot | date)."""
-    return purchases.where(F.col("purchase_rate_inr_per_mt").isNotNull()).select(
+    """The reported landed cost of each purchase whose lot resolves, one component per (lot, date), the last
+    written purchase wins; reported, so not itself part of the landed cost."""
+    priced = purchases.where(F.col("lot_id").isNotNull() & F.col("reported_landed_cost_inr_per_mt").isNotNull()).select(
         clean.business_key(F.lit("purchase-cost"), F.col("lot_id").cast("string"),
                            F.col("purchase_date").cast("string")).alias("business_key"),
-        "lot_id", F.lit("PURCHASE_PRICE").alias("component_code"),
-        F.col("purchase_rate_inr_per_mt").alias("rate_inr_per_mt"), F.col("purchase_date").alias("effective_on"),
-        F.lit(True).alias("included_in_landed_cost"), F.lit("reported").alias("approval_status"), "source_row_id")
+        "lot_id", F.lit("REPORTED_LANDED_COST").alias("component_code"),
+        F.col("reported_landed_cost_inr_per_mt").alias("rate_inr_per_mt"), F.col("purchase_date").alias("effective_on"),
+        F.lit(False).alias("included_in_landed_cost"), F.lit("reported").alias("approval_status"), "source_row_id")
+    return dedupe_latest(priced, ["business_key"], ["source_row_id"])
 
 
 def build_permits(rows: DataFrame, direction: str = "outward", header_rows: int = 1) -> DataFrame:
@@ -273,29 +288,33 @@ def build_auction_lots(rows: DataFrame, aliases: DataFrame, header_rows: int = 1
 
 def build_transport(rows: DataFrame, aliases: DataFrame, header_rows: int = 2
                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Transport work orders -> transporter organisations, mine sites and INWARD_TRANSPORT
-    cost components (single-lot orders with a numeric rate).
+    """Transport work orders -> transporter organisations, mine sites (of the mine's owner) and
+    INWARD_TRANSPORT cost components (orders whose lot text resolves, with a rate and a date), keyed by
+    financial year, work order and lot text.
 
-    cells: 0 work order, 2 date, 5 transporter, 7 mine, 8 quantity text, 9 lot text, 11 rate."""
+    cells: 0 work order, 1 financial year, 2 date, 5 transporter, 7 mine, 8 quantity text, 9 lot text, 11 rate."""
     c = F.col("cells")
-    t = rows.where((F.col("row_number") > header_rows) & (clean.text(F.get(c, 5)) != "")).select(
-        "source_row_id", clean.text(F.get(c, 0)).alias("work_order"), clean.date(F.get(c, 2)).alias("order_on"),
+    t = rows.where((F.col("row_number") > header_rows) & (clean.text(F.get(c, 0)) != "")
+                   & (clean.text(F.get(c, 5)) != "")).select(
+        "source_row_id", clean.text(F.get(c, 0)).alias("work_order"), clean.text(F.get(c, 1)).alias("year"), clean.date(F.get(c, 2)).alias("order_on"),
         clean.text(F.get(c, 5)).alias("transporter"), clean.text(F.get(c, 7)).alias("mine"),
         clean.text(F.get(c, 9)).alias("lot_text"), clean.number(F.get(c, 11)).alias("rate"))
     from .resolve import build_organizations
     orgs = build_organizations(t.select(F.col("transporter").alias("name"), F.lit("transporter").alias("role"),
                                         "source_row_id"), "name", "role", "source_row_id")
     sites = (t.where(F.col("mine") != "")
-             .select(clean.normalized_organization("transporter").alias("organization_key"),
+             .select(clean.normalized_organization("mine").alias("organization_key"),
                      clean.normalized("mine").alias("site_key"), F.col("mine").alias("name"), "source_row_id"))
     sites = dedupe_latest(sites, ["organization_key", "site_key"], ["source_row_id"])
-    single = t.where(~F.col("lot_text").rlike("[+,&]") & F.col("rate").isNotNull())
-    comps = resolve_alias(single, "lot_text", aliases).where(F.col("lot_id").isNotNull()).select(
-        clean.business_key(F.lit("transport"), F.col("work_order"), F.col("lot_text")).alias("business_key"),
+    order_key = clean.business_key(F.lit("transport-work-order"), F.coalesce(F.nullif("year", F.lit("")), F.lit("unknown")),
+                                   F.col("work_order"))
+    dated = t.where(F.col("rate").isNotNull() & F.col("order_on").isNotNull())
+    comps = resolve_alias(dated, "lot_text", aliases).where(F.col("lot_id").isNotNull()).select(
+        clean.business_key(order_key, F.col("lot_text")).alias("business_key"),
         "lot_id", F.lit("INWARD_TRANSPORT").alias("component_code"),
         F.col("rate").cast("decimal(18,4)").alias("rate_inr_per_mt"), F.col("order_on").alias("effective_on"),
-        F.lit(True).alias("included_in_landed_cost"), F.lit("reported").alias("approval_status"), "source_row_id")
-    return orgs, sites, comps
+        F.lit(False).alias("included_in_landed_cost"), F.lit("reported").alias("approval_status"), "source_row_id")
+    return orgs, sites, dedupe_latest(comps, ["business_key"], ["source_row_id"])
 
 
 def build_sites(rows: DataFrame, header_rows: int = 1) -> DataFrame:

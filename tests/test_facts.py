@@ -35,3 +35,73 @@ def test_movements_unpivot_drops_zero_and_blank(spark):
     got = sorted((r["lot_id"], r["direction"], r["event_type"], float(r["quantity_mt"])) for r in mv.collect())
     assert got == [(1, "in", "inward_receipt", 10.0), (2, "out", "customer_dispatch", 5.5)]
     assert [r["entity_key"] for r in issues.collect()] == ["LOT-9"]
+
+
+def sheet(spark, name, first, cells, source=None):
+    """Staged rows of one sheet from row number `first`; every row is 21 cells wide."""
+    data = [("f", name, first + i, c + [""] * (21 - len(c)), (source or 100) + i) for i, c in enumerate(cells)]
+    return spark.createDataFrame(data, SCHEMA)
+
+
+def test_receipts_keep_unmapped_lots_and_repeat_nothing(spark):
+    row = ["1-Apr-2026", "", "Acme", "LOT-1", "1,000.5", "3", "P-1"]
+    cells = [row, row[:3] + ["LOT-9"] + row[4:], row[:2] + ["", "LOT-1"] + row[4:], row[:4] + ["-"] + row[5:], row, row[:6] + ["P-2"]]
+    facts_, issues = facts.build_receipts(sheet(spark, "Daily Inward Details", 2, cells), aliases(spark))
+    got = sorted((r.lot_text, r.lot_id or 0, r.permit_number, r.source_row_id) for r in facts_.collect())
+    # a row written again replaces the first; no supplier or no quantity: no receipt; an unknown lot is null
+    assert got == [("LOT-1", 1, "P-1", 104), ("LOT-1", 1, "P-2", 105), ("LOT-9", 0, "P-1", 101)]
+    assert [r.entity_key for r in issues.collect()] == ["LOT-9"]
+
+
+def test_purchases_are_keyed_by_date_and_price_their_lots(spark):
+    def row(day, lot, landed, supplier="Acme"):
+        return [day, "Fines", "", supplier, lot, "100", "2,000", landed, "", "40", "60"]
+
+    cells = [row("1-Apr-2026", "LOT-1", "2,500"), row("2-Apr-2026", "LOT-1", "2,600"), row("1-Apr-2026", "LOT-1", "2,550"),
+             row("1-Apr-2026", "LOT-9", "9"), row("soon", "LOT-2", "1"), row("1-Apr-2026", "LOT-2", "")]
+    purchases, issues = facts.build_purchases(sheet(spark, "Purchased Details", 3, cells), aliases(spark))
+    got = sorted((r.source_lot_number, str(r.purchase_date), r.lot_id or 0, r.source_row_id) for r in purchases.collect())
+    assert got == [("LOT-1", "2026-04-01", 1, 102), ("LOT-1", "2026-04-02", 1, 101), ("LOT-2", "2026-04-01", 2, 105),
+                   ("LOT-9", "2026-04-01", 0, 103)]
+    assert [r.entity_key for r in issues.collect()] == ["LOT-9"]
+    costs = sorted((r.lot_id, str(r.effective_on), float(r.rate_inr_per_mt), r.component_code, r.included_in_landed_cost)
+                   for r in facts.purchase_cost_components(purchases).collect())
+    assert costs == [(1, "2026-04-01", 2550.0, "REPORTED_LANDED_COST", False), (1, "2026-04-02", 2600.0, "REPORTED_LANDED_COST", False)]
+
+
+def test_order_lines_keep_sub_type_size_and_unknown_customers(spark):
+    def row(customer, po, sub, size, ordered, day="1-Apr-2026"):
+        return [customer, "Iron", sub, po, day, "61", "", "", "5,000", ordered, "", "", "", size]
+
+    cells = [row("Acme Ltd", "PO 1", "Fines", "0-10", "100"), row("Acme Ltd", "PO 1", "Lumps", "0-10", "200"),
+             row("Acme Ltd", "PO 1", "Fines", "10-20", "300"), row("ACME LTD", "po-1", "fines", "0-10", "150"),
+             row("Nobody", "PO 2", "", "", "5"), row("Acme Ltd", "PO 3", "", "", "5", "soon")]
+    customers = spark.createDataFrame([(7, "Acme Limited"), (8, "ACME LTD.")], "customer_id long, legal_name string")
+    got = sorted((r.po_number, r.size_spec or "", float(r.ordered_quantity_mt), r.customer_id or 0)
+                 for r in facts.build_sales_orders(sheet(spark, "Outward Details", 3, cells), customers).collect())
+    assert got == [("PO 1", "0-10", 200.0, 7), ("PO 1", "10-20", 300.0, 7), ("PO 2", "", 5.0, 0), ("po-1", "0-10", 150.0, 7)]
+
+
+def test_transport_costs_and_mine_sites(spark):
+    def row(order, year, day, lots, rate, mine="North Mine", transporter="Fast Ltd"):
+        return [order, year, day, "", "", transporter, "", mine, "10", lots, "", rate]
+
+    cells = [row("1", "26-27", "1-Apr-2026", "LOT-1", "100"), row("1", "25-26", "1-Apr-2026", "LOT-1", "90"),
+             row("2", "", "soon", "LOT-1", "80"), row("3", "", "1-Apr-2026", "LOT-1 + LOT-2", "70"),
+             row("4", "", "1-Apr-2026", "LOT-2", "TBD"), row("", "", "1-Apr-2026", "LOT-2", "60"), row("1", "26-27", "1-Apr-2026", "LOT-1", "110")]
+    orgs, sites, costs = facts.build_transport(sheet(spark, "INWARD FINAL", 3, cells), aliases(spark))
+    assert orgs.count() == 1
+    assert [(r.organization_key, r.site_key) for r in sites.collect()] == [("northmine", "northmine")]
+    got = sorted((float(r.rate_inr_per_mt), r.lot_id, r.included_in_landed_cost) for r in costs.collect())
+    assert got == [(90.0, 1, False), (110.0, 1, False)]
+
+
+def test_envelope_counts_all_ids_and_needs_provenance(spark):
+    from opsledger.operators import evidence
+    result = spark.range(60).selectExpr("id AS sid")
+    prov = spark.range(60).selectExpr("id AS source_row_id", "'f' AS file_name", "'s' AS sheet_name")
+    issues = spark.createDataFrame([(59, "R")], "source_row_id long, rule_code string")
+    got = evidence.provenance_envelope(result, "sid", prov, issues).first()
+    assert (got.status, got.source_count, got.warning_issues) == ("flagged", 60, 1)
+    assert evidence.provenance_envelope(result, "sid", prov, issues.where("false")).first().status == "verified"
+    assert evidence.provenance_envelope(result, "sid", prov.where("false"), issues).first().status == "incomplete"
