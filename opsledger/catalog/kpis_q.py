@@ -235,7 +235,8 @@ SELECT p.supplier_id, p.lot_id, p.purchase_date, a.asp_month, a.asp,
        CAST(CAST(a.asp * 0.15 AS DECIMAL(18,4)) * 0.30 AS DECIMAL(18,4)) AS dmf,
        CAST(CAST(a.asp * 0.15 AS DECIMAL(18,4)) * 0.03 AS DECIMAL(18,4)) AS nmet
 FROM purchase_lots_r p LEFT JOIN asp_r a
-  ON p.purchase_date > a.asp_month AND (a.valid_to IS NULL OR p.purchase_date <= a.valid_to)""", extra=EX)
+  ON date_trunc('month', p.purchase_date) > a.asp_month
+     AND (a.valid_to IS NULL OR date_trunc('month', p.purchase_date) <= a.valid_to)""", extra=EX)
 def c26(spark, sf_dir):
     x = L(spark, sf_dir)
     return kpis.asp_levies(x.purchase_lots, x.auction_lots)
@@ -392,7 +393,8 @@ SELECT p.supplier_id, p.lot_id, p.purchase_date,
             + COALESCE(CAST(CAST(a.asp * 0.15 AS DECIMAL(18,4)) * 0.03 AS DECIMAL(18,4)), 0) + 50), 2) AS DECIMAL(24,2))
            AS pending_payment
 FROM purchase_lots_r p JOIN lots_r l ON l.lot_id = p.lot_id
-LEFT JOIN asp_r a ON p.purchase_date > a.asp_month AND (a.valid_to IS NULL OR p.purchase_date <= a.valid_to)""",
+LEFT JOIN asp_r a ON date_trunc('month', p.purchase_date) > a.asp_month
+  AND (a.valid_to IS NULL OR date_trunc('month', p.purchase_date) <= a.valid_to)""",
           extra=EX)
 def c26p(spark, sf_dir):
     x = L(spark, sf_dir)

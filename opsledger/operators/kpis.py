@@ -224,17 +224,19 @@ def asp_levies(purchases: DataFrame, auctions: DataFrame) -> DataFrame:
     """Royalty 15 % of the last average sale price (ASP) declared before the purchase date,
     DMF 30 % and NMET 3 % of the royalty.
 
-    The ASP series is monthly (one row per month, bounded by the calendar, so it is broadcast);
-    each month is valid until the next declared month, which turns the as-of lookup into a
-    broadcast range join with exactly one match per purchase."""
+    A month's ASP is declared when the month is over, so a purchase takes the last month with sales before its own.
+    The monthly series is filled forward (each month's ASP serves the months up to the next declared one), which makes
+    the as-of lookup an equi-join on the purchase's month with one match."""
     from pyspark.sql import Window
     asp = auctions.groupBy(F.trunc("closes_on", "MM").alias("asp_month")).agg(
         F.round(F.avg("current_price"), 4).cast("decimal(18,4)").alias("asp"))
-    w = Window.orderBy("asp_month")
-    asp = asp.withColumn("valid_to", F.lead("asp_month").over(w))
-    cond = ((F.col("purchase_date") > F.col("asp_month"))
-            & (F.col("valid_to").isNull() | (F.col("purchase_date") <= F.col("valid_to"))))
-    j = purchases.join(F.broadcast(asp), cond, "left")
+    month = F.trunc("purchase_date", "MM")
+    last = purchases.agg(F.max(month)).scalar()
+    first_served = F.add_months("asp_month", 1)
+    until = F.coalesce(F.lead("asp_month").over(Window.orderBy("asp_month")), F.greatest(first_served, last))  # one row a month
+    asp = asp.where(F.col("asp_month").isNotNull()).withColumn("until", until)
+    asp = asp.withColumn("month", F.explode(F.sequence(first_served, "until", F.expr("INTERVAL 1 MONTH")))).drop("until")
+    j = purchases.withColumn("month", month).join(asp, "month", "left")
     royalty = (F.col("asp") * F.lit(__import__("decimal").Decimal("0.15"))).cast("decimal(18,4)")
     return j.select("supplier_id", "lot_id", "purchase_date", "asp_month", "asp",
                     royalty.alias("royalty"),

@@ -21,11 +21,21 @@ def stage_rows(df: DataFrame, file_name: str, sheet: Column, row_number: Column,
 
 
 def file_hashes(spark, path_glob: str) -> DataFrame:
-    """Content hash and size of every landed file (binaryFile source)."""
+    """Content hash and size of every landed file (binaryFile source).
+
+    A table that landed as a folder of part files is one file: its hash is that of its parts' names and hashes in
+    order, its size their sum, its time the latest."""
     f = spark.read.format("binaryFile").load(path_glob)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path",
-                    F.sha2("content", 256).alias("file_hash"), F.col("length").alias("file_size_bytes"),
-                    F.col("modificationTime").alias("file_modified_at"))
+    steps = F.split("path", "/")
+    part, folder = F.element_at(steps, -1), F.try_element_at(steps, F.lit(-2))
+    inside = F.coalesce(folder.endswith(".parquet"), F.lit(False))
+    parts = f.select(F.when(inside, folder).otherwise(part).alias("file_name"),
+                     F.when(inside, F.array_join(F.slice(steps, 1, F.size(steps) - 1), "/")).otherwise(F.col("path")).alias("path"),
+                     inside.alias("inside"), part.alias("part"), F.sha2("content", 256).alias("hash"), "length", "modificationTime")
+    whole = F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("part", "hash")))), 256)
+    return parts.groupBy("file_name", "path").agg(
+        F.when(F.max("inside"), whole).otherwise(F.max("hash")).alias("file_hash"), F.sum("length").alias("file_size_bytes"),
+        F.max("modificationTime").alias("file_modified_at"))
 
 
 def dedupe_files(files: DataFrame) -> DataFrame:

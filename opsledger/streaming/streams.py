@@ -92,16 +92,16 @@ def trailing_counts(events: DataFrame, seconds: int = 600) -> DataFrame:
     """For every event, the number of the same user's events in (ts - seconds, ts].
 
     A range-frame window partitioned by user alone would put a hot user in one task.  Here
-    the partition is (user, hour): each event is placed in its own hour ("home") and, when it
-    lies in the last `seconds` of an hour, also in the next hour as context.  Every home
-    event then sees its whole trailing window inside its partition; only home rows are kept."""
+    the partition is (user, bucket), a bucket being an hour, or the window's length if that is
+    longer: each event is placed in its own bucket ("home") and, when it lies in the last
+    `seconds` of a bucket, also in the next one as context.  Every home event then sees its whole trailing window inside its partition; only home rows are kept."""
     # micros since epoch of the wall-clock timestamp (independent of the session time zone)
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-    hour_us = 3600 * 1_000_000
+    bucket_us = max(3600, seconds) * 1_000_000
     e = events.select("event_id", "user_id", "ts", us.alias("us"))
-    home = e.withColumn("bucket", F.floor(F.col("us") / hour_us)).withColumn("home", F.lit(True))
-    ctx = (e.where((F.col("us") % hour_us) >= hour_us - seconds * 1_000_000)
-           .withColumn("bucket", F.floor(F.col("us") / hour_us) + 1).withColumn("home", F.lit(False)))
+    home = e.withColumn("bucket", F.floor(F.col("us") / bucket_us)).withColumn("home", F.lit(True))
+    ctx = (e.where(F.pmod("us", F.lit(bucket_us)) >= bucket_us - seconds * 1_000_000)
+           .withColumn("bucket", F.floor(F.col("us") / bucket_us) + 1).withColumn("home", F.lit(False)))
     w = Window.partitionBy("user_id", "bucket").orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     both = home.unionByName(ctx).withColumn("trailing_count", F.count(F.lit(1)).over(w))
     return both.where("home").select("event_id", "user_id", "ts", "trailing_count")
