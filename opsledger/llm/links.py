@@ -93,10 +93,9 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Shingler, percent: in
             ob, hb = distinct_shingles(*shingles(right))
             n = rows.num_rows
             na, nb = np.bincount(oa, minlength=n), np.bincount(ob, minlength=n)
-            o, h = np.concatenate([oa, ob]), np.concatenate([ha, hb])
-            by = np.lexsort((h, o))
-            o, h = o[by], h[by]
-            both = np.bincount(o[1:][(h[1:] == h[:-1]) & (o[1:] == o[:-1])], minlength=n)
+            # a shingle of both sides is one distinct (owner, fingerprint) less than the two counts
+            either, _ = distinct_shingles(np.concatenate([oa, ob]), np.concatenate([ha, hb]))
+            both = na + nb - np.bincount(either, minlength=n)
             ok = (100 * both >= percent * (na + nb - both)) & (both > 0)
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([rows.column("a").take(keep), rows.column("b").take(keep)], names=["a", "b"])
