@@ -78,6 +78,16 @@ def test_lines(docs):
     assert left.columns == docs.columns and left.where("doc_id = 41").isEmpty() and not left.where("doc_id = 10").isEmpty()
 
 
+def test_short_lines_are_copies_too(spark):
+    long = "a line that is long enough to have been compared ever since"
+    data = [(1, f"{long}\nRead more\n{chr(0x8a9e) * 6}"), (2, f"Read more\nonly here\n{chr(0x8a9e) * 6}\nx"), (3, f"{long}\nread More\nx")]
+    df = spark.createDataFrame([(*r, 0) for r in data], "doc_id long, text string, n_chars int")
+    got = {(r.doc_id, r.line_no): (r.keeper_doc_id, r.keeper_line_no) for r in line_dedup.decisions(df).collect()}
+    assert got == {(1, 0): (1, 0), (1, 1): (1, 1), (1, 2): (1, 2), (2, 0): (1, 1), (2, 1): (2, 1), (2, 2): (1, 2), (2, 3): (2, 3),
+                   (3, 0): (1, 0), (3, 1): (1, 1), (3, 2): (2, 3)}
+    assert {r.doc_id: r.text for r in line_dedup.without_copies(df).collect()} == {1: data[0][1], 2: "only here\nx"}
+
+
 def test_warc(spark):
     big, small = "<html>" + "x" * 1200 + "\r\n\r\nWARC/1.1\r\n</html>", "<p>é</p>"
     data = [(1, "http://a.b/x", big), (2, "http://a.b/x", big), (3, None, None), (4, "http://A.b/y#z\r\n", small), (5, "q", small), (None, "http://c/", big)]
