@@ -88,6 +88,25 @@ def test_short_lines_are_copies_too(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_copies(df).collect()} == {1: data[0][1], 2: "only here\nx"}
 
 
+def test_large_group_keeps_every_link(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(40):  # pairs that share one template and are 0.75 to 0.8 alike; other pairs are far apart
+        tail = word(60)
+        lines += ["the same beginning of all " + tail, "the same beginning of all " + tail[:-7] + word(7)]
+    sets = [{x[k:k + 8] for k in range(len(x) - 7)} for x in lines]
+    want = {(i, j) for j in range(80) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(want) >= 40
+    members = spark.createDataFrame([(1, i) for i in range(80)], "key long, id long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    groups = {}
+    for r in line_dedup.rare_shingles(members, texts, 75).collect():
+        groups.setdefault(r.key, set()).add(r.id)
+    assert all(any({i, j} <= g for g in groups.values()) for i, j in want)
+    assert max(map(len, groups.values())) < 80
+
+
 def test_warc(spark):
     big, small = "<html>" + "x" * 1200 + "\r\n\r\nWARC/1.1\r\n</html>", "<p>é</p>"
     data = [(1, "http://a.b/x", big), (2, "http://a.b/x", big), (3, None, None), (4, "http://A.b/y#z\r\n", small), (5, "q", small), (None, "http://c/", big)]
