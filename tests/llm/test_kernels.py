@@ -133,3 +133,9 @@ def test_similar_lines_share_a_band():
             own, key = line_dedup.band_keys(texts(line, other))
             hit += bool(set(key[own == 0].tolist()) & set(key[own == 1].tolist()))
     assert hit >= 112
+
+
+@pytest.mark.parametrize("unit, short, long", [("NaN, ", 22, 60), ("-", 30, 400), ("| --- ", 20, 90)])
+def test_repetitive_lines_with_equal_sets_share_bands(unit, short, long):
+    own, key = line_dedup.band_keys(texts(unit * short, unit * long, "another line"))
+    assert set(key[own == 0].tolist()) <= set(key[own == 1].tolist())
