@@ -5,6 +5,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from opsledger.operators import kpis
 from opsledger.sources import stage
@@ -35,6 +36,24 @@ def test_folder_of_part_files_is_one_file(spark, tmp_path):
     assert stage.dedupe_files(files).count() == 2
 
 
+def test_streams_keep_events_of_unordered_files(spark, tmp_path):
+    start = dt.datetime(2026, 1, 1)
+    rng = random.Random(3)
+    data = [(i, i % 3, "ab"[i % 2], start + dt.timedelta(minutes=rng.randrange(20 * 1440)), 1.5) for i in range(400)]
+    data += [(1000 + i, 7, "a", start + dt.timedelta(days=i // 4, minutes=i % 4), 0.25) for i in range(40)]
+    events = spark.createDataFrame(data, "event_id long, user_id long, event_type string, ts timestamp_ntz, value double")
+    path = f"{tmp_path}/events.parquet"
+    events.orderBy(F.desc("ts")).repartitionByRange(4, F.desc("ts")).write.parquet(path)
+    got = {(r.day, r.event_type): (r.events, r.value_sum) for r in streams.daily_event_totals(spark, path).collect()}
+    want = {}
+    for _, _, kind, ts, value in data:
+        n, total = want.get((ts.date(), kind), (0, Decimal(0)))
+        want[ts.date(), kind] = n + 1, total + Decimal(str(value))
+    assert got == want
+    bursts = streams.burst_windows_batch(events, 2).collect()
+    assert bursts and sorted(streams.burst_windows(spark, path, 2).collect()) == sorted(bursts)
+
+
 def test_asp_is_the_last_closed_month(spark):
     day = dt.date.fromisoformat
     auctions = spark.createDataFrame([(day("2026-01-20"), Decimal(100)), (day("2026-04-02"), Decimal(300)), (day("2026-04-30"), Decimal(500))],
