@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation (operator 3).
 
 Numbers, names and units become typed placeholders (slots); every window of `width` template tokens of a document is
-looked up among the benchmark's windows by a hash join.  Hits on one alignment (document position minus item position)
-must map the item's slot values to document values as a function: then a question whose numbers or names were replaced
-throughout is a leak, while boilerplate with unrelated values is not.
+looked up among the benchmark's windows by a hash join; windows of few plain words must be equal word for word.  Hits on
+one alignment (document position minus item position) map the item's slot values to document values; of each value the
+answer that most windows give counts, and a window goes unless most of its slots agree with that (half are enough if one
+is unchanged): then a question whose numbers or names were replaced throughout is a leak, and so is a copy with an edited
+number, while boilerplate with unrelated values is not.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -42,7 +44,7 @@ class Rules:
 
     width: int = 8  # template tokens in a window; a shorter item is one window of its own length
     least_item: int = 4  # items with fewer template tokens are no evidence and are not searched
-    least_literal: float = 0.5  # share of a window's tokens that are plain words
+    least_literal: float = 0.5  # windows with a smaller share of plain words match only word for word
     least_cover: float = 0.5  # share of an item's tokens inside consistent hits
     filter_entries: int = 1 << 20  # up to this many distinct benchmark windows (8 MB) scans drop non-hits at once
 
@@ -116,11 +118,17 @@ class Template:
         self.first = np.cumsum(self.count) - self.count
 
     def windows(self, width: int, least_literal: float) -> tuple[np.ndarray, np.ndarray]:
-        """Token positions and fingerprints of the windows of `width` tokens with enough plain words."""
+        """Token positions and fingerprints of the windows of `width` tokens: of the template, or of the values themselves
+        where too few tokens are plain words."""
         at = K.windows_in(self.doc, width)
+        if not len(at):
+            return at, np.zeros(0, K.U)
         plain = np.concatenate([[0], np.cumsum(self.slot == 0)])
-        at = at[plain[at + width] - plain[at] >= least_literal * width]
-        return at, K.window_hash(self.symbol, width)[at] if len(at) else np.zeros(0, K.U)
+        poor = plain[at + width] - plain[at] < least_literal * width
+        grams = K.window_hash(self.symbol, width)[at]
+        if poor.any():
+            grams[poor] = K.mix(K.window_hash(self.value, width)[at[poor]] + K.U(1))
+        return at, grams
 
 
 def _rows(template: Template, ids: pa.Array, at: np.ndarray, grams: np.ndarray, width: int, n_tokens: bool) -> pa.RecordBatch:
@@ -180,6 +188,19 @@ def document_windows(docs: DataFrame, doc_id: str, text: str, rules: Rules, widt
     return src.mapInArrow(run, _WINDOW)
 
 
+def _chosen(slots: Column) -> Column:
+    """Of an alignment's slots (a value of the item, the document's value) the document's value that counts for each: that
+    of most windows, then the item's own, then the largest."""
+    pairs = F.transform(slots, lambda s: F.struct(s["a"].alias("a"), s["v"].alias("v")))
+    answers = F.array_distinct(pairs)
+    asked = F.array_distinct(F.transform(slots, lambda s: s["a"]))
+    votes = F.transform(answers, lambda x: F.struct(x["a"].alias("a"), F.size(F.filter(pairs, lambda p: p == x)).alias("n"),
+                                                    (x["a"] == x["v"]).alias("same"), x["v"].alias("v")))
+    best = F.transform(asked, lambda a: F.array_max(F.filter(votes, lambda x: x["a"] == a)))
+    voted = F.map_from_entries(F.transform(best, lambda x: F.struct(x["a"], x["v"])))
+    return F.when(F.size(asked) == F.size(answers), F.map_from_entries(answers)).otherwise(voted)
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
           rules: Rules = Rules()) -> DataFrame:
     """One row per leaked (document, item): cover (share of the item's template tokens found), n_windows, n_slots,
@@ -202,14 +223,18 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
         "doc_id", "item_id", "n_tokens", (F.col("pos") - F.col("at")).alias("shift"), "at", "width", pairs.alias("slots"))
     # an alignment holds at most one hit for each item position, so its sets are bounded by the item's length
     aligned = joined.groupBy("doc_id", "item_id", "n_tokens", "shift").agg(
-        F.collect_set("at").alias("ats"), F.max("width").alias("width"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    ask = F.array_distinct(F.transform("slots", lambda s: s["a"]))
-    answer = F.array_distinct(F.transform("slots", lambda s: F.struct(s["a"].alias("a"), s["v"].alias("v"))))
-    consistent = aligned.where(F.size(ask) == F.size(answer))
-    tokens = F.flatten(F.transform("ats", lambda p: F.sequence(p, p + F.col("width") - 1)))
+        F.collect_set(F.struct("at", "slots")).alias("hits"), F.max("width").alias("width"))
+    aligned = aligned.withColumn("chosen", _chosen(F.flatten(F.col("hits.slots"))))
+    other = lambda s: F.element_at("chosen", s["a"]) != s["v"]
+    unchanged = lambda h: F.exists(h["slots"], lambda s: s["a"] == s["v"]).cast("int")
+    agrees = lambda h: 2 * F.size(F.filter(h["slots"], other)) < F.size(h["slots"]) + unchanged(h)
+    aligned = aligned.withColumn("hits", F.filter("hits", lambda h: (F.size(h["slots"]) == 0) | agrees(h))).where(F.size("hits") > 0)
+    aligned = aligned.withColumn("slots", F.array_distinct(F.flatten(F.col("hits.slots"))))
+    tokens = F.array_distinct(F.flatten(F.transform("hits.at", lambda p: F.sequence(p, p + F.col("width") - 1))))
+    tokens = F.array_except(tokens, F.transform(F.filter("slots", other), lambda s: s["i"]))
     # alignments of the same item in one document: at most one per window of the item that counts
-    per_shift = consistent.select("doc_id", "item_id", "n_tokens", tokens.alias("tokens"), F.size("ats").alias("hits"), F.size("slots").alias("n_slots"),
-                                  F.size(F.filter("slots", lambda s: s["a"] != s["v"])).alias("n_changed"))
+    per_shift = aligned.select("doc_id", "item_id", "n_tokens", tokens.alias("tokens"), F.size("hits").alias("hits"), F.size("slots").alias("n_slots"),
+                               F.size(F.filter("slots", lambda s: s["a"] != s["v"])).alias("n_changed"))
     found = per_shift.select("doc_id", "item_id", "n_tokens", "hits", "n_slots", "n_changed", F.explode("tokens").alias("token"))
     per_token = found.groupBy("doc_id", "item_id", "n_tokens", "token").agg(
         F.max(F.struct("hits", "n_slots", -F.col("n_changed"))).alias("best"))

@@ -139,3 +139,10 @@ def test_similar_lines_share_a_band():
 def test_repetitive_lines_with_equal_sets_share_bands(unit, short, long):
     own, key = line_dedup.band_keys(texts(unit * short, unit * long, "another line"))
     assert set(key[own == 0].tolist()) <= set(key[own == 1].tolist())
+
+
+def test_number_heavy_windows_match_word_for_word():
+    t = decontaminate.Template(texts("What is 345 + 678 * 12?", "so: what is 345 + 678 * 12", "What is 5 + 6 * 7?"))
+    at, grams = t.windows(5, 0.5)
+    of = [set(grams[t.doc[at] == k].tolist()) for k in range(3)]
+    assert len(of[0]) == 1 and of[0] <= of[1] and not of[0] & of[2]

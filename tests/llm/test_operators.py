@@ -149,6 +149,19 @@ def test_decontamination(spark):
     assert got == {(1, 1): "verbatim", (2, 1): "reparameterised"}
 
 
+def test_decontamination_of_numbers_and_edited_copies(spark):
+    long = "the tank was filled for 3 days and then it was left to rest for another 3 hours so how much water had gone into it by the end"
+    items = spark.createDataFrame([(1, "What is 345 + 678 * 12?"), (2, "Compute 12 + 15 + 23 + 48 - 7"), (3, long), (4, "a trip takes 3 days and 3 hours in all"),
+                                   (5, "a box holds 3 red and 3 blue balls in all")],
+                                  "item_id long, text string")
+    data = [(1, "Homework. What is 345 + 678 * 12? Good luck."), (2, "now compute 12 + 15 + 23 + 48 - 7 please"), (3, "what is 5 + 6 * 7? compute 1 + 2 + 3 + 4 - 5"),
+            (4, long.replace("3 hours", "5 hours")), (5, long.replace("3 days", "4 days").replace("3 hours", "6 hours")), (6, "a trip takes 3 days and 5 hours in all"),
+            (7, "a box holds 3 red and 4 blue balls in all"), (8, "a box holds 5 red and 7 blue balls in all")]
+    got = {(r.doc_id, r.item_id): (r.kind, r.n_changed) for r in decontaminate.leaks(spark.createDataFrame(data, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (4, 3), (5, 3), (6, 4), (7, 5)}
+    assert got[1, 1] == got[2, 2] == ("verbatim", 0) and got[6, 4] == ("reparameterised", 1)
+
+
 def test_map_operators_and_columns(docs, rows):
     q = quality_rules.quality_columns(docs, ["doc_id"]).collect()
     assert len(q) == len(rows) and quality_rules.good_rows(docs).columns == docs.columns
