@@ -1,7 +1,7 @@
 """Secret scan with a random forest for false-positive removal (operator 6; DataFrame functions and MLlib only).
 
-Candidates are long runs of key characters with a digit.  Splitting a text at its candidates gives the text between
-them, hence each candidate's neighbouring words, in one linear pass.  Features: length, character classes and
+Candidates are values assigned to the name of a credential, whatever their characters, and long runs of key characters
+with a digit.  Splitting a text at its candidates gives the text between them, hence each candidate's neighbouring words, in one linear pass.  Features: length, character classes and
 transitions, dictionary coverage, the path (source) and the neighbouring words.  The forest learns from labelled
 findings and scores every candidate.
 """
@@ -17,15 +17,22 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{12,}"
 SIDE = 48  # characters kept on either side of a candidate
-TRAINING_ROWS = 20_000  # bound of the labelled sample the forest is fitted on
+TRAINING_ROWS = 20_000  # bound of the labelled sample (distinct features) the forest is fitted on, half of it for each label
 TREES, TREE_DEPTH, SEED = 24, 6, 42
 THRESHOLD = 0.5
 
 # Names of credentials, names of harmless identifiers, and common words inside identifiers.
 CREDENTIAL = "token|secret|passwd|password|pwd|apikey|api_key|api-key|access_key|auth|credential|private_key|bearer"
 HARMLESS = "sha1|sha256|md5|commit|checksum|digest|uuid|guid|hash|etag|revision|build|version|phone|card|order|invoice"
+# A value beside NAME= or NAME: is in quotes, or runs to the next space or quote; the tests of single characters before
+# it come first, for speed.  A run of key characters does not begin with such a name, so the value is left to ASSIGNED.
+_GIVEN = rf"(?<=(?i:{CREDENTIAL})[\"'`]?[ \t]{{0,8}}[=:]{{1,2}}>?[ \t]{{0,8}}[\"'`]?)"
+ASSIGNED = (r"(?<=[\"'`=:> \t])(?=[^\s\"'`])(?<=[=:]>?[ \t]{0,8}[\"'`]?)" + _GIVEN + r"(?![=:>])"
+            r"(?:(?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|(?<=`)[^`\r\n]+(?=`)|[^\s\"'`]*[^\s\"'`,;.)}\]>])")
+RUN = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])" rf"(?![A-Za-z0-9+/_-]*(?i:{CREDENTIAL})={{1,2}}[^\s\"'`=])"
+       r"[A-Za-z0-9+/_=-]{12,}")
+CANDIDATE = f"{ASSIGNED}|{RUN}"
 DICTIONARY = ("example sample test demo dummy default user name value key data file path http https www com org net html index "
               "image static content page item list table field query number string object class function module version config "
               "server client local public private system service account the and for with that this from have").split()
@@ -53,7 +60,7 @@ def features(found: DataFrame) -> DataFrame:
     c, before, after = F.col("candidate"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
     path = F.coalesce("path", F.lit(""))
     n = F.length(c).cast("double")
-    classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "c"), "+/_=-", "ddddd")
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "c"), "[^abc]", "d")
     known = "(" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")"
     left = F.lower(before)
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
@@ -62,7 +69,7 @@ def features(found: DataFrame) -> DataFrame:
         "f_digits": _count(c, "[0-9]") / n,
         "f_upper": _count(c, "[A-Z]") / n,
         "f_lower": _count(c, "[a-z]") / n,
-        "f_other": _count(c, "[+/_=-]") / n,
+        "f_other": _count(c, "[^A-Za-z0-9]") / n,
         "f_transitions": (F.length(F.regexp_replace(classes, r"(.)\1*", "$1")) - 1).cast("double") / n,
         "f_distinct": F.size(F.array_distinct(F.split(c, ""))).cast("double") / n,
         "f_hex": flag(F.rlike(c, F.lit("^[0-9a-f]+$"))),
@@ -90,16 +97,19 @@ def evidence(found: DataFrame) -> Column:
 def scored(found: DataFrame, labelled: DataFrame) -> DataFrame:
     """`found` (with FEATURES) plus probability and is_secret, by a forest fitted on `labelled` (FEATURES and label).
 
-    The forest sees at most TRAINING_ROWS labelled rows, those first by the hash of their features, so equal tables
-    give equal forests.  With labels of one class only, that class is the answer; without labels nothing is a secret."""
+    The forest sees at most TRAINING_ROWS distinct rows, weighted by their number: of each label half as many, those first
+    by the hash of their features, so equal tables give equal forests.  With labels of one class only, that class is the
+    answer; without labels nothing is a secret."""
     order = F.xxhash64(*FEATURES, "label")
-    sample = written(labelled.select(*FEATURES, "label").orderBy(order).limit(TRAINING_ROWS), "labels")
+    distinct = written(labelled.groupBy(*FEATURES, "label").agg(F.count(F.lit(1)).cast("double").alias("weight")), "distinct")
+    half = lambda label: distinct.where(F.col("label") == label).orderBy(order).limit(TRAINING_ROWS // 2)
+    sample = written(half(0.0).union(half(1.0)), "labels")
     seen = sample.agg(F.min("label").alias("lo"), F.max("label").alias("hi")).first()
     if seen["lo"] == seen["hi"]:
         flat = found.withColumn("probability", F.lit(float(seen["hi"] or 0.0)))
     else:
         stages = [VectorAssembler(inputCols=FEATURES, outputCol="__v"),
-                  RandomForestClassifier(featuresCol="__v", labelCol="label", numTrees=TREES, maxDepth=TREE_DEPTH, seed=SEED,
+                  RandomForestClassifier(featuresCol="__v", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=TREE_DEPTH, seed=SEED,
                                          probabilityCol="__p", rawPredictionCol="__r", predictionCol="__c", maxMemoryInMB=64)]
         flat = Pipeline(stages=stages).fit(sample).transform(found)
         flat = flat.withColumn("probability", F.get(vector_to_array("__p"), F.lit(1))).drop("__v", "__p", "__r", "__c")

@@ -139,6 +139,25 @@ def test_secrets(spark):
     assert all(got[i] for i in range(30)) and not any(got[i] for i in range(30, 60)) and got[60] and 61 not in got
 
 
+def test_assigned_values_are_candidates(spark):
+    data = [(1, 'password = "correct-horse-battery-staple" # x'), (2, "db_password: p.4!s@s#w0rd, next"), (3, "see api_key=abcdefghijklmnop&x=1 now"),
+            (4, "secret = 'two words'"), (5, "DB_PASSWORD2_TOKEN=Ab1!x.y#z9"), (6, "the password is secret, he said"), (7, 'id = "0123456789abcdef" ok'), (8, "token == x")]
+    df = spark.createDataFrame([(*r, "a") for r in data], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.candidate, r.before + r.candidate + r.after) for r in secret_forest.findings(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "correct-horse-battery-staple", 2: "p.4!s@s#w0rd", 3: "abcdefghijklmnop&x=1", 4: "two words",
+                                                5: "Ab1!x.y#z9", 7: "0123456789abcdef", 8: "x"}
+    assert all(got[i][1] == t for i, t in data if i in got)
+
+
+def test_copies_do_not_fill_the_training_sample(spark, monkeypatch):
+    monkeypatch.setattr(secret_forest, "TRAINING_ROWS", 8)
+    key = "0123456789abcdef0123456789abcdef"
+    data = [(i, "paid with card 1234567890123456 today") for i in range(40)] + [(i, f'token = "{key}"') for i in range(40, 80)]
+    df = spark.createDataFrame([(*r, "a") for r in data], "doc_id long, text string, source string")
+    got = {r.doc_id: r.is_secret for r in secret_forest.scan(df).collect()}
+    assert not any(got[i] for i in range(40)) and all(got[i] for i in range(40, 80))
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, "Anna has 12 apples and gives 5 of them to a friend, so how many of the apples are left"), (2, "tiny"), (3, None)],
                                   "item_id long, text string")
