@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, chat_snapshots, chosen_path, decontaminate, language_mixture, line_dedup, quality_rules,
-               secret_forest, suffix_family, warc_index)
+from . import (byte_bpe, chat_snapshots, chosen_path, conversation_repair, decontaminate, language_mixture, line_dedup,
+               quality_rules, secret_forest, suffix_family, warc_index, whitening, word_bpe)
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def pattern() -> str:
@@ -65,8 +66,21 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.collapse(table(spark, sf_dir, "conversations"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode_decode(table(spark, sf_dir, "documents"), ["doc_id"], WORD_VOCABULARY, digests=True)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_index, op2_byte_bpe, op3_decontamination, op4_quality_rules, op5_language_mixture,
-                            op6_secret_forest, op7_line_dedup, op8_suffix_family, op9_chosen_path, op10_chat_snapshots)}
+                            op6_secret_forest, op7_line_dedup, op8_suffix_family, op9_chosen_path, op10_chat_snapshots, op11_whitening, op12_word_bpe,
+                            op13_conversation_repair)}
 
 ORACLE: dict[str, str] = {"op1_warc_index": warc_index.ORACLE, "op10_chat_snapshots": chat_snapshots.ORACLE}
