@@ -128,7 +128,8 @@ class Seen:
 
     def add(self, row: bytes) -> bool:
         """Whether the row is new."""
-        if row in self.recent or any((p := int(np.searchsorted(r, np.bytes_(row)))) < len(r) and r[p] == np.bytes_(row) for r in self.runs):
+        key = np.bytes_(row.rstrip(b"\0"))  # as fixed-width arrays give their entries back
+        if row in self.recent or any((p := int(np.searchsorted(r, key))) < len(r) and r[p] == key for r in self.runs):
             return False
         self.recent.add(row)
         if len(self.recent) >= 1 << 16:
