@@ -13,10 +13,40 @@ from collections.abc import Iterable
 
 import numpy as np
 
-_PARTS = (("key", "<u8"), ("target", "<u4"), ("out", "<u4"), ("out_end", "<u4"), ("final", "u1"), ("tail", "<u4"),
+_PARTS = (("key", "<i8"), ("slot", "<i4"), ("target", "<u4"), ("out", "<u4"), ("out_end", "<u4"), ("final", "u1"), ("tail", "<u4"),
           ("tail_end", "<u4"), ("pool", "<u4"))
 
 
+def hash_slots(keys: np.ndarray) -> np.ndarray:
+    """Open-addressing table of distinct 64-bit `keys`: their positions, -1 in empty slots."""
+    slots = np.full(1 << max(4 * len(keys), 4).bit_length(), -1, np.int32)
+    rest = np.arange(len(keys), dtype=np.int32)
+    at = _slot_of(keys, slots)
+    while len(rest):
+        free = slots[at] < 0
+        slots[at[free]] = rest[free]  # of several that want one slot, one stays
+        lost = slots[at] != rest
+        rest, at = rest[lost], (at[lost] + 1) & (len(slots) - 1)
+    return slots
+
+
+def find(keys: np.ndarray, slots: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Positions of `want` among `keys`, -1 where absent."""
+    at = _slot_of(want, slots)
+    out = slots[at]
+    go = np.flatnonzero((out >= 0) & (keys[out] != want)) if len(keys) else np.zeros(0, np.int64)
+    while len(go):
+        at[go] = (at[go] + 1) & (len(slots) - 1)
+        out[go] = slots[at[go]]
+        go = go[(out[go] >= 0) & (keys[out[go]] != want[go])]
+    return out
+
+
+def _slot_of(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(65 - len(slots).bit_length())).view(np.int64)
+
+
 class _State:
     __slots__ = ("arcs", "final", "tail")
 
@@ -93,7 +123,8 @@ def _packed(register: dict[tuple, int], root: int) -> bytes:
         arcs += [(n << 8 | b, number[t], *stored(o)) for b, t, o in out]
     arcs.sort()
     col = lambda i, kind: np.array([a[i] for a in arcs], kind)
-    data = {"key": col(0, "<u8"), "target": col(1, "<u4"), "out": col(2, "<u4"), "out_end": col(3, "<u4"), "final": final,
+    key = col(0, "<i8")
+    data = {"key": key, "slot": hash_slots(key), "target": col(1, "<u4"), "out": col(2, "<u4"), "out_end": col(3, "<u4"), "final": final,
             "tail": tails[:, 0].copy(), "tail_end": tails[:, 1].copy(), "pool": np.array(pool, "<u4")}
     sizes = np.array([len(data[name]) for name, _ in _PARTS], "<u8")
     return sizes.tobytes() + b"".join(data[name].tobytes() for name, _ in _PARTS)
@@ -117,19 +148,18 @@ class Transducer:
         size = np.fromiter(map(len, words), np.int64, n)
         buf = np.frombuffer(b"".join(words), np.uint8)
         first = np.cumsum(size) - size
-        state = np.zeros(n, np.uint64)
+        state = np.zeros(n, np.int64)
         known = np.zeros(n, bool)
         steps: list[np.ndarray] = []  # arc of each word at each step, -1 where it has none
         at = np.arange(n)
         while len(at):
             done = size[at] == len(steps)
-            known[at[done]] = self.final[state[at[done]].astype(np.int64)] > 0
+            known[at[done]] = self.final[state[at[done]]] > 0
             at = at[~done]
             if not len(at) or not len(self.key):
                 break
-            want = state[at] << np.uint64(8) | buf[first[at] + len(steps)]
-            pos = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-            hit = self.key[pos] == want
+            pos = find(self.key, self.slot, state[at] << 8 | buf[first[at] + len(steps)])
+            hit = pos >= 0
             at, pos = at[hit], pos[hit]
             arc = np.full(n, -1, np.int64)
             arc[at] = pos
@@ -137,7 +167,7 @@ class Transducer:
             state[at] = self.target[pos]
         found = np.flatnonzero(known)
         arcs = np.stack([s[found] for s in steps], 1) if steps else np.zeros((len(found), 0), np.int64)
-        ends = state[found].astype(np.int64)
+        ends = state[found]
         lo = np.concatenate([np.where(arcs < 0, 0, self.out[arcs] if len(self.out) else 0),
                              self.tail[ends][:, None]], 1).astype(np.int64)
         hi = np.concatenate([np.where(arcs < 0, 0, self.out_end[arcs] if len(self.out) else 0),

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .byte_bpe import Memory, vocabulary
 from .common import scratch_dir, written
-from .lexicon import Transducer, compile_lexicon
+from .lexicon import Transducer, compile_lexicon, find, hash_slots
 
 SHARE = 1 / (1 << 18)  # of all word occurrences, that a word of the lexicon has at least
 LONGEST = 64  # bytes of a word that is merged in blocks or kept in the lexicon; longer ones use a heap
@@ -40,7 +40,8 @@ FLUSH = 400_000  # words that a counting task holds before it hands its counts o
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f"[{_SPACES}]+").split
 _SEPARATOR = re.compile("[\x1c-\x1f]").search
-_NONE = (1 << 62)
+_NONE = 1 << 62
+_END = b"\xff" * 4
 SCHEMA = "n_tokens long, ids binary, decoded binary"
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -75,41 +76,49 @@ class WordBpe:
         pairs = [(vocab[a] << 32 | vocab[b], rank, vocab[a + b]) for rank, (a, b) in enumerate(map(_pair, model["merges"]))]
         pairs.sort()
         self.key = np.array([p[0] for p in pairs], np.int64)
+        self.slot = hash_slots(self.key)
         self.rank = np.array([p[1] for p in pairs], np.int64)
         self.joined = np.array([p[2] for p in pairs], np.int64)
         self.rule = {k: (r, j) for k, r, j in pairs}
         whole = Tokenizer.from_file(path)
         self.normalize, self.pre_tokenize = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n").findall
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.mark = os.path.commonprefix(list(self.special))
 
-    def words(self, chunk: str) -> list[bytes | int]:
-        """Normalised words of a run of text without white space, as UTF-8; special tokens as their ids."""
-        if self.mark and self.mark in chunk:
-            out: list[bytes | int] = []
-            for part in self.at_special(chunk):
-                out += [self.special[part]] if part in self.special else self.plain_words(part)
-            return out
-        return self.plain_words(chunk)
-
-    def plain_words(self, chunk: str) -> list[bytes]:
-        if not chunk:
-            return []
-        if max(chunk) < "ɐ" and not _SEPARATOR(chunk):  # letters here have no parts to compose, and no other case rules
-            return [w.encode() for w in self.split(chunk.lower())]
-        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.pre_tokenize(self.normalize(chunk))]
-
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word by its merges."""
+    def words(self, chunks: list[str]) -> tuple[list[str], list[str], dict[str, list[str | int]]]:
+        """The normalised words of runs of text without white space.
+
+        Most runs are split by one call: they come first, and their words with a line end after each run but the last.
+        The others, with letters that have parts or special tokens, come with their words, special tokens as ids."""
+        odd: dict[str, list[str | int]] = {}
+        plain = [c for c in chunks if c.isascii() or max(c) < "ɐ"]  # letters that never compose, with plain case rules
+        if len(plain) < len(chunks):
+            odd = {c: [] for c in set(chunks).difference(plain)}
+        joined = "\n".join(plain)
+        if self.mark in joined or _SEPARATOR(joined):
+            odd |= {c: [] for c in plain if self.mark in c or _SEPARATOR(c)}
+            plain = [c for c in plain if c not in odd]
+            joined = "\n".join(plain)
+        for c, out in odd.items():
+            for part in self.at_special(c):
+                if part in self.special:
+                    out.append(self.special[part])
+                elif part:
+                    out += [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.pre_tokenize(self.normalize(part))]
+        return plain, self.split(joined.lower()), odd
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word by its merges, as little-endian unsigned 32-bit integers."""
         out: list = [None] * len(words)
         short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
-        for i, w in enumerate(words):
-            if len(w) > LONGEST:
-                out[i] = self._merge_long(w)
+        if len(short) < len(words):
+            for i, w in enumerate(words):
+                if len(w) > LONGEST:
+                    out[i] = self._merge_long(w).astype("<u4").tobytes()
         for lo in range(0, len(short), 50_000):
             part = short[lo:lo + 50_000]
-            for i, ids in zip(part, self._merge_block([words[i] for i in part])):
+            for i, ids in zip(part, cut_ids(*self._merge_block([words[i] for i in part]))):
                 out[i] = ids
         return out
 
@@ -118,7 +127,7 @@ class WordBpe:
         sym[ends] = self.last[raw[ends]]
         return sym
 
-    def _merge_block(self, words: list[bytes]) -> list[np.ndarray]:
+    def _merge_block(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """One merge of every word in each round: its lowest rank, leftmost."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         sym = self._symbols(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - 1)
@@ -127,10 +136,9 @@ class WordBpe:
         while len(sym):
             value = np.full(len(sym), _NONE, np.int64)
             inside = np.flatnonzero(own[:-1] == own[1:])
-            want = sym[inside] << 32 | sym[inside + 1]
-            pos = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-            hit = self.key[pos] == want
-            value[inside[hit]] = self.rank[pos[hit]] << 32 | inside[hit]
+            rule = find(self.key, self.slot, sym[inside] << 32 | sym[inside + 1])
+            hit = rule >= 0
+            value[inside[hit]] = self.rank[rule[hit]] << 32 | inside[hit]
             start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             best = np.minimum.reduceat(value, start)
             go = best < _NONE
@@ -139,14 +147,13 @@ class WordBpe:
             done_sym.append(sym[~stay])
             done_own.append(own[~stay])
             at = best[go] & 0xFFFFFFFF
-            where = np.searchsorted(self.key, sym[at] << 32 | sym[at + 1])
-            sym[at] = self.joined[where]
+            sym[at] = self.joined[find(self.key, self.slot, sym[at] << 32 | sym[at + 1])]
             stay[at + 1] = False
             sym, own = sym[stay], own[stay]
         sym, own = np.concatenate(done_sym or [sym]), np.concatenate(done_own or [own])
         order = np.argsort(own, kind="stable")
         count = np.bincount(own, minlength=len(words))
-        return np.split(sym[order], np.cumsum(count)[:-1]) if len(words) else []
+        return sym[order], count
 
     def _merge_long(self, word: bytes) -> np.ndarray:
         """A heap of the pairs by rank and place, for words of any length."""
@@ -175,6 +182,12 @@ class WordBpe:
         return " ".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def cut_ids(ids: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """The ids of each word, which follow one another, as bytes of their own."""
+    raw, end = ids.astype("<u4").tobytes(), np.cumsum(count) * 4
+    return [raw[a:b] for a, b in zip((end - 4 * count).tolist(), end.tolist())]
+
+
 def _pair(merge) -> tuple[str, str]:
     return tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge)
 
@@ -193,23 +206,25 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = list(map(chunks, texts))
-        new = self.known.missing(set().union(*split))
-        parts = [self.bpe.words(c) for c in new]
-        ids = self.word_ids({w for p in parts for w in p if isinstance(w, bytes)})
+        plain, words, odd = self.bpe.words(self.known.missing(set().union(*split)))
+        distinct = set(words).union(*odd.values())
+        ids = self.word_ids([w for w in distinct if isinstance(w, str) and w != "\n"])
+        ids["\n"] = _END  # no id has four such bytes, so that the joined ids can be cut there
         table = self.known.recent
-        for c, p in zip(new, parts):
-            table[c] = b"".join([ids[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in p])
+        if plain:
+            table.update(zip(plain, b"".join(map(ids.__getitem__, words)).split(_END)))
+        for c, p in odd.items():
+            table[c] = b"".join([ids[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in p])
         return [b"".join(map(table.__getitem__, s)) for s in split]
 
-    def word_ids(self, words: set[bytes]) -> dict[bytes, bytes]:
-        order = list(words)
-        short = [w for w in order if len(w) <= LONGEST]
-        known, flat, count = self.lexicon.lookup(short)
-        end = np.cumsum(count) * 4
-        raw = flat.astype("<u4").tobytes()
-        out = {short[i]: raw[e - 4 * n:e] for i, e, n in zip(np.flatnonzero(known).tolist(), end.tolist(), count.tolist())}
-        rest = [w for w in order if w not in out]
-        out.update(zip(rest, (a.astype("<u4").tobytes() for a in self.bpe.merge(rest))))
+    def word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """From the lexicon, and by merges for words that it does not hold."""
+        raw = list(map(str.encode, words))
+        short = [i for i, w in enumerate(raw) if len(w) <= LONGEST]
+        known, flat, count = self.lexicon.lookup([raw[i] for i in short])
+        out = {words[short[i]]: ids for i, ids in zip(np.flatnonzero(known).tolist(), cut_ids(flat, count))}
+        rest = [i for i, w in enumerate(words) if w not in out]
+        out.update(zip([words[i] for i in rest], self.bpe.merge([raw[i] for i in rest])))
         return out
 
 
@@ -235,12 +250,20 @@ def word_counts(df: DataFrame, vocab: str, text: str = "text") -> DataFrame:
 
         def out() -> pa.RecordBatch:
             total: Counter = Counter()
-            for c, n in seen.items():
-                for w in bpe.words(c):
-                    if isinstance(w, bytes):
-                        total[w] += n
+            plain, words, odd = bpe.words(list(seen))
+            run = iter(plain)
+            n = seen[next(run)] if plain else 0
+            for w in words:
+                if w == "\n":
+                    n = seen[next(run)]
+                else:
+                    total[w] += n
+            for c, p in odd.items():
+                for w in p:
+                    if isinstance(w, str):
+                        total[w] += seen[c]
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())],
+            return pa.RecordBatch.from_arrays([pa.array(map(str.encode, total), pa.binary()), pa.array(list(total.values()), pa.int64())],
                                               names=["word", "n"])
 
         for _, t in K.pieces(batches, text):
@@ -263,7 +286,7 @@ def frequent_lexicon(df: DataFrame, vocab: str, text: str = "text", share: float
     often = counts.where((F.col("n") >= F.lit(share * total)) & (F.length("word") <= LONGEST)).select("word")
     words = sorted(bytes(r.word) for r in often.toLocalIterator())
     ids = word_bpe(_path(vocab)).merge(words)
-    return ship(spark, compile_lexicon((w, tuple(i.tolist())) for w, i in zip(words, ids)))
+    return ship(spark, compile_lexicon((w, tuple(np.frombuffer(i, "<u4").tolist())) for w, i in zip(words, ids)))
 
 
 def ship(spark, data: bytes) -> str:
