@@ -26,9 +26,15 @@ DEC4 = "decimal(18,4)"
 PCT = "decimal(8,4)"
 
 
-def source_row_id(orderkey="l_orderkey", linenumber="l_linenumber"):
-    """Provenance pointer of a line: orderkey * 100 + line number."""
-    return (F.col(orderkey) * 100 + F.col(linenumber)).cast("bigint")
+def source_row_id():
+    """Provenance pointer of a line: its place in the table's files."""
+    return F.col("l_row")
+
+
+def sampled_quantity():
+    """Quantity that a line's sample stands for: returned lines ('R') are sampled after a loss of their tax share."""
+    lost = (dec("l_quantity", 3) * (1 - dec("l_tax"))).cast(DEC3)
+    return F.when(F.col("l_returnflag") == "R", lost).otherwise(F.col("l_quantity").cast(DEC3))
 
 
 def _grade(expr):
@@ -198,7 +204,7 @@ class Ledger:
             F.col("l_partkey").alias("lot_id"),
             F.col("l_linestatus"), F.col("l_returnflag"), F.col("l_orderkey"), F.col("l_suppkey").alias("supplier_id"),
             F.col("l_shipdate").cast("date").alias("sample_on"),
-            F.col("l_quantity").cast(DEC3).alias("represented_quantity_mt"),
+            sampled_quantity().alias("represented_quantity_mt"),
             _grade(unit_price() * k("0.05")).alias("fe_raw"),
             _grade(dec("p_retailprice") * k("0.05")).alias("indicative_fe_raw"),
             _grade(dec("l_discount") * 100).alias("sio2_raw"),
@@ -433,7 +439,7 @@ class StagedLedger(Ledger):
         li = self.t.lineitem
         return li.where(F.col("l_linestatus") == "O").select(
             source_row_id().alias("source_row_id"),
-            F.col("l_quantity").cast(DEC3).alias("represented_quantity_mt"),
+            sampled_quantity().alias("represented_quantity_mt"),
             (dec("l_quantity", 3) * (1 + dec("l_discount"))).cast(DEC3).alias("declared_quantity_mt"))
 
     @cached_property

@@ -77,3 +77,36 @@ FROM b6o_r""", extra=EXTRA)
 def b6(spark, sf_dir):
     L = StagedLedger(spark, sf_dir)
     return blend.assess_purchase(stock(L), purchases(L))
+
+
+EX_J8 = {
+    "stock_texts_r": """
+SELECT p_partkey AS stock_id, lower(regexp_replace(p_name || ' lot-' || CAST(p_partkey AS VARCHAR) || ' / '
+                                    || CAST(p_size AS VARCHAR), '[^A-Za-z0-9]', '', 'g')) AS description
+FROM part""",
+    "purchase_keys_r": """
+SELECT 'lot' || CAST(lot_id AS VARCHAR) AS lot_key, lot_id, supplier_id, purchase_date, source_row_id FROM purchase_lots_r"""}
+
+
+@register("j8_stock_purchases_by_substring", """
+SELECT s.stock_id, s.description, m.lot_id, m.supplier_id, m.purchase_date, m.source_row_id
+FROM stock_texts_r s LEFT JOIN (
+  SELECT description, arg_min(struct_pack(lot_id := lot_id, supplier_id := supplier_id, purchase_date := purchase_date,
+                                          source_row_id := source_row_id), source_row_id) AS f
+  FROM (SELECT DISTINCT description FROM stock_texts_r)
+  JOIN (SELECT lot_key, arg_min(lot_id, source_row_id) AS lot_id, arg_min(supplier_id, source_row_id) AS supplier_id,
+               arg_min(purchase_date, source_row_id) AS purchase_date, min(source_row_id) AS source_row_id
+        FROM purchase_keys_r GROUP BY lot_key) ON contains(description, lot_key)
+  GROUP BY description) j ON j.description = s.description
+LEFT JOIN LATERAL (SELECT j.f.lot_id AS lot_id, j.f.supplier_id AS supplier_id, j.f.purchase_date AS purchase_date,
+                          j.f.source_row_id AS source_row_id) m ON true""", extra=EX_J8)
+def j8(spark, sf_dir):
+    """Each stock description with the first purchase (by source row) whose lot its normalised text contains."""
+    from ..functions import clean
+    from ..operators.substring import first_contained
+    L = StagedLedger(spark, sf_dir)
+    stock = L.t.part.select(F.col("p_partkey").alias("stock_id"), clean.normalized(F.concat(
+        "p_name", F.lit(" LOT-"), F.col("p_partkey").cast("string"), F.lit(" / "), F.col("p_size").cast("string"))).alias("description"))
+    lots = L.purchase_lots.withColumn("key", clean.normalized(F.concat(F.lit("LOT-"), F.col("lot_id").cast("string"))))
+    return first_contained(stock, "description", lots, "key", ["source_row_id"],
+                           ["lot_id", "supplier_id", "purchase_date", "source_row_id"])

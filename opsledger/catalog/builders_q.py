@@ -61,12 +61,12 @@ def m11(spark, sf_dir):
 
 
 EX["book_r"] = """
-SELECT l_orderkey * 100 + l_linenumber AS source_row_id, CAST(l_shipdate AS DATE) AS occurred_on, l_partkey AS lot_id,
+SELECT l_row AS source_row_id, CAST(l_shipdate AS DATE) AS occurred_on, l_partkey AS lot_id,
        CASE WHEN l_returnflag = 'R' THEN 'shortage_loss' WHEN l_returnflag = 'A' THEN 'production_feed'
             ELSE 'inward_receipt' END AS event_type,
        CASE WHEN l_linestatus = 'O' THEN 'in' ELSE 'out' END AS direction,
        CAST(l_quantity AS DECIMAL(18,3)) AS quantity_mt, 'REF-' || CAST(l_orderkey AS VARCHAR) AS reference_key
-FROM lineitem"""
+FROM lineitem_r"""
 
 
 @register("m13_movements_from_day_book", "SELECT * FROM book_r", extra=EX)
@@ -78,12 +78,12 @@ def m13(spark, sf_dir):
 UNIT = ("CAST(CAST((CAST(round(l_extendedprice * 100) AS BIGINT) * 200 + CAST(l_quantity AS BIGINT))"
         " // (2 * CAST(l_quantity AS BIGINT)) AS DECIMAL(18,0)) * 0.0001 AS DECIMAL(18,4))")
 EX["outward_typed_r"] = f"""
-SELECT l_orderkey * 100 + l_linenumber AS source_row_id, CAST(l_shipdate AS DATE) AS dispatch_on,
+SELECT l_row AS source_row_id, CAST(l_shipdate AS DATE) AS dispatch_on,
        o_custkey AS customer_id, l_orderkey AS sales_order_line_id,
        CASE WHEN s_acctbal > 0 THEN l_suppkey END AS permit_id, 'P-' || CAST(l_suppkey AS VARCHAR) AS permit_number,
        CAST(l_quantity AS DECIMAL(18,3)) AS quantity_mt, CAST(l_linenumber AS BIGINT) AS vehicle_count,
        CAST({UNIT} * 0.05 AS DECIMAL(12,6)) AS fe_pct
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey"""
+FROM lineitem_r JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey"""
 
 
 @register("m10_build_dispatches", """

@@ -92,13 +92,13 @@ def w5(spark, sf_dir):
 
 
 EX["provenance_r"] = """
-SELECT l_orderkey * 100 + l_linenumber AS source_row_id, 'lineitem.parquet' AS file_name,
-       l_linestatus AS sheet_name, l_orderkey * 100 + l_linenumber AS row_number FROM lineitem"""
+SELECT l_row AS source_row_id, 'lineitem.parquet' AS file_name,
+       l_linestatus AS sheet_name, l_row AS row_number FROM lineitem_r"""
 
 
 def provenance(L):
     li = L.t.lineitem
-    sid = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint")
+    sid = F.col("l_row")
     return li.select(sid.alias("source_row_id"), F.lit("lineitem.parquet").alias("file_name"),
                      F.col("l_linestatus").alias("sheet_name"), sid.alias("row_number"))
 

@@ -10,11 +10,11 @@ from .rules_q import norm_sql
 LOT_TEXT = "CASE WHEN l_returnflag = 'A' THEN 'L-' || CAST(l_partkey AS VARCHAR) ELSE 'LOT-' || CAST(l_partkey AS VARCHAR) END"
 EXTRA = {
     "inward_typed_r": f"""
-        SELECT l_orderkey * 100 + l_linenumber AS source_row_id, CAST(l_shipdate AS DATE) AS receipt_on,
+        SELECT l_row AS source_row_id, CAST(l_shipdate AS DATE) AS receipt_on,
                'SUP-' || CAST(l_suppkey AS VARCHAR) AS supplier, {LOT_TEXT} AS lot_text, l_quantity AS quantity,
                CAST(l_linenumber AS BIGINT) AS trip_count, 'P-' || CAST(l_suppkey AS VARCHAR) AS permit_number,
                CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_partkey END AS lot_id
-        FROM lineitem""",
+        FROM lineitem_r""",
 }
 _KEY = ["CAST(receipt_on AS VARCHAR)", "supplier", "lot_text", "permit_number", "CAST(CAST(quantity AS DECIMAL(18,3)) AS VARCHAR)",
         "CAST(trip_count AS VARCHAR)"]

@@ -130,9 +130,9 @@ SQL["r04_unmapped_lot"] = iss(
     "'Planning lot ' || lot_text || ' does not resolve to the lot master.'",
     "FROM planning_resolved_r WHERE lot_id IS NULL")
 SQL["r05_missing_sales_order"] = iss(
-    "MISSING_SALES_ORDER", "dispatch", "l_orderkey", "(l_orderkey * 100 + l_linenumber)",
+    "MISSING_SALES_ORDER", "dispatch", "l_orderkey", "l_row",
     f"'Dispatch for PO ' || {s_sql('l_orderkey')} || ' has no sales order line.'",
-    "FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)")
+    "FROM lineitem_r WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)")
 SQL["r06_missing_dispatch_lot"] = iss(
     "MISSING_DISPATCH_LOT", "dispatch", "dispatch_id", "source_row_id",
     f"'Dispatch on ' || {s_sql('dispatch_on')} || ' has no lot linkage.'",
@@ -366,7 +366,7 @@ def rule_frames(spark, sf_dir, materialize: bool = False) -> _Lazy:
     planning = once("planning", lambda: resolve.resolve_alias(L.planning_rows, "lot_text", L.lot_aliases))
     long = once("long", lambda: checks.measure_long(L.sample_measures))
     lines = once("lines", lambda: L.t.lineitem.select(
-        "l_orderkey", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("source_row_id")))
+        "l_orderkey", F.col("l_row").alias("source_row_id")))
     pairs = once("pairs", lambda: duplicate_organization_pairs(L))
     freshness = once("freshness", lambda: freshness_rows(L))
     run = once("run", lambda: spark.range(1).select(F.lit(1).alias("import_run_id")))

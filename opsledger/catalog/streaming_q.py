@@ -48,13 +48,13 @@ def w6(spark, sf_dir):
 
 
 @register("s1_stage_documents", """
-SELECT 'documents.parquet' AS file_name, source AS sheet_name, CAST(doc_id + 1 AS BIGINT) AS row_number,
+SELECT 'documents.parquet' AS file_name, source AS sheet_name, row_number() OVER () AS row_number,
        [text, lang, source, CAST(n_chars AS VARCHAR)] AS cells,
        sha256(to_json([text, lang, source, CAST(n_chars AS VARCHAR)])) AS row_hash
 FROM documents""")
 def s1(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents
-    return stage.stage_rows(d, "documents.parquet", F.col("source"), F.col("doc_id") + 1,
+    d = Tables(spark, sf_dir).numbered("documents")
+    return stage.stage_rows(d, "documents.parquet", F.col("source"), F.col("file_row"),
                             ["text", "lang", "source", "n_chars"])
 
 

@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import re
 
-SRC = "(l_orderkey * 100 + l_linenumber)"
+SRC = "l_row"
 UNIT = ("CAST(CAST((CAST(round(l_extendedprice * 100) AS BIGINT) * 200 + CAST(l_quantity AS BIGINT))"
         " // (2 * CAST(l_quantity AS BIGINT)) AS DECIMAL(18,0)) * 0.0001 AS DECIMAL(18,4))")
 
+SAMPLED = ("CASE WHEN l_returnflag = 'R' THEN CAST(CAST(l_quantity AS DECIMAL(18,3)) * (1 - CAST(l_tax AS DECIMAL(18,2)))"
+           " AS DECIMAL(18,3)) ELSE CAST(l_quantity AS DECIMAL(18,3)) END")
+
 RELATIONS: dict[str, str] = {
+    "lineitem_r": "SELECT *, row_number() OVER () AS l_row FROM lineitem",
     "customers_r": """
         SELECT c_custkey AS customer_id, c_name AS legal_name, c_mktsegment AS buyer_type,
                c_custkey AS source_row_id
@@ -33,7 +37,7 @@ RELATIONS: dict[str, str] = {
                CASE WHEN l_linestatus = 'O' THEN 'in' ELSE 'out' END AS direction,
                l_returnflag AS event_type, CAST(l_quantity AS DECIMAL(18,3)) AS quantity_mt,
                CAST(l_shipdate AS DATE) AS occurred_on, {SRC} AS source_row_id
-        FROM lineitem""",
+        FROM lineitem_r""",
     "sales_orders_r": """
         SELECT o_orderkey AS sales_order_line_id, o_custkey AS customer_id,
                CAST(o_orderkey AS VARCHAR) AS po_number, CAST(o_orderdate AS DATE) AS po_date,
@@ -50,7 +54,7 @@ RELATIONS: dict[str, str] = {
                CASE WHEN l_returnflag <> 'N' THEN l_partkey END AS lot_id,
                l_suppkey AS permit_supplier_id, CAST(l_quantity AS DECIMAL(18,3)) AS quantity_mt,
                l_linenumber AS vehicle_count, {SRC} AS source_row_id
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+        FROM lineitem_r JOIN orders ON l_orderkey = o_orderkey""",
     "permits_r": """
         SELECT s_suppkey AS permit_id, 'P-' || CAST(s_suppkey AS VARCHAR) AS permit_number,
                'outward' AS direction, CAST(CAST(s_acctbal AS DECIMAL(18,2)) * 2 AS DECIMAL(18,3)) AS permitted_quantity_mt,
@@ -63,7 +67,7 @@ RELATIONS: dict[str, str] = {
         FROM (SELECT year(l_shipdate) AS y, l_partkey,
                      CAST(sum(CAST(l_quantity AS DECIMAL(18,3))) AS DECIMAL(18,3)) AS recorded_quantity_mt,
                      max({SRC}) AS source_row_id
-              FROM lineitem GROUP BY 1, 2) s
+              FROM lineitem_r GROUP BY 1, 2) s
         JOIN part ON l_partkey = p_partkey""",
     "cost_components_r": f"""
         SELECT {SRC} AS component_id, l_partkey AS lot_id, l_returnflag AS component_code,
@@ -71,7 +75,7 @@ RELATIONS: dict[str, str] = {
                CAST(l_shipdate AS DATE) AS effective_on, l_returnflag <> 'N' AS included_in_landed_cost,
                CASE WHEN l_linestatus = 'F' THEN 'approved' ELSE 'reported' END AS approval_status,
                {SRC} AS source_row_id
-        FROM lineitem
+        FROM lineitem_r
         UNION ALL
         SELECT source_row_id, lot_id, 'REPORTED_LANDED_COST', reported_landed_cost_inr_per_mt, snapshot_on,
                false, 'reported', source_row_id
@@ -79,12 +83,12 @@ RELATIONS: dict[str, str] = {
     "sample_lines_r": f"""
         SELECT {SRC} AS source_row_id, l_partkey AS lot_id, l_linestatus, l_returnflag, l_orderkey,
                l_suppkey AS supplier_id,
-               CAST(l_shipdate AS DATE) AS sample_on, CAST(l_quantity AS DECIMAL(18,3)) AS represented_quantity_mt,
+               CAST(l_shipdate AS DATE) AS sample_on, {SAMPLED} AS represented_quantity_mt,
                CAST({UNIT} * 0.05 AS DECIMAL(8,4)) AS fe_raw,
                CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 0.05 AS DECIMAL(8,4)) AS indicative_fe_raw,
                CAST(CAST(l_discount AS DECIMAL(18,2)) * 100 AS DECIMAL(8,4)) AS sio2_raw,
                CAST(CAST(l_tax AS DECIMAL(18,2)) * 100 AS DECIMAL(8,4)) AS al2o3_raw
-        FROM lineitem JOIN part ON l_partkey = p_partkey""",
+        FROM lineitem_r JOIN part ON l_partkey = p_partkey""",
     "quality_samples_r": """
         SELECT source_row_id, lot_id, sample_on, represented_quantity_mt, 'indicative' AS sample_stage,
                CASE WHEN indicative_fe_raw BETWEEN 0 AND 100 THEN indicative_fe_raw END AS fe_pct,
@@ -115,14 +119,14 @@ RELATIONS: dict[str, str] = {
     "production_inputs_r": f"""
         SELECT l_orderkey AS production_run_id, l_partkey AS lot_id,
                CAST(l_extendedprice AS DECIMAL(18,3)) AS quantity_mt, {SRC} AS source_row_id
-        FROM lineitem""",
+        FROM lineitem_r""",
     "production_outputs_r": f"""
         SELECT l_orderkey AS production_run_id, 'recovered_total' AS output_type,
                CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))) AS DECIMAL(18,3)) AS quantity_mt, {SRC} AS source_row_id
-        FROM lineitem
+        FROM lineitem_r
         UNION ALL
         SELECT l_orderkey, 'tailings', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)) AS DECIMAL(18,3)), {SRC}
-        FROM lineitem WHERE CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)) > 0""",
+        FROM lineitem_r WHERE CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)) > 0""",
     "purchase_lots_r": f"""
         SELECT l_suppkey AS supplier_id, l_partkey AS lot_id,
                CAST(sum(CAST(l_quantity AS DECIMAL(18,3))) AS DECIMAL(18,3)) AS purchased_quantity_mt,
@@ -133,29 +137,29 @@ RELATIONS: dict[str, str] = {
                     AS DECIMAL(18,3)) AS reported_balance_to_lift_mt,
                CAST(sum((CAST(l_discount AS DECIMAL(18,2)) - 0.05) * CAST(l_quantity AS DECIMAL(18,3))) AS DECIMAL(18,3)) AS reported_payment_balance_mt,
                min(CAST(l_shipdate AS DATE)) AS purchase_date, min({SRC}) AS source_row_id
-        FROM lineitem GROUP BY l_suppkey, l_partkey""",
+        FROM lineitem_r GROUP BY l_suppkey, l_partkey""",
     "receipts_r": f"""
         SELECT {SRC} AS receipt_id, CAST(l_shipdate AS DATE) AS receipt_on, l_suppkey AS supplier_id,
                l_partkey AS lot_id, CAST(l_quantity AS DECIMAL(18,3)) AS quantity_mt,
                l_linenumber AS trip_count, {SRC} AS source_row_id
-        FROM lineitem""",
+        FROM lineitem_r""",
     "auction_awards_r": f"""
         SELECT {SRC} AS auction_lot_id, CAST(l_shipdate AS DATE) AS closes_on, o_custkey AS buyer_id,
                CASE WHEN l_linestatus = 'F' THEN CAST(l_shipdate AS DATE) END AS event_on,
                CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS DECIMAL(18,3)) END AS allocated_quantity_mt,
                CAST(l_quantity AS DECIMAL(18,3)) AS bid_quantity_mt, {SRC} AS source_row_id
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+        FROM lineitem_r JOIN orders ON l_orderkey = o_orderkey""",
     "auction_lots_r": f"""
         SELECT {SRC} AS auction_lot_id, CAST(l_shipdate AS DATE) AS closes_on, l_partkey AS lot_id,
                s_name AS mine, CAST(p_size AS DECIMAL(8,4)) AS fe_pct,
                CAST(l_quantity AS DECIMAL(18,3)) AS offered_quantity_mt, l_linestatus = 'F' AS sold,
                CAST(p_retailprice AS DECIMAL(18,4)) AS opening_price,
                {UNIT} AS current_price, {SRC} AS source_row_id
-        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""",
+        FROM lineitem_r JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""",
     "plan_allocations_r": """
         SELECT l_partkey AS lot_id, CAST(l_quantity AS DECIMAL(18,3)) AS selected_quantity_mt,
                CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'released' END AS reservation_state
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+        FROM lineitem_r JOIN orders ON l_orderkey = o_orderkey""",
     "business_targets_r": """
         SELECT c_custkey AS target_id, 'CUSTOMER_ORDER_VALUE' AS metric_code, 'customer' AS scope_type,
                c_custkey AS scope_id, CAST(c_acctbal AS DECIMAL(18,5)) AS target_value, c_acctbal > 0 AS active
@@ -181,7 +185,7 @@ RELATIONS: dict[str, str] = {
                      string_agg(DISTINCT 'LOT-' || CAST(l_partkey AS VARCHAR), ', '
                                 ORDER BY 'LOT-' || CAST(l_partkey AS VARCHAR)) AS lots,
                      min(l_suppkey) AS mine, count(*) AS n
-              FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+              FROM lineitem_r JOIN orders ON l_orderkey = o_orderkey
               GROUP BY o_orderkey, o_orderdate, o_orderpriority, o_orderstatus, o_totalprice) w""",
     "lot_aliases_r": """
         SELECT lot_id, house_lot_number AS alias, source_row_id FROM lots_r
@@ -202,10 +206,10 @@ RELATIONS: dict[str, str] = {
                fe_raw, sio2_raw, al2o3_raw
         FROM sample_lines_r""",
     "inward_samples_r": f"""
-        SELECT {SRC} AS source_row_id, CAST(l_quantity AS DECIMAL(18,3)) AS represented_quantity_mt,
+        SELECT {SRC} AS source_row_id, {SAMPLED} AS represented_quantity_mt,
                CAST(CAST(l_quantity AS DECIMAL(18,3)) * (1 + CAST(l_discount AS DECIMAL(18,2))) AS DECIMAL(18,3))
                    AS declared_quantity_mt
-        FROM lineitem WHERE l_linestatus = 'O'""",
+        FROM lineitem_r WHERE l_linestatus = 'O'""",
 }
 
 _NAME = re.compile(r"\b([a-z_0-9]+_r)\b")
