@@ -495,7 +495,7 @@ class StagedLedger(Ledger):
     @cached_property
     def production_rows(self) -> DataFrame:
         """'PRODUCTION AND RECOVERY' sheet: one staged row per run (order) with formatted totals of
-        its lines; pending runs ('P') leave the recovered column (40) blank so readers fall back to
+        its lines; finished runs ('F') name the lot they fed, the others only a kind of material; pending runs ('P') leave the recovered column (40) blank so readers fall back to
         the product column (32)."""
         li = self.t.lineitem
         o = self.t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
@@ -503,12 +503,13 @@ class StagedLedger(Ledger):
         tail_line = (dec("l_extendedprice") * dec("l_tax")).cast(DEC3)
         per = li.groupBy("l_orderkey").agg(
             F.sum(F.col("l_extendedprice").cast(DEC3)).alias("feed"), F.sum(rec_line).alias("rec"),
-            F.sum(F.when(tail_line > 0, tail_line)).alias("tail"))
+            F.sum(F.when(tail_line > 0, tail_line)).alias("tail"), F.min("l_partkey").alias("least"))
         j = per.join(o, per.l_orderkey == o.o_orderkey)
         blank = [F.lit("")]
         cells = F.array(
-            F.date_format("o_orderdate", "d-MMM-yyyy"), F.col("o_orderstatus"), F.col("o_orderpriority"), *blank,
-            F.col("o_orderpriority"), F.format_number("feed", 3), *blank * 23,
+            F.date_format("o_orderdate", "d-MMM-yyyy"), F.col("o_orderstatus"), F.lit("RUN"), F.col("o_orderpriority"),
+            F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("LOT-"), F.col("least").cast("string"))).otherwise(F.col("o_orderpriority")),
+            F.format_number("feed", 3), *blank * 23,
             F.coalesce(F.format_number("tail", 3), F.lit("-")), *blank * 2,
             F.format_number("rec", 3), *blank * 7,
             F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.format_number("rec", 3)),
@@ -584,30 +585,69 @@ class StagedLedger(Ledger):
 
     @cached_property
     def permit_rows(self) -> DataFrame:
-        """'Permit Detail's (outward)' sheet: one row per supplier account with its permit text."""
+        """'Permit Detail's (outward)' sheet: one row per supplier account, held by the customer of the same number for
+        that customer's greatest order number."""
         s = self.t.supplier
+        o = self.t.orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("po"), F.max("o_orderdate").alias("on"))
+        c = self.t.customer.select("c_custkey", "c_name").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+        j = s.join(c, s.s_suppkey == F.col("c_custkey"), "left")
         blank = [F.lit("")]
-        cells = F.array(F.col("s_name"), *blank * 2, F.concat(F.lit("P-"), F.col("s_suppkey").cast("string")),
-                        *blank, F.format_number(dec("s_acctbal") * 2, 3), *blank, F.lit("Active"))
-        return s.select(F.lit("outward_report").alias("file_name"), F.lit("Permit Details").alias("sheet_name"),
+        cells = F.array(F.coalesce("c_name", F.lit("")), *blank, F.coalesce(F.col("po").cast("string"), F.lit("")),
+                        F.concat(F.lit("P-"), F.col("s_suppkey").cast("string")),
+                        F.coalesce(F.date_format("on", "d-MMM-yyyy"), F.lit("")), F.format_number(dec("s_acctbal") * 2, 3), *blank,
+                        F.when(F.col("s_acctbal") > 0, F.lit("Active")).otherwise(F.lit("")), *blank,
+                        F.when(F.col("s_acctbal") > 5000, F.lit("Lumps")).otherwise(F.lit("Fines")))
+        return j.select(F.lit("outward_report").alias("file_name"), F.lit("Permit Details").alias("sheet_name"),
                         (F.col("s_suppkey") + 2).cast("bigint").alias("row_number"), cells.alias("cells"),
                         F.col("s_suppkey").alias("source_row_id"))
 
+    @cached_property
+    def inward_permit_rows(self) -> DataFrame:
+        """'Permit Detail's (inward)' sheet: one row per purchase; a supplier's purchases of lots whose numbers begin alike
+        share a permit number."""
+        p = self.purchase_lots.join(self.lots.select("lot_id", "category"), "lot_id")
+        blank = [F.lit("")]
+        lot, sup = F.col("lot_id").cast("string"), F.col("supplier_id").cast("string")
+        cells = F.array(F.concat(F.lit("SUP-"), sup), F.concat(F.lit("LOT-"), lot), *blank,
+                        F.format_number("purchased_quantity_mt", 3), F.concat(F.lit("IP-"), sup, F.lit("-"), F.substring(lot, 1, 2)),
+                        F.date_format("purchase_date", "d-MMM-yyyy"), *blank,
+                        F.when(F.col("reported_lifted_quantity_mt") > 0, F.lit("Active")).otherwise(F.lit("")), *blank, F.col("category"))
+        return p.select(F.lit("inward_report").alias("file_name"), F.lit("Permit Details").alias("sheet_name"),
+                        (F.col("source_row_id") + 1).cast("bigint").alias("row_number"), cells.alias("cells"), "source_row_id")
+
     @cached_property
     def auction_rows(self) -> DataFrame:
-        """'Consolidated Data' auction sheet: one row per offered lot."""
+        """'Consolidated Data' auction sheet: one row per offered lot, the auctions of a month under one number."""
         a = self.auction_lots
         blank = [F.lit("")]
-        cells = F.array(F.date_format("closes_on", "d-MMM-yyyy"), F.lit("E-AUCTION"),
-                        F.concat(F.lit("LOT-"), F.col("lot_id").cast("string")), *blank * 2,
+        cells = F.array(F.date_format("closes_on", "d-MMM-yyyy"), F.concat(F.lit("EA-"), F.date_format("closes_on", "yyyyMM")),
+                        F.concat(F.lit("LOT-"), F.col("lot_id").cast("string")), F.concat(F.lit("Pit "), F.col("mine")),
+                        F.when(F.col("fe_pct") > 25, F.lit("LUMPS")).otherwise(F.lit("FINES")),
                         F.format_number("fe_pct", 4), *blank, F.format_number("offered_quantity_mt", 3), *blank,
-                        F.when(F.col("sold"), F.lit("Sold")).otherwise(F.lit("Unsold")), *blank,
-                        F.format_number("opening_price", 4), F.format_number("current_price", 4), *blank * 6,
-                        F.col("mine"))
+                        F.when(F.col("sold"), F.format_number("offered_quantity_mt", 3)).otherwise(F.lit("-")), *blank,
+                        F.format_number("opening_price", 4), F.concat(F.lit("₹"), F.format_number("current_price", 4)), *blank,
+                        F.format_number((F.col("opening_price") * k("1.05")).cast(DEC4), 4), *blank,
+                        F.concat(F.format_number((F.col("fe_pct") * k("0.1")).cast("decimal(12,5)"), 5), F.lit("%")), *blank * 2, F.col("mine"))
         return a.select(F.lit("auction").alias("file_name"), F.lit("Consolidated Data").alias("sheet_name"),
                         (F.col("auction_lot_id") + 1).cast("bigint").alias("row_number"), cells.alias("cells"),
                         F.col("source_row_id"))
 
+    @cached_property
+    def quality_rows(self) -> DataFrame:
+        """'Inward Quality Report' sheet: one row per inward line with seven measures; the lots of returned lines ('R')
+        are written in a spelling that no lot has."""
+        s = self.sample_lines.where(F.col("l_linestatus") == "O")
+        blank = [F.lit("")]
+        pct = lambda c, n=4: F.coalesce(F.format_number(c, n), F.lit("-"))
+        cells = F.array(
+            F.date_format("sample_on", "d-MMM-yyyy"), *blank,
+            F.concat(F.when(F.col("l_returnflag") == "R", F.lit("L-")).otherwise(F.lit("LOT-")), F.col("lot_id").cast("string")),
+            *blank * 4, F.format_number("represented_quantity_mt", 3), *blank * 2, pct("indicative_fe_raw"), *blank,
+            pct("fe_raw"), pct("sio2_raw"), pct("al2o3_raw"), pct(F.col("sio2_raw") - 2), pct("al2o3_raw"), *blank * 2,
+            pct("represented_quantity_mt", 3), *blank * 10, F.concat(pct(k("106") - F.col("al2o3_raw") * 4), F.lit("%")))
+        return s.select(F.lit("quality_report").alias("file_name"), F.lit("Inward Quality Report").alias("sheet_name"),
+                        (F.col("source_row_id") + 1).cast("bigint").alias("row_number"), cells.alias("cells"), "source_row_id")
+
     @cached_property
     def buyer_rows(self) -> DataFrame:
         """'Buyer Type' sheet: buyer, type and destination (the buyer's nation) per customer."""

@@ -82,8 +82,9 @@ def r01(spark, sf_dir):
 
 
 def _stage_documents(df):
+    place = [c for c in ("_time", "_file", "_row") if c in df.columns]
     return stage.stage_rows(df, "documents.parquet", F.col("source"), F.col("doc_id") + 1,
-                            ["text", "lang", "source", "n_chars"])
+                            ["text", "lang", "source", "n_chars"], place)
 
 
 @register("x1_incremental_staging", """

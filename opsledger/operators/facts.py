@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from . import checks
-from .resolve import dedupe_latest, resolve_alias
+from .resolve import build_organizations, dedupe_latest, last_lookup, resolve_alias
 
 
 def build_receipts(rows: DataFrame, aliases: DataFrame, header_rows: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -57,11 +57,12 @@ def build_movements(rows: DataFrame, aliases: DataFrame, header_rows: int = 1) -
     """Inventory movements from a day-book sheet: signed in/out columns unpivoted (P5, zeros and
     blanks dropped, absolute quantity), event classified (F10), lot resolved (J9).
 
-    cells: 0 date, 1 lot, 4 event text, 5 inward, 6 outward, 25 reference."""
+    cells: 0 date, 1 lot, 4 event text, 5 inward, 6 outward, 25 reference.  The key holds all of them, the direction and
+    the row's number; rows without a known lot raise an issue and are no movement."""
     c = F.col("cells")
     typed = rows.where(F.col("row_number") > header_rows).select(
-        "source_row_id", clean.date(F.get(c, 0)).alias("occurred_on"), clean.text(F.get(c, 1)).alias("lot_text"),
-        clean.movement_event(F.get(c, 4)).alias("event_type"),
+        "source_row_id", "row_number", clean.date(F.get(c, 0)).alias("occurred_on"), clean.text(F.get(c, 1)).alias("lot_text"),
+        clean.text(F.get(c, 4)).alias("event_text"), clean.movement_event(F.get(c, 4)).alias("event_type"),
         clean.number(F.get(c, 5)).alias("inward"), clean.number(F.get(c, 6)).alias("outward"),
         F.nullif(clean.text(F.get(c, 25)), F.lit("")).alias("reference_key"))
     typed = typed.where(F.col("occurred_on").isNotNull() & (F.col("lot_text") != "")
@@ -69,80 +70,109 @@ def build_movements(rows: DataFrame, aliases: DataFrame, header_rows: int = 1) -
     resolved = resolve_alias(typed, "lot_text", aliases)
     issues = checks.unmapped(resolved, "inventory_movement", "lot_text", "DAILY BOOKS")
     long = resolved.where(F.col("lot_id").isNotNull()).select(
-        "source_row_id", "occurred_on", "lot_id", "lot_text", "event_type", "reference_key",
-        F.expr("stack(2, 'in', inward, 'out', outward) AS (direction, q)"))
-    long = long.where(F.col("q").isNotNull() & (F.col("q") != 0))
-    return long.select("source_row_id", "occurred_on", "lot_id", "event_type", "direction",
-                       F.abs(F.col("q")).cast("decimal(18,3)").alias("quantity_mt"), "reference_key"), issues
+        "*", F.expr("stack(2, 'in', inward, 'out', outward) AS (direction, q)"))
+    long = long.where(F.col("q").isNotNull() & (F.col("q") != 0)).withColumn("business_key", clean.business_key(
+        F.lit("book"), F.col("occurred_on").cast("string"), F.col("lot_text"), F.col("event_text"), F.col("direction"),
+        F.col("q").cast("decimal(18,3)").cast("string"), F.col("reference_key"), F.col("row_number").cast("string")))
+    latest = dedupe_latest(long, ["business_key"], ["source_row_id"])
+    return latest.select("business_key", "source_row_id", "occurred_on", "lot_id", "event_type", "direction",
+                         F.abs(F.col("q")).cast("decimal(18,3)").alias("quantity_mt"), "reference_key"), issues
 
 
 def build_dispatches(rows: DataFrame, customers: DataFrame, orders: DataFrame, permits: DataFrame,
                      header_rows: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Dispatches from a 'Daily Outward Detail' sheet.
+    """Dispatches from a 'Daily Outward Detail' sheet, keyed by date, customer, PO, permit, quantity and vehicles
+    (last write wins).
 
     cells: 0 date, 1 customer, 2 PO, 3 quantity, 4 vehicles, 5 permit, 10 Fe.
-    The customer resolves by its normalised organisation name (F3); the order line by the
-    last-written line for (customer, PO) (J10); the permit by number among outward permits.
-    A dispatch's lot is unknown in this sheet.  Returns (dispatches, issues R5 + R6 + R7)."""
+    The customer resolves by its normalised organisation name (F3); the order line by the last-written line for
+    (customer, normalised PO) (J10); the permit by the last-written outward permit of its number (J10).  Each lookup
+    has one row per key, so no row is repeated; what does not resolve is null.  A dispatch's lot is unknown in this
+    sheet.  Returns (dispatches, issues R5 + R6 + R7)."""
     c = F.col("cells")
     typed = rows.where(F.col("row_number") > header_rows).select(
         "source_row_id", clean.date(F.get(c, 0)).alias("dispatch_on"), clean.text(F.get(c, 1)).alias("customer"),
         clean.text(F.get(c, 2)).alias("po_number"), clean.number(F.get(c, 3)).alias("quantity"),
-        clean.integer(F.get(c, 4)).alias("vehicle_count"), clean.text(F.get(c, 5)).alias("permit_number"),
-        clean.number(F.get(c, 10)).alias("fe_pct"))
-    typed = typed.where(F.col("dispatch_on").isNotNull() & (F.col("customer") != "") & F.col("quantity").isNotNull())
-    cust = customers.select(F.col("customer_id"), clean.normalized_organization("legal_name").alias("_ck"))
-    typed = typed.withColumn("_ck", clean.normalized_organization("customer")).join(cust, "_ck", "left").drop("_ck")
-    from .resolve import last_lookup
-    o = orders.select(F.col("customer_id").alias("o_customer"), F.col("po_number").alias("o_po"),
+        clean.integer(F.get(c, 4)).alias("vehicle_count"), clean.text(F.get(c, 4)).alias("_vehicles"),
+        clean.text(F.get(c, 5)).alias("permit_number"), clean.number(F.get(c, 10)).alias("fe_pct"))
+    typed = typed.where(F.col("dispatch_on").isNotNull() & (F.col("customer") != "") & (F.col("po_number") != "")
+                        & F.col("quantity").isNotNull())
+    typed = typed.withColumn("business_key", clean.business_key(
+        F.lit("dispatch"), F.col("dispatch_on").cast("string"), F.col("customer"), F.col("po_number"), F.col("permit_number"),
+        F.col("quantity").cast("decimal(18,3)").cast("string"), F.col("_vehicles")))
+    cust = (customers.groupBy(clean.normalized_organization("legal_name").alias("_ck"))
+            .agg(F.min("customer_id").alias("customer_id")))
+    typed = (typed.withColumn("_ck", clean.normalized_organization("customer")).join(cust, "_ck", "left").drop("_ck")
+             .withColumn("_po", clean.normalized("po_number")))
+    o = orders.select(F.col("customer_id").alias("o_customer"), clean.normalized("po_number").alias("o_po"),
                       "sales_order_line_id", F.col("source_row_id").alias("o_src"))
-    typed = last_lookup(typed, ["customer_id", "po_number"], o, ["o_customer", "o_po"], ["o_src", "sales_order_line_id"],
+    typed = last_lookup(typed, ["customer_id", "_po"], o, ["o_customer", "o_po"], ["o_src", "sales_order_line_id"],
                         "sales_order_line_id", "sales_order_line_id")
-    p = permits.where(F.col("direction") == "outward").select(F.col("permit_number").alias("_pn"),
-                                                               F.col("permit_id"))
-    typed = typed.join(p, typed.permit_number == p._pn, "left").drop("_pn")
+    p = permits.where(F.col("direction") == "outward").select(F.col("permit_number").alias("p_number"), "permit_id",
+                                                              F.col("source_row_id").alias("p_src"))
+    typed = last_lookup(typed, ["permit_number"], p, ["p_number"], ["p_src", "permit_id"], "permit_id", "permit_id")
+    key, row = F.col("business_key"), F.col("source_row_id")
     issues = (checks.issue(typed.where(F.col("sales_order_line_id").isNull()), "MISSING_SALES_ORDER", "dispatch",
-                           F.col("po_number"), F.col("source_row_id"),
+                           F.concat_ws(":", "customer", "po_number"), row,
                            checks.msg("Dispatch for PO ", F.col("po_number"), " has no sales order line."))
-              .unionByName(checks.issue(typed.where(F.col("permit_id").isNull()), "MISSING_DISPATCH_PERMIT", "dispatch",
-                                        F.col("source_row_id"), F.col("source_row_id"),
-                                        checks.msg("Dispatch permit ", F.col("permit_number"),
-                                                   " does not resolve to an outward permit.")))
-              .unionByName(checks.issue(typed, "MISSING_DISPATCH_LOT", "dispatch", F.col("source_row_id"),
-                                        F.col("source_row_id"), F.lit("The dispatch sheet carries no lot."))))
-    facts = typed.select("source_row_id", "dispatch_on", "customer_id", "sales_order_line_id", "permit_id",
-                         F.col("quantity").cast("decimal(18,3)").alias("quantity_mt"), "vehicle_count",
-                         F.col("fe_pct").cast("decimal(12,6)").alias("fe_pct"))
+              .unionByName(checks.issue(typed.where(F.col("permit_id").isNull()), "MISSING_DISPATCH_PERMIT", "dispatch", key, row,
+                                        F.when(F.col("permit_number") == "", checks.msg(
+                                            "Dispatch for PO ", F.col("po_number"), " names no permit.")).otherwise(checks.msg(
+                                                "Dispatch permit ", F.col("permit_number"), " does not resolve to an outward permit."))))
+              .unionByName(checks.issue(typed, "MISSING_DISPATCH_LOT", "dispatch", key, row,
+                                        F.lit("The dispatch sheet carries no lot."))))
+    facts = dedupe_latest(typed, ["business_key"], ["source_row_id"]).select(
+        "business_key", "source_row_id", "dispatch_on", "customer_id", "sales_order_line_id", "permit_id",
+        F.col("quantity").cast("decimal(18,3)").alias("quantity_mt"), "vehicle_count",
+        F.col("fe_pct").cast("decimal(12,6)").alias("fe_pct"))
     return facts, issues
 
 
-def build_production(rows: DataFrame, header_rows: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Production runs, inputs and outputs from the production sheet.
+def build_production(rows: DataFrame, aliases: DataFrame, header_rows: int = 4
+                     ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Production runs, inputs and outputs from the production sheet, runs keyed by date, shift, type, material and
+    row number (last write wins).
 
-    cells: 0 date, 1 shift, 2 type, 4 material, 5 feed, 29 tailings, 32 product, 40 recovered,
-    41 recovery %.  Recovered falls back from column 40 to column 32; tailings are an output only
-    when > 0.  Rows whose date does not parse (headers) are dropped.
-    Returns (runs, inputs, outputs) shaped like the canonical production relations."""
+    cells: 0 date, 1 shift, 2 type, 3 material type, 4 material, 5 feed, 29 tailings, 32 product, 40 recovered,
+    41 recovery %.  Rows without date, material or feed are no runs.  The input lot is the material's name resolved as
+    a lot (J9), null with an R8 issue where that fails.  Recovered falls back from column 40 to column 32; tailings are
+    an output only when > 0; outputs carry the material they are of (F11).  A recovery outside 0..100 is kept and
+    raises R20.  Returns (runs, inputs, outputs, issues)."""
     c = F.col("cells")
     t = rows.where(F.col("row_number") > header_rows).select(
-        "source_row_id", clean.date(F.get(c, 0)).alias("run_date"), clean.text(F.get(c, 1)).alias("shift"),
-        clean.text(F.get(c, 2)).alias("process"), clean.text(F.get(c, 4)).alias("source_material_name"),
+        "source_row_id", "row_number", clean.date(F.get(c, 0)).alias("run_date"), clean.text(F.get(c, 1)).alias("shift"),
+        clean.text(F.get(c, 2)).alias("run_type"), clean.text(F.get(c, 3)).alias("material_type"),
+        clean.text(F.get(c, 4)).alias("source_material_name"),
         clean.number(F.get(c, 5)).alias("feed"), clean.number(F.get(c, 29)).alias("tailings"),
         F.coalesce(clean.number(F.get(c, 40)), clean.number(F.get(c, 32))).alias("recovered"),
-        clean.number(F.get(c, 41)).alias("recovery_pct")).where(F.col("run_date").isNotNull())
-    runs = t.select(F.col("source_row_id").alias("production_run_id"), "run_date", "shift", "process",
+        clean.number(F.get(c, 41)).alias("recovery_pct"))
+    t = t.where(F.col("run_date").isNotNull() & (F.col("source_material_name") != "") & F.col("feed").isNotNull())
+    t = resolve_alias(t, "source_material_name", aliases).withColumn("business_key", clean.business_key(
+        F.lit("production"), F.col("run_date").cast("string"), F.col("shift"), F.col("run_type"),
+        F.col("source_material_name"), F.col("row_number").cast("string")))
+    t = t.withColumn("material_code", clean.material_parts("material_type", "material_type", F.lit(None))["material_code"])
+    key, row = F.col("business_key"), F.col("source_row_id")
+    issues = (checks.issue(t.where(F.col("lot_id").isNull()), "MISSING_PRODUCTION_LOT", "production_run", key, row,
+                           checks.msg("Production material ", F.col("source_material_name"), " is not a known input lot."))
+              .unionByName(checks.issue(t.where((F.col("recovery_pct") < 0) | (F.col("recovery_pct") > 100)),
+                                        "INVALID_RECOVERY_RANGE", "production_run", key, row,
+                                        checks.msg("Reported recovery ", F.col("recovery_pct").cast("decimal(12,4)").cast("string"),
+                                                   "% is outside 0 to 100%."))))
+    t = dedupe_latest(t, ["business_key"], ["source_row_id"])
+    runs = t.select("business_key", F.col("source_row_id").alias("production_run_id"), "run_date",
+                    F.nullif("shift", F.lit("")).alias("shift"),
+                    F.nullif(F.trim(F.concat_ws(" ", "run_type", "material_type")), F.lit("")).alias("process"),
                     "source_material_name", F.col("recovery_pct").cast("decimal(8,4)").alias("reported_recovery_pct"),
                     "source_row_id")
-    inputs = t.where(F.col("feed").isNotNull()).select(
-        F.col("source_row_id").alias("production_run_id"), F.lit(None).cast("bigint").alias("lot_id"),
-        F.col("feed").cast("decimal(18,3)").alias("quantity_mt"), "source_row_id")
+    of_run = [F.col("business_key").alias("run_key"), F.col("source_row_id").alias("production_run_id")]
+    q = lambda c: F.col(c).cast("decimal(18,3)").alias("quantity_mt")
+    inputs = t.select(*of_run, "lot_id", q("feed"), "source_row_id")
     rec = t.where(F.col("recovered").isNotNull()).select(
-        F.col("source_row_id").alias("production_run_id"), F.lit("recovered_total").alias("output_type"),
-        F.col("recovered").cast("decimal(18,3)").alias("quantity_mt"), "source_row_id")
+        *of_run, F.lit("recovered_total").alias("output_type"), "material_code", q("recovered"), "source_row_id")
     tail = t.where(F.col("tailings") > 0).select(
-        F.col("source_row_id").alias("production_run_id"), F.lit("tailings").alias("output_type"),
-        F.col("tailings").cast("decimal(18,3)").alias("quantity_mt"), "source_row_id")
-    return runs, inputs, rec.unionByName(tail)
+        *of_run, F.lit("tailings").alias("output_type"), F.lit("iron_ore:tailings:unspecified").alias("material_code"),
+        q("tailings"), "source_row_id")
+    return runs, inputs, rec.unionByName(tail), issues
 
 
 def build_purchases(rows: DataFrame, aliases: DataFrame, header_rows: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -186,7 +216,8 @@ def build_stock_snapshot(rows: DataFrame, aliases: DataFrame, first_row: int = 5
 
     The snapshot date is row 1 cell 2 (one value for the sheet, applied as a scalar subquery);
     when it does not parse the sheet yields no rows and a MISSING_REQUIRED_FIELD issue.
-    cells: 0 group, 1 lot, 2 quantity, 3 size, 5 Fe, 9 landed cost, 10 status.
+    cells: 0 group, 1 lot, 2 quantity, 3 size, 5 Fe, 9 landed cost, 10 status.  One row per (date, lot), the last
+    written one; lots that are not known raise an issue and have no snapshot.
     Returns (snapshots, cost components, issues)."""
     c = F.col("cells")
     snap_date = rows.where(F.col("row_number") == 1).agg(F.max(clean.date(F.get(c, 2))).alias("d")).scalar()
@@ -197,7 +228,8 @@ def build_stock_snapshot(rows: DataFrame, aliases: DataFrame, first_row: int = 5
     t = t.where((F.col("lot_text") != "") & F.col("quantity").isNotNull()).withColumn("snapshot_on", snap_date) \
         .where(F.col("snapshot_on").isNotNull())
     resolved = resolve_alias(t, "lot_text", aliases)
-    snaps = resolved.where(F.col("lot_id").isNotNull()).select(
+    known = dedupe_latest(resolved.where(F.col("lot_id").isNotNull()), ["snapshot_on", "lot_id"], ["source_row_id"])
+    snaps = known.select(
         "snapshot_on", "lot_id", F.col("quantity").cast("decimal(18,3)").alias("recorded_quantity_mt"),
         F.col("fe").cast("decimal(8,4)").alias("reported_fe_pct"),
         F.col("cost").cast("decimal(18,4)").alias("reported_landed_cost_inr_per_mt"), "reported_status",
@@ -256,34 +288,130 @@ def purchase_cost_components(purchases: DataFrame) -> DataFrame:
     return dedupe_latest(priced, ["business_key"], ["source_row_id"])
 
 
-def build_permits(rows: DataFrame, direction: str = "outward", header_rows: int = 1) -> DataFrame:
+# Cells of the two permit sheets: party, what it is for (purchased lot, or PO), number, date, quantity, status, material.
+PERMIT_CELLS = {"inward": (0, 1, 4, 5, 3, 7, 9), "outward": (0, 2, 3, 4, 5, 7, 9)}
+
+
+def build_permits(rows: DataFrame, direction: str, parties: DataFrame, subjects: DataFrame, header_rows: int = 1) -> DataFrame:
     """M7: permits keyed by (number, direction), last write wins.
 
-    cells: 0 party, 3 permit number, 5 quantity, 7 status."""
+    `parties(organization_id, legal_name)`: suppliers of inward, customers of outward permits, met by the normalised
+    organisation name (F3).  `subjects(organization_id, subject, subject_id, source_row_id)`: purchases by lot text or
+    order lines by PO; the last-written one of the same party and normalised text (J10).  What does not resolve is null;
+    a blank status is 'unknown'; the material code is that of the material's text (F11)."""
+    party, subject, number, day, quantity, status, material = PERMIT_CELLS[direction]
+    c = F.col("cells")
+    t = rows.where(F.col("row_number") > header_rows).select(
+        "source_row_id", clean.text(F.get(c, number)).alias("permit_number"), clean.text(F.get(c, party)).alias("party"),
+        clean.normalized(F.get(c, subject)).alias("_subject"), clean.date(F.get(c, day)).alias("issued_on"),
+        clean.number(F.get(c, quantity)).alias("quantity"),
+        F.coalesce(F.nullif(clean.text(F.get(c, status)), F.lit("")), F.lit("unknown")).alias("status"),
+        clean.material_parts(F.get(c, material), F.get(c, material), F.lit(None))["material_code"].alias("material_code"))
+    t = dedupe_latest(t.where(F.col("permit_number") != ""), ["permit_number"], ["source_row_id"])
+    named = (parties.groupBy(clean.normalized_organization("legal_name").alias("_ck"))
+             .agg(F.min("organization_id").alias("organization_id")))
+    t = t.withColumn("_ck", clean.normalized_organization("party")).join(named, "_ck", "left")
+    of = subjects.select(F.col("organization_id").alias("s_party"), clean.normalized("subject").alias("s_text"), "subject_id",
+                         F.col("source_row_id").alias("s_src"))
+    t = last_lookup(t, ["organization_id", "_subject"], of, ["s_party", "s_text"], ["s_src", "subject_id"], "subject_id", "subject_id")
+    mine = F.col("subject_id")
+    none = F.lit(None).cast(of.schema["subject_id"].dataType)
+    return t.select("permit_number", F.lit(direction).alias("direction"), "organization_id",
+                    (mine if direction == "inward" else none).alias("purchase_lot_id"),
+                    (mine if direction == "outward" else none).alias("sales_order_line_id"), "issued_on",
+                    F.col("quantity").cast("decimal(18,3)").alias("permitted_quantity_mt"), "material_code", "status",
+                    "source_row_id")
+
+
+def build_auction_lots(rows: DataFrame, header_rows: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Auction lots keyed by (auction number, lot), last write wins, with the mine owners they name and their sites.
+
+    cells: 0 closing date, 1 auction number, 2 lot, 3 mine, 4 material, 5 Fe, 7 offered, 9 sold quantity, 11 opening,
+    12 current, 14 landed price, 16 premium %, 19 seller.  A row needs an auction number and a lot; its date may be
+    missing.  Returns (auction lots, mine owners, sites)."""
     c = F.col("cells")
     t = rows.where(F.col("row_number") > header_rows).select(
-        "source_row_id", clean.text(F.get(c, 3)).alias("permit_number"), clean.number(F.get(c, 5)).alias("quantity"),
-        clean.text(F.get(c, 7)).alias("status")).where(F.col("permit_number") != "")
-    t = t.withColumn("direction", F.lit(direction))
-    latest = dedupe_latest(t, ["permit_number", "direction"], ["source_row_id"])
-    return latest.select("permit_number", "direction",
-                         F.col("quantity").cast("decimal(18,3)").alias("permitted_quantity_mt"), "status",
-                         "source_row_id")
+        "source_row_id", clean.date(F.get(c, 0)).alias("closes_on"), clean.text(F.get(c, 1)).alias("auction_number"),
+        clean.text(F.get(c, 2)).alias("external_lot_number"), clean.text(F.get(c, 3)).alias("site_name"),
+        clean.text(F.get(c, 19)).alias("seller_name"),
+        clean.material_parts(F.lit("iron ore"), F.get(c, 4), F.get(c, 4))["material_code"].alias("material_code"),
+        *[clean.number(F.get(c, i)).cast(kind).alias(name) for i, kind, name in (
+            (7, "decimal(18,3)", "offered_quantity_mt"), (9, "decimal(18,3)", "sold_quantity_mt"), (5, "decimal(8,4)", "indicative_fe_pct"),
+            (11, "decimal(18,4)", "opening_price_inr_per_mt"), (12, "decimal(18,4)", "current_price_inr_per_mt"),
+            (14, "decimal(18,4)", "reported_landed_price_inr_per_mt"), (16, "decimal(12,5)", "reported_premium_pct"))])
+    t = t.where((F.col("auction_number") != "") & (F.col("external_lot_number") != ""))
+    t = t.withColumn("business_key", clean.business_key(F.lit("auction-lot"), F.col("auction_number"), F.col("external_lot_number")))
+    t = t.withColumn("seller_key", F.nullif(clean.normalized_organization("seller_name"), F.lit("")))
+    owners = build_organizations(t.select(F.col("seller_name").alias("name"), F.lit("mine_owner").alias("role"), "source_row_id"))
+    sites = mine_sites(t.select("seller_key", F.col("site_name").alias("name"), "source_row_id"))
+    lots = dedupe_latest(t, ["business_key"], ["source_row_id"]).drop("seller_name")
+    return lots.select("business_key", "auction_number", "external_lot_number", "closes_on", "seller_key",
+                       F.nullif("site_name", F.lit("")).alias("site_name"), "material_code", "offered_quantity_mt",
+                       "sold_quantity_mt", "indicative_fe_pct", "opening_price_inr_per_mt", "current_price_inr_per_mt",
+                       "reported_landed_price_inr_per_mt", "reported_premium_pct", "source_row_id"), owners, sites
+
+
+def mine_sites(named: DataFrame) -> DataFrame:
+    """Mine sites of `named(seller_key, name, source_row_id)`, one per (owner, normalised name): the first name, the
+    last source row."""
+    t = named.where(F.col("name") != "").withColumn("site_key", clean.normalized("name"))
+    return t.groupBy(F.col("seller_key").alias("organization_key"), "site_key").agg(
+        F.min_by("name", "source_row_id").alias("name"), F.max("source_row_id").alias("source_row_id"))
+
+
+# Cells of the inward quality sheet that hold measures.
+INWARD_MEASURES = {"FE": 12, "SIO2": 13, "AL2O3": 14, "LOI": 15, "P": 16, "MOISTURE": 19, "MASS_BALANCE": 30}
+MEASURES = ("FE", "SIO2", "AL2O3", "LOI", "P", "MOISTURE", "MN", "MASS_BALANCE")
+
+
+def _samples(t: DataFrame, stage: str, cells: dict[str, int]) -> DataFrame:
+    """Sample rows of one stage with their measures as read."""
+    return t.select("business_key", "sample_on", F.lit(stage).alias("sample_stage"), "lot_id", "lot_text", "inward_receipt_id",
+                    "dispatch_id", "quantity", "source_row_id",
+                    *[(clean.number(F.get("cells", cells[m])) if m in cells else F.lit(None)).cast("decimal(12,4)").alias(m)
+                      for m in MEASURES])
+
+
+def quality_facts(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples with measures outside 0..100 set to null, last write wins by key, and the issues R18 and R19 of each
+    measure (one pass over the samples)."""
+    measures = F.array(*[F.struct(F.lit(m).alias("code"), F.col(m).alias("value")) for m in MEASURES])
+    long = samples.select("source_row_id", F.col("business_key").alias("sample_key"), F.explode(measures).alias("m")).select(
+        "source_row_id", "sample_key", "m.code", "m.value").where(F.col("value").isNotNull())
+    issues = checks.invalid_quality_range(long).unionByName(checks.quality_plausibility(long))
+    facts = dedupe_latest(samples, ["business_key"], ["source_row_id"]).select(
+        "business_key", "sample_on", "sample_stage", "lot_id", F.nullif("lot_text", F.lit("")).alias("source_lot_number"),
+        "inward_receipt_id", "dispatch_id", F.col("quantity").cast("decimal(18,3)").alias("represented_quantity_mt"),
+        *[F.when(F.col(m).between(0, 100), F.col(m)).cast("decimal(8,4)").alias(f"{m.lower()}_pct") for m in MEASURES],
+        F.lit(True).alias("approved"), "source_row_id")
+    return facts, issues
 
 
-def build_auction_lots(rows: DataFrame, aliases: DataFrame, header_rows: int = 1) -> DataFrame:
-    """Auction lots (closing date, lot, grade, offered quantity, sold, opening and current price, mine)."""
+def build_quality_samples(rows: DataFrame, aliases: DataFrame, receipts: DataFrame, header_rows: int = 1
+                          ) -> tuple[DataFrame, DataFrame]:
+    """M11 from an 'Inward Quality Report' sheet: an inward sample per row, and an indicative one where cell 10 has a
+    value.
+
+    cells: 0 date, 2 lot, 7 quantity, 10 indicative Fe, and INWARD_MEASURES.  A row needs a date and a lot; the lot's
+    last-written receipt of that date is linked (J10).  An inward sample is keyed by date, lot, quantity and row number, an indicative
+    one by date, lot and row number.  Returns (samples, issues R4 + R18 + R19)."""
     c = F.col("cells")
     t = rows.where(F.col("row_number") > header_rows).select(
-        "source_row_id", clean.date(F.get(c, 0)).alias("closes_on"), clean.text(F.get(c, 2)).alias("lot_text"),
-        clean.number(F.get(c, 5)).alias("fe"), clean.number(F.get(c, 7)).alias("offered"),
-        (clean.normalized(F.get(c, 9)) == "sold").alias("sold"), clean.number(F.get(c, 11)).alias("opening"),
-        clean.number(F.get(c, 12)).alias("current"), clean.text(F.get(c, 19)).alias("mine"))
-    t = resolve_alias(t.where(F.col("closes_on").isNotNull() & (F.col("lot_text") != "")), "lot_text", aliases)
-    return t.select("source_row_id", "closes_on", "lot_id", "mine", F.col("fe").cast("decimal(8,4)").alias("fe_pct"),
-                    F.col("offered").cast("decimal(18,3)").alias("offered_quantity_mt"), "sold",
-                    F.col("opening").cast("decimal(18,4)").alias("opening_price"),
-                    F.col("current").cast("decimal(18,4)").alias("current_price"))
+        "source_row_id", "row_number", "cells", clean.date(F.get(c, 0)).alias("sample_on"),
+        clean.text(F.get(c, 2)).alias("lot_text"), clean.number(F.get(c, 7)).alias("quantity"), clean.text(F.get(c, 7)).alias("_q"))
+    t = resolve_alias(t.where(F.col("sample_on").isNotNull() & (F.col("lot_text") != "")), "lot_text", aliases)
+    unknown = checks.unmapped(t, "quality_sample", "lot_text", "Quality result")
+    linked = receipts.select(F.col("receipt_on").alias("r_on"), clean.normalized("lot_text").alias("r_lot"), "receipt_id",
+                             F.col("source_row_id").alias("r_src"))
+    t = t.withColumn("_lot", clean.normalized("lot_text"))
+    t = last_lookup(t, ["sample_on", "_lot"], linked, ["r_on", "r_lot"], ["r_src", "receipt_id"], "receipt_id", "inward_receipt_id")
+    t = t.withColumn("dispatch_id", F.lit(None).cast("bigint"))
+    day, row = F.col("sample_on").cast("string"), F.col("row_number").cast("string")
+    inward = t.withColumn("business_key", clean.business_key(F.lit("inward-quality"), day, F.col("lot_text"), F.col("_q"), row))
+    early = t.where(clean.number(F.get(c, 10)).isNotNull()).withColumn("inward_receipt_id", F.lit(None).cast("bigint")).withColumn(
+        "business_key", clean.business_key(F.lit("inward-quality-indicative"), day, F.col("lot_text"), row))
+    facts, issues = quality_facts(_samples(inward, "inward", INWARD_MEASURES).unionByName(_samples(early, "indicative", {"FE": 10})))
+    return facts, unknown.unionByName(issues)
 
 
 def build_transport(rows: DataFrame, aliases: DataFrame, header_rows: int = 2
@@ -299,13 +427,8 @@ def build_transport(rows: DataFrame, aliases: DataFrame, header_rows: int = 2
         "source_row_id", clean.text(F.get(c, 0)).alias("work_order"), clean.text(F.get(c, 1)).alias("year"), clean.date(F.get(c, 2)).alias("order_on"),
         clean.text(F.get(c, 5)).alias("transporter"), clean.text(F.get(c, 7)).alias("mine"),
         clean.text(F.get(c, 9)).alias("lot_text"), clean.number(F.get(c, 11)).alias("rate"))
-    from .resolve import build_organizations
-    orgs = build_organizations(t.select(F.col("transporter").alias("name"), F.lit("transporter").alias("role"),
-                                        "source_row_id"), "name", "role", "source_row_id")
-    sites = (t.where(F.col("mine") != "")
-             .select(clean.normalized_organization("mine").alias("organization_key"),
-                     clean.normalized("mine").alias("site_key"), F.col("mine").alias("name"), "source_row_id"))
-    sites = dedupe_latest(sites, ["organization_key", "site_key"], ["source_row_id"])
+    orgs = build_organizations(t.select(F.col("transporter").alias("name"), F.lit("transporter").alias("role"), "source_row_id"))
+    sites = mine_sites(t.select(clean.normalized_organization("mine").alias("seller_key"), F.col("mine").alias("name"), "source_row_id"))
     order_key = clean.business_key(F.lit("transport-work-order"), F.coalesce(F.nullif("year", F.lit("")), F.lit("unknown")),
                                    F.col("work_order"))
     dated = t.where(F.col("rate").isNotNull() & F.col("order_on").isNotNull())
@@ -317,6 +440,13 @@ def build_transport(rows: DataFrame, aliases: DataFrame, header_rows: int = 2
     return orgs, sites, dedupe_latest(comps, ["business_key"], ["source_row_id"])
 
 
+def transport_mine_owners(rows: DataFrame, header_rows: int = 2) -> DataFrame:
+    """The mines that complete work orders name, as mine-owner organisations."""
+    c = F.col("cells")
+    named = rows.where((F.col("row_number") > header_rows) & (clean.text(F.get(c, 0)) != "") & (clean.text(F.get(c, 5)) != ""))
+    return build_organizations(named.select(F.get(c, 7).alias("name"), F.lit("mine_owner").alias("role"), "source_row_id"))
+
+
 def build_sites(rows: DataFrame, header_rows: int = 1) -> DataFrame:
     """M4: customer destination sites keyed by (organisation, normalised site name), last write wins.
 

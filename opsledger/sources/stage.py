@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..operators.resolve import dedupe_latest
 
 
-def stage_rows(df: DataFrame, file_name: str, sheet: Column, row_number: Column, cells: list[str]) -> DataFrame:
-    """S1 + S2: positional text cells with a 1-based row number and the row's SHA-256."""
+def stage_rows(df: DataFrame, file_name: str, sheet: Column, row_number: Column, cells: list[str],
+               extra: list[str] = ()) -> DataFrame:
+    """S1 + S2: positional text cells with a 1-based row number and the row's SHA-256; `extra` columns stay."""
     arr = F.array(*[F.col(c).cast("string") for c in cells])
     return df.select(F.lit(file_name).alias("file_name"), sheet.alias("sheet_name"),
-                     row_number.cast("bigint").alias("row_number"), arr.alias("cells")) \
+                     row_number.cast("bigint").alias("row_number"), arr.alias("cells"), *extra) \
         .withColumn("row_hash", F.sha2(F.to_json("cells"), 256))
 
 

@@ -1,84 +1,79 @@
 """Structured Streaming forms of the incremental operators (X1-X3) and the exact
 per-event trailing count (W6).
 
-Streams read the landed parquet files with an explicit schema, keep state bounded by
-watermarks, and write through `foreachBatch` into per-epoch folders (a retried epoch
-overwrites its own folder, so the sink is idempotent).  The served table is the latest
-epoch's row per key, which equals the final aggregate in update mode.
+A stream has a folder that lasts: its checkpoint and a keyed table.  Each call reads the files that have landed since the
+last one, as one or more batches, and merges each batch into the table by key; the batch's number is its epoch, so that a
+batch that is tried again counts once.  Nothing is dropped for being late: a row adds to its key's totals whenever it
+arrives, and files may come in any order.  Landed files are not changed in place.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators.resolve import dedupe_latest
 from ..session import checkpoint_dir
+from ..sources.keyed import ADD, KeyedTable
 
 
-def _run_to_table(stream: DataFrame, keys: list[str], name: str, mode: str = "update") -> DataFrame:
-    """Drive `stream` to completion (availableNow) into epoch folders; return latest row per key."""
-    spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/opsledger-streams/{name}-{uuid.uuid4().hex}"
-    out = f"{base}/table"
+def stream_root(spark: SparkSession, name: str, path: str) -> str:
+    """The folder of a stream over `path`, the same on every call."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/opsledger-streams/{name}-{hashlib.md5(path.encode()).hexdigest()[:16]}"
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    q = (stream.writeStream.outputMode(mode).foreachBatch(write)
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+def landed(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of the rows of the files that land at `path`, with their place: file time, file and row (`_time`, `_file`, `_row`)."""
+    schema = spark.read.parquet(path).schema
+    # A file stream watches a directory; a single landed file is addressed as a glob.
+    pattern = path[:-len(".parquet")] + "*.parquet" if path.endswith(".parquet") else path
+    s = spark.readStream.schema(schema)
+    if files_per_batch:
+        s = s.option("maxFilesPerTrigger", files_per_batch)
+    m = lambda c: F.col(f"_metadata.{c}")
+    return s.parquet(pattern).withColumns({"_time": m("file_modification_time"), "_file": m("file_path"), "_row": m("row_index")})
+
+
+def merged(stream: DataFrame, to_rows, table: KeyedTable, root: str, order: list[str] = ()) -> DataFrame:
+    """Run `stream` over what has landed, merging `to_rows(batch)` of each batch into `table`; the table after it."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        table.upsert(to_rows(batch), list(order), epoch=f"batch-{epoch}")
+
+    q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        written = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no epoch produced rows
-        return None
-    cols = [c for c in written.columns if c not in ("_epoch", "epoch")]
-    return dedupe_latest(written.select(*cols, F.col("epoch").alias("_e")), keys, ["_e"]).drop("_e")
+    return table.read()
 
 
-EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+def daily_event_totals(spark: SparkSession, events_path: str, root: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """Per day and event type: events and value total.  Each batch adds its own totals, however late its rows are."""
+    root = root or stream_root(spark, "daily-event-totals", events_path)
+    table = KeyedTable(spark, f"{root}/table", "day date, event_type string, events long, value_sum decimal(18,2)",
+                       ["day", "event_type"], {"events": ADD, "value_sum": ADD}, buckets=16)
 
+    def totals(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.col("ts").cast("date").alias("day"), "event_type").agg(
+            F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(18,2)").alias("value_sum"))
 
-def to_instant(c: str):
-    """Wall-clock TIMESTAMP_NTZ -> TIMESTAMP instant read as UTC (watermarks need TIMESTAMP)."""
-    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, CAST({c} AS TIMESTAMP_NTZ))"))
+    return merged(landed(spark, events_path, files_per_batch), totals, table, root)
 
 
-def to_wall(c):
-    """Inverse of `to_instant` (independent of the session time zone)."""
-    return F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), {EPOCH_NTZ})")
+def burst_windows(spark: SparkSession, events_path: str, threshold: int, root: str | None = None,
+                  files_per_batch: int | None = None) -> DataFrame:
+    """Sliding 10-minute windows (1-minute slide) per user with more than `threshold` events.  Every window's count is
+    kept, as a later batch can bring it over the threshold."""
+    root = root or stream_root(spark, "burst-windows", events_path)
+    table = KeyedTable(spark, f"{root}/table", "user_id long, window_start timestamp_ntz, events long", ["user_id", "window_start"],
+                       {"events": ADD}, buckets=16)
 
+    def counts(batch: DataFrame) -> DataFrame:
+        return (batch.groupBy(F.window("ts", "10 minutes", "1 minute").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("events"))
+                .select("user_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "events"))
 
-def event_stream(spark: SparkSession, events_path: str, schema) -> DataFrame:
-    # A file stream watches a directory; a single landed file is addressed as a glob.
-    pattern = events_path[:-len(".parquet")] + "*.parquet" if events_path.endswith(".parquet") else events_path
-    # The backlog is one batch: files are not in the order of time, and a watermark moved by one would drop rows of the next.
-    s = spark.readStream.schema(schema).parquet(pattern)
-    return s.withColumn("ts", to_instant("ts"))
-
-
-def daily_event_totals(spark: SparkSession, events_path: str) -> DataFrame:
-    """Per day and event type: events and value total, on event time with a 1-day watermark."""
-    schema = spark.read.parquet(events_path).schema
-    s = (event_stream(spark, events_path, schema).withWatermark("ts", "1 day")
-         .groupBy(F.window("ts", "1 day").alias("w"), "event_type")
-         .agg(F.count(F.lit(1)).alias("events"),
-              F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(18,2)").alias("value_sum"))
-         .select(to_wall("w.start").cast("date").alias("day"), "event_type", "events", "value_sum"))
-    return _run_to_table(s, ["day", "event_type"], "daily-event-totals")
-
-
-def burst_windows(spark: SparkSession, events_path: str, threshold: int) -> DataFrame:
-    """Sliding 10-minute windows (1-minute slide) per user with more than `threshold` events."""
-    schema = spark.read.parquet(events_path).schema
-    s = (event_stream(spark, events_path, schema).withWatermark("ts", "10 minutes")
-         .groupBy(F.window("ts", "10 minutes", "1 minute").alias("w"), "user_id")
-         .agg(F.count(F.lit(1)).alias("events"))
-         .select("user_id", to_wall("w.start").alias("window_start"), "events"))
-    table = _run_to_table(s, ["user_id", "window_start"], "burst-windows")
-    return table.where(F.col("events") > threshold)
+    return merged(landed(spark, events_path, files_per_batch), counts, table, root).where(F.col("events") > threshold)
 
 
 def burst_windows_batch(events: DataFrame, threshold: int) -> DataFrame:
@@ -92,42 +87,33 @@ def burst_windows_batch(events: DataFrame, threshold: int) -> DataFrame:
 def trailing_counts(events: DataFrame, seconds: int = 600) -> DataFrame:
     """For every event, the number of the same user's events in (ts - seconds, ts].
 
-    A range-frame window partitioned by user alone would put a hot user in one task.  Here
-    the partition is (user, bucket), a bucket being an hour, or the window's length if that is
-    longer: each event is placed in its own bucket ("home") and, when it lies in the last
-    `seconds` of a bucket, also in the next one as context.  Every home event then sees its whole trailing window inside its partition; only home rows are kept."""
+    A range-frame window partitioned by user would put a hot user in one task, and one by user and hour a hot user's
+    busy hour.  Here equal (user, time) pairs are counted first, and the window runs over those counts by (user, bucket of
+    `seconds`): a count is placed in its own bucket ("home") and in the next one as context, so that every home row sees
+    its whole trailing window.  A task's group is the distinct microseconds of two buckets, never a user's rows."""
     # micros since epoch of the wall-clock timestamp (independent of the session time zone)
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-    bucket_us = max(3600, seconds) * 1_000_000
+    bucket_us = seconds * 1_000_000
     e = events.select("event_id", "user_id", "ts", us.alias("us"))
-    home = e.withColumn("bucket", F.floor(F.col("us") / bucket_us)).withColumn("home", F.lit(True))
-    ctx = (e.where(F.pmod("us", F.lit(bucket_us)) >= bucket_us - seconds * 1_000_000)
-           .withColumn("bucket", F.floor(F.col("us") / bucket_us) + 1).withColumn("home", F.lit(False)))
-    w = Window.partitionBy("user_id", "bucket").orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    both = home.unionByName(ctx).withColumn("trailing_count", F.count(F.lit(1)).over(w))
-    return both.where("home").select("event_id", "user_id", "ts", "trailing_count")
-
-
-def incremental_staging(spark: SparkSession, path: str, stage_fn, keys: list[str]) -> DataFrame:
-    """New files are staged as they land and upserted by (file, sheet, row).
-
-    `stage_fn(batch_df) -> staged rows`.  Each micro-batch is de-duplicated on the key
-    inside the batch (bounded state: nothing is kept between batches except the table) and
-    written to its epoch folder; the served table keeps the latest epoch's row per key."""
-    schema = spark.read.parquet(path).schema
-    pattern = path[:-len(".parquet")] + "*.parquet" if path.endswith(".parquet") else path
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(pattern)
-    base = f"{checkpoint_dir(spark).rstrip('/')}/opsledger-streams/staging-{uuid.uuid4().hex}"
-    out = f"{base}/table"
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        staged = stage_fn(batch)
-        latest = dedupe_latest(staged, keys, ["row_hash"])
-        latest.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    q = (src.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    written = spark.read.parquet(out)
-    cols = [c for c in written.columns if c != "epoch"]
-    return dedupe_latest(written.select(*cols, F.col("epoch").alias("_e")), keys, ["_e"]).drop("_e")
+    at = e.groupBy("user_id", "us").agg(F.count(F.lit(1)).alias("n"))
+    own = F.floor(F.col("us") / bucket_us)
+    both = at.select("user_id", "us", "n", F.explode(F.array(F.struct(own.alias("bucket"), F.lit(True).alias("home")),
+                                                             F.struct((own + 1).alias("bucket"), F.lit(False).alias("home")))).alias("b"))
+    w = Window.partitionBy("user_id", "b.bucket").orderBy("us").rangeBetween(-(bucket_us - 1), 0)
+    counts = both.withColumn("trailing_count", F.sum("n").over(w)).where("b.home").select(
+        F.col("user_id").alias("_u"), F.col("us").alias("_us"), "trailing_count")
+    return (e.join(counts, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("us").eqNullSafe(F.col("_us")))
+            .select("event_id", "user_id", "ts", "trailing_count"))
+
+
+def incremental_staging(spark: SparkSession, path: str, stage_fn, keys: list[str], root: str | None = None,
+                        files_per_batch: int | None = 1) -> DataFrame:
+    """New files are staged as they land and upserted by `keys` (file, sheet, row); the row written last, by file time,
+    file and place in the file, wins.  `stage_fn(batch) -> staged rows` keeps the three place columns of `landed`."""
+    root = root or stream_root(spark, "staging", path)
+    source = landed(spark, path, files_per_batch)
+    place = ["_time", "_file", "_row"]
+    staged = stage_fn(source)
+    schema = [f for f in staged.schema.fields if f.name not in place]
+    table = KeyedTable(spark, f"{root}/table", StructType(schema), keys, buckets=16)
+    return merged(source, stage_fn, table, root, place)

@@ -105,3 +105,108 @@ def test_envelope_counts_all_ids_and_needs_provenance(spark):
     assert (got.status, got.source_count, got.warning_issues) == ("flagged", 60, 1)
     assert evidence.provenance_envelope(result, "sid", prov, issues.where("false")).first().status == "verified"
     assert evidence.provenance_envelope(result, "sid", prov.where("false"), issues).first().status == "incomplete"
+
+
+def test_transport_mines_are_owners(spark):
+    cells = [["1", "", "", "", "", "Fast", "", "North Mine"], ["2", "", "", "", "", "Fast", "", ""], ["3", "", "", "", "", "", "", "South Mine"],
+             ["4", "", "", "", "", "Slow", "", "north mine"]]
+    got = facts.transport_mine_owners(sheet(spark, "INWARD FINAL", 3, cells)).collect()
+    assert [(r.legal_name, r.roles, r.source_row_id) for r in got] == [("North Mine", ["mine_owner"], 100)]
+
+
+def test_dispatches_keep_one_row_per_key_and_look_up_the_last_write(spark):
+    row = ["1-Apr-2026", "Acme Ltd", "PO-1", "10", "2", "P1"] + [""] * 4 + ["61"]
+    cells = [row, row, row[:2] + ["po 1"] + row[3:], row[:2] + [""] + row[3:], row[:5] + [""], row[:1] + ["Nobody"] + row[2:5] + ["P9"]]
+    customers = spark.createDataFrame([(7, "ACME"), (9, "Acme Ltd")], "customer_id long, legal_name string")
+    orders = spark.createDataFrame([(1, 7, "PO-1", 10), (2, 7, "PO 1", 11)], "sales_order_line_id long, customer_id long, po_number string, source_row_id long")
+    permits = spark.createDataFrame([(1, "P1", "outward", 1), (2, "P1", "outward", 2), (3, "P9", "inward", 3)],
+                                    "permit_id long, permit_number string, direction string, source_row_id long")
+    got, issues = facts.build_dispatches(sheet(spark, "Daily Outward Detail", 2, cells), customers, orders, permits)
+    rows = {r.source_row_id: r for r in got.collect()}
+    # two writes of one row, one of them spelled otherwise, are the same dispatch; a row without a PO is none
+    assert sorted(rows) == [102, 104, 105]
+    assert (rows[102].customer_id, rows[102].sales_order_line_id, rows[102].permit_id) == (7, 2, 2)
+    assert (rows[105].customer_id, rows[105].sales_order_line_id, rows[105].permit_id) == (None, None, None)
+    assert rows[102].business_key == "dispatch|20260401|acmeltd|po1|p1|10000|2"
+    codes = sorted((r.rule_code, r.source_row_id) for r in issues.collect())
+    assert codes == sorted([("MISSING_SALES_ORDER", 105), ("MISSING_DISPATCH_PERMIT", 104), ("MISSING_DISPATCH_PERMIT", 105)]
+                           + [("MISSING_DISPATCH_LOT", i) for i in (100, 101, 102, 104, 105)])
+
+
+def test_permits_of_both_registers(spark):
+    parties = spark.createDataFrame([(1, "Acme Pvt Ltd"), (1, "Acme"), (2, "Other")], "organization_id long, legal_name string")
+    subjects = spark.createDataFrame([(1, "LOT-1", 11, 1), (1, "lot 1", 12, 2), (2, "LOT-1", 13, 3)],
+                                     "organization_id long, subject string, subject_id long, source_row_id long")
+    inward = [["Acme", "Lot-1", "", "1,000", "N1", "1-Apr-2026", "", "", "", "lump ore"], ["Other", "LOT-1", "", "5", "N1", "", "", "Open", "", ""],
+              ["Acme", "", "", "5", "", "", "", "Open"], ["Who", "LOT-1", "", "-", "N2"]]
+    got = {r.permit_number: r for r in facts.build_permits(sheet(spark, "Permit Details", 2, inward), "inward", parties, subjects).collect()}
+    assert set(got) == {"N1", "N2"}
+    assert (got["N1"].organization_id, got["N1"].purchase_lot_id, got["N1"].status, got["N1"].material_code) == (2, 13, "Open", "iron_ore:other:unspecified")
+    assert (got["N2"].organization_id, got["N2"].purchase_lot_id, got["N2"].permitted_quantity_mt, got["N2"].status) == (None, None, None, "unknown")
+    outward = [["Acme", "", "LOT 1", "N1", "4/2/26", "7", "", "Done", "", "Fines"]]
+    one = facts.build_permits(sheet(spark, "Permit Details", 2, outward), "outward", parties, subjects).first()
+    assert (one.sales_order_line_id, one.purchase_lot_id, str(one.issued_on), float(one.permitted_quantity_mt)) == (12, None, "2026-04-02", 7.0)
+
+
+def test_quality_samples_null_what_is_out_of_range(spark):
+    def row(lot, day="1-Apr-2026", early="", **measures):
+        cells = [day, "", lot] + [""] * 4 + ["100", "", "", early] + [""] * 20
+        for m, v in measures.items():
+            cells[facts.INWARD_MEASURES[m]] = v
+        return cells
+
+    cells = [row("LOT-1", FE="62", LOI="-1", MASS_BALANCE="79"), row("LOT-9", early="101", FE="20"), row("LOT-1", day="?"), row("LOT-1", P="5.5")]
+    data = [("q", "s", 2 + i, c, 100 + i) for i, c in enumerate(cells)]
+    receipts = spark.createDataFrame([("2026-04-01", "lot 1", 5, 1), ("2026-04-01", "LOT-1", 6, 2)], "d string, lot_text string, receipt_id long, source_row_id long")
+    receipts = receipts.selectExpr("CAST(d AS DATE) AS receipt_on", "lot_text", "receipt_id", "source_row_id")
+    got, issues = facts.build_quality_samples(spark.createDataFrame(data, SCHEMA), aliases(spark), receipts)
+    rows = {(r.source_row_id, r.sample_stage): r for r in got.collect()}
+    assert sorted(rows) == [(100, "inward"), (101, "indicative"), (101, "inward"), (103, "inward")]
+    one = rows[100, "inward"]
+    assert (one.lot_id, one.inward_receipt_id, float(one.fe_pct), one.loi_pct, float(one.mass_balance_pct), one.sio2_pct) == (1, 6, 62.0, None, 79.0, None)
+    assert rows[101, "indicative"].fe_pct is None and rows[101, "inward"].lot_id is None and float(rows[103, "inward"].p_pct) == 5.5
+    assert sorted((r.rule_code, r.source_row_id) for r in issues.collect()) == [
+        ("INVALID_QUALITY_RANGE", 100), ("INVALID_QUALITY_RANGE", 101), ("QUALITY_PLAUSIBILITY", 100), ("QUALITY_PLAUSIBILITY", 101),
+        ("QUALITY_PLAUSIBILITY", 103), ("UNMAPPED_LOT", 101)]
+
+
+def test_auction_lots_name_owners_and_sites(spark):
+    row = ["", "A1", "L1", "North pit", "Lumps", "61", "", "100", "", "-", "", "5", "6", "", "7", "", "8%", "", "", "Mines Ltd"]
+    cells = [row, row[:9] + ["40"] + row[10:], row[:1] + [""] + row[2:], row[:2] + ["L2", "north PIT"] + row[4:19] + [""]]
+    lots, owners, sites = facts.build_auction_lots(sheet(spark, "Consolidated Data", 2, cells))
+    got = {r.external_lot_number: r for r in lots.collect()}
+    assert set(got) == {"L1", "L2"} and got["L1"].source_row_id == 101 and float(got["L1"].sold_quantity_mt) == 40.0
+    assert got["L1"].closes_on is None and got["L1"].seller_key == "mines" and got["L2"].seller_key is None
+    assert [(r.legal_name, r.roles) for r in owners.collect()] == [("Mines Ltd", ["mine_owner"])]
+    assert sorted(((r.organization_key, r.site_key, r.name) for r in sites.collect()), key=repr) == [("mines", "northpit", "North pit"), (None, "northpit", "north PIT")]
+
+
+def test_production_resolves_its_input_lot(spark):
+    def row(material, feed="100", rec="", prod="", tail="", pct="55"):
+        return ["1-Apr-2026", "A", "Wet", "Fines", material, feed] + [""] * 23 + [tail, "", "", prod] + [""] * 7 + [rec, pct]
+
+    cells = [row("LOT-1", rec="60", tail="0"), row("Red fines", prod="50", tail="9", pct="101"), row(""), row("LOT-2", feed="-")]
+    data = [("p", "s", 5 + i, c, 100 + i) for i, c in enumerate(cells)]
+    runs, inputs, outputs, issues = facts.build_production(spark.createDataFrame(data, SCHEMA), aliases(spark))
+    assert sorted((r.source_row_id, r.process) for r in runs.collect()) == [(100, "Wet Fines"), (101, "Wet Fines")]
+    assert sorted((r.source_row_id, r.lot_id) for r in inputs.collect()) == [(100, 1), (101, None)]  # two lots are called 'red fines'
+    assert sorted((r.source_row_id, r.output_type, float(r.quantity_mt), r.material_code) for r in outputs.collect()) == [
+        (100, "recovered_total", 60.0, "iron_ore:fine:unspecified"), (101, "recovered_total", 50.0, "iron_ore:fine:unspecified"),
+        (101, "tailings", 9.0, "iron_ore:tailings:unspecified")]
+    assert sorted((r.rule_code, r.source_row_id) for r in issues.collect()) == [("INVALID_RECOVERY_RANGE", 101), ("MISSING_PRODUCTION_LOT", 101)]
+
+
+def test_second_import_of_every_sheet_changes_nothing(spark, tmp_path):
+    from opsledger.operators.books import TABLES, Books
+
+    books = Books(spark, str(tmp_path / "books"), buckets=4)
+    row = ["1-Apr-2026", "A", "Wet", "Fines", "LOT-1", "10"] + [""] * 23 + ["1", "", "", "5"] + [""] * 7 + ["", "50"]
+    rows = spark.createDataFrame([("p", "s", 5 + i, row, 100 + i) for i in range(3)], SCHEMA)
+    runs, inputs, outputs, _ = facts.build_production(rows, aliases(spark))
+    lots = facts.build_auction_lots(sheet(spark, "a", 2, [["", "A1", "L1"], ["", "A1", "L2"], ["", "A1", "L1"]]))[0]
+    loads = [("production_run", runs), ("production_input", inputs), ("production_output", outputs), ("auction_lot", lots)]
+    first = {name: books.upsert(name, df) for name, df in loads}
+    assert {n: d["inserted"] for n, d in first.items()} == {"production_run": 3, "production_input": 3, "production_output": 6, "auction_lot": 2}
+    assert all(books.upsert(name, df) == first[name] | {"inserted": 0, "updated": 0} for name, df in loads)
+    assert all(set(kept) <= set(spark.createDataFrame([], schema).columns) and set(keys) <= set(spark.createDataFrame([], schema).columns)
+               for schema, keys, kept in TABLES.values())

@@ -54,6 +54,52 @@ def test_streams_keep_events_of_unordered_files(spark, tmp_path):
     assert bursts and sorted(streams.burst_windows(spark, path, 2).collect()) == sorted(bursts)
 
 
+def test_second_call_reads_new_files_only_and_late_rows_count(spark, tmp_path):
+    start = dt.datetime(2026, 1, 1)
+    path, root = f"{tmp_path}/events.parquet", f"{tmp_path}/stream"
+    schema = "event_id long, user_id long, event_type string, ts timestamp_ntz, value double"
+    land = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    row = lambda i, minute, user=1: (i, user, "a", start + dt.timedelta(minutes=minute), 1.25)
+    land([row(i, 50_000 + i) for i in range(5)])
+    first = streams.daily_event_totals(spark, path, f"{root}/x2", 1).collect()
+    streams.burst_windows(spark, path, 2, f"{root}/x3", 1)
+    land([row(100 + i, i, 2) for i in range(4)])  # weeks before what has been read
+    land([row(200, 50_002)])
+    calls, upsert = [], streams.KeyedTable.upsert
+
+    def counted(self, rows, *a, **k):
+        calls.append(rows.count())
+        return upsert(self, rows, *a, **k)
+
+    streams.KeyedTable.upsert = counted
+    try:
+        second = streams.daily_event_totals(spark, path, f"{root}/x2", 1).collect()
+        assert len(calls) == 2, "one batch for each new file"
+        third = streams.daily_event_totals(spark, path, f"{root}/x2", 1).collect()
+        assert len(calls) == 2 and sorted(third) == sorted(second)
+    finally:
+        streams.KeyedTable.upsert = upsert
+    assert {(r.day, r.events) for r in first} == {(dt.date(2026, 2, 4), 5)}
+    assert {(r.day, r.events, r.value_sum) for r in second} == {(dt.date(2026, 1, 1), 4, Decimal("5.00")), (dt.date(2026, 2, 4), 6, Decimal("7.50"))}
+    want = streams.burst_windows_batch(spark.read.parquet(path), 2).collect()
+    assert sorted(streams.burst_windows(spark, path, 2, f"{root}/x3", 1).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("files_per_batch", [1, None])
+def test_staging_keeps_the_row_written_last(spark, tmp_path, files_per_batch):
+    import time
+
+    path, root = f"{tmp_path}/d.parquet", f"{tmp_path}/s"
+    stage_fn = lambda df: stage.stage_rows(df, "d", F.lit("s"), F.col("n"), ["text"], [c for c in ("_time", "_file", "_row") if c in df.columns])
+    for texts in (["z", "y", "x"], ["a", "y"]):  # the second file has the smaller texts, and hashes in any order
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, texts[1] + "!")], "n long, text string").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    keys = ["file_name", "sheet_name", "row_number"]
+    got = streams.incremental_staging(spark, path, stage_fn, keys, root, files_per_batch)
+    assert sorted((r.row_number, r.cells[0]) for r in got.collect()) == [(0, "a"), (1, "y!"), (2, "x")]
+    assert "_time" not in got.columns
+
+
 def test_asp_is_the_last_closed_month(spark):
     day = dt.date.fromisoformat
     auctions = spark.createDataFrame([(day("2026-01-20"), Decimal(100)), (day("2026-04-02"), Decimal(300)), (day("2026-04-30"), Decimal(500))],
