@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,71 +35,108 @@ def signed_quantity(direction: str = "direction", quantity: str = "quantity_mt")
     return F.when(F.col(direction) == "in", F.col(quantity)).otherwise(-F.col(quantity))
 
 
-def prefix_sum_before(df: DataFrame, group_cols: list[str], order_cols: list, value: str, out: str,
-                      partitions: int | None = None, max_group_rows: int = 1_000_000) -> DataFrame:
-    """Running sum of `value` over the rows before each row (exclusive) per group, in `order_cols` order.
-
-    When the largest group has at most `max_group_rows` rows, a window per group is used.
-    Otherwise a window partitioned by the group alone would sort a hot group in one task, so the
-    rows are range-partitioned on (group, order) - contiguous slices of each group's order go
-    to consecutive partitions - and the sum is the within-slice running sum plus the totals of
-    the group's earlier slices (a table of at most one row per slice and group).  The slices
-    are checkpointed once (see below)."""
-    from pyspark.sql import Window
+def sliced(df: DataFrame, group_cols: list[str], order_cols: list, partitions: int | None = None) -> DataFrame:
+    """`df` range-partitioned on (group, order), with the partition as `_pid`: contiguous slices of each group's order in
+    consecutive partitions, so that a group with most of the rows is spread over many tasks.
 
+    Two separately planned range exchanges may sample different bounds, so the slices are dealt once and the lineage is
+    cut with a reliable checkpoint in the session's checkpoint folder; what reads them reads the same slices, and a lost
+    executor re-reads them instead of dealing anew."""
     from ..session import checkpoint_dir
-    # Groups that fit a task (checked with one aggregate) use a plain window per group.
-    largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_group_rows:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The slice id comes from the partition a row lands in.  Two separately planned range
-    # exchanges may sample different bounds, so the slices are assigned once and the lineage is
-    # cut with a reliable checkpoint in the session's checkpoint folder; both branches below
-    # read the same slices (and a lost executor re-reads them instead of re-sampling).
     checkpoint_dir(df.sparkSession)
-    ordered = (df.repartitionByRange(n, *group_cols, *order_cols).withColumn("_pid", F.spark_partition_id())
-               .checkpoint(eager=True))
-    totals = ordered.groupBy("_pid", *group_cols).agg(F.sum(value).alias("_t"))
-    w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0))).drop("_t")
-    w_loc = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    local = ordered.withColumn("_loc", F.coalesce(F.sum(value).over(w_loc), F.lit(0)))
-    return local.join(offsets, ["_pid", *group_cols]).withColumn(out, F.col("_off") + F.col("_loc")) \
-        .drop("_pid", "_off", "_loc")
-
-
-def exact_median(df: DataFrame, keys: list[str], value: str, max_distinct: int = 100_000) -> DataFrame:
-    """Exact median (percentile_cont 0.5) and row count per group, without holding a group in one task.
-
-    Rows are first counted per (group, value) - a partial aggregate, so a hot group is combined
-    map-side.  Groups with at most `max_distinct` distinct values then take `percentile` with
-    frequency weights over that count table (its buffer is bounded by `max_distinct`).  Groups with
-    more distinct values take the slice path: cumulative counts in value order with
-    `prefix_sum_before` (range-partitioned), and the two middle positions lo = (n-1) div 2 and
-    hi = n div 2 are looked up.  The slice path is skipped when no group needs it.
-    Output: (keys..., records, median) with median as double."""
-    v = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    stats = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.sum("_c").alias("records"))
-    small_keys = stats.where(F.col("_d") <= max_distinct).select(*keys)
-    small = (v.join(small_keys, keys, "left_semi").groupBy(*keys)
-             .agg(F.sum("_c").alias("records"),
-                  F.percentile(F.col("_v").cast("double"), F.lit(0.5), F.col("_c")).alias("median")))
-    big_keys = stats.where(F.col("_d") > max_distinct).select(*keys)
-    if big_keys.limit(1).count() == 0:
-        return small
-    vb = v.join(big_keys, keys, "left_semi")
-    n = vb.groupBy(*keys).agg(F.sum("_c").alias("records"))
-    cum = prefix_sum_before(vb, keys, ["_v"], "_c", "_before").join(n, keys)
-    lo = F.floor((F.col("records") - 1) / 2)
-    hi = F.floor(F.col("records") / 2)
-
-    def covers(pos):
-        return (F.col("_before") <= pos) & (pos < F.col("_before") + F.col("_c"))
-
-    picked = cum.where(covers(lo) | covers(hi)).select(
-        *keys, "records", F.when(covers(lo), F.col("_v").cast("double")).alias("_lo"),
-        F.when(covers(hi), F.col("_v").cast("double")).alias("_hi"))
-    big = picked.groupBy(*keys, "records").agg(((F.max("_lo") + F.max("_hi")) / 2).alias("median"))
-    return small.unionByName(big)
+    return df.repartitionByRange(n, *group_cols, *order_cols).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+
+
+def prefix_sums_before(df: DataFrame, group_cols: list[str], order_cols: list, sums: dict[str, str],
+                       partitions: int | None = None) -> DataFrame:
+    """Running sums over the rows before each row (exclusive) per group, in `order_cols` order; `sums`: out -> value column.
+
+    A row's sum is that of its slice's rows before it plus the totals of the group's earlier slices (a table of one row
+    per slice and group)."""
+    rows = sliced(df, group_cols, order_cols, partitions)
+    before = Window.unboundedPreceding
+    w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(before, -1)
+    w_loc = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(before, -1)
+    totals = rows.groupBy("_pid", *group_cols).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()])
+    offsets = _renamed(totals.select("_pid", *group_cols, *[F.coalesce(F.sum(f"_t_{o}").over(w_off), F.lit(0)).alias(f"_o_{o}") for o in sums]),
+                       ["_pid", *group_cols])
+    local = rows.select("*", *[F.coalesce(F.sum(v).over(w_loc), F.lit(0)).alias(f"_l_{o}") for o, v in sums.items()])
+    return local.join(offsets, _same(["_pid", *group_cols])).select(
+        *df.columns, *[(F.col(f"_o_{o}") + F.col(f"_l_{o}")).alias(o) for o in sums])
+
+
+def _renamed(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_same_{c}") if c in cols else F.col(c) for c in df.columns])
+
+
+def _same(cols: list[str]) -> list[Column]:
+    """Null-safe equality with the columns of a `_renamed` side."""
+    return [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in cols]
+
+
+def prefix_sum_before(df: DataFrame, group_cols: list[str], order_cols: list, value: str, out: str,
+                      partitions: int | None = None) -> DataFrame:
+    """One running sum; see `prefix_sums_before`."""
+    return prefix_sums_before(df, group_cols, order_cols, {out: value}, partitions)
+
+
+def carried_forward(df: DataFrame, group_cols: list[str], order_cols: list, value: str, partitions: int | None = None) -> DataFrame:
+    """`df` with nulls of `value` replaced by the last value before them in their group, in `order_cols` order.
+
+    Within a slice by a window; where a slice begins without one, the last value of the group's earlier slices (a table of
+    one row per slice and group)."""
+    rows = sliced(df, group_cols, order_cols, partitions)
+    up_to = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_at", F.last(value, ignorenulls=True).over(up_to))
+    final = (rows.withColumn("_n", F.row_number().over(Window.partitionBy("_pid", *group_cols).orderBy(*order_cols)))
+             .groupBy("_pid", *group_cols).agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col("_n"))).alias("_end")))
+    ends = _renamed(final.select("_pid", *group_cols, F.last("_end", ignorenulls=True).over(earlier).alias("_from")), ["_pid", *group_cols])
+    return local.join(ends, _same(["_pid", *group_cols])).select(
+        *[F.coalesce("_at", "_from").alias(value) if c == value else F.col(c) for c in df.columns])
+
+
+DIGIT, ROUNDS = 1 << 20, 3  # values of one digit, about, and digits that a decimal(18) difference has at most
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact median (percentile_cont 0.5) and row count per group of a decimal column (18 digits), by selection over digits.
+
+    Values are whole numbers of their last decimal place, counted from the least one, and written in ROUNDS digits, the
+    first of which divides the table's range into DIGIT parts at most.  Each
+    round counts the values of the groups by their next digit, walks the counts to the digits in which the one or two
+    middle ranks fall, and keeps only the values that have them.  A task never holds more than one group's counts of one
+    digit, however many rows or distinct values the group has; there is one way for all sizes, and no job runs while
+    the query is built.  Output: (keys..., records, median) with median as double."""
+    unit = 10 ** df.schema[value].dataType.scale
+    whole = (F.col(value).cast(f"decimal(38,{df.schema[value].dataType.scale})") * unit).cast("bigint")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, whole.alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    width = lambda before: F.floor(before / F.lit(DIGIT)).cast("bigint") + 1
+    least, first = F.min(whole), width(F.max(whole) - F.min(whole))
+    scale = df.agg(F.struct(least.alias("least"), first.alias("w0"), width(first).alias("w1")).alias("e")).scalar()
+    path = [f"_d{r}" for r in range(ROUNDS)]
+    rows = rows.withColumn("_e", scale).withColumn("_off", F.col("_v") - F.col("_e.least")).select(
+        *keys, "_c", F.expr("_off div _e.w0").alias("_d0"), F.expr("(_off % _e.w0) div _e.w1").alias("_d1"),
+        F.expr("_off % _e.w0 % _e.w1").alias("_d2"))
+    picks = None  # (keys, digits so far, ranks, records): where the wanted ranks are, counted within those digits
+    for r in range(ROUNDS):
+        known, name = path[:r], path[r]
+        if picks is None:
+            counts = rows.groupBy(*keys, name).agg(F.sum("_c").alias("_c"))
+        else:
+            rows = rows.join(_renamed(picks, [*keys, *known]), _same([*keys, *known])).select(*rows.columns[:len(keys) + 1 + ROUNDS], "_ranks", "records")
+            counts = rows.groupBy(*keys, *known, name, "_ranks", "records").agg(F.sum("_c").alias("_c"))
+            rows = rows.drop("_ranks", "records")
+        w = Window.partitionBy(*keys, *known).orderBy(name)
+        walked = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        if picks is None:
+            walked = walked.withColumn("records", F.sum("_c").over(Window.partitionBy(*keys)))
+            # the two middle places, the same one twice where the number of rows is odd
+            walked = walked.withColumn("_ranks", F.array(F.floor((F.col("records") - 1) / 2), F.floor(F.col("records") / 2)))
+        inside = F.filter("_ranks", lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("_c")))
+        picks = (walked.withColumn("_in", inside).where(F.size("_in") > 0)
+                 .select(*keys, *known, name, F.transform("_in", lambda k: k - F.col("_before")).alias("_ranks"), "records"))
+    found = F.col("_e.least") + F.col("_d0") * F.col("_e.w0") + F.col("_d1") * F.col("_e.w1") + F.col("_d2")
+    middle = F.size("_ranks") * found.cast("double")
+    return picks.withColumn("_e", scale).groupBy(*keys).agg(F.max("records").alias("records"), (F.sum(middle) / 2 / unit).alias("median"))

@@ -150,40 +150,40 @@ def achievable_range(stock: DataFrame) -> DataFrame:
 def assess_purchase(stock: DataFrame, purchases: DataFrame) -> DataFrame:
     """Lift each purchase to its target with the highest-grade lots first (greedy).
 
-    For a lot i (sorted by grade desc, lot) the grade-tonnes it can add are q_i (fe_i - t);
-    with P_i the sum over the lots before i, the lot supplies take_i =
-    min(q_i, max(0, R - P_i) / (fe_i - t)) where R = Q (t - g).  The prefix sums are per
-    (product, target) and are computed with a range-partitioned prefix sum, so a product with
-    most of the lots is split over many tasks; the purchase join keeps only lots with P_i < R
-    (the lots actually used).
+    Sorted by grade (highest first) and lot, a lot can add quantity * (grade - target) grade-tonnes.  Before[i] is what the
+    lots before it add.  A purchase that needs R uses every lot with before[i] < R, all whole but the last: so its row
+    in the sorted union of purchases (at R) and lots (at before[i]) only needs the last lot before it, with the sums of
+    quantity and cost up to that lot.  Both the sums and the search go over slices of the order, so a product with
+    most of the lots or purchases is split over many tasks, and no purchase meets more than one lot.
 
     stock:     (product, lot, quantity, fe, landed_cost)
     purchases: (purchase_id, product, grade, quantity, landed_cost, target_fe)
     Output: (purchase_id, feasible, high_quantity, total_quantity, blended_cost, lots_used)"""
+    from ..operators.common import carried_forward, prefix_sums_before
     targets = purchases.select("product", "target_fe").distinct()
+    q, above = F.col("quantity").cast("double"), (F.col("fe") - F.col("target_fe")).cast("double")
     s = stock.where(F.col("quantity") > 0).join(targets, "product").where(F.col("fe") > F.col("target_fe"))
-    lift = (F.col("quantity").cast("double") * (F.col("fe") - F.col("target_fe")).cast("double"))
-    from ..operators.common import prefix_sum_before
-    s = prefix_sum_before(s.withColumn("lift", lift), ["product", "target_fe"], [F.col("fe").desc(), "lot"],
-                          "lift", "before")
-    totals = s.groupBy("product", "target_fe").agg(F.sum("lift").alias("available_lift"))
-    p = purchases.withColumn("required", F.col("quantity").cast("double")
-                             * (F.col("target_fe") - F.col("grade")).cast("double"))
-    used = (p.select("purchase_id", "product", "target_fe", "required")
-            .join(s.select("product", "target_fe", "lot", F.col("quantity").alias("lq"), "fe",
-                           F.col("landed_cost").alias("lc"), "before"), ["product", "target_fe"])
-            .where(F.col("before") < F.col("required")))
-    take = F.least(F.col("lq").cast("double"), F.greatest(F.lit(0.0), F.col("required") - F.col("before"))
-                   / (F.col("fe") - F.col("target_fe")).cast("double"))
-    used = used.withColumn("take", take).where(F.col("take") > 0)
-    agg = used.groupBy("purchase_id").agg(F.sum("take").alias("high_quantity"),
-                                          F.sum(F.col("take") * F.col("lc").cast("double")).alias("high_cost"),
-                                          F.count(F.lit(1)).alias("lots_used"))
-    out = (p.join(totals, ["product", "target_fe"], "left").join(agg, "purchase_id", "left")
-           .withColumn("high_quantity", F.coalesce("high_quantity", F.lit(0)))
-           .withColumn("high_cost", F.coalesce("high_cost", F.lit(0)))
-           .withColumn("residual", F.col("required") - F.least(F.coalesce("available_lift", F.lit(0)),
-                                                               F.greatest(F.col("required"), F.lit(0)))))
+    s = s.select("product", "target_fe", "fe", "lot", q.alias("lq"), above.alias("above"), F.col("landed_cost").cast("double").alias("lc"),
+                 (q * above).alias("lift"), (q * F.col("landed_cost").cast("double")).alias("cost"), F.lit(1).alias("one"))
+    s = prefix_sums_before(s, ["product", "target_fe"], [F.col("fe").desc(), "lot"],
+                           {"before": "lift", "q_before": "lq", "cost_before": "cost", "n_before": "one"})
+    lot = F.struct("before", "lift", "lq", "above", "lc", "q_before", "cost_before", "n_before")
+    p = purchases.withColumn("required", q * (F.col("target_fe") - F.col("grade")).cast("double"))
+    none = F.lit(None)
+    both = p.select("product", "target_fe", F.col("required").alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("place"),
+                    F.struct("purchase_id", "quantity", "landed_cost", "required").alias("row"),
+                    none.cast(s.select(lot.alias("l")).schema["l"].dataType).alias("last"))
+    lots = s.select("product", "target_fe", F.col("before").alias("at"), F.lit(1).alias("kind"), F.col("n_before").cast("bigint").alias("place"),
+                    none.cast(both.schema["row"].dataType).alias("row"), lot.alias("last"))
+    # at one place purchases come first: a lot is used only where something is still required before it
+    found = carried_forward(both.unionByName(lots), ["product", "target_fe"], ["at", "kind", "place"], "last").where("kind = 0")
+    take = F.least(F.col("last.lq"), (F.col("row.required") - F.col("last.before")) / F.col("last.above"))
+    has = F.col("last").isNotNull() & (F.col("row.required") > 0)
+    out = found.select(
+        "row.*", F.when(has, F.col("last.q_before") + take).otherwise(0.0).alias("high_quantity"),
+        F.when(has, F.col("last.cost_before") + take * F.col("last.lc")).otherwise(0.0).alias("high_cost"),
+        F.when(has, F.col("last.n_before") + 1).otherwise(0).cast("bigint").alias("lots_used"),
+        (F.col("row.required") - F.when(has, F.least(F.col("last.before") + F.col("last.lift"), F.col("row.required"))).otherwise(0.0)).alias("residual"))
     feasible = (F.col("required") <= 0) | (F.col("residual") <= float(RESIDUAL))
     total_q = F.col("quantity").cast("double") + F.col("high_quantity")
     return out.select(
@@ -191,5 +191,5 @@ def assess_purchase(stock: DataFrame, purchases: DataFrame) -> DataFrame:
         F.when(feasible, F.round(F.col("high_quantity"), 2)).alias("high_quantity"),
         F.when(feasible, F.round(total_q, 2)).alias("total_quantity"),
         F.when(feasible, F.round((F.col("quantity").cast("double") * F.col("landed_cost").cast("double")
-                                  + F.col("high_cost")) / total_q, 2)).alias("blended_cost"),
-        F.coalesce("lots_used", F.lit(0)).alias("lots_used"))
+                                  + F.col("high_cost")) / F.nullif(total_q, F.lit(0.0)), 2)).alias("blended_cost"),
+        "lots_used")

@@ -74,3 +74,26 @@ def test_resolve_names(spark):
     assert r[2]["status"] == "ambiguous" and r[2]["candidates"] == ["Acme Metals", "Acme Ores Pvt Ltd"]
     assert r[3]["resolved"] == "Blue Hill Mining"
     assert r[4]["status"] == "not_found"
+
+
+def test_purchases_use_lots_as_the_greedy_walk_does(spark):
+    import random
+    from fractions import Fraction
+    rng = random.Random(8)
+    lots = [(p, f"L{i:03}", float(rng.randint(0, 40)), float(rng.randint(50, 66)), float(rng.randint(1, 9))) for p in "ab" for i in range(60)]
+    buys = [(f"{p}{i}", p, float(rng.randint(40, 66)), float(rng.randint(0, 300)), 3.0, float(rng.choice([55, 60]))) for p in "abc" for i in range(60)]
+    stock = spark.createDataFrame(lots, "product string, lot string, quantity double, fe double, landed_cost double")
+    purchases = spark.createDataFrame(buys, "purchase_id string, product string, grade double, quantity double, landed_cost double, target_fe double")
+    got = {r.purchase_id: r for r in blend.assess_purchase(stock, purchases).collect()}
+    assert len(got) == len(buys)
+    for name, product, grade, quantity, cost, target in buys:
+        need, high, paid, used = Fraction(quantity * (target - grade)), Fraction(0), Fraction(0), 0
+        for _, lot, q, fe, lc in sorted((x for x in lots if x[0] == product and x[3] > target and x[2] > 0), key=lambda x: (-x[3], x[1])):
+            if need <= 0:
+                break
+            take = min(Fraction(q), need / Fraction(fe - target))
+            need, high, paid, used = need - take * Fraction(fe - target), high + take, paid + take * Fraction(lc), used + 1
+        r = got[name]
+        assert r.feasible == (need <= 0.01) and r.lots_used == used
+        if r.feasible and quantity + high:
+            assert abs(r.high_quantity - float(high)) < 0.0051 and abs(r.blended_cost - float((Fraction(quantity * cost) + paid) / (Fraction(quantity) + high))) < 0.0051

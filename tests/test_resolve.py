@@ -60,12 +60,44 @@ def test_prefix_sum_splits_hot_group(spark):
     rows = [("hot", i, float(i % 7)) for i in range(3000)] + [(f"g{i % 5}", i, 1.0) for i in range(200)]
     df = spark.createDataFrame(rows, "g string, o int, v double")
     got = {(r["g"], r["o"]): r["before"]
-           for r in prefix_sum_before(df, ["g"], ["o"], "v", "before", 16, max_group_rows=100).collect()}
-    small = {(r["g"], r["o"]): r["before"] for r in prefix_sum_before(df, ["g"], ["o"], "v", "before").collect()}
+           for r in prefix_sum_before(df, ["g"], ["o"], "v", "before", 16).collect()}
+    one = {(r["g"], r["o"]): r["before"] for r in prefix_sum_before(df, ["g"], ["o"], "v", "before", 1).collect()}
     w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     want = {(r["g"], r["o"]): r["b"] for r in df.withColumn("b", F.coalesce(F.sum("v").over(w), F.lit(0.0))).collect()}
-    assert got == want      # slice path (the hot group has 3000 rows > 100)
-    assert small == want    # window path
+    assert got == want      # the hot group lies in several slices
+    assert one == want      # a single slice
+
+
+def test_carried_forward_crosses_slices(spark):
+    import random
+    from opsledger.operators.common import carried_forward
+    rng = random.Random(5)
+    rows = [("hot", i, i if rng.random() < 0.01 else None) for i in range(2000)] + [(g, i, None if i else 7) for g in ("a", None) for i in range(3)]
+    rows += [("none", i, None) for i in range(5)]
+    got = {(r.g, r.o): r.v for r in carried_forward(spark.createDataFrame(rows, "g string, o int, v int"), ["g"], ["o"], "v", 16).collect()}
+    want, last = {}, {}
+    for g, o, v in rows:
+        last[g] = v if v is not None else last.get(g)
+        want[g, o] = last[g]
+    assert got == want
+
+
+def test_exact_median_of_any_decimals(spark):
+    import random
+    from decimal import Decimal
+    from pyspark.sql import functions as F
+    from opsledger.operators.common import exact_median
+    rng = random.Random(9)
+    wide = [Decimal(rng.randint(-10 ** 18 + 1, 10 ** 18 - 1)).scaleb(-4) for _ in range(301)]  # digits of every round differ
+    near = [Decimal(10 ** 13 + rng.randint(0, 9)).scaleb(-4) for _ in range(100)]
+    ends = [Decimal(-10 ** 18 + 1).scaleb(-4), Decimal(10 ** 18 - 1).scaleb(-4)]
+    rows = [(g, v) for g, vs in (("wide", wide), ("near", near), ("ends", ends), (None, near[:2]), ("one", near[:1]), ("none", [None])) for v in vs]
+    df = spark.createDataFrame(rows, "g string, v decimal(18,4)")
+    got = {r.g: (r.records, r.median) for r in exact_median(df, ["g"], "v").collect()}
+    for g in ("wide", "near", "ends", None, "one"):
+        vs = sorted(v for k, v in rows if k == g)
+        assert got.pop(g) == (len(vs), float((vs[(len(vs) - 1) // 2] + vs[len(vs) // 2]) / 2))
+    assert not got
 
 
 def test_exact_median_matches_percentile(spark):
@@ -75,10 +107,8 @@ def test_exact_median_matches_percentile(spark):
     rnd = random.Random(3)
     rows = [("hot", float(rnd.randint(1, 40))) for _ in range(2001)] + \
            [(f"g{i}", float(rnd.randint(1, 9))) for i in range(30) for _ in range(rnd.randint(1, 6))] + [("nulls", None)]
-    df = spark.createDataFrame(rows, "g string, v double")
+    df = spark.createDataFrame(rows, "g string, v double").withColumn("v", F.col("v").cast("decimal(18,3)"))
     got = {r["g"]: (r["records"], r["median"]) for r in exact_median(df, ["g"], "v").collect()}
-    sliced = {r["g"]: (r["records"], r["median"]) for r in exact_median(df, ["g"], "v", max_distinct=5).collect()}
     want = {r["g"]: (r["n"], r["m"]) for r in df.where("v is not null").groupBy("g").agg(
         F.count("v").alias("n"), F.percentile("v", 0.5).alias("m")).collect()}
     assert got == want
-    assert sliced == want    # the hot group (40 distinct values) takes the slice path here
