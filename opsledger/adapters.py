@@ -295,6 +295,9 @@ class Ledger:
                      .cast(DEC3).alias("reported_balance_to_lift_mt"),
                      F.sum((dec("l_discount") - k("0.05")) * dec("l_quantity", 3)).cast(DEC3)
                      .alias("reported_payment_balance_mt"),
+                     (F.sum(F.when(F.col("l_linestatus") == "F", q).otherwise(F.lit(0).cast(DEC3)))
+                      - F.sum(F.when(F.col("l_returnflag") == "N", q).otherwise(F.lit(0).cast(DEC3))))
+                     .cast(DEC3).alias("reported_permit_balance_mt"),
                      F.min(F.col("l_shipdate").cast("date")).alias("purchase_date"),
                      F.min(source_row_id()).alias("source_row_id")))
 
@@ -395,7 +398,7 @@ class StagedLedger(Ledger):
             F.concat(F.lit("WO-"), F.col("o_orderkey").cast("string")), F.lit(""),
             F.col("o_orderdate").cast("date").cast("string"), F.lit(""), F.lit(""),
             F.col("o_orderpriority"), F.lit(""), F.concat(F.lit("MINE-"), F.col("mine").cast("string")),
-            F.when(pending, F.concat(F.col("q"), F.lit(" + pending"))).otherwise(F.col("q")),
+            F.when(pending & (F.col("n") == 1), F.lit("")).when(pending, F.concat(F.col("q"), F.lit(" + pending"))).otherwise(F.col("q")),
             F.col("lots"), F.lit(""),
             F.when(pending, F.lit("TBD")).otherwise(dec("o_totalprice").cast("string")),
             F.lit(""), F.lit(""), F.lit(""), (F.col("n") * 10).cast("string"))
@@ -540,7 +543,7 @@ class StagedLedger(Ledger):
             F.format_number("purchased_quantity_mt", 3),
             F.concat(F.lit("₹"), F.format_number("lot_landed_cost", 4)), F.format_number("lot_landed_cost", 4), *blank,
             F.format_number("reported_lifted_quantity_mt", 3), F.format_number("reported_balance_to_lift_mt", 3),
-            *blank * 3, F.format_number("reported_payment_balance_mt", 3), F.lit("-"), *blank * 3,
+            *blank * 3, F.format_number("reported_payment_balance_mt", 3), F.format_number("reported_permit_balance_mt", 3), *blank * 3,
             status, payment)
         return j.select(F.lit("inward_report").alias("file_name"), F.lit("Purchased Details").alias("sheet_name"),
                         (F.col("source_row_id") + 2).cast("bigint").alias("row_number"), cells.alias("cells"),

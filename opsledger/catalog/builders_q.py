@@ -198,7 +198,7 @@ SELECT 'purchaselot|sup' || CAST(p.supplier_id AS VARCHAR) || '|lot' || CAST(p.l
        'LOT-' || CAST(p.lot_id AS VARCHAR) AS source_lot_number, p.purchase_date, p.purchased_quantity_mt,
        l.lot_landed_cost AS purchase_rate_inr_per_mt, l.lot_landed_cost AS reported_landed_cost_inr_per_mt, p.reported_lifted_quantity_mt,
        p.reported_balance_to_lift_mt, p.reported_payment_balance_mt,
-       CAST(NULL AS DECIMAL(18,3)) AS reported_permit_balance_mt,
+       p.reported_permit_balance_mt,
        CASE WHEN p.reported_lifted_quantity_mt = 0 THEN 'unlifted' WHEN p.reported_balance_to_lift_mt <= 0 THEN 'finished'
             ELSE 'unknown' END AS lifecycle_status,
        CASE WHEN p.reported_payment_balance_mt < 0 THEN 'unpaid' WHEN p.reported_payment_balance_mt = 0 THEN 'paid'

@@ -52,8 +52,8 @@ FROM (SELECT *, unnest(list_distinct(flatten(list_transform(
 
 
 def issues(spark, sf_dir):
-    from .rules_q import all_issues
-    return all_issues(spark, sf_dir)
+    from .rules_q import open_issue_table
+    return open_issue_table(spark, sf_dir)
 
 
 @register("e3_page_status", """

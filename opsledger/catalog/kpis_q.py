@@ -88,8 +88,8 @@ def c7(spark, sf_dir):
 SELECT rule_code, count(*) AS issue_count FROM issues_r GROUP BY rule_code
 ORDER BY issue_count DESC, rule_code LIMIT 12""", extra=EX)
 def c8(spark, sf_dir):
-    from .rules_q import all_issues
-    return kpis.top_rules(all_issues(spark, sf_dir), 12)
+    from .rules_q import open_issue_table
+    return kpis.top_rules(open_issue_table(spark, sf_dir), 12)
 
 
 @register("c9_overview", """

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import adapters
 from ..adapters import StagedLedger
 from ..functions import clean
-from ..operators import checks, marts, resolve, similarity
+from ..operators import checks, common, issues, marts, resolve, similarity
 from ..operators.checks import SEVERITIES
 from ..registry import register
+from ..session import checkpoint_dir
+from ..sources.runs import RunStore, fingerprint
+from ..sources.store import code_version
+from ..sources.tables import Tables
 from .marts_q import V7_SQL
 
 AS_OF = "2002-01-01 00:00:00"
@@ -269,6 +279,8 @@ SQL["r25_negative_reported_balance"] = iss(
     """FROM (SELECT supplier_id, lot_id, source_row_id, 'balance to lift' AS label, reported_balance_to_lift_mt AS value
              FROM purchase_lots_r
              UNION ALL SELECT supplier_id, lot_id, source_row_id, 'payment-based balance', reported_payment_balance_mt
+             FROM purchase_lots_r
+             UNION ALL SELECT supplier_id, lot_id, source_row_id, 'permit balance', reported_permit_balance_mt
              FROM purchase_lots_r) WHERE value < 0""")
 SQL["r26_transport_multi_lot"] = iss(
     "TRANSPORT_MULTI_LOT", "transport_work_order", "work_order_number", "source_row_id",
@@ -341,8 +353,12 @@ class _Lazy(dict):
         value = self[key] = self.builders[key]()
         return value
 
-    def all(self):
-        return [self[k] for k in self.builders]
+    passes: list = []
+
+    def in_passes(self) -> list[DataFrame]:
+        """All findings: the rules that share a pass together, the others one by one."""
+        shared = {k for keys, _ in self.passes for k in keys}
+        return [build() for _, build in self.passes] + [self[k] for k in self.builders if k not in shared]
 
 
 def rule_frames(spark, sf_dir, materialize: bool = False) -> _Lazy:
@@ -412,12 +428,64 @@ def rule_frames(spark, sf_dir, materialize: bool = False) -> _Lazy:
             L.auction_awards, "MISSING_AUCTION_BUYER_SOURCE", "auction_bid_award",
             "The auction buyer award source is empty.", run()),
     }
-    return _Lazy(builders)
+    frames = _Lazy(builders)
+    # The issue table applies the rules of one relation in one pass over it; what has no pass here goes by itself.
+    frames.passes = [
+        (("r02_missing_required_field", "r03_invalid_number"), lambda: checks.findings(
+            L.work_order_rows, checks.required_field_rule(WO_REQUIRED, "transport_work_order"),
+            *checks.number_rules(WO_NUMBERS, "transport_work_order"))),
+        (("r04_unmapped_lot", "r28_planning_stock_mismatch"), lambda: checks.planning_findings(
+            planning(), marts.latest_snapshot(L.stock_snapshots))),
+        (("r06_missing_dispatch_lot", "r07_missing_dispatch_permit"), lambda: checks.dispatch_findings(L.dispatches, L.permits)),
+        (("r09_summary_detail_mismatch", "r10_order_over_dispatch", "r12_dispatch_before_po_date", "r25_negative_reported_balance"),
+         lambda: checks.order_findings(totals()).unionByName(checks.purchase_findings(L.purchase_lots, L.receipts))),
+        (("r16_dmg_stock_difference", "r17_quality_inward_mismatch"), lambda: checks.sample_findings(L.inward_samples, L.receipts)),
+        (("r18_invalid_quality_range", "r19_quality_plausibility"), lambda: checks.measure_findings(long())),
+    ]
+    return frames
 
 
 def all_issues(spark, sf_dir, materialize: bool = False) -> DataFrame:
-    """The run's issue table: every rule, unioned and de-duplicated on the open-issue key."""
-    return checks.union_issues(*rule_frames(spark, sf_dir, materialize).all())
+    """The run's findings: every rule, unioned and de-duplicated on the open-issue key."""
+    return checks.union_issues(*rule_frames(spark, sf_dir, materialize).in_passes())
+
+
+RUN_AT = "2002-01-01 00:00:00"  # the time of a run is a parameter, so that a repeated run gives the same table
+
+
+def run_store(spark, sf_dir) -> RunStore:
+    """The import runs of these rules over one landed folder, in the session's checkpoint folder."""
+    rules = code_version(sys.modules[__name__], checks, issues, marts, resolve, similarity, adapters, clean, common)
+    name = hashlib.sha256(f"{sf_dir}|{rules}".encode()).hexdigest()[:16]
+    return RunStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/opsledger-runs/{name}")
+
+
+LANDED = ("nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def published_run(spark, sf_dir) -> RunStore:
+    """The store of `sf_dir` with a completed run over its present files: checked once, read by every reader."""
+    store, t = run_store(spark, sf_dir), Tables(spark, sf_dir)
+
+    def check(store: RunStore, run: int):
+        found = checks.all_findings(*rule_frames(spark, sf_dir).in_passes())  # the history merges repeated ones
+        before = store.read("issue_history") if store.latest() else issues.empty_history(spark)
+        history = store.write(run, "issue_history", issues.next_history(before, found, run, RUN_AT))
+        L = StagedLedger(spark, sf_dir)
+        counted = lambda names, of: spark.createDataFrame([], "n long").unionByName(
+            reduce(DataFrame.unionByName, [getattr(of, n).agg(F.count(F.lit(1)).alias("n")) for n in names])).agg(F.sum("n")).first()[0]
+        return ["issue_history"], {
+            "files_seen": len(LANDED), "rows_seen": counted(LANDED, t),
+            "core_records_written": counted(("lots", "purchase_lots", "receipts", "sales_orders", "dispatches", "movements"), L),
+            "issue_count": issues.open_issues(history).count()}
+
+    store.ensure(fingerprint(spark, [t.path(n) for n in LANDED]), RUN_AT, check)
+    return store
+
+
+def open_issue_table(spark, sf_dir) -> DataFrame:
+    """The open issues of the latest completed run, as every reader takes them."""
+    return issues.open_issues(published_run(spark, sf_dir).read("issue_history"))
 
 
 def _rule_query(key):
@@ -432,9 +500,10 @@ for _k in (k for k in RULE_KEYS if k != "r29_missing_payment_ledger"):
     register(_k, SQL[_k], extra=EXTRA)(_rule_query(_k))
 
 
-@register("v11_open_data_issues", "SELECT * FROM issues_r", extra=EXTRA)
+@register("v11_open_data_issues", f"""
+SELECT *, TIMESTAMP '{RUN_AT}' AS opened_at FROM issues_r""", extra=EXTRA)
 def v11(spark, sf_dir):
-    return marts.open_data_issues(all_issues(spark, sf_dir).withColumn("resolved_at", F.lit(None))).drop("resolved_at")
+    return open_issue_table(spark, sf_dir).select(*checks.ISSUE_COLUMNS, "opened_at")
 
 
 @register("v9_answer_readiness", """
@@ -445,7 +514,51 @@ SELECT CASE WHEN count(*) FILTER (WHERE severity = 'critical') > 0 THEN 'incompl
        CAST(count(*) FILTER (WHERE severity = 'info') AS BIGINT) AS informational_issues
 FROM issues_r""", extra=EXTRA)
 def v9(spark, sf_dir):
-    return marts.answer_readiness(all_issues(spark, sf_dir).withColumn("resolved_at", F.lit(None)))
+    return marts.answer_readiness(published_run(spark, sf_dir).read("issue_history"))
+
+
+@register("s7_run_ledger", f"""
+SELECT 'completed' AS status, '{RUN_AT}' AS started_at, '{RUN_AT}' AS finished_at, CAST(6 AS BIGINT) AS files_seen,
+       (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part)
+         + (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) AS rows_seen,
+       (SELECT count(*) FROM lots_r) + (SELECT count(*) FROM purchase_lots_r) + (SELECT count(*) FROM receipts_r)
+         + (SELECT count(*) FROM sales_orders_r) + (SELECT count(*) FROM dispatches_r) + (SELECT count(*) FROM movements_r) AS core_records_written,
+       (SELECT count(*) FROM issues_r) AS issue_count, CAST(NULL AS VARCHAR) AS error_message""", extra=EXTRA)
+def s7_ledger(spark, sf_dir):
+    """The latest completed run's row of the ledger."""
+    ledger = published_run(spark, sf_dir).ledger().where(F.col("status") == "completed")
+    return ledger.orderBy(F.desc("run_id")).limit(1).drop("run_id")
+
+
+CUT = "1995-06-30"
+_TOTALS = EXTRA["order_totals_r"]
+EXTRA["early_totals_r"] = _TOTALS.replace("FROM dispatches_r GROUP", f"FROM dispatches_r WHERE dispatch_on <= DATE '{CUT}' GROUP")
+_ORDER_SQL = "\nUNION ALL\n".join([SQL["r09_summary_detail_mismatch"].split("\nUNION ALL\n")[1], SQL["r10_order_over_dispatch"],
+                                    SQL["r12_dispatch_before_po_date"]])
+EXTRA["late_found_r"] = _ORDER_SQL
+EXTRA["early_found_r"] = _ORDER_SQL.replace("order_totals_r", "early_totals_r")
+
+
+@register("s8_issue_lifecycle", """
+SELECT rule_code, severity, entity_name, entity_key, source_row_id, message, CAST(2 AS BIGINT) AS opened_run, TIMESTAMP '1999-01-01' AS opened_at,
+       CAST(NULL AS BIGINT) AS resolved_run, CAST(NULL AS TIMESTAMP) AS resolved_at
+FROM (SELECT * FROM late_found_r EXCEPT SELECT * FROM early_found_r)
+UNION ALL
+SELECT *, 1, TIMESTAMP '1995-07-01', NULL, NULL FROM (SELECT * FROM late_found_r INTERSECT SELECT * FROM early_found_r)
+UNION ALL
+SELECT *, 1, TIMESTAMP '1995-07-01', 2, TIMESTAMP '1999-01-01' FROM (SELECT * FROM early_found_r EXCEPT SELECT * FROM late_found_r)""", extra=EXTRA)
+def s8(spark, sf_dir):
+    """The history of the order rules over two runs: with the dispatches to mid-1995, then with all of them."""
+    L = StagedLedger(spark, sf_dir)
+    store = RunStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/opsledger-runs/{uuid.uuid4().hex}")
+    early = L.dispatches.where(F.col("dispatch_on") <= F.lit(CUT).cast("date"))
+    for at, dispatches in (("1995-07-01", early), ("1999-01-01", L.dispatches)):
+        run = store.begin(at)
+        before = store.read("issue_history") if store.latest() else issues.empty_history(spark)
+        found = checks.union_issues(checks.order_findings(checks.order_dispatch_totals(L.sales_orders, dispatches)))
+        store.write(run, "issue_history", issues.next_history(before, found, run, at))
+        store.complete(run, at, ["issue_history"])
+    return store.read("issue_history")
 
 
 @register("v10_transporter_work_order_activity", "SELECT * FROM work_orders_r", extra=EXTRA)
@@ -460,7 +573,7 @@ FROM (SELECT *, CASE WHEN regexp_matches(rule_code, '^(MISSING_|UNMAPPED_|INVALI
                      WHEN severity = 'info' THEN 'verified' ELSE 'flagged' END AS trust FROM issues_r)
 GROUP BY trust""", extra=EXTRA)
 def p8(spark, sf_dir):
-    i = all_issues(spark, sf_dir).withColumn("trust", checks.trust_class(F.col("rule_code"), F.col("severity")))
+    i = open_issue_table(spark, sf_dir).withColumn("trust", checks.trust_class(F.col("rule_code"), F.col("severity")))
     return i.groupBy("trust").agg(F.count(F.lit(1)).alias("issues"),
                                   F.count_distinct("source_row_id").alias("affected_rows"),
                                   F.count_distinct("rule_code").alias("rule_types"))

@@ -65,6 +65,18 @@ def issue(df: DataFrame, code: str, entity: str, key: Column, source_row: Column
         source_row.cast("bigint").alias("source_row_id"), message.alias("message"))
 
 
+def rule(code: str, entity: str, holds: Column, key: Column, source_row: Column, message: Column) -> Column:
+    """A row's finding by one rule, null where the rule does not fire: for rules that one pass over a relation applies."""
+    return F.when(holds, F.struct(
+        F.lit(code).alias("rule_code"), F.lit(SEVERITIES.get(code, "warning")).alias("severity"), F.lit(entity).alias("entity_name"),
+        key.cast("string").alias("entity_key"), source_row.cast("bigint").alias("source_row_id"), message.alias("message")))
+
+
+def findings(df: DataFrame, *rules: Column) -> DataFrame:
+    """The findings of all `rules` over the rows of `df`, which are read once."""
+    return df.select(F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("i")).select("i.*")
+
+
 def s(c) -> Column:
     """Column as text for messages (decimals keep their scale; null -> 'missing')."""
     col = F.col(c) if isinstance(c, str) else c
@@ -79,12 +91,16 @@ def k(v) -> Column:
     return F.lit(Decimal(str(v)))
 
 
-def union_issues(*frames: DataFrame) -> DataFrame:
-    """Union and de-duplicate on the open-issue key (rule, entity, key, source row, message)."""
+def all_findings(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.dropDuplicates(ISSUE_COLUMNS)
+    return out
+
+
+def union_issues(*frames: DataFrame) -> DataFrame:
+    """Union and de-duplicate on the open-issue key (rule, entity, key, source row, message)."""
+    return all_findings(*frames).dropDuplicates(ISSUE_COLUMNS)
 
 
 # ---- source / staging rules ---------------------------------------------------------------
@@ -96,29 +112,38 @@ def missing_source_files(contract: DataFrame, files: DataFrame) -> DataFrame:
                  msg("Contracted source ", F.col("file_name"), " is missing."))
 
 
+def required_field_rule(required: dict[int, str], entity: str) -> Column:
+    """R2 of a staged row: a blank required cell."""
+    blank = {n: clean.text(F.get("cells", i)) == "" for i, n in required.items()}
+    names = F.concat_ws(", ", *[F.when(b, F.lit(n)) for n, b in blank.items()])
+    some = F.lit(False)
+    for b in blank.values():
+        some = some | b
+    return rule("MISSING_REQUIRED_FIELD", entity, some, F.col("row_number"), F.col("source_row_id"),
+                msg("Required field(s) missing: ", names, "."))
+
+
 def missing_required_fields(rows: DataFrame, required: dict[int, str], entity: str) -> DataFrame:
     """R2: a staged row with a blank required cell (header rows excluded by the caller)."""
-    blank = None
-    for idx in required:
-        cond = clean.text(F.get("cells", idx)) == ""
-        blank = cond if blank is None else blank | cond
-    names = F.concat_ws(", ", *[F.when(clean.text(F.get("cells", i)) == "", F.lit(n)) for i, n in required.items()])
-    return issue(rows.where(blank), "MISSING_REQUIRED_FIELD", entity, F.col("row_number"), F.col("source_row_id"),
-                 msg("Required field(s) missing: ", names, "."))
+    return findings(rows, required_field_rule(required, entity))
 
 
-def invalid_numbers(rows: DataFrame, cells: dict[int, str], entity: str) -> DataFrame:
-    """A non-blank numeric cell (other than '-') that does not parse as a number."""
-    out = None
+def number_rules(cells: dict[int, str], entity: str) -> list[Column]:
+    """R3 of a staged row: a non-blank numeric cell (other than '-') that does not parse as a number."""
+    out = []
     for idx, name in cells.items():
         raw = clean.text(F.get("cells", idx))
-        bad = rows.where((raw != "") & ~raw.rlike(r"^-+$") & clean.number(F.get("cells", idx)).isNull())
-        one = issue(bad, "INVALID_NUMBER", entity, F.col("row_number"), F.col("source_row_id"),
-                    msg(f"{name} value '", raw, "' is not a number."))
-        out = one if out is None else out.unionByName(one)
+        bad = (raw != "") & ~raw.rlike(r"^-+$") & clean.number(F.get("cells", idx)).isNull()
+        out.append(rule("INVALID_NUMBER", entity, bad, F.col("row_number"), F.col("source_row_id"),
+                        msg(f"{name} value '", raw, "' is not a number.")))
     return out
 
 
+def invalid_numbers(rows: DataFrame, cells: dict[int, str], entity: str) -> DataFrame:
+    """R3 over all number cells of a sheet."""
+    return findings(rows, *number_rules(cells, entity))
+
+
 # ---- resolution rules ---------------------------------------------------------------------
 
 def unmapped(df: DataFrame, entity: str, text_col: str, what: str) -> DataFrame:
@@ -127,33 +152,59 @@ def unmapped(df: DataFrame, entity: str, text_col: str, what: str) -> DataFrame:
                  F.col("source_row_id"), msg(what, " lot ", F.col(text_col), " does not resolve to the lot master."))
 
 
+# R5 to R8 of one dispatched line: `has_order`, `has_permit` and `has_lot` say whether its references resolve.
+
+def sales_order_rule() -> Column:
+    return rule("MISSING_SALES_ORDER", "dispatch", ~F.col("has_order"), F.col("l_orderkey"), F.col("source_row_id"),
+                msg("Dispatch for PO ", s("l_orderkey"), " has no sales order line."))
+
+
+def dispatch_lot_rule() -> Column:
+    return rule("MISSING_DISPATCH_LOT", "dispatch", F.col("lot_id").isNull(), F.col("dispatch_id"), F.col("source_row_id"),
+                msg("Dispatch on ", s("dispatch_on"), " has no lot linkage."))
+
+
+def dispatch_permit_rule() -> Column:
+    return rule("MISSING_DISPATCH_PERMIT", "dispatch", ~F.col("has_permit"), F.col("dispatch_id"), F.col("source_row_id"),
+                msg("Dispatch permit P-", s("permit_supplier_id"), " does not resolve to an outward permit."))
+
+
+def with_known(df: DataFrame, on: str, known: DataFrame, key: str, flag: str) -> DataFrame:
+    """`df` with whether `on` is among the keys of `known` (false for null)."""
+    there = known.select(F.col(key).alias(on)).distinct().withColumn(flag, F.lit(True))
+    return df.join(there, on, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
 def missing_sales_order(lines: DataFrame, orders: DataFrame) -> DataFrame:
     """Dispatch lines whose order does not exist."""
-    orphan = lines.join(orders.select(F.col("sales_order_line_id").alias("l_orderkey")), "l_orderkey", "left_anti")
-    return issue(orphan, "MISSING_SALES_ORDER", "dispatch", F.col("l_orderkey"), F.col("source_row_id"),
-                 msg("Dispatch for PO ", s("l_orderkey"), " has no sales order line."))
+    return findings(with_known(lines, "l_orderkey", orders, "sales_order_line_id", "has_order"), sales_order_rule())
 
 
 def missing_dispatch_lot(dispatches: DataFrame) -> DataFrame:
     """Every dispatch without a lot."""
-    return issue(dispatches.where(F.col("lot_id").isNull()), "MISSING_DISPATCH_LOT", "dispatch",
-                 F.col("dispatch_id"), F.col("source_row_id"),
-                 msg("Dispatch on ", s("dispatch_on"), " has no lot linkage."))
+    return findings(dispatches, dispatch_lot_rule())
+
+
+def outward(permits: DataFrame) -> DataFrame:
+    return permits.where(F.col("direction") == "outward")
 
 
 def missing_dispatch_permit(dispatches: DataFrame, permits: DataFrame) -> DataFrame:
     """Dispatches whose permit is blank or unresolved."""
-    out = permits.where(F.col("direction") == "outward").select(F.col("permit_id").alias("permit_supplier_id"))
-    orphan = dispatches.join(out, "permit_supplier_id", "left_anti")
-    return issue(orphan, "MISSING_DISPATCH_PERMIT", "dispatch", F.col("dispatch_id"), F.col("source_row_id"),
-                 msg("Dispatch permit P-", s("permit_supplier_id"), " does not resolve to an outward permit."))
+    return findings(with_known(dispatches, "permit_supplier_id", outward(permits), "permit_id", "has_permit"), dispatch_permit_rule())
+
+
+def dispatch_findings(dispatches: DataFrame, permits: DataFrame) -> DataFrame:
+    """R6 and R7 in one pass over the dispatches."""
+    known = with_known(dispatches, "permit_supplier_id", outward(permits), "permit_id", "has_permit")
+    return findings(known, dispatch_lot_rule(), dispatch_permit_rule())
 
 
 def missing_production_lot(inputs: DataFrame, lots: DataFrame) -> DataFrame:
     """Production inputs whose lot is not in the lot master."""
-    orphan = inputs.join(lots.select("lot_id"), "lot_id", "left_anti")
-    return issue(orphan, "MISSING_PRODUCTION_LOT", "production_run", F.col("production_run_id"),
-                 F.col("source_row_id"), msg("Production input lot ", s("lot_id"), " is not in the lot master."))
+    known = with_known(inputs, "lot_id", lots, "lot_id", "has_lot")
+    return findings(known, rule("MISSING_PRODUCTION_LOT", "production_run", ~F.col("has_lot"), F.col("production_run_id"),
+                                F.col("source_row_id"), msg("Production input lot ", s("lot_id"), " is not in the lot master.")))
 
 
 # ---- aggregate reconciliation rules ---------------------------------------------------------
@@ -165,34 +216,65 @@ def order_dispatch_totals(orders: DataFrame, dispatches: DataFrame) -> DataFrame
         "calculated_quantity_mt", F.coalesce(F.col("_calc"), F.lit(0)).cast("decimal(18,3)"))
 
 
-def summary_detail_mismatch(purchases: DataFrame, receipts: DataFrame, order_totals: DataFrame) -> DataFrame:
-    """|reported - sum(detail)| > 0.05, for purchases x receipts and orders x dispatches."""
+def purchases_with_receipts(purchases: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Purchases with the sum of their receipts (`calc`)."""
     per_purchase = receipts.groupBy("supplier_id", "lot_id").agg(F.sum("quantity_mt").alias("_calc"))
-    p = purchases.join(per_purchase, ["supplier_id", "lot_id"], "left").withColumn(
+    return purchases.join(per_purchase, ["supplier_id", "lot_id"], "left").withColumn(
         "calc", F.coalesce(F.col("_calc"), F.lit(0)).cast("decimal(18,3)"))
-    p_bad = p.where(F.col("reported_lifted_quantity_mt").isNotNull()
-                    & (F.abs(F.col("reported_lifted_quantity_mt") - F.col("calc")) > k(TOLERANCE)))
-    a = issue(p_bad, "SUMMARY_DETAIL_MISMATCH", "purchase_lot",
-              F.concat_ws(":", F.col("supplier_id").cast("string"), F.col("lot_id").cast("string")),
-              F.col("source_row_id"),
-              msg("Reported lifted quantity ", s("reported_lifted_quantity_mt"),
-                  " MT differs from calculated inward receipts ", s("calc"), " MT."))
-    o_bad = order_totals.where(F.col("reported_dispatched_quantity_mt").isNotNull()
-                               & (F.abs(F.col("reported_dispatched_quantity_mt") - F.col("calculated_quantity_mt"))
-                                  > k(TOLERANCE)))
-    b = issue(o_bad, "SUMMARY_DETAIL_MISMATCH", "sales_order_line", F.col("sales_order_line_id"),
-              F.col("source_row_id"),
-              msg("Reported dispatched quantity ", s("reported_dispatched_quantity_mt"),
-                  " MT differs from calculated dispatches ", s("calculated_quantity_mt"), " MT."))
-    return a.unionByName(b)
+
+
+def _purchase_key() -> Column:
+    return F.concat_ws(":", F.col("supplier_id").cast("string"), F.col("lot_id").cast("string"))
+
+
+def lifted_rule() -> Column:
+    """R9 of a purchase."""
+    off = F.abs(F.col("reported_lifted_quantity_mt") - F.col("calc")) > k(TOLERANCE)
+    return rule("SUMMARY_DETAIL_MISMATCH", "purchase_lot", off, _purchase_key(), F.col("source_row_id"),
+                msg("Reported lifted quantity ", s("reported_lifted_quantity_mt"),
+                    " MT differs from calculated inward receipts ", s("calc"), " MT."))
+
+
+def balance_rules() -> list[Column]:
+    """R25 of a purchase: each reported balance that is negative."""
+    return [rule("NEGATIVE_REPORTED_BALANCE", "purchase_lot", F.col(c) < 0, _purchase_key(), F.col("source_row_id"),
+                 msg(f"Source reports {label} of ", s(c), " MT."))
+            for label, c in (("balance to lift", "reported_balance_to_lift_mt"), ("payment-based balance", "reported_payment_balance_mt"),
+                             ("permit balance", "reported_permit_balance_mt"))]
+
+
+def order_rules() -> dict[str, Column]:
+    """R9, R10 and R12 of an order line with its dispatch totals."""
+    of = lambda code, holds, text: rule(code, "sales_order_line", holds, F.col("sales_order_line_id"), F.col("source_row_id"), text)
+    return {
+        "R9": of("SUMMARY_DETAIL_MISMATCH", F.abs(F.col("reported_dispatched_quantity_mt") - F.col("calculated_quantity_mt")) > k(TOLERANCE),
+                 msg("Reported dispatched quantity ", s("reported_dispatched_quantity_mt"), " MT differs from calculated dispatches ",
+                     s("calculated_quantity_mt"), " MT.")),
+        "R10": of("ORDER_OVER_DISPATCH", F.col("calculated_quantity_mt") > F.col("ordered_quantity_mt") + k(TOLERANCE),
+                  msg("Calculated dispatch ", s("calculated_quantity_mt"), " MT exceeds ordered quantity ", s("ordered_quantity_mt"), " MT.")),
+        "R12": of("DISPATCH_BEFORE_PO_DATE", F.col("first_dispatch_on") < F.col("po_date"),
+                  msg("PO ", F.col("po_number"), " is dated ", s("po_date"), " but its first dispatch happened on ",
+                      s("first_dispatch_on"), "."))}
+
+
+def summary_detail_mismatch(purchases: DataFrame, receipts: DataFrame, order_totals: DataFrame) -> DataFrame:
+    """|reported - sum(detail)| > 0.05, for purchases x receipts and orders x dispatches; a null report passes."""
+    return findings(purchases_with_receipts(purchases, receipts), lifted_rule()).unionByName(findings(order_totals, order_rules()["R9"]))
 
 
 def order_over_dispatch(order_totals: DataFrame) -> DataFrame:
     """sum(dispatched) > ordered + 0.05."""
-    bad = order_totals.where(F.col("calculated_quantity_mt") > F.col("ordered_quantity_mt") + k(TOLERANCE))
-    return issue(bad, "ORDER_OVER_DISPATCH", "sales_order_line", F.col("sales_order_line_id"), F.col("source_row_id"),
-                 msg("Calculated dispatch ", s("calculated_quantity_mt"), " MT exceeds ordered quantity ",
-                     s("ordered_quantity_mt"), " MT."))
+    return findings(order_totals, order_rules()["R10"])
+
+
+def order_findings(order_totals: DataFrame) -> DataFrame:
+    """R9, R10 and R12 in one pass over the order totals."""
+    return findings(order_totals, *order_rules().values())
+
+
+def purchase_findings(purchases: DataFrame, receipts: DataFrame) -> DataFrame:
+    """R9 and R25 in one pass over the purchases."""
+    return findings(purchases_with_receipts(purchases, receipts), lifted_rule(), *balance_rules())
 
 
 def permit_over_dispatch(permits: DataFrame, dispatches: DataFrame) -> DataFrame:
@@ -209,11 +291,7 @@ def permit_over_dispatch(permits: DataFrame, dispatches: DataFrame) -> DataFrame
 
 def dispatch_before_po_date(order_totals: DataFrame) -> DataFrame:
     """First dispatch dated before the PO date."""
-    bad = order_totals.where(F.col("first_dispatch_on") < F.col("po_date"))
-    return issue(bad, "DISPATCH_BEFORE_PO_DATE", "sales_order_line", F.col("sales_order_line_id"),
-                 F.col("source_row_id"),
-                 msg("PO ", F.col("po_number"), " is dated ", s("po_date"), " but its first dispatch happened on ",
-                     s("first_dispatch_on"), "."))
+    return findings(order_totals, order_rules()["R12"])
 
 
 def snapshot_reconciliation(snapshots: DataFrame, movements: DataFrame) -> DataFrame:
@@ -260,24 +338,40 @@ def production_mass_balance(recovery: DataFrame) -> DataFrame:
                      s("out"), " MT within ", s("tol"), " MT."))
 
 
+def declared_rule() -> Column:
+    """R16 of an inward sample: declared against inward quantity."""
+    off = F.abs(F.col("declared_quantity_mt") - F.col("represented_quantity_mt")) > k(TOLERANCE)
+    return rule("DMG_STOCK_DIFFERENCE", "quality_sample", off, F.col("source_row_id"), F.col("source_row_id"),
+                msg("DMG-declared quantity ", s("declared_quantity_mt"), " MT differs from inward quantity ",
+                    s("represented_quantity_mt"), " MT."))
+
+
+def receipt_rule() -> Column:
+    """R17 of an inward sample with its receipt: sampled against received quantity."""
+    off = F.abs(F.col("receipt_q") - F.col("represented_quantity_mt")) > k(TOLERANCE)
+    return rule("QUALITY_INWARD_MISMATCH", "quality_sample", off, F.col("source_row_id"), F.col("source_row_id"),
+                msg("Quality record quantity ", s("represented_quantity_mt"), " MT differs from linked inward receipt ",
+                    s("receipt_q"), " MT."))
+
+
+def with_receipts(inward_samples: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Samples with the quantity of the receipt of the same source row (`receipt_q`, null without one)."""
+    return inward_samples.join(receipts.select("source_row_id", F.col("quantity_mt").alias("receipt_q")), "source_row_id", "left")
+
+
 def dmg_stock_difference(inward_samples: DataFrame) -> DataFrame:
     """DMG-declared vs inward quantity > 0.05 (declared from the sample row)."""
-    bad = inward_samples.where(F.col("declared_quantity_mt").isNotNull()
-                               & (F.abs(F.col("declared_quantity_mt") - F.col("represented_quantity_mt"))
-                                  > k(TOLERANCE)))
-    return issue(bad, "DMG_STOCK_DIFFERENCE", "quality_sample", F.col("source_row_id"), F.col("source_row_id"),
-                 msg("DMG-declared quantity ", s("declared_quantity_mt"), " MT differs from inward quantity ",
-                     s("represented_quantity_mt"), " MT."))
+    return findings(inward_samples, declared_rule())
 
 
 def quality_inward_mismatch(inward_samples: DataFrame, receipts: DataFrame) -> DataFrame:
     """Sample quantity vs its linked receipt (same source row) > 0.05."""
-    r = receipts.select(F.col("source_row_id").alias("receipt_row"), F.col("quantity_mt").alias("receipt_q"))
-    j = inward_samples.join(r, inward_samples.source_row_id == r.receipt_row, "inner")
-    bad = j.where(F.abs(F.col("receipt_q") - F.col("represented_quantity_mt")) > k(TOLERANCE))
-    return issue(bad, "QUALITY_INWARD_MISMATCH", "quality_sample", F.col("source_row_id"), F.col("source_row_id"),
-                 msg("Quality record quantity ", s("represented_quantity_mt"), " MT differs from linked inward receipt ",
-                     s("receipt_q"), " MT."))
+    return findings(with_receipts(inward_samples, receipts), receipt_rule())
+
+
+def sample_findings(inward_samples: DataFrame, receipts: DataFrame) -> DataFrame:
+    """R16 and R17 in one pass over the inward samples."""
+    return findings(with_receipts(inward_samples, receipts), declared_rule(), receipt_rule())
 
 
 def measure_long(sample_measures: DataFrame) -> DataFrame:
@@ -288,23 +382,36 @@ def measure_long(sample_measures: DataFrame) -> DataFrame:
     return long.where(F.col("value").isNotNull())
 
 
-def invalid_quality_range(long: DataFrame) -> DataFrame:
-    """A measure < 0 or > 100 (the sample keeps null)."""
-    bad = long.where((F.col("value") < 0) | (F.col("value") > 100))
-    return issue(bad, "INVALID_QUALITY_RANGE", "quality_sample", F.col("sample_key"), F.col("source_row_id"),
-                 msg(F.col("code"), " value ", s("value"), " is outside 0 to 100%."))
+def range_rule() -> Column:
+    """R18 of a measure: < 0 or > 100 (the sample keeps null)."""
+    bad = (F.col("value") < 0) | (F.col("value") > 100)
+    return rule("INVALID_QUALITY_RANGE", "quality_sample", bad, F.col("sample_key"), F.col("source_row_id"),
+                msg(F.col("code"), " value ", s("value"), " is outside 0 to 100%."))
 
 
-def quality_plausibility(long: DataFrame) -> DataFrame:
-    """An in-range value outside its plausible band."""
+def band_rule() -> Column:
+    """R19 of a measure: in range, but outside its plausible band."""
     bands = F.create_map(*[x for code, (lo, hi) in clean.PLAUSIBLE_BANDS.items()
                            for x in (F.lit(code), F.array(k(lo), k(hi)))])
-    b = long.where(F.col("value").between(0, 100)).withColumn("band", bands[F.col("code")])
-    bad = b.where(F.col("band").isNotNull()
-                  & ((F.col("value") < F.col("band")[0]) | (F.col("value") > F.col("band")[1])))
-    return issue(bad, "QUALITY_PLAUSIBILITY", "quality_sample", F.col("sample_key"), F.col("source_row_id"),
-                 msg(F.col("code"), " value ", s("value"), "% is outside the plausible band ",
-                     s(F.col("band")[0]), "-", s(F.col("band")[1]), "%."))
+    band = bands[F.col("code")]
+    bad = F.col("value").between(0, 100) & ((F.col("value") < band[0]) | (F.col("value") > band[1]))
+    return rule("QUALITY_PLAUSIBILITY", "quality_sample", bad, F.col("sample_key"), F.col("source_row_id"),
+                msg(F.col("code"), " value ", s("value"), "% is outside the plausible band ", s(band[0]), "-", s(band[1]), "%."))
+
+
+def invalid_quality_range(long: DataFrame) -> DataFrame:
+    """R18 over (code, value) rows."""
+    return findings(long, range_rule())
+
+
+def quality_plausibility(long: DataFrame) -> DataFrame:
+    """R19 over (code, value) rows."""
+    return findings(long, band_rule())
+
+
+def measure_findings(long: DataFrame) -> DataFrame:
+    """R18 and R19 in one pass over the measures."""
+    return findings(long, range_rule(), band_rule())
 
 
 def invalid_recovery_range(runs: DataFrame) -> DataFrame:
@@ -371,15 +478,8 @@ def source_freshness(sources: dict[str, tuple[DataFrame, str, str, int, str]]) -
 
 
 def negative_reported_balance(purchases: DataFrame) -> DataFrame:
-    """Any of the three reported balances < 0 (stack of three columns)."""
-    long = purchases.select(
-        "supplier_id", "lot_id", "source_row_id",
-        F.expr("stack(3, 'balance to lift', reported_balance_to_lift_mt, 'payment-based balance', "
-               "reported_payment_balance_mt, 'permit balance', CAST(NULL AS DECIMAL(18,3))) AS (label, value)"))
-    bad = long.where(F.col("value") < 0)
-    return issue(bad, "NEGATIVE_REPORTED_BALANCE", "purchase_lot",
-                 F.concat_ws(":", F.col("supplier_id").cast("string"), F.col("lot_id").cast("string")),
-                 F.col("source_row_id"), msg("Source reports ", F.col("label"), " of ", s("value"), " MT."))
+    """Any of the three reported balances < 0."""
+    return findings(purchases, *balance_rules())
 
 
 def transport_multi_lot(work_orders: DataFrame) -> DataFrame:
@@ -408,6 +508,18 @@ def planning_stock_mismatch(planning: DataFrame, latest_stock: DataFrame) -> Dat
                      s("stock_q"), " MT."))
 
 
+def planning_findings(planning: DataFrame, latest_stock: DataFrame) -> DataFrame:
+    """R4 and R28 in one pass over the planning rows."""
+    j = planning.join(latest_stock.select("lot_id", F.col("recorded_quantity_mt").alias("stock_q")), "lot_id", "left")
+    known = F.col("lot_id").isNotNull()
+    off = F.col("stock_q").isNull() | (F.abs(F.col("stock_q") - F.col("planned_quantity_mt")) > k(TOLERANCE))
+    return findings(
+        j, rule("UNMAPPED_LOT", "planning_stock", ~known, F.col("lot_text"), F.col("source_row_id"),
+                msg("Planning lot ", F.col("lot_text"), " does not resolve to the lot master.")),
+        rule("PLANNING_STOCK_MISMATCH", "planning_stock", known & off, F.col("lot_text"), F.col("source_row_id"),
+             msg("Planning quantity ", s("planned_quantity_mt"), " MT differs from stock snapshot ", s("stock_q"), " MT.")))
+
+
 def empty_source_notice(df: DataFrame, code: str, entity: str, message: str, run: DataFrame) -> DataFrame:
     """One notice per run when a source table is empty."""
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()

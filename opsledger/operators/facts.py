@@ -378,7 +378,7 @@ def quality_facts(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     measures = F.array(*[F.struct(F.lit(m).alias("code"), F.col(m).alias("value")) for m in MEASURES])
     long = samples.select("source_row_id", F.col("business_key").alias("sample_key"), F.explode(measures).alias("m")).select(
         "source_row_id", "sample_key", "m.code", "m.value").where(F.col("value").isNotNull())
-    issues = checks.invalid_quality_range(long).unionByName(checks.quality_plausibility(long))
+    issues = checks.measure_findings(long)
     facts = dedupe_latest(samples, ["business_key"], ["source_row_id"]).select(
         "business_key", "sample_on", "sample_stage", "lot_id", F.nullif("lot_text", F.lit("")).alias("source_lot_number"),
         "inward_receipt_id", "dispatch_id", F.col("quantity").cast("decimal(18,3)").alias("represented_quantity_mt"),

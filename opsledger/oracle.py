@@ -136,6 +136,9 @@ RELATIONS: dict[str, str] = {
                     - sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS DECIMAL(18,3)) ELSE 0 END)
                     AS DECIMAL(18,3)) AS reported_balance_to_lift_mt,
                CAST(sum((CAST(l_discount AS DECIMAL(18,2)) - 0.05) * CAST(l_quantity AS DECIMAL(18,3))) AS DECIMAL(18,3)) AS reported_payment_balance_mt,
+               CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS DECIMAL(18,3)) ELSE 0 END)
+                    - sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS DECIMAL(18,3)) ELSE 0 END)
+                    AS DECIMAL(18,3)) AS reported_permit_balance_mt,
                min(CAST(l_shipdate AS DATE)) AS purchase_date, min({SRC}) AS source_row_id
         FROM lineitem_r GROUP BY l_suppkey, l_partkey""",
     "receipts_r": f"""
@@ -175,7 +178,7 @@ RELATIONS: dict[str, str] = {
                CAST(o_orderkey + 3 AS BIGINT) AS row_number,
                [ 'WO-' || CAST(o_orderkey AS VARCHAR), '', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '', '',
                  o_orderpriority, '', 'MINE-' || CAST(mine AS VARCHAR),
-                 CASE WHEN o_orderstatus = 'P' THEN q || ' + pending' ELSE q END,
+                 CASE WHEN o_orderstatus = 'P' AND n = 1 THEN '' WHEN o_orderstatus = 'P' THEN q || ' + pending' ELSE q END,
                  lots, '',
                  CASE WHEN o_orderstatus = 'P' THEN 'TBD' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END,
                  '', '', '', CAST(n * 10 AS VARCHAR) ] AS cells,

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import json
+from types import ModuleType
 
 from pyspark.sql import SparkSession
 
 
+def code_version(*modules: ModuleType) -> str:
+    """Of the source of the modules that make a table: other code does not take up what this code has written."""
+    return hashlib.sha256("".join(map(inspect.getsource, modules)).encode()).hexdigest()[:16]
+
+
+def landed_files(spark: SparkSession, path: str) -> dict[str, str]:
+    """Files at `path` (a file, or a folder of part files) with their sizes and times."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files, seen = at.getFileSystem(conf).listFiles(at, True), {}
+    while files.hasNext():
+        f = files.next()
+        if f.getPath().getName()[:1] not in "._":
+            seen[f.getPath().toString()] = f"{f.getLen()}|{f.getModificationTime()}"
+    return seen
+
+
 class Folder:
     """A folder of a shared store.  Paths without a scheme are taken as the session's default store has them."""
 

@@ -4,24 +4,41 @@ per-event trailing count (W6).
 A stream has a folder that lasts: its checkpoint and a keyed table.  Each call reads the files that have landed since the
 last one, as one or more batches, and merges each batch into the table by key; the batch's number is its epoch, so that a
 batch that is tried again counts once.  Nothing is dropped for being late: a row adds to its key's totals whenever it
-arrives, and files may come in any order.  Landed files are not changed in place.
+arrives, and files may come in any order.  Where a file that was read has changed or gone, or the code is another,
+the stream begins anew with what is there.
 """
 
 from __future__ import annotations
 
 import hashlib
+import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir
+from ..sources import keyed, stage
 from ..sources.keyed import ADD, KeyedTable
+from ..sources.store import Folder, Manifests, code_version, landed_files
 
 
 def stream_root(spark: SparkSession, name: str, path: str) -> str:
     """The folder of a stream over `path`, the same on every call."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/opsledger-streams/{name}-{hashlib.md5(path.encode()).hexdigest()[:16]}"
+    which = hashlib.md5(f"{path}|{code_version(sys.modules[__name__], stage, keyed)}".encode()).hexdigest()[:16]
+    return f"{checkpoint_dir(spark).rstrip('/')}/opsledger-streams/{name}-{which}"
+
+
+def generation(spark: SparkSession, path: str, root: str) -> str:
+    """The part of `root` in which the stream goes on: the last one, unless a file that it has read is not there as it was."""
+    files, seen = landed_files(spark, path), Manifests(Folder(spark, root), "landed")
+    last = seen.latest() or {"version": 0, "generation": 1, "files": {}}
+    same = all(files.get(f) == v for f, v in last["files"].items())
+    now = {"generation": last["generation"] + (not same), "files": files}
+    if last["files"] != files:
+        seen.commit(last["version"] + 1, now, uuid.uuid4().hex)
+    return f"{root}/{now['generation']}"
 
 
 def landed(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -50,7 +67,7 @@ def merged(stream: DataFrame, to_rows, table: KeyedTable, root: str, order: list
 
 def daily_event_totals(spark: SparkSession, events_path: str, root: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """Per day and event type: events and value total.  Each batch adds its own totals, however late its rows are."""
-    root = root or stream_root(spark, "daily-event-totals", events_path)
+    root = generation(spark, events_path, root or stream_root(spark, "daily-event-totals", events_path))
     table = KeyedTable(spark, f"{root}/table", "day date, event_type string, events long, value_sum decimal(18,2)",
                        ["day", "event_type"], {"events": ADD, "value_sum": ADD}, buckets=16)
 
@@ -65,7 +82,7 @@ def burst_windows(spark: SparkSession, events_path: str, threshold: int, root: s
                   files_per_batch: int | None = None) -> DataFrame:
     """Sliding 10-minute windows (1-minute slide) per user with more than `threshold` events.  Every window's count is
     kept, as a later batch can bring it over the threshold."""
-    root = root or stream_root(spark, "burst-windows", events_path)
+    root = generation(spark, events_path, root or stream_root(spark, "burst-windows", events_path))
     table = KeyedTable(spark, f"{root}/table", "user_id long, window_start timestamp_ntz, events long", ["user_id", "window_start"],
                        {"events": ADD}, buckets=16)
 
@@ -110,7 +127,7 @@ def incremental_staging(spark: SparkSession, path: str, stage_fn, keys: list[str
                         files_per_batch: int | None = 1) -> DataFrame:
     """New files are staged as they land and upserted by `keys` (file, sheet, row); the row written last, by file time,
     file and place in the file, wins.  `stage_fn(batch) -> staged rows` keeps the three place columns of `landed`."""
-    root = root or stream_root(spark, "staging", path)
+    root = generation(spark, path, root or stream_root(spark, "staging", path))
     source = landed(spark, path, files_per_batch)
     place = ["_time", "_file", "_row"]
     staged = stage_fn(source)

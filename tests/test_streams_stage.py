@@ -83,6 +83,8 @@ def test_second_call_reads_new_files_only_and_late_rows_count(spark, tmp_path):
     assert {(r.day, r.events, r.value_sum) for r in second} == {(dt.date(2026, 1, 1), 4, Decimal("5.00")), (dt.date(2026, 2, 4), 6, Decimal("7.50"))}
     want = streams.burst_windows_batch(spark.read.parquet(path), 2).collect()
     assert sorted(streams.burst_windows(spark, path, 2, f"{root}/x3", 1).collect()) == sorted(want)
+    spark.createDataFrame([row(0, 0)], schema).coalesce(1).write.mode("overwrite").parquet(path)  # what was read is gone
+    assert [(r.day, r.events) for r in streams.daily_event_totals(spark, path, f"{root}/x2", 1).collect()] == [(dt.date(2026, 1, 1), 1)]
 
 
 @pytest.mark.parametrize("files_per_batch", [1, None])
