@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,14 +122,17 @@ def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         *keys, "_c", F.expr("_off div _e.w0").alias("_d0"), F.expr("(_off % _e.w0) div _e.w1").alias("_d1"),
         F.expr("_off % _e.w0 % _e.w1").alias("_d2"))
     picks = None  # (keys, digits so far, ranks, records): where the wanted ranks are, counted within those digits
+    found = []
     for r in range(ROUNDS):
         known, name = path[:r], path[r]
         if picks is None:
             counts = rows.groupBy(*keys, name).agg(F.sum("_c").alias("_c"))
         else:
-            rows = rows.join(_renamed(picks, [*keys, *known]), _same([*keys, *known])).select(*rows.columns[:len(keys) + 1 + ROUNDS], "_ranks", "records")
-            counts = rows.groupBy(*keys, *known, name, "_ranks", "records").agg(F.sum("_c").alias("_c"))
-            rows = rows.drop("_ranks", "records")
+            # parts of one value are settled: nothing is left to read then
+            rows = rows.where(scale[f"w{r - 1}"] > 1)
+            met = rows.join(_renamed(picks.where(scale[f"w{r - 1}"] > 1), [*keys, *known]), _same([*keys, *known]))
+            rows = met.select(*rows.columns)
+            counts = met.groupBy(*keys, *known, name, "_ranks", "records").agg(F.sum("_c").alias("_c"))
         w = Window.partitionBy(*keys, *known).orderBy(name)
         walked = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         if picks is None:
@@ -137,6 +142,10 @@ def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         inside = F.filter("_ranks", lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("_c")))
         picks = (walked.withColumn("_in", inside).where(F.size("_in") > 0)
                  .select(*keys, *known, name, F.transform("_in", lambda k: k - F.col("_before")).alias("_ranks"), "records"))
-    found = F.col("_e.least") + F.col("_d0") * F.col("_e.w0") + F.col("_d1") * F.col("_e.w1") + F.col("_d2")
-    middle = F.size("_ranks") * found.cast("double")
-    return picks.withColumn("_e", scale).groupBy(*keys).agg(F.max("records").alias("records"), (F.sum(middle) / 2 / unit).alias("median"))
+        done = picks if r == ROUNDS - 1 else picks.where(scale[f"w{r}"] == 1)
+        value = scale["least"]
+        for i, d in enumerate(path[:r + 1]):
+            value = value + F.col(d) * (scale[f"w{i}"] if i < ROUNDS - 1 else F.lit(1))
+        found.append(done.select(*keys, "records", (F.size("_ranks") * value.cast("double")).alias("_sum")))
+    return reduce(DataFrame.unionByName, found).groupBy(*keys).agg(
+        F.max("records").alias("records"), (F.sum("_sum") / 2 / unit).alias("median"))
