@@ -110,3 +110,35 @@ def j8(spark, sf_dir):
     lots = L.purchase_lots.withColumn("key", clean.normalized(F.concat(F.lit("LOT-"), F.col("lot_id").cast("string"))))
     return first_contained(stock, "description", lots, "key", ["source_row_id"],
                            ["lot_id", "supplier_id", "purchase_date", "source_row_id"])
+
+
+EX_B4 = EXTRA | {
+    "demands_r": """
+SELECT c_mktsegment || ':' || product AS demand_id, product, quantity, CAST(25.5 AS DECIMAL(8,4)) AS target_fe
+FROM (SELECT c_mktsegment, CAST(round(avg(o_totalprice * 0.0005)) AS DECIMAL(18,3)) AS quantity
+      FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) CROSS JOIN (SELECT DISTINCT product FROM stock_r)""",
+    "b4_pairs_r": """
+SELECT d.demand_id, l.lot AS low_lot, h.lot AS high_lot, l.fe AS low_fe, h.fe AS high_fe, l.quantity AS l_quantity, h.quantity AS h_quantity,
+       l.landed_cost AS low_cost, h.landed_cost AS high_cost, CAST(d.quantity AS DOUBLE) AS dq,
+       CAST(round(CAST(d.quantity AS DOUBLE) * (CAST(h.fe AS DOUBLE) - 25.5) / (CAST(h.fe AS DOUBLE) - CAST(l.fe AS DOUBLE)), 3) AS DECIMAL(18,3)) AS low_qty,
+       CAST(round(CAST(d.quantity AS DOUBLE) - CAST(d.quantity AS DOUBLE) * (CAST(h.fe AS DOUBLE) - 25.5)
+                  / (CAST(h.fe AS DOUBLE) - CAST(l.fe AS DOUBLE)), 3) AS DECIMAL(18,3)) AS high_qty
+FROM demands_r d JOIN stock_r l ON l.product = d.product AND l.fe < d.target_fe JOIN stock_r h ON h.product = d.product AND h.fe > d.target_fe
+WHERE l.quantity > 0 AND h.quantity > 0 AND l.landed_cost IS NOT NULL AND h.landed_cost IS NOT NULL"""}
+
+
+@register("b4_cheapest_pairs", """
+SELECT demand_id, rank, low_lot, high_lot, low_qty, high_qty, low_fe, high_fe, round(CAST(total AS DOUBLE) / dq, 2) AS blended_cost
+FROM (SELECT *, row_number() OVER (PARTITION BY demand_id ORDER BY total, low_lot, high_lot) AS rank
+      FROM (SELECT *, CAST(low_qty * low_cost + high_qty * high_cost AS DECIMAL(38,7)) AS total FROM b4_pairs_r
+            WHERE low_qty <= l_quantity AND high_qty <= h_quantity)) WHERE rank <= 5""", extra=EX_B4)
+def b4(spark, sf_dir):
+    """The five cheapest two-lot mixes at grade 25.5 for each market segment's mean order, in every product."""
+    L = StagedLedger(spark, sf_dir)
+    means = (L.t.orders.join(L.t.customer, F.col("c_custkey") == F.col("o_custkey")).groupBy("c_mktsegment")
+             .agg(F.round(F.avg(F.col("o_totalprice") * 0.0005)).cast("decimal(18,3)").alias("quantity")))
+    lots = stock(L)
+    products = F.explode(lots.agg(F.collect_set("product")).scalar())
+    demands = means.withColumn("product", products).select(
+        F.concat_ws(":", "c_mktsegment", "product").alias("demand_id"), "product", "quantity", F.lit(25.5).cast("decimal(8,4)").alias("target_fe"))
+    return blend.cheapest_pairs_by_grade(lots, demands)

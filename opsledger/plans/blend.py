@@ -6,7 +6,7 @@ with a lot at or above it inside one product, so their number is quadratic in th
 that product; they are meant for a planner's stock list (a product's current lots for a
 handful of demands), not for whole tables, and are not registered as table queries.
 
-B5 (`achievable_range`) and B6 (`assess_purchase`) are grouped aggregates / prefix sums and
+`cheapest_pairs_by_grade` is B4 over whole tables: it pairs grades, not lots.  B5 (`achievable_range`) and B6 (`assess_purchase`) are grouped aggregates / prefix sums and
 run over whole tables.
 """
 
@@ -140,6 +140,80 @@ def cheapest_pairs(stock: DataFrame, demands: DataFrame, k: int = 5) -> DataFram
         F.col("l_fe").alias("low_fe"), F.col("h_fe").alias("high_fe"), "blended_cost")
 
 
+def useful_lots(stock: DataFrame, k: int) -> DataFrame:
+    """The lots of `stock(product, lot, quantity, fe, landed_cost)` that can be among the k cheapest of their product and
+    grade for some needed quantity: fewer than k cheaper ones (ties by lot) hold as much.
+
+    Each partition first reduces its own lots, so that a grade with most of the lots reaches its task reduced.  Rows
+    without a lot, a positive quantity, a grade or a cost are left out."""
+    cols = ["product", "lot", "quantity", "fe", "landed_cost"]
+    s = stock.select(*cols).where((F.col("quantity") > 0) & F.col("fe").isNotNull() & F.col("landed_cost").isNotNull()
+                                  & F.col("lot").isNotNull() & F.col("product").isNotNull())
+
+    def keep(pdf):
+        import heapq
+        out = []
+        for _, g in pdf.groupby(["product", "fe"], sort=False):
+            g = g.sort_values(["landed_cost", "lot"], kind="stable")
+            most: list = []  # the k largest quantities so far
+            for i, q in zip(g.index, g["quantity"]):
+                if len(most) < k:
+                    heapq.heappush(most, q)
+                elif q > most[0]:
+                    heapq.heapreplace(most, q)
+                else:
+                    continue
+                out.append(i)
+        return pdf.loc[out]
+
+    def each(batches):
+        import pandas as pd
+        held = None
+        for pdf in batches:
+            held = keep(pdf if held is None else pd.concat([held, pdf], ignore_index=True))
+        if held is not None:
+            yield held
+
+    return s.mapInPandas(each, s.schema).groupBy("product", "fe").applyInPandas(keep, s.schema)
+
+
+def cheapest_pairs_by_grade(stock: DataFrame, demands: DataFrame, k: int = 5) -> DataFrame:
+    """B4 and J6 over whole tables: each demand's k cheapest mixes of a lot below and a lot above its target grade.
+
+    What a mix takes of its two lots depends on their grades only, so a demand meets the pairs of its product's grades,
+    not of its lots.  For one pair of grades the k cheapest mixes are made of the k cheapest lots of either grade that
+    hold enough, so each side is cut to k lots first and the k x k mixes are ranked.
+
+    stock:   (product, lot, quantity, fe, landed_cost), decimals
+    demands: (demand_id, product, quantity, target_fe)
+    Output:  (demand_id, rank, low_lot, high_lot, low_qty, high_qty, low_fe, high_fe, blended_cost), by exact cost, then
+    lots"""
+    lots = useful_lots(stock, k)
+    grades = lots.select("product", "fe").distinct()
+    d = demands.select("demand_id", "product", F.col("quantity").cast("double").alias("dq"), F.col("target_fe").alias("t"))
+    pairs = (d.join(grades.withColumnRenamed("fe", "low_fe"), "product").where(F.col("low_fe") < F.col("t"))
+             .join(grades.withColumnRenamed("fe", "high_fe"), "product").where(F.col("high_fe") > F.col("t")))
+    lf, hf, t = (F.col(c).cast("double") for c in ("low_fe", "high_fe", "t"))
+    share = F.try_divide(F.col("dq") * (hf - t), hf - lf)  # may run before the filters above
+    pairs = pairs.withColumn("low_qty", F.round(share, 3).cast("decimal(18,3)")).withColumn(
+        "high_qty", F.round(F.col("dq") - share, 3).cast("decimal(18,3)"))
+
+    def side(name: str) -> DataFrame:
+        """The k cheapest lots of one side that hold what each pair of grades takes of it."""
+        of = lots.select("product", F.col("fe").alias(f"{name}_fe"), F.col("lot").alias(f"{name}_lot"), "quantity",
+                         F.col("landed_cost").alias(f"{name}_cost"))
+        met = pairs.join(of, ["product", f"{name}_fe"]).where(F.col("quantity") >= F.col(f"{name}_qty"))
+        w = Window.partitionBy("demand_id", "low_fe", "high_fe").orderBy(f"{name}_cost", f"{name}_lot")
+        return met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r", "quantity")
+
+    both = side("low").join(side("high").select("demand_id", "low_fe", "high_fe", "high_lot", "high_cost"), ["demand_id", "low_fe", "high_fe"])
+    total = (F.col("low_qty") * F.col("low_cost") + F.col("high_qty") * F.col("high_cost")).cast("decimal(38,7)")
+    w = Window.partitionBy("demand_id").orderBy("total", "low_lot", "high_lot")
+    best = both.withColumn("total", total).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select("demand_id", "rank", "low_lot", "high_lot", "low_qty", "high_qty", "low_fe", "high_fe",
+                       F.round(F.col("total").cast("double") / F.col("dq"), 2).alias("blended_cost"))
+
+
 def achievable_range(stock: DataFrame) -> DataFrame:
     """Per product the lowest and highest grade in stock and the total quantity."""
     s = stock.where(F.col("quantity") > 0)

@@ -97,3 +97,39 @@ def test_purchases_use_lots_as_the_greedy_walk_does(spark):
         assert r.feasible == (need <= 0.01) and r.lots_used == used
         if r.feasible and quantity + high:
             assert abs(r.high_quantity - float(high)) < 0.0051 and abs(r.blended_cost - float((Fraction(quantity * cost) + paid) / (Fraction(quantity) + high))) < 0.0051
+
+
+def test_pairs_by_grade_are_the_cheapest_of_all_pairs(spark):
+    import random
+    rng = random.Random(12)
+    lots = [(rng.choice("ab"), f"L{i:03}", Decimal(rng.randint(-5, 120)), Decimal(rng.choice([50, 52, 55, 58, 58, 61, 64])),
+             Decimal(rng.randint(10, 14)) if rng.random() < 0.95 else None) for i in range(150)]
+    demands = [(f"d{i}", rng.choice("abc"), Decimal(rng.choice([10, 33, 90, 150, 400])), Decimal(rng.choice([54, 55, 57, 60]))) for i in range(25)]
+    s = spark.createDataFrame(lots, "product string, lot string, quantity decimal(18,3), fe decimal(8,4), landed_cost decimal(18,4)").repartition(5)
+    d = spark.createDataFrame(demands, "demand_id string, product string, quantity decimal(18,3), target_fe decimal(8,4)")
+    got = {}
+    for r in blend.cheapest_pairs_by_grade(s, d, 4).orderBy("demand_id", "rank").collect():
+        got.setdefault(r.demand_id, []).append((r.low_lot, r.high_lot))
+    for name, product, dq, t in demands:
+        mine = [x for x in lots if x[0] == product and x[2] > 0 and x[4] is not None]
+        pairs = []
+        for lo in mine:
+            for hi in mine:
+                if lo[3] < t < hi[3]:
+                    share = float(dq) * float(hi[3] - t) / float(hi[3] - lo[3])
+                    lq, hq = Decimal(repr(share)).quantize(Decimal("0.001"), "ROUND_HALF_UP"), Decimal(repr(float(dq) - share)).quantize(Decimal("0.001"), "ROUND_HALF_UP")
+                    if lq <= lo[2] and hq <= hi[2]:
+                        pairs.append((lq * lo[4] + hq * hi[4], lo[1], hi[1]))
+        assert got.get(name, []) == [p[1:] for p in sorted(pairs)[:4]]
+
+
+def test_useful_lots_keep_what_any_quantity_needs(spark):
+    import random
+    rng = random.Random(13)
+    lots = [("a", f"L{i:03}", rng.randint(1, 60), 1, rng.randint(1, 30)) for i in range(300)]
+    df = spark.createDataFrame(lots, "product string, lot string, quantity int, fe int, landed_cost int").repartition(4)
+    kept = {r.lot for r in blend.useful_lots(df, 3).collect()}
+    for need in range(0, 62):
+        best = sorted((x[4], x[1]) for x in lots if x[2] >= need)[:3]
+        assert {lot for _, lot in best} <= kept
+    assert len(kept) < 100
