@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import adapters
 from ..adapters import StagedLedger
 from ..functions import clean
-from ..operators import checks, common, issues, marts, resolve, similarity
+from ..operators import checks, common, constraints, issues, marts, resolve, similarity
 from ..operators.checks import SEVERITIES
 from ..registry import register
 from ..session import checkpoint_dir
@@ -579,26 +579,8 @@ def p8(spark, sf_dir):
                                   F.count_distinct("rule_code").alias("rule_types"))
 
 
-@register("r31_constraint_audit", """
-SELECT 'CHECK_QUANTITY_NONNEGATIVE' AS rule_code, 'warning' AS severity, 'dispatch' AS entity_name,
-       CAST(dispatch_id AS VARCHAR) AS entity_key, source_row_id, 'Constraint quantity_nonnegative violated.' AS message
-FROM dispatches_r WHERE NOT COALESCE(quantity_mt >= 0, true)
-UNION ALL
-SELECT 'CHECK_VEHICLES_POSITIVE', 'warning', 'dispatch', CAST(dispatch_id AS VARCHAR), source_row_id,
-       'Constraint vehicles_positive violated.'
-FROM dispatches_r WHERE NOT COALESCE(vehicle_count > 0, true)
-UNION ALL
-SELECT 'UNIQUE_DISPATCH_ID', 'warning', 'dispatch', CAST(dispatch_id AS VARCHAR), source_row_id,
-       'Unique key dispatch_id repeated.'
-FROM dispatches_r WHERE dispatch_id IN (SELECT dispatch_id FROM dispatches_r GROUP BY 1 HAVING count(*) > 1)
-UNION ALL
-SELECT 'FK_CUSTOMER_ID', 'warning', 'dispatch', CAST(dispatch_id AS VARCHAR), source_row_id,
-       'Reference customer_id has no parent.'
-FROM dispatches_r d WHERE customer_id IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM customers_r c WHERE c.customer_id = d.customer_id)""")
+@register("r31_constraint_audit", "\nUNION ALL\n".join(constraints.audit_sql(n, spec) for n, spec in constraints.RELATIONS.items()))
 def r31(spark, sf_dir):
+    """Every declared constraint of the twenty fact relations."""
     L = StagedLedger(spark, sf_dir)
-    return checks.audit_constraints(
-        L.dispatches, "dispatch", "dispatch_id",
-        {"quantity_nonnegative": F.col("quantity_mt") >= 0, "vehicles_positive": F.col("vehicle_count") > 0},
-        unique=["dispatch_id"], parents=[("customer_id", L.customers, "customer_id")])
+    return constraints.audit_all(lambda name: getattr(L, name))

@@ -531,33 +531,3 @@ def trust_class(rule_code: Column, severity: Column) -> Column:
     """Incomplete for MISSING_/UNMAPPED_/INVALID_NUMBER; info -> verified; else flagged."""
     return (F.when(rule_code.rlike("^(MISSING_|UNMAPPED_|INVALID_NUMBER)"), "incomplete")
             .when(severity == "info", "verified").otherwise("flagged"))
-
-
-# ---- R31 constraint audit ---------------------------------------------------------------------
-
-def audit_constraints(df: DataFrame, entity: str, key: str, checks: dict[str, Column],
-                      unique: list[str] | None = None, parents: list[tuple[str, DataFrame, str]] | None = None
-                      ) -> DataFrame:
-    """Set-based CHECK / UNIQUE / REFERENCES audit; violations are returned, not rejected.
-
-    checks:  name -> boolean Column that must hold (null passes, as in SQL CHECK)
-    unique:  columns that must be unique together (every duplicate row is reported)
-    parents: (column, parent_df, parent_key) that must exist when not null
-    """
-    frames = []
-    for name, cond in checks.items():
-        frames.append(issue(df.where(~F.coalesce(cond, F.lit(True))), f"CHECK_{name.upper()}", entity, F.col(key),
-                            F.col("source_row_id"), F.lit(f"Constraint {name} violated.")))
-    if unique:
-        dup = (df.groupBy(*unique).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n"))
-        frames.append(issue(df.join(dup, unique, "left_semi"), "UNIQUE_" + "_".join(unique).upper(), entity,
-                            F.col(key), F.col("source_row_id"), F.lit("Unique key " + ", ".join(unique) + " repeated.")))
-    for col, parent, pkey in parents or []:
-        orphan = df.where(F.col(col).isNotNull()).join(parent.select(F.col(pkey).alias(col)).distinct(), col,
-                                                       "left_anti")
-        frames.append(issue(orphan, f"FK_{col.upper()}", entity, F.col(key), F.col("source_row_id"),
-                            F.lit(f"Reference {col} has no parent.")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
