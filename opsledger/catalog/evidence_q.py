@@ -20,23 +20,15 @@ def _list(vals):
     return "[" + ", ".join(f"'{v}'" for v in vals) + "]"
 
 
-_BY_ENTITY = """CASE
-  WHEN entity_name IN ('lot', 'stock_snapshot', 'inventory_movement', 'lot_cost_component') THEN ['inventory']
-  WHEN entity_name IN ('purchase_lot', 'inward_receipt', 'payment') THEN ['inward']
-  WHEN entity_name = 'quality_sample' THEN ['quality', 'inward']
-  WHEN entity_name IN ('sales_order_line', 'dispatch', 'permit') THEN ['sales']
-  WHEN entity_name = 'production_run' THEN ['production']
-  WHEN entity_name = 'planning_stock' THEN ['blend']
-  WHEN entity_name IN ('organization', 'transport_work_order') THEN ['counterparties']
-  WHEN regexp_matches(entity_name, 'auction') THEN ['auctions']
-  ELSE ['overview'] END"""
-_K = "lower(COALESCE(entity_key, ''))"
-_BY_FILE = f"""CASE
-  WHEN regexp_matches({_K}, 'stock report') THEN ['inventory'] WHEN regexp_matches({_K}, 'inward report') THEN ['inward']
-  WHEN regexp_matches({_K}, 'outward report') THEN ['sales'] WHEN regexp_matches({_K}, 'quality report') THEN ['quality']
-  WHEN regexp_matches({_K}, 'auction') THEN ['auctions'] WHEN regexp_matches({_K}, 'production report') THEN ['production']
-  WHEN regexp_matches({_K}, 'planning') THEN ['blend']
-  WHEN regexp_matches({_K}, 'transporter|bulk permit') THEN ['counterparties'] END"""
+def _first(pairs, otherwise: str) -> str:
+    return "COALESCE(" + ", ".join(f"CASE WHEN {cond} THEN {_list([d])} END" for cond, d in pairs) + f", {otherwise})"
+
+
+_LISTED = "list_filter([" + ", ".join(
+    [f"CASE WHEN list_contains({_list(names)}, entity_name) THEN '{d}' END" for d, names in evidence.DOMAIN_ENTITIES.items()]
+    + [f"CASE WHEN contains(entity_name, '{evidence.AUCTION_WORD}') THEN 'auctions' END"]) + "], lambda x: x IS NOT NULL)"
+_DOMAINS = _first([(f"entity_name = 'source_file' AND contains(lower(COALESCE(entity_key, '')), '{words}')", d) for words, d in evidence.FILE_WORDS],
+                  f"CASE WHEN len({_LISTED}) > 0 THEN {_LISTED} ELSE {_list([evidence.NO_DOMAIN])} END")
 _INV: dict[str, list[str]] = {}
 for _v, _ds in evidence.VIEW_DOMAINS.items():
     for _d in _ds:
@@ -46,7 +38,7 @@ EX["page_issues_r"] = f"""
 SELECT *, CASE WHEN regexp_matches(rule_code, '^(MISSING_|UNMAPPED_|INVALID_NUMBER)') THEN 'incomplete'
                WHEN severity = 'info' THEN 'verified' ELSE 'flagged' END AS trust
 FROM (SELECT *, unnest(list_distinct(flatten(list_transform(
-        CASE WHEN entity_name = 'source_file' THEN COALESCE({_BY_FILE}, {_BY_ENTITY}) ELSE {_BY_ENTITY} END,
+        {_DOMAINS},
         lambda d: {_VIEWS_OF})))) AS view
       FROM issues_r)"""
 

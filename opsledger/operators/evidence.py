@@ -24,31 +24,29 @@ VIEW_DOMAINS = {
     "counterparties": ["counterparties"], "calculations": ["inventory", "sales", "quality"],
     "trust": ALL_DOMAINS, "ask": ALL_DOMAINS,
 }
+# The domain of a source file by words of its name, and the domains of an issue by its entity.
+FILE_WORDS = [("stock report", "inventory"), ("inward report", "inward"), ("outward report", "sales"), ("quality report", "quality"),
+              ("auction", "auctions"), ("production report", "production"), ("planning", "blend"), ("transporter", "counterparties"),
+              ("bulk permit", "counterparties")]
+DOMAIN_ENTITIES = {
+    "inventory": ["lot", "stock_snapshot", "inventory_movement", "lot_cost_component"],
+    "inward": ["purchase_lot", "inward_receipt", "payment", "quality_sample"],
+    "sales": ["sales_order_line", "dispatch", "permit"], "quality": ["quality_sample"], "production": ["production_run"],
+    "blend": ["planning_stock"], "counterparties": ["organization", "transport_work_order"],
+}
+AUCTION_WORD, NO_DOMAIN = "auction", "overview"
 # ---------------------------------------------------------------------------------------------
 
 
 def issue_domains(entity: Column, key: Column) -> Column:
-    """Domains an issue belongs to (by entity, or by workbook name for source files)."""
-    k = F.lower(F.coalesce(key, F.lit("")))
-    by_file = (F.when(k.rlike("stock report"), F.array(F.lit("inventory")))
-               .when(k.rlike("inward report"), F.array(F.lit("inward")))
-               .when(k.rlike("outward report"), F.array(F.lit("sales")))
-               .when(k.rlike("quality report"), F.array(F.lit("quality")))
-               .when(k.rlike("auction"), F.array(F.lit("auctions")))
-               .when(k.rlike("production report"), F.array(F.lit("production")))
-               .when(k.rlike("planning"), F.array(F.lit("blend")))
-               .when(k.rlike("transporter|bulk permit"), F.array(F.lit("counterparties"))))
-    by_entity = (F.when(entity.isin("lot", "stock_snapshot", "inventory_movement", "lot_cost_component"),
-                        F.array(F.lit("inventory")))
-                 .when(entity.isin("purchase_lot", "inward_receipt", "payment"), F.array(F.lit("inward")))
-                 .when(entity == "quality_sample", F.array(F.lit("quality"), F.lit("inward")))
-                 .when(entity.isin("sales_order_line", "dispatch", "permit"), F.array(F.lit("sales")))
-                 .when(entity == "production_run", F.array(F.lit("production")))
-                 .when(entity == "planning_stock", F.array(F.lit("blend")))
-                 .when(entity.isin("organization", "transport_work_order"), F.array(F.lit("counterparties")))
-                 .when(entity.rlike("auction"), F.array(F.lit("auctions")))
-                 .otherwise(F.array(F.lit("overview"))))
-    return F.when(entity == "source_file", F.coalesce(by_file, by_entity)).otherwise(by_entity)
+    """Domains an issue belongs to: every one that lists its entity; a source file's by the first words found in its name."""
+    text = lambda v: F.lit(v).cast("string")
+    listed = F.array_compact(F.array(*[F.when(entity.isin(names), text(d)) for d, names in DOMAIN_ENTITIES.items()],
+                                     F.when(entity.contains(AUCTION_WORD), text("auctions"))))
+    by_entity = F.when(F.size(listed) > 0, listed).otherwise(F.array(text(NO_DOMAIN)))
+    name = F.lower(F.coalesce(key, F.lit("")))
+    by_name = F.array_compact(F.array(*[F.when(name.contains(words), text(d)) for words, d in FILE_WORDS]))
+    return F.when((entity == "source_file") & (F.size(by_name) > 0), F.slice(by_name, 1, 1)).otherwise(by_entity)
 
 
 def _views_of(domains: Column) -> Column:

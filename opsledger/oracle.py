@@ -241,5 +241,7 @@ def with_relations(sql: str, extra: dict[str, str] | None = None) -> str:
         visit(name)
     if not ordered:
         return sql
+    if sql.lstrip().startswith("WITH"):
+        sql = f"SELECT * FROM ({sql})"
     ctes = ",\n".join(f"{n} AS ({defs[n]})" for n in ordered)
     return f"WITH {ctes}\n{sql}"
