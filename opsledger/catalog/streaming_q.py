@@ -107,3 +107,31 @@ def s6(spark, sf_dir):
     return staged.join(files.select("file_name", "file_hash", "cadence", "maximum_age_hours"), "file_name").select(
         F.concat_ws(":", "file_name", "sheet_name", F.col("row_number").cast("string")).alias("source_key"),
         "file_name", "sheet_name", "row_number", "file_hash", "row_hash", "cadence", "maximum_age_hours")
+
+
+@register("r02_missing_sheet", """
+WITH books AS (SELECT DISTINCT COALESCE(lang, 'none') || '.xlsx' AS file_name, source AS sheet_name FROM documents),
+contract AS (SELECT f.file_name, s.sheet_name FROM (SELECT DISTINCT file_name FROM books) f,
+             (SELECT DISTINCT source AS sheet_name FROM documents WHERE source IS NOT NULL UNION SELECT 'summary') s)
+SELECT 'MISSING_REQUIRED_FIELD' AS rule_code, 'critical' AS severity, 'source_sheet' AS entity_name,
+       file_name || ':' || sheet_name AS entity_key, CAST(NULL AS BIGINT) AS source_row_id,
+       'Required sheet ' || sheet_name || ' is missing from ' || file_name || '.' AS message
+FROM (SELECT * FROM contract EXCEPT SELECT * FROM books)""")
+def r02_sheet(spark, sf_dir):
+    """R2: each language's workbook must have a sheet for every source, and a summary."""
+    d = Tables(spark, sf_dir).documents
+    staged = d.select(F.concat(F.coalesce("lang", F.lit("none")), F.lit(".xlsx")).alias("file_name"), F.col("source").alias("sheet_name")).distinct()
+    sheets = d.where(F.col("source").isNotNull()).agg(F.array_union(F.collect_set("source"), F.array(F.lit("summary")))).scalar()
+    contract = staged.select("file_name").distinct().withColumn("sheet_name", F.explode(sheets))
+    return checks.missing_sheets(contract, staged)
+
+
+@register("s2_table_content_hashes", """
+SELECT 'documents.parquet' AS file_name, count(*) AS rows, true AS same_when_read_again FROM documents
+UNION ALL SELECT 'pages.parquet', count(*), true FROM pages UNION ALL SELECT 'events.parquet', count(*), true FROM events""")
+def s2(spark, sf_dir):
+    """Content hashes of three tables, read whole and read again: they have no SQL form, their agreement and counts do."""
+    t = Tables(spark, sf_dir)
+    read = lambda: stage.content_hashes({f"{n}.parquet": spark.read.parquet(t.path(n)) for n in ("documents", "pages", "events")})
+    again = read().select("file_name", F.col("file_hash").alias("again"))
+    return read().join(again, "file_name").select("file_name", "rows", (F.col("file_hash") == F.col("again")).alias("same_when_read_again"))

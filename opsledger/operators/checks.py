@@ -112,6 +112,23 @@ def missing_source_files(contract: DataFrame, files: DataFrame) -> DataFrame:
                  msg("Contracted source ", F.col("file_name"), " is missing."))
 
 
+def missing_sheets(contract: DataFrame, staged: DataFrame) -> DataFrame:
+    """R2: a contracted (file, sheet) that is not among the staged rows of a file that has landed."""
+    there = staged.select("file_name", "sheet_name").distinct()
+    landed = contract.join(there.select("file_name").distinct(), "file_name", "left_semi")
+    absent = landed.join(there, ["file_name", "sheet_name"], "left_anti")
+    return issue(absent, "MISSING_REQUIRED_FIELD", "source_sheet", F.concat_ws(":", "file_name", "sheet_name"), F.lit(None),
+                 msg("Required sheet ", F.col("sheet_name"), " is missing from ", F.col("file_name"), "."))
+
+
+def stale_files(files: DataFrame, as_of: str) -> DataFrame:
+    """R24 by the files themselves: one last modified longer ago than its contract's `maximum_age_hours`."""
+    age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("file_modified_at")) / 3600.0
+    return issue(files.where(age > F.col("maximum_age_hours")), "STALE_SOURCE", "source_file", F.col("file_name"), F.lit(None),
+                 msg(F.col("file_name"), " is stale for its ", F.col("cadence"), " cadence; last modified ",
+                     F.date_format("file_modified_at", "yyyy-MM-dd HH:mm:ss"), "."))
+
+
 def required_field_rule(required: dict[int, str], entity: str) -> Column:
     """R2 of a staged row: a blank required cell."""
     blank = {n: clean.text(F.get("cells", i)) == "" for i, n in required.items()}

@@ -39,6 +39,34 @@ def file_hashes(spark, path_glob: str) -> DataFrame:
         F.max("modificationTime").alias("file_modified_at"))
 
 
+def content_hashes(tables: dict[str, DataFrame]) -> DataFrame:
+    """S2 for files of any size: (file_name, file_hash, rows) of freshly read Parquet tables, from their rows alone.
+
+    Each row is hashed with its place in its part file, and a part's row hashes are added and xored up task by task, so no
+    file is held as one value; a table's hash is that of its parts' in the order of their hashes.  Equal rows in equal
+    places give equal hashes, whatever the compression; 128 bits are kept."""
+    out = None
+    for name, df in tables.items():
+        row = [F.col("_metadata.row_index"), *[F.col(c) for c in df.columns]]
+        parts = df.groupBy(F.col("_metadata.file_path").alias("part")).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*row).cast("decimal(38,0)")).alias("total"),
+            F.bit_xor(F.xxhash64(F.lit("x"), *row)).alias("mixed"))
+        of_part = F.concat_ws("|", "rows", "total", "mixed")
+        one = parts.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(of_part))), 256).alias("file_hash"), F.sum("rows").alias("rows"))
+        one = one.select(F.lit(name).alias("file_name"), "file_hash", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def register_files(books, files: DataFrame, run_id: int) -> dict:
+    """Files by content hash in the keyed `source_file` table: a file that was imported before keeps its row, which
+    moves to this run; of files with one content the first by time and path stands."""
+    new = dedupe_files(files).select("file_hash", "file_name", F.col("path").alias("relative_path"), "file_size_bytes",
+                                     "file_modified_at", F.lit(run_id).cast("bigint").alias("import_run_id"),
+                                     F.lit(run_id).cast("bigint").alias("first_run_id"))
+    return books["source_file"].upsert(new)
+
+
 def dedupe_files(files: DataFrame) -> DataFrame:
     """One row per content hash (identical re-imports reuse the first-seen file)."""
     return dedupe_latest(files.withColumn("_neg", -F.unix_micros("file_modified_at")), ["file_hash"],

@@ -110,3 +110,43 @@ def test_asp_is_the_last_closed_month(spark):
     purchases = spark.createDataFrame([(1, i, day(d)) for i, d in enumerate(dates)], "supplier_id long, lot_id long, purchase_date date")
     got = {r.lot_id: r.asp for r in kpis.asp_levies(purchases, auctions).collect()}
     assert got == {0: None, 1: None, 2: 100, 3: 100, 4: 400, 5: 400}
+
+
+def test_content_hash_is_of_rows_in_their_places(spark, tmp_path):
+    rows = spark.range(500).select("id", F.col("id").cast("string").alias("s"), F.array("id").alias("a"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/a")
+    rows.coalesce(1).write.option("compression", "gzip").parquet(f"{tmp_path}/b")
+    rows.orderBy(F.desc("id")).coalesce(1).write.parquet(f"{tmp_path}/c")
+    rows.where("id <> 7").coalesce(1).write.parquet(f"{tmp_path}/d")
+    rows.where("false").write.parquet(f"{tmp_path}/e")
+    read = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in "abcde"}
+    got = {r.file_name: r for r in stage.content_hashes(read).collect()}
+    assert got["a"].file_hash == got["b"].file_hash and len({r.file_hash for r in got.values()}) == 4
+    assert [got[n].rows for n in "abcde"] == [500, 500, 500, 499, 0]
+
+
+def test_files_move_to_the_run_that_sees_them_again(spark, tmp_path):
+    from opsledger.operators.books import Books
+
+    books = Books(spark, str(tmp_path / "books"), buckets=4)
+    shape = "file_hash string, file_name string, path string, file_size_bytes long, file_modified_at timestamp"
+    at = dt.datetime(2026, 1, 1)
+    one = [("h1", "a.xlsx", "in/a.xlsx", 5, at), ("h2", "b.xlsx", "in/b.xlsx", 6, at), ("h2", "copy.xlsx", "in/copy.xlsx", 6, at + dt.timedelta(1))]
+    assert stage.register_files(books, spark.createDataFrame(one, shape), 1) == {"version": 1, "inserted": 2, "updated": 0}
+    again = [("h2", "renamed.xlsx", "in/renamed.xlsx", 6, at), ("h3", "c.xlsx", "in/c.xlsx", 7, at)]
+    assert stage.register_files(books, spark.createDataFrame(again, shape), 2) == {"version": 2, "inserted": 1, "updated": 1}
+    got = sorted((r.file_hash, r.file_name, r.import_run_id, r.first_run_id) for r in books["source_file"].read().collect())
+    assert got == [("h1", "a.xlsx", 1, 1), ("h2", "b.xlsx", 2, 1), ("h3", "c.xlsx", 2, 2)]
+
+
+def test_absent_sheets_and_old_files(spark):
+    from opsledger.operators import checks
+
+    contract = spark.createDataFrame([("a", "s1"), ("a", "s2"), ("gone", "s1")], "file_name string, sheet_name string")
+    staged = spark.createDataFrame([("a", "s1"), ("a", "s1"), ("other", "s2")], "file_name string, sheet_name string")
+    assert [(r.rule_code, r.entity_key) for r in checks.missing_sheets(contract, staged).collect()] == [("MISSING_REQUIRED_FIELD", "a:s2")]
+    noon = dt.datetime(2026, 1, 3, 12)
+    files = spark.createDataFrame([("Daily x", noon - dt.timedelta(hours=37)), ("daily y", noon - dt.timedelta(hours=36)),
+                                   ("weekly", noon - dt.timedelta(hours=193)), ("event", noon - dt.timedelta(days=900))], "file_name string, file_modified_at timestamp")
+    files = files.join(stage.source_contract(files), "file_name")
+    assert sorted(r.entity_key for r in checks.stale_files(files, "2026-01-03 12:00:00").collect()) == ["Daily x", "weekly"]
