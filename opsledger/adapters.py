@@ -604,6 +604,32 @@ class StagedLedger(Ledger):
                         (F.col("s_suppkey") + 2).cast("bigint").alias("row_number"), cells.alias("cells"),
                         F.col("s_suppkey").alias("source_row_id"))
 
+    @cached_property
+    def lot_master_rows(self) -> DataFrame:
+        """'LOT MASTER' sheet: one row per part; lots of large sizes are written again further down, as closed and under
+        another source lot."""
+        p = self.t.part
+        text = lambda c: F.col(c).cast("string")
+        status = F.when(F.col("p_size") > 30, F.lit("Un-lifted")).when(F.col("p_size") > 15, F.lit("Finished")).otherwise(F.lit("in plant"))
+        cells = lambda status, source: F.array(
+            F.concat(F.lit("LOT-"), text("p_partkey")), status, F.col("p_type"), F.col("p_brand"), F.col("p_name"), text("p_size"), source)
+        first = p.select(cells(status, F.concat(F.lit("SL "), text("p_partkey"))).alias("cells"), F.col("p_partkey").alias("source_row_id"))
+        again = p.where(F.col("p_size") > 40).select(cells(F.lit("Closed"), F.lit("")).alias("cells"),
+                                                     (F.col("p_partkey") + (1 << 40)).alias("source_row_id"))
+        return first.unionByName(again).select(
+            F.lit("stock_report").alias("file_name"), F.lit("LOT MASTER").alias("sheet_name"),
+            (F.col("source_row_id") + 2).cast("bigint").alias("row_number"), "cells", "source_row_id")
+
+    @cached_property
+    def organization_mentions(self) -> DataFrame:
+        """(name, role, source_row_id) of the sheets that name organisations, in the order in which they are read."""
+        def of(place, rows, cell, role):
+            return rows.select(F.get("cells", cell).alias("name"), F.lit(role).alias("role"),
+                               (F.lit(place << 50) + F.col("source_row_id")).cast("bigint").alias("source_row_id"))
+        return (of(1, self.buyer_rows, 0, "customer").unionByName(of(2, self.purchase_rows, 3, "supplier"))
+                .unionByName(of(3, self.permit_rows, 0, "customer")).unionByName(of(4, self.auction_rows, 19, "mine_owner"))
+                .unionByName(of(5, self.work_order_rows, 5, "transporter")).unionByName(of(6, self.work_order_rows, 7, "mine_owner")))
+
     @cached_property
     def inward_permit_rows(self) -> DataFrame:
         """'Permit Detail's (inward)' sheet: one row per purchase; a supplier's purchases of lots whose numbers begin alike

@@ -443,3 +443,59 @@ SELECT {_ORG_KEY} AS organization_key, {norm_sql('n_name')} AS site_key, n_name
 FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def m4(spark, sf_dir):
     return facts.build_sites(StagedLedger(spark, sf_dir).buyer_rows)
+
+
+EX["lot_master_r"] = """
+SELECT p_partkey AS source_row_id, 'LOT-' || CAST(p_partkey AS VARCHAR) AS house, CASE WHEN p_size > 30 THEN 'unlifted' WHEN p_size > 15 THEN 'finished'
+       ELSE 'unknown' END AS status, 'SL ' || CAST(p_partkey AS VARCHAR) AS source_lot, p_name, p_type, p_brand, p_size FROM part
+UNION ALL
+SELECT p_partkey + 1099511627776, 'LOT-' || CAST(p_partkey AS VARCHAR), 'closed', NULL, p_name, p_type, p_brand, p_size FROM part WHERE p_size > 40"""
+
+
+@register("m3_build_lots", f"""
+SELECT min(source_row_id) OVER (PARTITION BY house) AS lot_id, house AS house_lot_number,
+       {MATERIAL_SQL.format("concat_ws(' ', p_brand, p_type, p_size)")} || ':' || CAST(p_size AS VARCHAR) AS material_code,
+       source_lot AS source_lot_number, p_name AS description, status AS lifecycle_status, source_row_id
+FROM lot_master_r QUALIFY row_number() OVER (PARTITION BY house ORDER BY source_row_id DESC) = 1""", extra=EX)
+def m3l(spark, sf_dir):
+    return facts.build_lots(StagedLedger(spark, sf_dir).lot_master_rows)[0]
+
+
+@register("m3_lot_alias_table", f"""
+SELECT min(p_partkey) AS lot_id, k AS normalized_alias, arg_min(a, source_row_id * 3 + place) AS alias, max(source_row_id) AS source_row_id
+FROM (SELECT source_row_id, source_row_id % 1099511627776 AS p_partkey, a, place, {norm_sql('a')} AS k FROM (
+        SELECT source_row_id, house AS a, 0 AS place FROM lot_master_r UNION ALL SELECT source_row_id, source_lot, 1 FROM lot_master_r
+        UNION ALL SELECT source_row_id, p_name, 2 FROM lot_master_r) WHERE a IS NOT NULL)
+WHERE k <> '' GROUP BY p_partkey, k""", extra=EX)
+def m3a(spark, sf_dir):
+    """The keyed alias table after two imports of the lot master: its first rows, then all of them."""
+    from ..operators.books import Books
+    rows = StagedLedger(spark, sf_dir).lot_master_rows
+    books = Books.scratch(spark)
+    books.upsert("lot_alias", facts.build_lots(rows.where(F.col("row_number") <= 1 << 40))[1])
+    books.upsert("lot_alias", facts.build_lots(rows)[1])
+    return books["lot_alias"].read()
+
+
+EX["mentions_r"] = f"""
+SELECT c_name AS name, 'customer' AS role, 1125899906842624 + c_custkey AS o FROM customer
+UNION ALL SELECT 'SUP-' || CAST(supplier_id AS VARCHAR), 'supplier', 2251799813685248 + source_row_id FROM purchase_lots_r
+UNION ALL SELECT c_name, 'customer', 3377699720527872 + s_suppkey FROM supplier JOIN customer ON c_custkey = s_suppkey
+UNION ALL SELECT mine, 'mine_owner', 4503599627370496 + source_row_id FROM auction_lots_r
+UNION ALL SELECT {cell(5)}, 'transporter', 5629499534213120 + source_row_id FROM work_order_rows_r
+UNION ALL SELECT {cell(7)}, 'mine_owner', 6755399441055744 + source_row_id FROM work_order_rows_r"""
+
+
+@register("m1_organizations_of_all_sheets", f"""
+SELECT min(o) AS organization_id, arg_min({text_sql('name')}, o) AS legal_name, {norm_sql('name')} AS normalized_name,
+       list_sort(list_distinct(list(role))) AS roles, min(o) AS source_row_id
+FROM mentions_r GROUP BY {norm_sql('name')}""", extra=EX)
+def m1all(spark, sf_dir):
+    return resolve.build_organizations(StagedLedger(spark, sf_dir).organization_mentions)
+
+
+@register("m1_organization_aliases", f"""
+SELECT {norm_sql('name')} AS normalized_name, arg_min({text_sql('name')}, o) AS alias, {norm_sql('name')} AS normalized_alias, min(o) AS source_row_id
+FROM mentions_r GROUP BY {norm_sql('name')}""", extra=EX)
+def m1alias(spark, sf_dir):
+    return resolve.organization_aliases(StagedLedger(spark, sf_dir).organization_mentions)

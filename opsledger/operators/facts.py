@@ -53,6 +53,32 @@ def build_materials(lots_text: DataFrame) -> DataFrame:
         "material_code", "mineral", "category", "size_spec", clean.category_label("category").alias("category_label"))
 
 
+def build_lots(rows: DataFrame, header_rows: int = 1) -> tuple[DataFrame, DataFrame]:
+    """M3: lots and their aliases from the 'LOT MASTER' sheet.
+
+    cells: 0 house lot, 1 lifecycle status, 2 sub type, 3 ore type, 4 description, 5 size, 6 source lot.  One lot per house
+    lot number, its id the first source row that names it, the rest from the last one.  Every house lot, source lot and
+    description that a row gives is an alias of its lot, one per (lot, normalised text): the first spelling, the last source row.
+    Rows without a house lot are no lots.  Returns (lots, aliases)."""
+    c = F.col("cells")
+    t = rows.where(F.col("row_number") > header_rows).select(
+        "source_row_id", clean.text(F.get(c, 0)).alias("house_lot_number"), clean.lifecycle_status(F.get(c, 1)).alias("lifecycle_status"),
+        F.nullif(clean.text(F.get(c, 6)), F.lit("")).alias("source_lot_number"), F.nullif(clean.text(F.get(c, 4)), F.lit("")).alias("description"),
+        clean.material_parts(F.get(c, 3), F.get(c, 2), F.get(c, 5))["material_code"].alias("material_code"))
+    t = t.where(F.col("house_lot_number") != "")
+    rest = ["material_code", "source_lot_number", "description", "lifecycle_status", "source_row_id"]
+    lots = t.groupBy("house_lot_number").agg(F.min("source_row_id").alias("lot_id"),
+                                             F.max_by(F.struct(*rest), "source_row_id").alias("last")).select(
+        "lot_id", "house_lot_number", *[F.col(f"last.{x}").alias(x) for x in rest])
+    named = t.select("house_lot_number", "source_row_id", F.posexplode(F.array("house_lot_number", "source_lot_number", "description"))
+                     .alias("place", "alias")).withColumn("normalized_alias", clean.normalized("alias"))
+    spelled = named.where(F.col("normalized_alias") != "").groupBy("house_lot_number", "normalized_alias").agg(
+        F.min_by("alias", F.struct("source_row_id", "place")).alias("alias"), F.max("source_row_id").alias("source_row_id"))
+    aliases = spelled.join(lots.select("house_lot_number", "lot_id"), "house_lot_number").select(
+        "lot_id", "alias", "normalized_alias", "source_row_id")
+    return lots, aliases
+
+
 def build_movements(rows: DataFrame, aliases: DataFrame, header_rows: int = 1) -> tuple[DataFrame, DataFrame]:
     """Inventory movements from a day-book sheet: signed in/out columns unpivoted (P5, zeros and
     blanks dropped, absolute quantity), event classified (F10), lot resolved (J9).

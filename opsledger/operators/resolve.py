@@ -75,6 +75,16 @@ def build_organizations(mentions: DataFrame, name_col: str = "name", role_col: s
                         F.col("organization_id").alias("source_row_id"))
 
 
+def organization_aliases(mentions: DataFrame, name_col: str = "name", order_col: str = "source_row_id") -> DataFrame:
+    """M1: one alias per normalised name (F2), the first mention's spelling and organisation (F3 key)."""
+    m = mentions.where(clean.text(name_col) != "").select(
+        clean.text(name_col).alias("alias"), clean.normalized(name_col).alias("normalized_alias"),
+        clean.normalized_organization(name_col).alias("normalized_name"), F.col(order_col).alias("o"))
+    return m.groupBy("normalized_alias").agg(
+        F.min_by(F.struct("normalized_name", "alias"), "o").alias("first"), F.min("o").alias("source_row_id")).select(
+        F.col("first.normalized_name").alias("normalized_name"), F.col("first.alias").alias("alias"), "normalized_alias", "source_row_id")
+
+
 def first_wins_backfill(df: DataFrame, key: str, col: str, source: DataFrame, source_col: str,
                         order_col: str) -> DataFrame:
     """M5: fill a null `col` from the first (smallest `order_col`) matching source row."""

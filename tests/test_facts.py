@@ -210,3 +210,25 @@ def test_second_import_of_every_sheet_changes_nothing(spark, tmp_path):
     assert all(books.upsert(name, df) == first[name] | {"inserted": 0, "updated": 0} for name, df in loads)
     assert all(set(kept) <= set(spark.createDataFrame([], schema).columns) and set(keys) <= set(spark.createDataFrame([], schema).columns)
                for schema, keys, kept in TABLES.values())
+
+
+def test_lots_keep_their_first_id_and_last_row(spark):
+    row = lambda lot, status, desc, size, source: [lot, status, "Lump ore", "Iron", desc, size, source]
+    cells = [row("L-1", "Un-lifted", "Red Hill", "5-18", "S 1"), row("", "", "nobody", "", ""), row("L-2", "", "", "", "S1"),
+             row("L-1", "Closed", "RED hill", "10-40", "")]
+    lots, aliases = facts.build_lots(sheet(spark, "LOT MASTER", 2, cells))
+    got = {r.house_lot_number: r for r in lots.collect()}
+    assert set(got) == {"L-1", "L-2"}
+    one = got["L-1"]
+    assert (one.lot_id, one.source_row_id, one.lifecycle_status, one.source_lot_number, one.material_code) == (100, 103, "closed", None, "iron_ore:lump:1040")
+    assert got["L-2"].description is None and got["L-2"].lifecycle_status == "unknown"
+    assert sorted((r.lot_id, r.alias, r.normalized_alias, r.source_row_id) for r in aliases.collect()) == [
+        (100, "L-1", "l1", 103), (100, "Red Hill", "redhill", 103), (100, "S 1", "s1", 100), (102, "L-2", "l2", 102), (102, "S1", "s1", 102)]
+
+
+def test_organization_aliases_belong_to_their_first_mention(spark):
+    from opsledger.operators.resolve import organization_aliases
+
+    mentions = spark.createDataFrame([("ACME Ltd", 2), ("Acme", 1), ("acme ltd.", 3), ("", 4), (None, 5)], "name string, source_row_id long")
+    got = sorted((r.normalized_alias, r.alias, r.normalized_name, r.source_row_id) for r in organization_aliases(mentions).collect())
+    assert got == [("acme", "Acme", "acme", 1), ("acmeltd", "ACME Ltd", "acme", 2)]
