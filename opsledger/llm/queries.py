@@ -40,7 +40,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    third = language_mixture.fold(F.col("doc_id"))
+    third = F.coalesce(language_mixture.fold(F.col("doc_id")), F.lit(0))  # a null id is learned from, not held out
     model = language_mixture.learn(docs.where(third != 1))
     out = language_mixture.predict(docs.select("doc_id", "text"), ["doc_id"], model)
     return out.select("doc_id", (third == 1).alias("held_out"), "lang_pred", "score", "languages", "proportions")

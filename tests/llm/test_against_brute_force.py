@@ -81,6 +81,16 @@ def test_languages_of_documents_that_were_not_learned_from(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_rows_without_an_id_have_a_fold(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    odd = spark.createDataFrame([(None, "Where is the house", "en"), (None, None, None), (-1, "", None), (-2, "123 --", "de")], "doc_id long, text string, lang string")
+    docs.select("doc_id", "text", "lang").unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op5_language_mixture(spark, str(tmp_path)).collect()
+    assert len(rows) == docs.count() + 4 and all(r.held_out is not None and r.lang_pred is not None for r in rows)
+    assert [r.held_out for r in rows if r.doc_id is None] == [False, False]
+    assert {r.lang_pred for r in rows if r.doc_id is not None and r.doc_id < 0} == {"und"}
+
+
 def test_stages_follow_from_one_another(spark):
     """Each stage of the pipeline, by its own definition, on what the stage before it left."""
     import tiktoken
