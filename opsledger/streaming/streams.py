@@ -59,9 +59,11 @@ def merged(stream: DataFrame, to_rows, table: KeyedTable, root: str, order: list
     def merge(batch: DataFrame, epoch: int) -> None:
         table.upsert(to_rows(batch), list(order), epoch=f"batch-{epoch}")
 
+    before = table.version()
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    table.squash(before)  # what the batches of this call have replaced
     return table.read()
 
 
@@ -124,9 +126,10 @@ def trailing_counts(events: DataFrame, seconds: int = 600) -> DataFrame:
 
 
 def incremental_staging(spark: SparkSession, path: str, stage_fn, keys: list[str], root: str | None = None,
-                        files_per_batch: int | None = 1) -> DataFrame:
+                        files_per_batch: int | None = None) -> DataFrame:
     """New files are staged as they land and upserted by `keys` (file, sheet, row); the row written last, by file time,
-    file and place in the file, wins.  `stage_fn(batch) -> staged rows` keeps the three place columns of `landed`."""
+    file and place in the file, wins.  A batch rewrites the buckets it touches, so few large batches (by default one for
+    all that has landed) write least.  `stage_fn(batch) -> staged rows` keeps the three place columns of `landed`."""
     root = generation(spark, path, root or stream_root(spark, "staging", path))
     source = landed(spark, path, files_per_batch)
     place = ["_time", "_file", "_row"]
