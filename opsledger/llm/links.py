@@ -17,7 +17,8 @@ from . import kernel as K
 from .common import connected_components, written
 
 SMALL = 16
-BLOCK, AGAINST = 1024, 256  # rows of a block of a group, and of those that they are compared with
+BLOCK, AGAINST = 4096, 2048  # rows of a block of a group, and of those that they are compared with
+BLOCK_BYTES, AGAINST_BYTES = 4 << 20, 2 << 20  # the same in bytes of text (a longer single text is one row)
 EXHAUSTIVE = 4096  # members up to which a group that is not one component is compared exhaustively, in blocks
 ROUNDS = 6  # splits of a larger one
 POSITIONS = 64  # minwise values of a set
@@ -147,18 +148,23 @@ def compare_block(block: pa.Table, shingles: Shingler, percent: int) -> pa.Table
     return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
 
-def block_links(members: DataFrame, texts: DataFrame, shingles: Shingler, percent: int) -> DataFrame:
-    """Links (a, b) between components of `members(key, id, root, least, n, n_odd)`: the members outside a group's
-    first component against all its members, in blocks of about AGAINST by BLOCK rows."""
-    m = members.join(texts.select("id", "text"), "id")
-    slot = lambda n, size: F.ceil(F.col(n) / size).cast("int")
-    rows, cols = slot("n", BLOCK), slot("n_odd", AGAINST)
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+def block_links(members: DataFrame, texts: DataFrame, shingles: Shingler, percent: int, tag: str) -> DataFrame:
+    """Links (a, b) between components of `members(key, id, root, least)` (written): the members outside a group's first
+    component against all its members, in blocks of about BLOCK by AGAINST rows, and of BLOCK_BYTES by AGAINST_BYTES of
+    text at most.  A text is copied once for each block that it meets, so not at all in a group of one block."""
+    odd = F.col("root") != F.col("least")
+    sizes = members.join(texts.select("id", F.octet_length("text").cast("long").alias("size")), "id").groupBy("key").agg(
+        F.count("id").alias("n"), F.sum("size").alias("bytes"), F.count_if(odd).alias("n_odd"), F.sum(F.when(odd, F.col("size"))).alias("odd_bytes"))
+    slots = lambda n, rows, size, most: F.greatest(F.ceil(F.col(n) / rows), F.ceil(F.col(size) / most), F.lit(1)).cast("int")
+    grid = written(sizes.where("n_odd > 0").select("key", slots("n", BLOCK, "bytes", BLOCK_BYTES).alias("rows"),
+                                                   slots("n_odd", AGAINST, "odd_bytes", AGAINST_BYTES).alias("cols")), tag)
+    m = members.join(grid, "key").join(texts.select("id", "text"), "id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     shape = ["key", "i", "j", "odd", "id", "root", "text"]
-    others = m.withColumns({"i": place(rows), "odd": F.lit(False)}).withColumn("j", every(cols)).select(shape)
-    odd = m.where("root <> least").withColumns({"j": place(cols), "odd": F.lit(True)}).withColumn("i", every(rows)).select(shape)
-    return others.union(odd).groupBy("key", "i", "j").applyInArrow(lambda block: compare_block(block, shingles, percent), "a long, b long")
+    others = m.withColumns({"i": place("rows"), "odd": F.lit(False)}).withColumn("j", every("cols")).select(shape)
+    against = m.where(odd).withColumns({"j": place("cols"), "odd": F.lit(True)}).withColumn("i", every("rows")).select(shape)
+    return others.union(against).groupBy("key", "i", "j").applyInArrow(lambda block: compare_block(block, shingles, percent), "a long, b long")
 
 
 def resolve(pairs: DataFrame, groups: DataFrame, split: Callable[[DataFrame], DataFrame], texts: DataFrame, shingles: Shingler,
@@ -198,8 +204,7 @@ def resolve(pairs: DataFrame, groups: DataFrame, split: Callable[[DataFrame], Da
         if left.isEmpty():
             break
         now = left if turn == ROUNDS else left.where(F.col("n") <= EXHAUSTIVE)
-        odd = written(now.where("root <> least").groupBy("key").agg(F.count("id").alias("n_odd")), tag)
-        found(written(block_links(now.join(odd, "key"), texts, shingles, percent).distinct(), tag))
+        found(written(block_links(now.select("key", "id", "root", "least"), texts, shingles, percent, tag).distinct(), tag))
         more = left.where(F.col("n") > EXHAUSTIVE).select("key", "id")
         if turn == ROUNDS or more.isEmpty():
             break

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from opsledger.llm import byte_bpe, chosen_path, line_dedup, quality_rules
+from opsledger.llm import byte_bpe, chosen_path, line_dedup, links, quality_rules
 from opsledger.llm.common import table
 from opsledger.llm.queries import VOCABULARY, op5_language_mixture, pattern
 
@@ -139,3 +139,23 @@ def test_pipeline_on_empty_documents(spark, tmp_path):
     odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
     table(spark, SF, "benchmark").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/odd").count() == 0  # a document without words is rejected
+
+
+@pytest.mark.parametrize("limits", [(4, 3, 1 << 20, 1 << 20), (4096, 2048, 300, 200), (4096, 2048, 4 << 20, 2 << 20)])
+def test_blocks_of_a_group_hold_every_link(spark, monkeypatch, limits):
+    """Whether blocks end by rows, by bytes or not at all, a group's links are those of brute force."""
+    for name, value in zip(("BLOCK", "AGAINST", "BLOCK_BYTES", "AGAINST_BYTES"), limits):
+        monkeypatch.setattr(links, name, value)
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefg hij", k=60)) for _ in range(6)] + ["x" * 3000]
+    texts = []
+    for i in range(45):
+        y = list(rng.choice(base))
+        y[rng.randrange(6)] = rng.choice("klmn")
+        texts.append((i, "".join(y).encode()))
+    texts.append((45, b""))
+    members = spark.createDataFrame([(7, i, i, 0) for i, _ in texts], "key long, id long, root long, least long")
+    got = links.block_links(members, spark.createDataFrame(texts, "id long, text binary"), line_dedup.char_shingles, 75, "blocks")
+    sets = {i: shingles(t) for i, t in texts if t}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 50
