@@ -342,6 +342,8 @@ class Ledger:
                         (F.col("l_linestatus") == "F").alias("sold"),
                         F.col("p_retailprice").cast(DEC4).alias("opening_price"),
                         unit_price().alias("current_price"),
+                        (F.col("p_retailprice").cast(DEC4) * k("1.05")).cast(DEC4).alias("landed_price"),
+                        (F.col("p_size").cast(PCT) * k("0.1")).cast("decimal(12,5)").alias("premium_pct"),
                         source_row_id().alias("source_row_id")))
 
     @cached_property
@@ -655,8 +657,8 @@ class StagedLedger(Ledger):
                         F.format_number("fe_pct", 4), *blank, F.format_number("offered_quantity_mt", 3), *blank,
                         F.when(F.col("sold"), F.format_number("offered_quantity_mt", 3)).otherwise(F.lit("-")), *blank,
                         F.format_number("opening_price", 4), F.concat(F.lit("₹"), F.format_number("current_price", 4)), *blank,
-                        F.format_number((F.col("opening_price") * k("1.05")).cast(DEC4), 4), *blank,
-                        F.concat(F.format_number((F.col("fe_pct") * k("0.1")).cast("decimal(12,5)"), 5), F.lit("%")), *blank * 2, F.col("mine"))
+                        F.format_number("landed_price", 4), *blank,
+                        F.concat(F.format_number("premium_pct", 5), F.lit("%")), *blank * 2, F.col("mine"))
         return a.select(F.lit("auction").alias("file_name"), F.lit("Consolidated Data").alias("sheet_name"),
                         (F.col("auction_lot_id") + 1).cast("bigint").alias("row_number"), cells.alias("cells"),
                         F.col("source_row_id"))

@@ -124,14 +124,26 @@ def c10(spark, sf_dir):
     return kpis.supplier_quality(L(spark, sf_dir).sample_lines)
 
 
-@register("c17_auction_opportunities", f"""
-SELECT auction_lot_id, lot_id, mine, fe_pct, offered_quantity_mt, current_price, current_price - opening_price AS premium
-FROM auction_lots_r WHERE current_price <> 0 AND fe_pct <> 0 AND NOT sold AND fe_pct >= {MIN_AUCTION_GRADE}
-ORDER BY current_price, auction_lot_id, lot_id, offered_quantity_mt LIMIT 12""", extra=EX)
+EX["opportunities_r"] = f"""
+SELECT auction_lot_id, lot_id, mine, fe_pct, offered_quantity_mt AS balance_mt, current_price, landed_price, premium_pct
+FROM auction_lots_r WHERE current_price <> 0 AND fe_pct <> 0 AND NOT sold AND offered_quantity_mt > 0 AND fe_pct >= {MIN_AUCTION_GRADE}
+ORDER BY landed_price, auction_lot_id LIMIT 12"""
+
+
+@register("c17_auction_opportunities", "SELECT * FROM opportunities_r", extra=EX)
 def c17(spark, sf_dir):
     return kpis.auction_summary(L(spark, sf_dir).auction_lots, MIN_AUCTION_GRADE, 12)
 
 
+@register("c17_auction_overview", """
+SELECT count(*) AS lots, count(DISTINCT mine) AS mines,
+       CAST(COALESCE(CAST(sum(premium_pct) AS DOUBLE) / NULLIF(CAST(count(*) AS DOUBLE), 0), 0) AS DECIMAL(12,2)) AS mean_premium_pct,
+       CAST(COALESCE((SELECT sum(balance_mt) FROM opportunities_r), 0) AS DECIMAL(18,3)) AS opportunity_mt
+FROM auction_lots_r WHERE current_price <> 0 AND fe_pct <> 0""", extra=EX)
+def c17o(spark, sf_dir):
+    return kpis.auction_overview(L(spark, sf_dir).auction_lots, MIN_AUCTION_GRADE, 12)
+
+
 @register("c17_mean_price_by_mine", """
 SELECT mine, count(*) AS lots, CAST(round(avg(current_price), 2) AS DECIMAL(18,2)) AS mean_price,
        CAST(round(avg(current_price - opening_price), 2) AS DECIMAL(18,2)) AS mean_premium
@@ -273,25 +285,46 @@ def c13s(spark, sf_dir):
     return kpis.stock_by_status(positions(L(spark, sf_dir)))
 
 
-@register("c14_open_commitments", """
-SELECT sales_order_line_id, customer_id, po_date, balance_mt,
-       CAST(round(balance_mt * selling_rate_inr_per_mt, 2) AS DECIMAL(24,2)) AS revenue_waiting
+EX["open_orders_r"] = """
+SELECT *, COALESCE(permit, 0) AS available_permit_mt, COALESCE(permit, 0) >= balance_mt AS permit_ready
 FROM (SELECT *, CAST(ordered_quantity_mt - COALESCE(reported_dispatched_quantity_mt, 0) AS DECIMAL(18,3)) AS balance_mt
-      FROM sales_orders_r) WHERE balance_mt > 0.1
-ORDER BY balance_mt DESC, sales_order_line_id LIMIT 10""", extra=EX)
+      FROM sales_orders_r) o LEFT JOIN (
+    SELECT order_id, CAST(sum(permitted_quantity_mt) AS DECIMAL(18,3)) AS permit
+    FROM (SELECT DISTINCT sales_order_line_id AS order_id, permit_supplier_id FROM dispatches_r) d
+    JOIN permits_r ON permit_id = permit_supplier_id GROUP BY order_id) p ON p.order_id = o.sales_order_line_id"""
+
+
+@register("c14_open_commitments", """
+SELECT sales_order_line_id, customer_id, po_date, balance_mt, CAST(available_permit_mt AS DECIMAL(18,3)) AS available_permit_mt,
+       permit_ready, CAST(round(balance_mt * selling_rate_inr_per_mt, 2) AS DECIMAL(24,2)) AS revenue_waiting
+FROM open_orders_r WHERE balance_mt > 0 ORDER BY balance_mt DESC, sales_order_line_id LIMIT 5""", extra=EX)
 def c14(spark, sf_dir):
     x = L(spark, sf_dir)
-    return kpis.open_commitments(x.sales_orders, x.dispatches, x.permits, 10)
+    return kpis.open_commitments(x.sales_orders, x.dispatches, x.permits, 5)
+
+
+_INWARD = f"""CAST(sum(reported_balance_to_lift_mt) AS DECIMAL(18,3)) AS pending_mt, count(*) AS pending_lots,
+       CAST(round(sum(reported_balance_to_lift_mt * COALESCE(lot_landed_cost, 0)), 2) AS DECIMAL(24,2)) AS pending_value,
+       count(*) FILTER (WHERE DATE '{AS_OF}' - purchase_date > 90) AS aged_over_90_days,
+       CAST(COALESCE(sum(reported_balance_to_lift_mt) FILTER (WHERE DATE '{AS_OF}' - purchase_date > 90), 0) AS DECIMAL(18,3)) AS aged_mt,
+       count(*) FILTER (WHERE COALESCE(reported_permit_balance_mt, 0) = 0) AS permit_gaps"""
 
 
 @register("c15_inward_exposure", f"""
-SELECT p.supplier_id, CAST(sum(reported_balance_to_lift_mt) AS DECIMAL(18,3)) AS pending_mt, count(*) AS pending_lots,
-       count(*) FILTER (WHERE DATE '{AS_OF}' - purchase_date > 90) AS aged_over_90_days, s.legal_name AS supplier
-FROM purchase_lots_r p JOIN suppliers_r s ON s.supplier_id = p.supplier_id
+SELECT p.supplier_id, {_INWARD}, s.legal_name AS supplier
+FROM purchase_lots_r p JOIN suppliers_r s ON s.supplier_id = p.supplier_id LEFT JOIN lots_r l ON l.lot_id = p.lot_id
 WHERE reported_balance_to_lift_mt > 0.1 GROUP BY p.supplier_id, s.legal_name""", extra=EX)
 def c15(spark, sf_dir):
     x = L(spark, sf_dir)
-    return kpis.inward_exposure(x.purchase_lots, x.suppliers, AS_OF)
+    return kpis.inward_exposure(x.purchase_lots, x.suppliers, x.lots, AS_OF)
+
+
+@register("c15_inward_summary", f"""
+SELECT {_INWARD} FROM purchase_lots_r p LEFT JOIN lots_r l ON l.lot_id = p.lot_id
+WHERE reported_balance_to_lift_mt > 0.1""", extra=EX)
+def c15s(spark, sf_dir):
+    x = L(spark, sf_dir)
+    return kpis.inward_summary(x.purchase_lots, x.lots, AS_OF)
 
 
 @register("c18_quality_concerns", """
@@ -361,11 +394,13 @@ def c11(spark, sf_dir):
 
 @register("c16_sales_summary", """
 SELECT count(*) AS pending_orders, CAST(sum(balance_mt) AS DECIMAL(18,3)) AS pending_mt,
-       CAST(round(sum(balance_mt * selling_rate_inr_per_mt), 2) AS DECIMAL(24,2)) AS revenue_waiting
-FROM (SELECT *, CAST(ordered_quantity_mt - COALESCE(reported_dispatched_quantity_mt, 0) AS DECIMAL(18,3)) AS balance_mt
-      FROM sales_orders_r) WHERE balance_mt > 0.1""", extra=EX)
+       CAST(round(sum(balance_mt * selling_rate_inr_per_mt), 2) AS DECIMAL(24,2)) AS revenue_waiting,
+       CAST(sum(greatest(balance_mt - available_permit_mt, 0)) AS DECIMAL(18,3)) AS permits_needed_mt,
+       count(*) FILTER (WHERE permit_ready) AS permit_ready_orders
+FROM open_orders_r WHERE balance_mt > 0.1""", extra=EX)
 def c16(spark, sf_dir):
-    return kpis.sales_summary(L(spark, sf_dir).sales_orders)
+    x = L(spark, sf_dir)
+    return kpis.sales_summary(x.sales_orders, x.dispatches, x.permits)
 
 
 @register("c27_inventory_page_rows", """

@@ -180,13 +180,31 @@ def supplier_quality(sample_lines: DataFrame) -> DataFrame:
         F.count_if(d < -1).alias("severe_variance"))
 
 
+def _valid_auctions(auctions: DataFrame) -> DataFrame:
+    """C17: offers with a price and a grade that are neither null nor zero."""
+    return auctions.where((F.col("current_price") != 0) & (F.col("fe_pct") != 0))
+
+
 def auction_summary(auctions: DataFrame, min_grade, k: int = 12) -> DataFrame:
-    """C17: opportunity screen: valid (price and grade non-zero), unsold, grade >= min, cheapest k."""
-    valid = auctions.where((F.col("current_price") != 0) & (F.col("fe_pct") != 0))
-    return (valid.where(~F.col("sold") & (F.col("fe_pct") >= min_grade))
-            .orderBy("current_price", "auction_lot_id", "lot_id", "offered_quantity_mt").limit(k)
-            .select("auction_lot_id", "lot_id", "mine", "fe_pct", "offered_quantity_mt", "current_price",
-                    (F.col("current_price") - F.col("opening_price")).alias("premium")))
+    """C17: opportunity screen: valid, of at least the grade, with quantity unsold; the k lowest landed prices."""
+    balance = F.when(F.col("sold"), F.lit(0)).otherwise(F.col("offered_quantity_mt")).cast(DEC3)
+    return (_valid_auctions(auctions).withColumn("balance_mt", balance)
+            .where((F.col("fe_pct") >= min_grade) & (F.col("balance_mt") > 0))
+            .orderBy(F.col("landed_price").asc_nulls_last(), "auction_lot_id").limit(k)
+            .select("auction_lot_id", "lot_id", "mine", "fe_pct", "balance_mt", "current_price", "landed_price", "premium_pct"))
+
+
+def auction_overview(auctions: DataFrame, min_grade, k: int = 12) -> DataFrame:
+    """C17: valid offers, their mines, the mean recorded premium (none counts as zero), and the unsold quantity of the
+    k offers of `auction_summary`."""
+    from .common import ratio
+    valid = _valid_auctions(auctions).agg(
+        F.count(F.lit(1)).alias("lots"), F.count_distinct("mine").alias("mines"),
+        F.sum(F.coalesce("premium_pct", F.lit(0))).alias("premiums"))
+    unsold = auction_summary(auctions, min_grade, k).agg(F.sum("balance_mt").cast(DEC3).alias("unsold"))
+    return valid.select("lots", "mines", F.coalesce(ratio(F.col("premiums"), F.col("lots"), "decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
+                        .alias("mean_premium_pct"),
+                        F.coalesce(unsold.scalar(), F.lit(0)).cast(DEC3).alias("opportunity_mt"))
 
 
 def mean_price_by_mine(auctions: DataFrame, k: int = 7) -> DataFrame:
@@ -269,25 +287,57 @@ def stock_by_status(positions: DataFrame) -> DataFrame:
         F.sum("available_quantity_mt").cast(DEC3).alias("quantity_mt"), F.count(F.lit(1)).alias("lots"))
 
 
-def open_commitments(orders: DataFrame, dispatches: DataFrame, permits: DataFrame, k: int = 10) -> DataFrame:
-    """Largest open order balances; permit-ready when the order's permits cover the balance."""
+def available_permits(dispatches: DataFrame, permits: DataFrame) -> DataFrame:
+    """The permitted quantity of each order: the sum over the distinct permits that its dispatches name."""
+    named = dispatches.select("sales_order_line_id", F.col("permit_supplier_id").alias("permit_id")).distinct()
+    return (named.join(permits.select("permit_id", "permitted_quantity_mt"), "permit_id")
+            .groupBy("sales_order_line_id").agg(F.sum("permitted_quantity_mt").cast(DEC3).alias("available_permit_mt")))
+
+
+def _open_orders(orders: DataFrame, dispatches: DataFrame, permits: DataFrame, above) -> DataFrame:
+    """Orders whose balance is larger than `above`, with available_permit_mt (no permit: 0) and permit_ready."""
     bal = (F.col("ordered_quantity_mt") - F.coalesce(F.col("reported_dispatched_quantity_mt"), F.lit(0))).cast(DEC3)
-    o = orders.withColumn("balance_mt", bal).where(F.col("balance_mt") > 0.1)
-    return (o.orderBy(F.col("balance_mt").desc(), "sales_order_line_id").limit(k)
-            .select("sales_order_line_id", "customer_id", "po_date", "balance_mt",
-                    _r(F.col("balance_mt") * F.col("selling_rate_inr_per_mt"), 2).cast("decimal(24,2)")
-                    .alias("revenue_waiting")))
-
-
-def inward_exposure(purchases: DataFrame, suppliers: DataFrame, as_of: str) -> DataFrame:
-    """Pending inward balance and lots older than 90 days of every supplier."""
-    p = purchases.where(F.col("reported_balance_to_lift_mt") > 0.1)
-    age = F.datediff(F.lit(as_of).cast("date"), F.col("purchase_date"))
-    per = p.groupBy("supplier_id").agg(
-        F.sum("reported_balance_to_lift_mt").cast(DEC3).alias("pending_mt"),
-        F.count(F.lit(1)).alias("pending_lots"), F.count_if(age > 90).alias("aged_over_90_days"))
+    o = orders.withColumn("balance_mt", bal).where(F.col("balance_mt") > above)
+    permit = F.coalesce("available_permit_mt", F.lit(0)).cast(DEC3)
+    return (o.join(available_permits(dispatches, permits), "sales_order_line_id", "left")
+            .withColumn("available_permit_mt", permit).withColumn("permit_ready", permit >= F.col("balance_mt")))
+
+
+def open_commitments(orders: DataFrame, dispatches: DataFrame, permits: DataFrame, k: int = 5) -> DataFrame:
+    """C14: the k largest open balances; an order is permit-ready when its permits cover the balance.
+
+    Permits are looked up for the k orders only."""
+    bal = (F.col("ordered_quantity_mt") - F.coalesce(F.col("reported_dispatched_quantity_mt"), F.lit(0))).cast(DEC3)
+    top = orders.where(bal > 0).orderBy(bal.desc(), "sales_order_line_id").limit(k)
+    return _open_orders(top, dispatches, permits, 0).select(
+        "sales_order_line_id", "customer_id", "po_date", "balance_mt", "available_permit_mt", "permit_ready",
+        _r(F.col("balance_mt") * F.col("selling_rate_inr_per_mt"), 2).cast("decimal(24,2)").alias("revenue_waiting"))
+
+
+def _pending_inward(purchases: DataFrame, lots: DataFrame, as_of: str) -> tuple[DataFrame, list]:
+    """Purchases with quantity left to lift, at their lot's landed rate (none: 0), and the measures over them."""
+    p = purchases.where(F.col("reported_balance_to_lift_mt") > 0.1).join(lots.select("lot_id", "lot_landed_cost"), "lot_id", "left")
+    aged = F.datediff(F.lit(as_of).cast("date"), F.col("purchase_date")) > 90
+    balance, permit = F.col("reported_balance_to_lift_mt"), F.col("reported_permit_balance_mt")
+    return p, [F.sum(balance).cast(DEC3).alias("pending_mt"), F.count(F.lit(1)).alias("pending_lots"),
+               F.round(F.sum(balance * F.coalesce("lot_landed_cost", F.lit(0))), 2).cast("decimal(24,2)").alias("pending_value"),
+               F.count_if(aged).alias("aged_over_90_days"),
+               F.coalesce(F.sum(F.when(aged, balance)), F.lit(0)).cast(DEC3).alias("aged_mt"),
+               F.count_if(F.coalesce(permit, F.lit(0)) == 0).alias("permit_gaps")]
+
+
+def inward_exposure(purchases: DataFrame, suppliers: DataFrame, lots: DataFrame, as_of: str) -> DataFrame:
+    """Of every supplier the pending inward quantity and value, the part older than 90 days and the lots without a
+    permit balance."""
+    p, measures = _pending_inward(purchases, lots, as_of)
     names = suppliers.select("supplier_id", F.col("legal_name").alias("supplier"))
-    return per.join(names, "supplier_id")
+    return p.groupBy("supplier_id").agg(*measures).join(names, "supplier_id")
+
+
+def inward_summary(purchases: DataFrame, lots: DataFrame, as_of: str) -> DataFrame:
+    """The same measures over all suppliers (one row; sums over no lots are null)."""
+    p, measures = _pending_inward(purchases, lots, as_of)
+    return p.agg(*measures)
 
 
 def quality_concerns(v6: DataFrame, k: int = 30) -> DataFrame:
@@ -374,13 +424,14 @@ def transporter_summary(work_orders: DataFrame) -> DataFrame:
         "status", F.lit("incomplete: delivery dates are not present"))
 
 
-def sales_summary(orders: DataFrame) -> DataFrame:
-    """Pending orders (balance > 0.1), their balance and the revenue waiting (balance x rate)."""
-    bal = (F.col("ordered_quantity_mt") - F.coalesce(F.col("reported_dispatched_quantity_mt"), F.lit(0))).cast(DEC3)
-    p = orders.withColumn("balance_mt", bal).where(F.col("balance_mt") > 0.1)
-    return p.agg(F.count(F.lit(1)).alias("pending_orders"), F.sum("balance_mt").cast(DEC3).alias("pending_mt"),
-                 F.round(F.sum(F.col("balance_mt") * F.col("selling_rate_inr_per_mt")), 2).cast("decimal(24,2)")
-                 .alias("revenue_waiting"))
+def sales_summary(orders: DataFrame, dispatches: DataFrame, permits: DataFrame) -> DataFrame:
+    """Pending orders (balance > 0.1), their balance, the revenue waiting (balance x rate), the permits still needed
+    (sum of balance less permit, where positive) and the orders whose permits cover their balance."""
+    gap = F.greatest(F.col("balance_mt") - F.col("available_permit_mt"), F.lit(0).cast(DEC3))
+    return _open_orders(orders, dispatches, permits, 0.1).agg(
+        F.count(F.lit(1)).alias("pending_orders"), F.sum("balance_mt").cast(DEC3).alias("pending_mt"),
+        F.round(F.sum(F.col("balance_mt") * F.col("selling_rate_inr_per_mt")), 2).cast("decimal(24,2)").alias("revenue_waiting"),
+        F.sum(gap).cast(DEC3).alias("permits_needed_mt"), F.count_if("permit_ready").alias("permit_ready_orders"))
 
 
 # --- fixed value from the rule text: typical loading charge, Rs per MT ----------------------

@@ -157,7 +157,9 @@ RELATIONS: dict[str, str] = {
                s_name AS mine, CAST(p_size AS DECIMAL(8,4)) AS fe_pct,
                CAST(l_quantity AS DECIMAL(18,3)) AS offered_quantity_mt, l_linestatus = 'F' AS sold,
                CAST(p_retailprice AS DECIMAL(18,4)) AS opening_price,
-               {UNIT} AS current_price, {SRC} AS source_row_id
+               {UNIT} AS current_price,
+               CAST(CAST(p_retailprice AS DECIMAL(18,4)) * 1.05 AS DECIMAL(18,4)) AS landed_price,
+               CAST(CAST(p_size AS DECIMAL(8,4)) * 0.1 AS DECIMAL(12,5)) AS premium_pct, {SRC} AS source_row_id
         FROM lineitem_r JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""",
     "plan_allocations_r": """
         SELECT l_partkey AS lot_id, CAST(l_quantity AS DECIMAL(18,3)) AS selected_quantity_mt,
