@@ -52,6 +52,20 @@ def c2(spark, sf_dir):
     return kpis.stock_position_with_all(c1(spark, sf_dir))
 
 
+RANGE = ("1995-04", "1996-03")
+
+
+@register("c5_customer_activity_in_range", f"""
+SELECT customer_id, customer, metric, CAST(sum(quantity_mt) AS DECIMAL(18,3)) AS total_mt, count(DISTINCT month) AS months,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM v5_r WHERE metric = 'external_allocated') THEN '{kpis.NO_EXTERNAL_DATA}' END AS limitation
+FROM v5_r WHERE strftime(month, '%Y-%m') BETWEEN '{RANGE[0]}' AND '{RANGE[1]}'
+GROUP BY customer_id, customer, metric""", extra=EX)
+def c5r(spark, sf_dir):
+    x = L(spark, sf_dir)
+    v5 = marts.customer_monthly_activity(x.sales_orders, x.dispatches, x.auction_awards, x.customers)
+    return kpis.customer_activity_in_range(v5, *RANGE)
+
+
 @register("c5_customer_activity_totals", """
 SELECT p.*, r.first_month, r.last_month FROM (
   SELECT customer_id, customer,
@@ -92,6 +106,19 @@ def c8(spark, sf_dir):
     return kpis.top_rules(open_issue_table(spark, sf_dir), 12)
 
 
+@register("c8_quality_status", """
+SELECT CASE WHEN count(*) FILTER (WHERE regexp_matches(rule_code, '^(MISSING_|UNMAPPED_|INVALID_NUMBER)')) > 0 THEN 'incomplete'
+            WHEN count(*) > 0 THEN 'flagged' ELSE 'verified' END AS readiness,
+       count(*) AS open_issues, count(*) FILTER (WHERE rule_code = 'MISSING_DISPATCH_LOT') AS missing_dispatch_lot,
+       count(*) FILTER (WHERE rule_code = 'MISSING_PRODUCTION_LOT') AS missing_production_lot,
+       count(*) FILTER (WHERE rule_code = 'UNMAPPED_LOT') AS unmapped_lot,
+       count(*) FILTER (WHERE rule_code IN ('MISSING_DISPATCH_LOT', 'MISSING_PRODUCTION_LOT', 'UNMAPPED_LOT')) AS lot_linkage
+FROM issues_r""", extra=EX)
+def c8s(spark, sf_dir):
+    from .rules_q import open_issue_table
+    return kpis.quality_status(open_issue_table(spark, sf_dir))
+
+
 @register("c9_overview", """
 SELECT * FROM
  (SELECT CAST(sum(available_quantity_mt) AS DECIMAL(18,3)) AS current_stock, count(*) AS stock_lots,

@@ -92,6 +92,24 @@ def top_rules(issues: DataFrame, k: int = 12) -> DataFrame:
         .orderBy(F.col("issue_count").desc(), "rule_code").limit(k)
 
 
+# --- fixed value: rules that say a movement is not linked to a lot --------------------------
+LOT_LINK_RULES = ("MISSING_DISPATCH_LOT", "MISSING_PRODUCTION_LOT", "UNMAPPED_LOT")
+# ----------------------------------------------------------------------------------------------
+
+
+def quality_status(issues: DataFrame) -> DataFrame:
+    """One row: readiness (incomplete while data is missing, else flagged while any issue is open, else verified), the
+    open issues, and those of each lot-linkage rule with their sum."""
+    from .checks import trust_class
+    trust = trust_class(F.col("rule_code"), F.col("severity"))
+    of = lambda rule: F.count_if(F.col("rule_code") == rule).alias(rule.lower())
+    return issues.agg(
+        F.when(F.count_if(trust == "incomplete") > 0, "incomplete").when(F.count(F.lit(1)) > 0, "flagged")
+        .otherwise("verified").alias("readiness"),
+        F.count(F.lit(1)).alias("open_issues"), *[of(r) for r in LOT_LINK_RULES],
+        F.count_if(F.col("rule_code").isin(*LOT_LINK_RULES)).alias("lot_linkage"))
+
+
 def lead_time_by_customer(dispatches: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Average days from PO to dispatch per customer, excluding dispatches dated before the PO."""
     j = dispatches.join(orders.select("sales_order_line_id", "po_date"), "sales_order_line_id", "inner") \
@@ -134,6 +152,26 @@ def customer_activity_totals(v5: DataFrame) -> DataFrame:
     return piv.join(rng, "customer_id")
 
 
+# --- fixed value: what activity without auction allocations must not be read as -------------
+NO_EXTERNAL_DATA = "External purchase awards are not available: orders and dispatches are not total market purchases."
+# ----------------------------------------------------------------------------------------------
+
+
+def customer_activity_in_range(v5: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Per customer and metric the total of the months from `start` to `end` (yyyy-MM, both included; none: open), the
+    number of months, and the limitation that holds when no customer at all has external allocations."""
+    month = F.date_format("month", "yyyy-MM")
+    rows = v5
+    if start:
+        rows = rows.where(month >= start)
+    if end:
+        rows = rows.where(month <= end)
+    external = v5.agg(F.coalesce(F.bool_or(F.col("metric") == "external_allocated"), F.lit(False)).alias("x")).scalar()
+    return (rows.groupBy("customer_id", "customer", "metric")
+            .agg(F.sum("quantity_mt").cast(DEC3).alias("total_mt"), F.count_distinct("month").alias("months"))
+            .withColumn("limitation", F.when(~external, F.lit(NO_EXTERNAL_DATA))))
+
+
 def monthly_ordered_vs_dispatched(v5: DataFrame, fy_start_year: int) -> DataFrame:
     """Month-wise ordered vs dispatched for the financial year starting April `fy_start_year`."""
     from ..functions import clean

@@ -62,3 +62,24 @@ def test_auction_screen(spark):
     assert (r.lots, r.mines, r.mean_premium_pct, r.opportunity_mt) == (5, 3, D("2.00"), D("11"))
     none = kpis.auction_overview(auctions.limit(0), 58).first()
     assert (none.lots, none.mean_premium_pct, none.opportunity_mt) == (0, D("0"), D("0"))
+
+
+def test_activity_of_a_range_and_its_limitation(spark):
+    rows = [(1, "A", dt.date(2001, m, 1), metric, D(m)) for m in (3, 4, 5) for metric in ("ordered", "dispatched")]
+    v5 = spark.createDataFrame(rows, "customer_id long, customer string, month date, metric string, quantity_mt decimal(18,3)")
+    got = {r.metric: (r.total_mt, r.months, r.limitation) for r in kpis.customer_activity_in_range(v5, "2001-04").collect()}
+    assert got == {m: (D("9"), 2, kpis.NO_EXTERNAL_DATA) for m in ("ordered", "dispatched")}
+    other = spark.createDataFrame([(2, "B", dt.date(1999, 1, 1), "external_allocated", D(1))], v5.schema)
+    got = kpis.customer_activity_in_range(v5.union(other), "2001-03", "2001-03").collect()
+    assert [(r.total_mt, r.limitation) for r in got] == [(D("3"), None)] * 2  # external data of anyone lifts it
+    assert kpis.customer_activity_in_range(v5, "2002-01").count() == 0
+
+
+def test_quality_status(spark):
+    shape = "rule_code string, severity string"
+    rows = [("UNMAPPED_LOT", "critical"), ("MISSING_DISPATCH_LOT", "critical"), ("UNMAPPED_LOT", "critical")]
+    r = kpis.quality_status(spark.createDataFrame(rows, shape)).first()
+    assert tuple(r) == ("incomplete", 3, 1, 0, 2, 3)
+    assert kpis.quality_status(spark.createDataFrame([*rows, ("STOCK_MISMATCH", "warning")], shape)).first().readiness == "incomplete"
+    assert kpis.quality_status(spark.createDataFrame([("STOCK_MISMATCH", "info")], shape)).first().readiness == "flagged"
+    assert tuple(kpis.quality_status(spark.createDataFrame([], shape)).first()) == ("verified", 0, 0, 0, 0, 0)
