@@ -25,7 +25,7 @@ def rare_gram_index(keys: DataFrame, holders: DataFrame, size: int) -> DataFrame
     """(gram, key): each distinct key under one gram; `holders(gram, texts)` counts the texts of a gram."""
     short = keys.where(F.length("key") < size).select(F.col("key").alias("gram"), "key")
     of = (keys.where(F.length("key") >= size).select("key", F.explode(grams("key", F.lit(size))).alias("gram"))
-          .join(holders, "gram", "left"))
+          .join(holders.hint("merge"), "gram", "left"))
     best = of.groupBy("key").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("best"))
     return short.unionByName(best.where(F.col("best.texts") > 0).select(F.col("best.gram").alias("gram"), "key"))
 
@@ -40,7 +40,9 @@ def contained_keys(texts: DataFrame, keys: DataFrame, size: int = GRAM) -> DataF
     lengths = k.agg(F.collect_set(F.least(F.length("key"), F.lit(size)))).scalar()
     cut = t.select("text", F.explode(lengths).alias("n")).select("text", F.explode(grams("text", F.col("n"))).alias("gram"))
     holders = cut.where(F.length("gram") == size).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    return (cut.join(rare_gram_index(k, holders, size), "gram")
+    # By size of file a table of grams looks small (it is one text's grams times the texts), so the joins are told to meet in
+    # shuffles: a broadcast would gather them in the driver.
+    return (cut.join(rare_gram_index(k, holders, size).hint("merge"), "gram")
             .where(F.col("text").contains(F.col("key"))).select("text", "key"))
 
 
@@ -53,9 +55,9 @@ def first_contained(texts: DataFrame, text_col: str, keys: DataFrame, key_col: s
     one = (keys.where(F.col(key_col).isNotNull()).groupBy(F.col(key_col).alias("key"))
            .agg(F.min_by(F.struct(rank.alias("rank"), F.struct(*value_cols).alias("value")), rank).alias("first")))
     empty = one.where(F.col("key") == "").agg(F.first("first")).scalar()
-    met = contained_keys(texts.select(F.col(text_col).alias("text")), one.select("key"), size).join(one, "key")
+    met = contained_keys(texts.select(F.col(text_col).alias("text")), one.select("key"), size).join(one.hint("merge"), "key")
     best = met.groupBy("text").agg(F.min_by("first", "first.rank").alias("first"))
-    j = texts.join(best.withColumnRenamed("text", text_col), text_col, "left")
+    j = texts.join(best.withColumnRenamed("text", text_col).hint("merge"), text_col, "left")
     found = F.when(F.col("first").isNull(), F.when(F.col(text_col).isNotNull(), empty)).when(
         F.coalesce(empty["rank"] < F.col("first.rank"), F.lit(False)), empty).otherwise(F.col("first"))
     return j.withColumn("first", found).select(*texts.columns, *[F.col(f"first.value.{c}").alias(c) for c in value_cols])
