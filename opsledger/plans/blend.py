@@ -150,31 +150,66 @@ def useful_lots(stock: DataFrame, k: int) -> DataFrame:
     s = stock.select(*cols).where((F.col("quantity") > 0) & F.col("fe").isNotNull() & F.col("landed_cost").isNotNull()
                                   & F.col("lot").isNotNull() & F.col("product").isNotNull())
 
+    by = ["product", "fe"]
+
     def keep(pdf):
         import heapq
+        pdf = pdf.sort_values([*by, "landed_cost", "lot"], kind="stable", ignore_index=True)
+        first = pdf.groupby(by, sort=False).cumcount() < k  # the k cheapest of a grade always stay
+        again = pdf[pdf.groupby(by, sort=False)["lot"].transform("size") > k]
         out = []
-        for _, g in pdf.groupby(["product", "fe"], sort=False):
-            g = g.sort_values(["landed_cost", "lot"], kind="stable")
-            most: list = []  # the k largest quantities so far
-            for i, q in zip(g.index, g["quantity"]):
-                if len(most) < k:
-                    heapq.heappush(most, q)
-                elif q > most[0]:
+        for _, g in again.groupby(by, sort=False):
+            most = list(g["quantity"][:k])  # the k largest quantities so far
+            heapq.heapify(most)
+            for i, q in zip(g.index[k:], g["quantity"][k:]):
+                if q > most[0]:
                     heapq.heapreplace(most, q)
-                else:
-                    continue
-                out.append(i)
-        return pdf.loc[out]
+                    out.append(i)
+        first.loc[out] = True
+        return pdf[first]
 
     def each(batches):
         import pandas as pd
-        held = None
+        held, waiting, rows = None, [], 0
         for pdf in batches:
-            held = keep(pdf if held is None else pd.concat([held, pdf], ignore_index=True))
+            waiting.append(pdf)
+            rows += len(pdf)
+            if held is None or rows > len(held):  # so that what is held is sorted again only once it has doubled
+                held, waiting, rows = keep(pd.concat([*([] if held is None else [held]), *waiting], ignore_index=True)), [], 0
         if held is not None:
-            yield held
+            yield keep(pd.concat([held, *waiting], ignore_index=True)) if waiting else held
+
+    return s.mapInPandas(each, s.schema).repartition(*by).mapInPandas(each, s.schema)
+
+
+NEAR = 64  # lots of a side whose mixes bound the cost of a demand's k cheapest
 
-    return s.mapInPandas(each, s.schema).groupBy("product", "fe").applyInPandas(keep, s.schema)
+
+def _mixed(pairs: DataFrame) -> DataFrame:
+    """Pairs of a grade below and one above the target `t` with what a demand of `dq` takes of each."""
+    lf, hf, t = (F.col(c).cast("double") for c in ("low_fe", "high_fe", "t"))
+    share = F.try_divide(F.col("dq") * (hf - t), hf - lf)  # may run before the filters above
+    return pairs.withColumn("low_qty", F.round(share, 3).cast("decimal(18,3)")).withColumn(
+        "high_qty", F.round(F.col("dq") - share, 3).cast("decimal(18,3)"))
+
+
+def _total() -> Column:
+    return (F.col("low_qty") * F.col("low_cost") + F.col("high_qty") * F.col("high_cost")).cast("decimal(38,7)")
+
+
+def _enough(lots: DataFrame, d: DataFrame, k: int) -> DataFrame:
+    """(demand_id, enough): a total that k mixes of a demand do not exceed, from the mixes of the NEAR cheapest lots of each
+    side that hold the whole demand; no row for a demand with fewer than k of them."""
+    met = d.join(lots, "product").where((F.col("quantity") >= F.col("dq")) & (F.col("fe") != F.col("t")))
+    w = Window.partitionBy("demand_id", F.col("fe") < F.col("t")).orderBy("landed_cost", "lot")
+    near = met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= NEAR)
+    low = near.where(F.col("fe") < F.col("t")).select("demand_id", "dq", "t", F.col("fe").alias("low_fe"), F.col("landed_cost").alias("low_cost"),
+                                                      F.col("quantity").alias("low_has"))
+    high = near.where(F.col("fe") > F.col("t")).select("demand_id", F.col("fe").alias("high_fe"), F.col("landed_cost").alias("high_cost"),
+                                                       F.col("quantity").alias("high_has"))
+    mixes = _mixed(low.join(high, "demand_id")).where((F.col("low_qty") <= F.col("low_has")) & (F.col("high_qty") <= F.col("high_has")))
+    return (mixes.withColumn("enough", _total()).withColumn("_r", F.row_number().over(Window.partitionBy("demand_id").orderBy("enough")))
+            .where(F.col("_r") == k).select("demand_id", "enough"))
 
 
 def cheapest_pairs_by_grade(stock: DataFrame, demands: DataFrame, k: int = 5) -> DataFrame:
@@ -182,21 +217,26 @@ def cheapest_pairs_by_grade(stock: DataFrame, demands: DataFrame, k: int = 5) ->
 
     What a mix takes of its two lots depends on their grades only, so a demand meets the pairs of its product's grades,
     not of its lots.  For one pair of grades the k cheapest mixes are made of the k cheapest lots of either grade that
-    hold enough, so each side is cut to k lots first and the k x k mixes are ranked.
+    hold enough, so each side is cut to k lots first and the k x k mixes are ranked.  A pair of grades is left out before it
+    meets lots where even the cheapest lots of both cost more than k mixes that are known to do (`_enough`).
 
     stock:   (product, lot, quantity, fe, landed_cost), decimals
     demands: (demand_id, product, quantity, target_fe)
     Output:  (demand_id, rank, low_lot, high_lot, low_qty, high_qty, low_fe, high_fe, blended_cost), by exact cost, then
     lots"""
-    lots = useful_lots(stock, k)
-    grades = lots.select("product", "fe").distinct()
+    from ..session import checkpoint_dir
+    checkpoint_dir(stock.sparkSession)
+    lots = useful_lots(stock, k).checkpoint(eager=True)  # read five times below
+    grades = lots.groupBy("product", "fe").agg(F.min("landed_cost").alias("cost"))
     d = demands.select("demand_id", "product", F.col("quantity").cast("double").alias("dq"), F.col("target_fe").alias("t"))
-    pairs = (d.join(grades.withColumnRenamed("fe", "low_fe"), "product").where(F.col("low_fe") < F.col("t"))
-             .join(grades.withColumnRenamed("fe", "high_fe"), "product").where(F.col("high_fe") > F.col("t")))
-    lf, hf, t = (F.col(c).cast("double") for c in ("low_fe", "high_fe", "t"))
-    share = F.try_divide(F.col("dq") * (hf - t), hf - lf)  # may run before the filters above
-    pairs = pairs.withColumn("low_qty", F.round(share, 3).cast("decimal(18,3)")).withColumn(
-        "high_qty", F.round(F.col("dq") - share, 3).cast("decimal(18,3)"))
+    of = lambda name: grades.select("product", F.col("fe").alias(f"{name}_fe"), F.col("cost").alias(f"{name}_cost"))
+    bound = d.join(_enough(lots, d, k), "demand_id", "left")
+    # A table of grades is small and its pairs are not: they are made in as many tasks as there are shuffle partitions.
+    tasks = int(stock.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = (bound.join(of("low"), "product").where(F.col("low_fe") < F.col("t")).repartition(tasks, "demand_id", "low_fe")
+             .join(of("high"), "product").where(F.col("high_fe") > F.col("t")))
+    pairs = (_mixed(pairs).where(F.col("enough").isNull() | F.coalesce(_total() <= F.col("enough"), F.lit(True)))
+             .drop("enough", "low_cost", "high_cost"))
 
     def side(name: str) -> DataFrame:
         """The k cheapest lots of one side that hold what each pair of grades takes of it."""
@@ -207,9 +247,8 @@ def cheapest_pairs_by_grade(stock: DataFrame, demands: DataFrame, k: int = 5) ->
         return met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r", "quantity")
 
     both = side("low").join(side("high").select("demand_id", "low_fe", "high_fe", "high_lot", "high_cost"), ["demand_id", "low_fe", "high_fe"])
-    total = (F.col("low_qty") * F.col("low_cost") + F.col("high_qty") * F.col("high_cost")).cast("decimal(38,7)")
     w = Window.partitionBy("demand_id").orderBy("total", "low_lot", "high_lot")
-    best = both.withColumn("total", total).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = both.withColumn("total", _total()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best.select("demand_id", "rank", "low_lot", "high_lot", "low_qty", "high_qty", "low_fe", "high_fe",
                        F.round(F.col("total").cast("double") / F.col("dq"), 2).alias("blended_cost"))
 
