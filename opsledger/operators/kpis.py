@@ -7,7 +7,7 @@ uses `max_by`, never a sort of the group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import latest_by
@@ -283,7 +283,6 @@ def asp_levies(purchases: DataFrame, auctions: DataFrame) -> DataFrame:
     A month's ASP is declared when the month is over, so a purchase takes the last month with sales before its own.
     The monthly series is filled forward (each month's ASP serves the months up to the next declared one), which makes
     the as-of lookup an equi-join on the purchase's month with one match."""
-    from pyspark.sql import Window
     asp = auctions.groupBy(F.trunc("closes_on", "MM").alias("asp_month")).agg(
         F.round(F.avg("current_price"), 4).cast("decimal(18,4)").alias("asp"))
     month = F.trunc("purchase_date", "MM")
@@ -327,7 +326,10 @@ def stock_by_status(positions: DataFrame) -> DataFrame:
 
 def available_permits(dispatches: DataFrame, permits: DataFrame) -> DataFrame:
     """The permitted quantity of each order: the sum over the distinct permits that its dispatches name."""
-    named = dispatches.select("sales_order_line_id", F.col("permit_supplier_id").alias("permit_id")).distinct()
+    # One row of each pair by a sort that can spill, not by two hash tables of all pairs that a task holds at once.
+    pair = ["sales_order_line_id", "permit_id"]
+    named = (dispatches.select("sales_order_line_id", F.col("permit_supplier_id").alias("permit_id"))
+             .withColumn("_n", F.row_number().over(Window.partitionBy(*pair).orderBy(*pair))).where(F.col("_n") == 1).select(*pair))
     return (named.join(permits.select("permit_id", "permitted_quantity_mt"), "permit_id")
             .groupBy("sales_order_line_id").agg(F.sum("permitted_quantity_mt").cast(DEC3).alias("available_permit_mt")))
 
@@ -347,7 +349,8 @@ def open_commitments(orders: DataFrame, dispatches: DataFrame, permits: DataFram
     Permits are looked up for the k orders only."""
     bal = (F.col("ordered_quantity_mt") - F.coalesce(F.col("reported_dispatched_quantity_mt"), F.lit(0))).cast(DEC3)
     top = orders.where(bal > 0).orderBy(bal.desc(), "sales_order_line_id").limit(k)
-    return _open_orders(top, dispatches, permits, 0).select(
+    theirs = dispatches.join(F.broadcast(top.select("sales_order_line_id")), "sales_order_line_id", "left_semi")
+    return _open_orders(top, theirs, permits, 0).select(
         "sales_order_line_id", "customer_id", "po_date", "balance_mt", "available_permit_mt", "permit_ready",
         _r(F.col("balance_mt") * F.col("selling_rate_inr_per_mt"), 2).cast("decimal(24,2)").alias("revenue_waiting"))
 

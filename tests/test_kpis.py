@@ -83,3 +83,16 @@ def test_quality_status(spark):
     assert kpis.quality_status(spark.createDataFrame([*rows, ("STOCK_MISMATCH", "warning")], shape)).first().readiness == "incomplete"
     assert kpis.quality_status(spark.createDataFrame([("STOCK_MISMATCH", "info")], shape)).first().readiness == "flagged"
     assert tuple(kpis.quality_status(spark.createDataFrame([], shape)).first()) == ("verified", 0, 0, 0, 0, 0)
+
+
+def test_permits_of_an_order_are_held_once(sales, spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    permits = kpis.available_permits(sales[1], sales[2])
+    assert {r.sales_order_line_id: r.available_permit_mt for r in permits.collect()} == {1: D("80"), 3: D("60")}
+    assert "HashAggregate(keys=[sales_order_line_id" in plan(permits) and ", permit_id" not in "".join(
+        x for x in plan(permits).splitlines() if "HashAggregate" in x)  # no hash table of (order, permit) pairs
+    # the k largest orders are known before the dispatches are dealt by order
+    assert "LeftSemi" in plan(kpis.open_commitments(*sales, 2)) and "LeftSemi" not in plan(kpis.sales_summary(*sales))
+    odd = spark.createDataFrame([(1, 5), (1, 5), (None, 5), (2, None), (2, 6), (2, 6)], "sales_order_line_id long, permit_supplier_id long")
+    got = {r.sales_order_line_id: r.available_permit_mt for r in kpis.open_commitments(sales[0].union(sales[0]), odd, sales[2].union(sales[2]), 9).collect()}
+    assert got == {1: D("120"), 2: D("40"), 4: D("0")}
