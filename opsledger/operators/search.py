@@ -148,15 +148,17 @@ def retrieve(questions: DataFrame, documents: DataFrame, k: int = 14) -> DataFra
     # Fallback: questions without hits get the first two documents (score 0).
     # (two ids: a bounded take, turned into literals)
     first2 = [r["doc_id"] for r in documents.select("doc_id").orderBy("doc_id").limit(2).collect()]
-    missing = questions.select("item_id").join(ranked.select("item_id").distinct(), "item_id", "left_anti")
     pairs = F.array(*[F.struct(F.lit(i + 1).alias("rank"), F.lit(d).cast("bigint").alias("doc_id"))
                       for i, d in enumerate(first2)]) if first2 else F.array().cast(
         "array<struct<rank:int,doc_id:bigint>>")
-    fallback = missing.select("item_id", F.explode(pairs).alias("p")).select(
+    fallback = questions.select("item_id", F.explode(pairs).alias("p")).select(
         "item_id", F.col("p.rank").alias("rank"), F.col("p.doc_id").alias("doc_id"),
         F.lit(0).cast("bigint").alias("score"))
+    # A question's few hits meet its fallback here; asking for the questions without hits would scan all documents again.
     hits = ranked.select("item_id", "rank", "doc_id", F.col("score").cast("bigint").alias("score"))
-    out = hits.unionByName(fallback.select("item_id", "rank", "doc_id", "score"))
+    both = hits.withColumn("hit", F.lit(True)).unionByName(fallback.withColumn("hit", F.lit(False)))
+    found = F.max("hit").over(Window.partitionBy("item_id")) & F.col("item_id").isNotNull()
+    out = both.withColumn("found", found).where(F.col("hit") | ~F.col("found")).drop("hit", "found")
     return out.join(documents.select("doc_id", "area"), "doc_id").select("item_id", "rank", "doc_id", "area", "score")
 
 
