@@ -178,12 +178,12 @@ def build_production(rows: DataFrame, aliases: DataFrame, header_rows: int = 4
         F.col("source_material_name"), F.col("row_number").cast("string")))
     t = t.withColumn("material_code", clean.material_parts("material_type", "material_type", F.lit(None))["material_code"])
     key, row = F.col("business_key"), F.col("source_row_id")
-    issues = (checks.issue(t.where(F.col("lot_id").isNull()), "MISSING_PRODUCTION_LOT", "production_run", key, row,
-                           checks.msg("Production material ", F.col("source_material_name"), " is not a known input lot."))
-              .unionByName(checks.issue(t.where((F.col("recovery_pct") < 0) | (F.col("recovery_pct") > 100)),
-                                        "INVALID_RECOVERY_RANGE", "production_run", key, row,
-                                        checks.msg("Reported recovery ", F.col("recovery_pct").cast("decimal(12,4)").cast("string"),
-                                                   "% is outside 0 to 100%."))))
+    issues = checks.findings(
+        t, checks.rule("MISSING_PRODUCTION_LOT", "production_run", F.col("lot_id").isNull(), key, row,
+                       checks.msg("Production material ", F.col("source_material_name"), " is not a known input lot.")),
+        checks.rule("INVALID_RECOVERY_RANGE", "production_run", (F.col("recovery_pct") < 0) | (F.col("recovery_pct") > 100), key, row,
+                    checks.msg("Reported recovery ", F.col("recovery_pct").cast("decimal(12,4)").cast("string"),
+                               "% is outside 0 to 100%.")))
     t = dedupe_latest(t, ["business_key"], ["source_row_id"])
     runs = t.select("business_key", F.col("source_row_id").alias("production_run_id"), "run_date",
                     F.nullif("shift", F.lit("")).alias("shift"),

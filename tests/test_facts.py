@@ -1,5 +1,7 @@
 """Fact builders on hand-made staged sheets (fire each rule once and miss it once)."""
 
+from pyspark.sql import functions as F
+
 from opsledger.operators import facts
 
 SCHEMA = "file_name string, sheet_name string, row_number bigint, cells array<string>, source_row_id bigint"
@@ -196,6 +198,12 @@ def test_production_resolves_its_input_lot(spark):
     assert sorted((r.rule_code, r.source_row_id) for r in issues.collect()) == [("INVALID_RECOVERY_RANGE", 101), ("MISSING_PRODUCTION_LOT", 101)]
 
 
+def test_production_issues_take_the_sheet_once(spark):
+    row = spark.range(1).select(F.array([F.col("id").cast("string")] * 42).alias("cells"), F.lit(9).cast("bigint").alias("row_number"), F.col("id").alias("source_row_id"))
+    issues = facts.build_production(row, aliases(spark))[3]
+    assert "Union" not in issues._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_second_import_of_every_sheet_changes_nothing(spark, tmp_path):
     from opsledger.operators.books import TABLES, Books
 
