@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import written
+from .common import released, written
 
 LENGTH = 50
 HEAD = 20
 BATCH = 1 << 16  # entries of a batch that gets its array and joins the family
 SHARD_BYTES = 8 << 20  # corpus bytes for each shard of the index
 LEAST_SHARDS = 128
+BLOCK = 1 << 17  # bytes of texts whose runs are found together, in a core's cache
+ASK = 1 << 20  # windows that are looked up together
 _KEY_BITS = 40
 _ROW = "shard int, kind int, payload binary"
 _ENTRIES, _SETTLED = 0, 1
@@ -59,7 +61,7 @@ class Family:
         """Sort the waiting entries, merge-scan them against each level, and make them a level."""
         if not self.n_waiting:
             return
-        level = self._sorted(*(np.concatenate(x) for x in zip(*self.waiting)))
+        level = self._sorted(*(np.concatenate(x) for x in zip(*self.waiting)), None)
         self.waiting, self.n_waiting = [], 0
         for old in self.levels:
             at = np.searchsorted(old[0], level[0])
@@ -71,12 +73,12 @@ class Family:
             old[1][at], old[2][at], level[1][new], level[2][new] = low, high, low, high
         while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
             old = self.levels.pop()
-            level = self._sorted(*(np.concatenate([a, b]) for a, b in zip(old, level)))
+            level = self._sorted(*(np.concatenate([a, b]) for a, b in zip(old, level)), "stable")  # it merges sorted runs
         self.levels.append(level)
 
     @staticmethod
-    def _sorted(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
-        by = np.argsort(key, kind="stable")
+    def _sorted(key: np.ndarray, low: np.ndarray, high: np.ndarray, kind: str | None) -> list[np.ndarray]:
+        by = np.argsort(key, kind=kind)
         key = key[by]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         return [key[first], np.minimum.reduceat(low[by], first), np.maximum.reduceat(high[by], first)]
@@ -84,13 +86,18 @@ class Family:
     def bounds(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Smallest and largest document of each key over all levels (every key has been added)."""
         self.close_batch()
-        low, high = np.full(len(key), np.iinfo(np.int64).max), np.full(len(key), np.iinfo(np.int64).min)
+        by = np.argsort(key)  # sorted keys walk through a level, others jump about in it
+        key = key[by]
+        least, most = np.full(len(key), np.iinfo(np.int64).max), np.full(len(key), np.iinfo(np.int64).min)
         for k, lo, hi in self.levels:
             at = np.searchsorted(k, key)
             at[at == len(k)] = 0
-            here = k[at] == key
-            low[here] = np.minimum(low[here], lo[at[here]])
-            high[here] = np.maximum(high[here], hi[at[here]])
+            here = np.flatnonzero(k[at] == key)
+            at = at[here]
+            least[here] = np.minimum(least[here], lo[at])
+            most[here] = np.maximum(most[here], hi[at])
+        low, high = np.empty_like(least), np.empty_like(most)
+        low[by], high[by] = least, most
         return low, high
 
 
@@ -114,14 +121,22 @@ class Runs:
     """Runs of consecutive windows that name the same anchor: first and last window start, anchor, head fingerprint, text."""
 
     def __init__(self, t: K.Texts):
-        n = len(t.buf)
         self.value = K.BYTE_VALUE[t.buf]
+        none = np.zeros(0, np.int64)
+        parts = [(none, none, none, np.zeros(0, K.U))]
+        for lo, part in K.parts(t, BLOCK):
+            first, last, anchor, head = self._of(part, self.value[t.off[lo]:t.off[lo] + len(part.buf)])
+            parts.append((first + t.off[lo], last + t.off[lo], anchor + t.off[lo], head))
+        self.first, self.last, self.anchor, self.head = (np.concatenate(x) for x in zip(*parts))
+        self.doc = t.owner(self.first)
+
+    @staticmethod
+    def _of(t: K.Texts, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = len(t.buf)
         fit = np.maximum(np.diff(t.off) - LENGTH + 1, 0)
         if not fit.sum():
-            self.first = self.last = self.anchor = self.doc = np.zeros(0, np.int64)
-            self.head = np.zeros(0, K.U)
-            return
-        head = K.window_hash(self.value, HEAD)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, K.U)
+        head = K.window_hash(value, HEAD)
         bits = K.U(max(24, int(n).bit_length()))
         best = head >> bits << bits | np.arange(len(head), dtype=K.U)
         span, width = 1, LENGTH - HEAD + 1
@@ -135,10 +150,21 @@ class Runs:
         fresh = np.ones(len(start), bool)
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
         at = np.flatnonzero(fresh)
-        self.first, self.last = start[at], start[np.append(at[1:], len(start)) - 1]
-        self.anchor = anchor[at]
-        self.doc = t.owner(self.first)
-        self.head = K.mix(head[self.anchor] + K.U(1))  # anchors have small fingerprints; shards need even ones
+        first, last, anchor = start[at], start[np.append(at[1:], len(start)) - 1], anchor[at]
+        return first, last, anchor, K.mix(head[anchor] + K.U(1))  # anchors have small fingerprints; shards need even ones
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Consecutive parts put together until they have at least `most` items."""
+    some, n = [], 0
+    for part in parts:
+        some.append(part)
+        n += len(part[0])
+        if n >= most:
+            yield tuple(np.concatenate(x) for x in zip(*some))
+            some, n = [], 0
+    if some:
+        yield tuple(np.concatenate(x) for x in zip(*some))
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -276,7 +302,7 @@ def _covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans = lambda i, a, b: pa.RecordBatch.from_arrays([pa.array(i), pa.array(a), pa.array(b)], names=["id", "a", "b"])
 
     def answer() -> Iterator[pa.RecordBatch]:
-        for windows, doc, at in held:
+        for windows, doc, at in _joined(held, ASK):
             low, _ = family.bounds(windows)
             dup = low < doc
             edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (dup[1:] != dup[:-1])])
@@ -314,12 +340,19 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     heads = dealt(src.mapInArrow(lambda b: _head_rows(b, shards), _ROW)).mapInArrow(lambda b: _shared_heads(b, shards), "id long, key long")
     flags = written(heads.groupBy("id").agg(F.collect_set("key").alias("keys")), "heads")  # bounded by the text's anchors
     again = src.join(flags, src["__id"] == flags["id"]).select("__id", "__text", "keys")
-    return written(dealt(again.mapInArrow(lambda b: _context_rows(b, shards), _ROW)).mapInArrow(_covers, "id long, a long, b long"), "covers")
+    # written, so that the texts' shuffle is released before the contexts' one; both held 1.4 times the input
+    contexts = written(again.mapInArrow(lambda b: _context_rows(b, shards), _ROW), "contexts")
+    released(flags)
+    covers = written(dealt(contexts).mapInArrow(_covers, "id long, a long, b long"), "covers")
+    released(contexts)
+    return covers
 
 
 def _with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    covers = repeated_spans(docs, doc_id, text).groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # bounded by the text
+    found = repeated_spans(docs, doc_id, text)
+    covers = found.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # bounded by the text
     covers = written(covers.select("id", F.transform("spans", lambda s: s["a"]).alias("__a"), F.transform("spans", lambda s: s["b"]).alias("__b")), "spans")
+    released(found)
     return docs.join(covers, docs[doc_id].cast("long") == covers["id"], "left").drop("id")
 
 

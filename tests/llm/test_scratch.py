@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from opsledger.llm import kernel, line_dedup, links
+from opsledger.llm import kernel, line_dedup, links, suffix_family
 from opsledger.llm.common import marked, marks, scratch_dir, written
 
 SHAPE = "doc_id long, text string"
@@ -82,3 +82,22 @@ def test_bands_do_not_depend_on_the_block(monkeypatch):
     assert keys() == whole
     own, h = line_dedup.char_shingles(t)
     assert np.bincount(own, minlength=t.n).tolist() == [max(len(v.encode()) - 7, len(v) > 0) for v in values]
+
+
+def test_runs_do_not_depend_on_the_block(monkeypatch):
+    t = kernel.Texts.of(pa.array([None, "short", *lines_of(8, 12), "x" * 700, "y" * 49, "z" * 50]))
+    whole = suffix_family.Runs(t)
+    monkeypatch.setattr(suffix_family, "BLOCK", 60)
+    parted = suffix_family.Runs(t)
+    assert len(whole.first) > 100
+    for name in ("first", "last", "anchor", "doc", "head"):
+        assert getattr(parted, name).tolist() == getattr(whole, name).tolist()
+
+
+def test_suffix_family_keeps_the_last_table_only(spark):
+    lines = lines_of(9, 6)
+    docs = spark.createDataFrame([(i, lines[i % 6] + lines[(i + 1) % 6]) for i in range(12)], SHAPE)
+    before = tables(spark)
+    out = suffix_family.removal(docs)
+    assert {n.split("-")[1] for n in tables(spark) - before} == {"spans"}
+    assert out.where("n_removed > 0").count() >= 6
