@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import written
+from .common import marked, marks, released, written
 from .links import POSITIONS, binary, distinct_shingles, group_pairs, likely, matrix, minima, resolve
 
 GRAM = 5
@@ -108,6 +108,19 @@ def branches(members: DataFrame) -> DataFrame:
     return members.select("key", "id", "sig").mapInArrow(run, "key long, id long")
 
 
+def texts_of(docs: DataFrame, doc_id: str, text: str, ids: DataFrame) -> DataFrame:
+    """(id, text): the documents with one of the `ids(id)`; others are left out before the shuffle, as far as a bitmap tells."""
+    wanted = marks(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = marked(wanted.value, np.asarray(batch.column("id").fill_null(0)).view(K.U))
+            yield batch.filter(pa.array(some))
+
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return source.mapInArrow(run, "id long, text string").join(ids, "id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is the document's own id).
 
@@ -119,12 +132,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = written(named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("copies")), "classes")
     reps = written(named.join(classes.select("s1", "s2", F.col("id").alias("doc_id")), ["doc_id", "s1", "s2"], "left_semi")
                    .dropDuplicates(["doc_id", "s1"]).select(F.col("doc_id").alias("id"), "sig", "sketch"), "reps")
-    pairs, large = group_pairs(written(roots(reps, trees), "nodes"), "nodes")
+    nodes = written(roots(reps, trees), "nodes")
+    pairs, large = group_pairs(nodes, "nodes")
+    released(nodes)
     pairs = written(likely(pairs.distinct(), reps), "likely")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select("id")).distinct()
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = written(source.join(written(ids, "ids"), "id", "left_semi"), "texts")
+    ids = written(ids, "ids")
+    texts = written(texts_of(docs, doc_id, text, ids), "texts")
     linked = resolve(pairs, large, lambda members: branches(members.join(reps.select("id", "sig"), "id")), texts, word_shingles, percent, "links")
+    released(reps, pairs, ids, texts)
     rooted = classes.join(linked, "id", "left").select("s1", "s2", "id", "copies", "root")
     alone = F.col("root").isNull()
     # a root is the smallest of its classes' ids, and a class id is the smallest of its documents'

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from opsledger.llm import kernel, line_dedup, links, suffix_family
+from opsledger.llm import chosen_path, kernel, line_dedup, links, suffix_family
 from opsledger.llm.common import marked, marks, scratch_dir, written
 
 SHAPE = "doc_id long, text string"
@@ -101,3 +101,23 @@ def test_suffix_family_keeps_the_last_table_only(spark):
     out = suffix_family.removal(docs)
     assert {n.split("-")[1] for n in tables(spark) - before} == {"spans"}
     assert out.where("n_removed > 0").count() >= 6
+
+
+def test_a_row_of_a_block_may_be_compared_and_compared_with():
+    text = lines_of(11, 2)
+    block = pa.table({"odd": [False, True, True, True], "other": [True, True, True, False], "id": [1, 2, 3, 4], "root": [1, 2, 3, 4],
+                      "text": pa.array([text[0].encode(), (text[1] + "z").encode(), text[1].encode(), text[0].encode()], pa.binary())})
+    got = links.compare_block(block, line_dedup.char_shingles, 75)
+    assert sorted(set(zip(got["a"].to_pylist(), got["b"].to_pylist()))) == [(1, 4), (2, 3)]
+
+
+def test_near_duplicates_send_candidates_only_and_delete_tables(spark):
+    lines = lines_of(12, 30)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)] + [(100, lines[0] + " z"), (101, lines[1]), (None, lines[2])], SHAPE)
+    ids = written(spark.createDataFrame([(0,), (100,)], "id long"), "ids")
+    assert sorted(r.id for r in chosen_path.texts_of(docs, "doc_id", "text", ids).collect()) == [0, 100]
+    before = tables(spark)
+    out = chosen_path.near_duplicates(docs)
+    left = {n.split("-")[1] for n in tables(spark) - before}
+    assert not left & {"reps", "ids", "texts", "likely"}
+    assert {r.doc_id for r in out.where(~F.col("kept")).collect()} >= {101}
