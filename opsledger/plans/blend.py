@@ -212,13 +212,41 @@ def _enough(lots: DataFrame, d: DataFrame, k: int) -> DataFrame:
             .where(F.col("_r") == k).select("demand_id", "enough"))
 
 
+BANDS = 256  # bands of equal width into which a product's grades are cut
+
+
+def _bands(grades: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`grades(product, fe, cost)` with the band of each, and the bands: their least and greatest grade and least cost."""
+    fe = F.col("fe").cast("double")
+    ends = grades.groupBy("product").agg(F.min(fe).alias("_least"), F.max(fe).alias("_most"))
+    share = F.coalesce(F.try_divide(fe - F.col("_least"), F.col("_most") - F.col("_least")), F.lit(0.0))
+    banded = grades.join(ends, "product").withColumn("band", F.floor(share * (BANDS - 1)).cast("int")).drop("_least", "_most")
+    return banded, banded.groupBy("product", "band").agg(F.min(fe).alias("band_from"), F.max(fe).alias("band_to"),
+                                                         F.min("cost").cast("double").alias("band_cost"))
+
+
+def _may_do() -> Column:
+    """Whether a grade below the target with some grade of a band above it may cost no more than `enough`.
+
+    With the band's least cost a mix costs, per tonne, (low cost x (h - t) + band cost x (t - low grade)) / (h - low grade) for a
+    high grade h: this only rises or only falls with h, so it is least at an end of the band.  The quantities that are
+    taken are rounded to thousandths, which is allowed for."""
+    low, t, cost, least = F.col("low_fe").cast("double"), F.col("t").cast("double"), F.col("low_cost").cast("double"), F.col("band_cost")
+    at = lambda h: F.try_divide(cost * (h - t) + least * (t - low), h - low)
+    total = F.col("dq") * F.least(at(F.greatest("band_from", t)), at(F.col("band_to")))
+    enough = F.col("enough").cast("double")
+    slack = 0.0006 * (F.abs(cost) + F.abs(least)) + 1e-6 * (1 + F.abs(enough))
+    return F.coalesce((F.col("dq") <= 0) | (total - slack <= enough), F.lit(True))
+
+
 def cheapest_pairs_by_grade(stock: DataFrame, demands: DataFrame, k: int = 5) -> DataFrame:
     """B4 and J6 over whole tables: each demand's k cheapest mixes of a lot below and a lot above its target grade.
 
     What a mix takes of its two lots depends on their grades only, so a demand meets the pairs of its product's grades,
     not of its lots.  For one pair of grades the k cheapest mixes are made of the k cheapest lots of either grade that
     hold enough, so each side is cut to k lots first and the k x k mixes are ranked.  A pair of grades is left out before it
-    meets lots where even the cheapest lots of both cost more than k mixes that are known to do (`_enough`).
+    meets lots where even the cheapest lots of both cost more than k mixes that are known to do (`_enough`), and a grade meets
+    only those bands of the other side's grades in which some mix might cost less (`_bands`).
 
     stock:   (product, lot, quantity, fe, landed_cost), decimals
     demands: (demand_id, product, quantity, target_fe)
@@ -233,8 +261,11 @@ def cheapest_pairs_by_grade(stock: DataFrame, demands: DataFrame, k: int = 5) ->
     bound = d.join(_enough(lots, d, k), "demand_id", "left")
     # A table of grades is small and its pairs are not: they are made in as many tasks as there are shuffle partitions.
     tasks = int(stock.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = (bound.join(of("low"), "product").where(F.col("low_fe") < F.col("t")).repartition(tasks, "demand_id", "low_fe")
-             .join(of("high"), "product").where(F.col("high_fe") > F.col("t")))
+    banded, bands = _bands(grades)
+    near = (bound.join(of("low"), "product").where(F.col("low_fe") < F.col("t")).repartition(tasks, "demand_id", "low_fe")
+            .join(bands, "product").where(F.col("band_to") > F.col("t")).where(_may_do()).drop("band_from", "band_to", "band_cost"))
+    high = banded.select("product", "band", F.col("fe").alias("high_fe"), F.col("cost").alias("high_cost"))
+    pairs = near.join(high, ["product", "band"]).where(F.col("high_fe") > F.col("t")).drop("band")
     pairs = (_mixed(pairs).where(F.col("enough").isNull() | F.coalesce(_total() <= F.col("enough"), F.lit(True)))
              .drop("enough", "low_cost", "high_cost"))
 
