@@ -45,3 +45,12 @@ def test_an_upsert_releases_the_shuffles_of_its_steps(spark, tmp_path, monkeypat
     t = KeyedTable(spark, str(tmp_path / "t"), "k long, v long", ["k"])
     t.upsert(spark.range(9).select(F.col("id").alias("k"), F.col("id").alias("v")))
     assert len(freed) == 3 and t.read().count() == 9  # the rows, the changes, the buckets
+
+
+def test_dispatches_are_merged_without_the_texts_of_their_key(spark, rows):
+    none = lambda schema: spark.createDataFrame([], schema)
+    dispatches, _ = facts.build_dispatches(
+        rows, none("customer_id long, legal_name string"), none("customer_id long, po_number string, sales_order_line_id long, source_row_id long"),
+        none("permit_number string, direction string, permit_id long, source_row_id long"))
+    top = plan(dispatches).split("Aggregate", 2)[1].split("\n")[0]
+    assert "business_key" in top and "permit_number" not in top and "_vehicles" not in top
